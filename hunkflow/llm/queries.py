@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import quality_rules, sharding
 
 QUERIES = {
     "op1_shard": sharding.op1_shard,
+    "op2_quality_rules": quality_rules.op2_quality_rules,
 }
 
 ORACLE_SQL = {
     "op1_shard": sharding.OP1_SQL,
+    "op2_quality_rules": quality_rules.OP2_SQL,
 }
