@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import quality_rules, sharding
+from . import exact_dedup, quality_rules, sharding
 
 QUERIES = {
     "op1_shard": sharding.op1_shard,
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op3_exact_dedup": exact_dedup.op3_exact_dedup,
 }
 
 ORACLE_SQL = {
     "op1_shard": sharding.OP1_SQL,
     "op2_quality_rules": quality_rules.OP2_SQL,
+    "op3_exact_dedup": exact_dedup.OP3_SQL,
 }
