@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, quality_rules, sharding
+from . import exact_dedup, packing, quality_rules, sharding
 
 QUERIES = {
     "op1_shard": sharding.op1_shard,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op8_packing": packing.op8_packing,
 }
 
 ORACLE_SQL = {
