@@ -59,3 +59,18 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in have:
         name = "_" + name
     return name
+
+
+BROADCAST_ROWS = 100_000
+SALTS = 64
+
+
+def join_small(rows: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+    """Join on keys of which one may hold most of ``rows``. ``small`` has one
+    row per key and was materialised: up to ``BROADCAST_ROWS`` rows of it are
+    broadcast, beyond that each key is spread over ``SALTS`` partitions."""
+    if small.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(small), keys)
+    salt = free_name(rows, "_salt")
+    spread = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn(salt, (F.rand(7) * SALTS).cast("int")).join(spread, [*keys, salt]).drop(salt)

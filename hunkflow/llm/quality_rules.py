@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, free_name, materialise, table
+from .common import WORD, free_name, join_small, materialise, table
 
 ACCURACY = 0.01  # relative error of a sketch's quantiles
 GAMMA = (1 + ACCURACY) / (1 - ACCURACY)
@@ -27,7 +27,6 @@ SPREADS = 3.0  # interquartile ranges above the third quartile
 SLACK = {"symbols": 50.0, "dup_lines": 500.0, "repeats": 350.0, "capitals": 150.0}
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 MEASURES = ("symbols", "dup_lines", "repeats", "capitals")
-BROADCAST_ROWS = 100_000
 
 _NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals"]
 FEATURES = T.StructType([T.StructField(n, T.LongType()) for n in _NAMES])
@@ -137,16 +136,6 @@ def thresholds(counts: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "source").agg(*(F.max(F.when(F.col("measure") == m, F.col("limit"))).alias(f"max_{m}") for m in MEASURES))
 
 
-def _with_limits(measured: DataFrame, limits: DataFrame) -> DataFrame:
-    """Join on (lang, source). Few groups are broadcast; with more, the rows
-    of a group are spread over 64 salts first."""
-    limits = materialise(limits)
-    if limits.count() <= BROADCAST_ROWS:
-        return measured.join(F.broadcast(limits), ["lang", "source"])
-    salted = limits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(63))))
-    return measured.withColumn("salt", (F.rand(7) * 64).cast("int")).join(salted, ["lang", "source", "salt"]).drop("salt")
-
-
 def _base_failed(f: str) -> Column:
     return F.expr(f"{f}.n_words < {MIN_WORDS} OR 100 * {f}.n_repeat_words > {MAX_REPEAT_PERCENT} * {f}.n_words")
 
@@ -167,7 +156,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     # the measure runs once: what is written is a few numbers per document
     measured = docs.select(F.col(id_col).alias("id"), *(c.alias(n) for n, c in _keys(docs).items()), _measured("text").alias("f"))
     measured = materialise(measured.select("*", *(_per_mille(m, "f").alias(m) for m in MEASURES), _base_failed("f").alias("base_failed")))
-    out = _with_limits(measured, thresholds(sketches(measured)))
+    out = join_small(measured, materialise(thresholds(sketches(measured))), ["lang", "source"])
     return out.select(F.col("id").alias(id_col), *(f"f.{n}" for n in _NAMES[:5]), "base_failed", _verdict().alias("kept"), *MEASURES, *(F.round(f"max_{m}", 6).alias(f"max_{m}") for m in MEASURES))
 
 
@@ -180,11 +169,7 @@ def filter_documents(docs: DataFrame) -> DataFrame:
     limits = materialise(thresholds(counts)).select(*(F.col(n).alias(k) for n, k in key.items()), F.struct(*(f"max_{m}" for m in MEASURES)).alias(free_name(docs, "_limits")))
     limit = limits.columns[-1]
     rows = docs.withColumns({f: _measured("text")} | {k: _keys(docs)[n] for n, k in key.items()})
-    if limits.count() <= BROADCAST_ROWS:
-        rows = rows.join(F.broadcast(limits), list(key.values()))
-    else:
-        salt = free_name(docs, "_salt")
-        rows = rows.withColumn(salt, (F.rand(7) * 64).cast("int")).join(limits.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(63)))), [*key.values(), salt])
+    rows = join_small(rows, limits, list(key.values()))
     within = ~_base_failed(f)
     for m in MEASURES:
         within = within & (_per_mille(m, f) <= F.col(f"{limit}.max_{m}"))
