@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, license_scan, mixing, packing, quality_rules, sharding
+from . import exact_dedup, license_scan, mixing, near_join, packing, quality_rules, sharding
 
 QUERIES = {
     "op1_shard": sharding.op1_shard,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_license_scan": license_scan.op6_license_scan,
     "op7_mixing": mixing.op7_mixing,
     "op8_packing": packing.op8_packing,
+    "op10_near_join": near_join.op10_near_join,
 }
 
 ORACLE_SQL = {
