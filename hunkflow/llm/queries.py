@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, license_scan, mixing, near_join, packing, quality_rules, sharding
+from . import exact_dedup, license_scan, mixing, near_join, packing, quality_model, quality_rules, sharding
 
 QUERIES = {
     "op1_shard": sharding.op1_shard,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_quality_model": quality_model.op4_quality_model,
     "op6_license_scan": license_scan.op6_license_scan,
     "op7_mixing": mixing.op7_mixing,
     "op8_packing": packing.op8_packing,
