@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -74,3 +75,15 @@ def join_small(rows: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
     salt = free_name(rows, "_salt")
     spread = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return rows.withColumn(salt, (F.rand(7) * SALTS).cast("int")).join(spread, [*keys, salt]).drop(salt)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``materialise`` wrote, and let the driver drop the
+    shuffle files of jobs that nothing refers to any more."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(file)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    jvm.System.gc()

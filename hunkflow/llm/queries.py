@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, license_scan, mixing, near_join, packing, quality_model, quality_rules, sharding
+from . import exact_dedup, license_scan, mixing, near_join, packing, quality_model, quality_rules, sharding, substring_dedup
 
 QUERIES = {
     "op1_shard": sharding.op1_shard,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_quality_model": quality_model.op4_quality_model,
+    "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_license_scan": license_scan.op6_license_scan,
     "op7_mixing": mixing.op7_mixing,
     "op8_packing": packing.op8_packing,
@@ -19,6 +20,7 @@ ORACLE_SQL = {
     "op1_shard": sharding.OP1_SQL,
     "op2_quality_rules": quality_rules.OP2_SQL,
     "op3_exact_dedup": exact_dedup.OP3_SQL,
+    "op5_substring_dedup": substring_dedup.OP5_SQL,
     "op6_license_scan": license_scan.OP6_SQL,
     "op7_mixing": mixing.OP7_SQL,
 }
