@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, license_scan, mixing, near_join, packing, quality_model, quality_rules, sharding, substring_dedup
+from . import exact_dedup, html_text, license_scan, mixing, near_join, packing, quality_model, quality_rules, sharding, substring_dedup
 
 QUERIES = {
     "op1_shard": sharding.op1_shard,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_license_scan": license_scan.op6_license_scan,
     "op7_mixing": mixing.op7_mixing,
     "op8_packing": packing.op8_packing,
+    "op9_html_text": html_text.op9_html_text,
     "op10_near_join": near_join.op10_near_join,
 }
 
