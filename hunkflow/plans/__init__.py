@@ -1 +1,9 @@
+"""Registered queries: name -> (query, equivalent SQL or None)."""
 
+from . import scan
+
+_MODULES = (scan,)
+
+
+def all_queries() -> dict:
+    return {name: (query, m.ORACLE_SQL.get(name)) for m in _MODULES for name, query in m.QUERIES.items()}
