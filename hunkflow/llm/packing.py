@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -33,12 +34,21 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
 
 
+def _byte_letters() -> list[str]:
+    """The printable character by which byte-level vocabularies write each
+    byte: itself where Latin-1 prints it, else one from U+0100 on."""
+    printed = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(0x100, 0x200))
+    return [chr(b if b in printed else next(rest)) for b in range(256)]
+
+
 class Words:
     """Ids of white-space separated words, remembered per worker process.
 
     The tokenizer never joins what white space separates, so a text's ids are
-    its words' ids in a row. New words go through the tokenizer in one string
-    per batch: the tokens that end a word tell where each word's ids stop.
+    its words' ids in a row. A new word of plain letters and marks is given to
+    the tokenizer's model directly, lower-cased and byte by byte as the
+    pipeline before the model would; any other goes through the whole pipeline.
     """
 
     def __init__(self, path: str):
@@ -46,50 +56,44 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocab = self.tokenizer.get_vocab()
-        self.dtype = np.dtype("<u2" if max(vocab.values()) < 1 << 16 else "<u4")
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.dtype = np.dtype("<u2" if max(self.tokenizer.get_vocab().values()) < 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        letters = _byte_letters()
+        self.spell = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {"": b""}
 
     def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
-
-    def _learn(self, new: set[bytes]) -> None:
-        plain, parts = [], set()
-        for w in new:
-            m = _PLAIN.fullmatch(s := w.decode("utf-8", "replace"))
-            if m:
-                letters = m[1].lower()
-                plain.append((w, letters, m[2]))
-                parts.add(letters)
-                parts.add(m[2])
-            else:
-                self.words[w] = self._bytes(self.tokenizer.encode(s, add_special_tokens=False).ids)
-        fresh = list(parts - self.parts.keys())
-        if fresh:
-            ids = np.array(self.tokenizer.encode(" ".join(fresh), add_special_tokens=False).ids)
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(fresh) and stops[-1] == len(ids):
-                raw, size = ids.astype(self.dtype).tobytes(), self.dtype.itemsize
-                self.parts.update(zip(fresh, (raw[a * size : b * size] for a, b in zip([0, *stops[:-1]], stops, strict=True)), strict=True))
-            else:
-                self.parts.update((p, self._bytes(self.tokenizer.encode(p, add_special_tokens=False).ids)) for p in fresh)
-        parts = self.parts
-        self.words.update((w, parts[a] + parts[b]) for w, a, b in plain)
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        docs = [(t or "").encode("utf-8", "replace").split() for t in texts]
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+
+    def _part(self, part: str) -> bytes:
+        known = self.parts.get(part)
+        if known is None:
+            known = self.parts[part] = self._bytes([t.id for t in self.tokenizer.model.tokenize(part if part.isascii() else part.translate(self.spell))])
+        return known
+
+    def _learn(self, word: bytes) -> bytes:
+        m = _PLAIN.fullmatch(s := word.decode("utf-8", "replace"))
+        if m:
+            ids = self._part(m[1].lower()) + self._part(m[2])
+        else:
+            ids = self._bytes(self.tokenizer.encode(s, add_special_tokens=False).ids)
+        self.words[word] = ids
+        return ids
+
+    def encode(self, text: str | None) -> bytes:
         if len(self.words) > CACHE:
             self.words = {}
         if len(self.parts) > CACHE:
             self.parts = {"": b""}
-        new = set().union(*docs) - self.words.keys()
-        if new:
-            self._learn(new)
-        get = self.words.__getitem__
-        return [b"".join(map(get, d)) for d in docs]
+        words = (text or "").encode("utf-8", "replace").split()
+        ids = list(map(self.words.get, words))
+        if None in ids:
+            at = -1
+            for _ in range(ids.count(None)):
+                at = ids.index(None, at + 1)
+                ids[at] = self.words.get(words[at]) or self._learn(words[at])
+        return b"".join(ids)
 
 
 _WORDS: dict[str, Words] = {}
@@ -104,7 +108,7 @@ def _tokeniser(path: str) -> Callable:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                ids = [x + end for x in words.encode(part.column(2).to_pylist())]
+                ids = [words.encode(t.as_py()) + end for t in part.column(2)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.large_binary()).cast(pa.binary())], ["grp", "doc_id", "ids"])
 
     return run
