@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.window import WindowSpec
 
 from ..functions import rules as R
 from ..functions import text as T
@@ -19,8 +20,10 @@ from ..functions import text as T
 #: What orders findings: detector, file, hunk, pass over the hunk, positions.
 ORDER = ("det", "file_idx", "hunk_idx", "phase", "i1", "i2")
 COLUMNS = ("scan_id", *ORDER, "pattern_type", "path", "line_start", "line_end", "confidence", "kind", "evidence", "importance")
-_HUNK = W.partitionBy("scan_id", "file_idx", "hunk_idx")
-_SCAN = W.partitionBy("scan_id")
+
+
+def _hunk() -> WindowSpec:
+    return W.partitionBy("scan_id", "file_idx", "hunk_idx")
 
 
 def _finding(df: DataFrame, pattern: str, phase: int, confidence: Column, kind: Column, evidence: Column, i1="line_idx", i2=None, start="line_no", end="line_no") -> DataFrame:
@@ -48,9 +51,9 @@ def disabled_assertions(lines: DataFrame) -> DataFrame:
         .when(rule(R.NEVER_TRUE), "if_false")
         .when(rule(R.COMMENTED_OUT), "comment")
     )
-    source_changed = F.max((~F.col("is_test") & F.col("lang").isNotNull()).cast("int")).over(_SCAN) == 1
-    active = F.max(((F.col("marker") == "+") & ~T.matches(F.col("body"), r"^\s*//") & T.matches(F.col("body"), R.ACTIVE_ASSERTION)).cast("int")).over(_HUNK) == 1
-    near = _HUNK.orderBy("line_idx").rangeBetween(-2, 2)
+    source_changed = F.max((~F.col("is_test") & F.col("lang").isNotNull()).cast("int")).over(W.partitionBy("scan_id")) == 1
+    active = F.max(((F.col("marker") == "+") & ~T.matches(F.col("body"), r"^\s*//") & T.matches(F.col("body"), R.ACTIVE_ASSERTION)).cast("int")).over(_hunk()) == 1
+    near = _hunk().orderBy("line_idx").rangeBetween(-2, 2)
     seen = _functional(lines).withColumn("source_changed", source_changed).where("is_test").withColumn("kind", kind)
     seen = seen.withColumn("active", active).withColumn("near", F.max(F.col("kind").isNotNull().cast("int")).over(near) == 1)
     added = F.col("marker") == "+"
@@ -70,7 +73,7 @@ def disabled_assertions(lines: DataFrame) -> DataFrame:
 def _greedy(df: DataFrame, pos: str) -> DataFrame:
     """Per hunk, keep rows from the top that are 3 or more lines below the last
     one kept: a fold over the hunk's few candidate positions."""
-    kept = F.aggregate(F.array_sort(F.collect_list(pos).over(_HUNK)), F.array().cast("array<int>"), lambda a, x: F.when((F.size(a) == 0) | (x - F.element_at(a, -1) >= 3), F.concat(a, F.array(x.cast("int")))).otherwise(a))
+    kept = F.aggregate(F.array_sort(F.collect_list(pos).over(_hunk())), F.array().cast("array<int>"), lambda a, x: F.when((F.size(a) == 0) | (x - F.element_at(a, -1) >= 3), F.concat(a, F.array(x.cast("int")))).otherwise(a))
     return df.withColumn("_kept", kept).where(F.array_contains("_kept", F.col(pos).cast("int"))).drop("_kept")
 
 
@@ -87,7 +90,7 @@ def _empty_bodies(seen: DataFrame, inline: DataFrame) -> DataFrame:
     bare = opens.join(ends.where("end IS NOT NULL AND (hit IS NULL OR hit > end)").select(*keys, "line_idx"), [*keys, "line_idx"], "left_semi")
     both = bare.withColumn("_new", F.lit(1)).unionByName(inline.withColumn("_new", F.lit(0)))
     # those found inline are matches already; an open line near one is passed over
-    first = both.withColumn("_inline", F.max(1 - F.col("_new")).over(_HUNK.orderBy("line_idx").rangeBetween(-2, 2)))
+    first = both.withColumn("_inline", F.max(1 - F.col("_new")).over(_hunk().orderBy("line_idx").rangeBetween(-2, 2)))
     return _greedy(first.where("_new = 1 AND _inline = 0"), "line_idx").drop("_new", "_inline")
 
 
@@ -126,8 +129,8 @@ def tampered_assertions(lines: DataFrame) -> DataFrame:
     and removed ones that nothing replaces. An equi-join per hunk."""
     keys = ["scan_id", "file_idx", "hunk_idx"]
     marked = assertions(lines)
-    has = lambda old_new, method, value: F.array_contains(F.collect_set(F.when(F.col("marker") == old_new, F.struct(method.alias("m"), value.alias("v")))).over(_HUNK), F.struct(F.col("method").alias("m"), F.col("value").alias("v")))
-    side = lambda m: F.count(F.when(F.col("marker") == m, 1)).over(_HUNK)
+    has = lambda old_new, method, value: F.array_contains(F.collect_set(F.when(F.col("marker") == old_new, F.struct(method.alias("m"), value.alias("v")))).over(_hunk()), F.struct(F.col("method").alias("m"), F.col("value").alias("v")))
+    side = lambda m: F.count(F.when(F.col("marker") == m, 1)).over(_hunk())
     marked = marked.withColumns({"in_new": has("+", F.col("method"), F.col("value")), "in_old": has("-", F.col("method"), F.col("value")), "n_old": side("-"), "n_new": side("+")})
     marked = marked.join(source_change(lines), "scan_id", "left")
     base = F.lower(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.(test|spec|_test|Test)\.?\w*$", ""))
@@ -144,7 +147,7 @@ def tampered_assertions(lines: DataFrame) -> DataFrame:
     level = lambda k: F.when(k.isin("with_source", "refactored", "expanded"), "low").when(k.isin("other_source", "swapped"), "medium").otherwise("high")
     evidence = F.substring("body", 1, 120)
     changed = _finding(pairs.withColumn("kind", kind), "assertion_tampering", 0, level(F.col("kind")), F.col("kind"), evidence, "old_idx", "line_idx")
-    values = lambda c: F.collect_set(F.when(F.col("marker") == "+", F.col(c))).over(_HUNK)
+    values = lambda c: F.collect_set(F.when(F.col("marker") == "+", F.col(c))).over(_hunk())
     gone = marked.withColumns({"new_methods": values("method"), "new_values": values("value")}).where("marker = '-'")
     gone = gone.where(~F.array_contains("new_methods", F.col("method")) & ~F.array_contains("new_values", F.col("value")) & ~((F.col("n_new") >= F.col("n_old")) & (F.col("n_new") > 0)))
     removed = _finding(gone, "assertion_tampering", 1, F.when(F.col("change") == "none", "medium").otherwise("low"), F.lit("removed"), evidence)
@@ -158,7 +161,7 @@ def mocks(lines: DataFrame) -> DataFrame:
     def first(patterns: list[str]) -> Column:
         return F.coalesce(*(F.when(T.matches(raw, p), F.lit(i)) for i, p in enumerate(patterns)))
 
-    tests = _functional(lines).where("is_test").withColumn("n_lines", F.count("*").over(_HUNK))
+    tests = _functional(lines).where("is_test").withColumn("n_lines", F.count("*").over(_hunk()))
     tests = tests.where("marker = '+'").withColumn("which", T.by_language(F.col("lang"), R.MOCKS, first))
     conf = F.when(F.col("which").isin(1, 2), "low").when(raw.contains("* as") | ~raw.contains("{"), "high").otherwise("medium")
     found = _finding(tests.where("which IS NOT NULL"), "mock_to_avoid_failure", 0, conf, F.concat(F.lit("mock_"), F.least("which", F.lit(3)).cast("string")), F.substring(T.trim(F.col("body")), 1, 120))
@@ -203,7 +206,7 @@ def silent_catches(lines: DataFrame) -> DataFrame:
     rule = lambda table: T.by_language(lang, table, lambda p: T.matches(body, p))
     kind = F.when(F.col("marker") == "+", F.when(rule(R.CATCH_EMPTY), "empty").when(rule(R.CATCH_TODO), "todo").when(rule(R.CATCH_PRINT), "console_only").when(T.matches(body, R.CATCH_NULL), "return_null").when(T.matches(body, R.CATCH_COMMENT), "comment_only").when(T.matches(body, R.FINALLY_EMPTY), "empty_finally"))
     base = base.withColumns({"kind": kind, "t": T.trim(body)})
-    after = _HUNK.orderBy("line_idx").rowsBetween(1, 9)
+    after = _hunk().orderBy("line_idx").rowsBetween(1, 9)
     opens = (F.col("marker") == "+") & T.by_language(lang, R.CATCH_OPEN, lambda p: T.matches(F.col("raw"), p)) & ~T.matches(F.col("t"), R.NOT_CATCH) & ~F.coalesce(lang.isin("python", "ruby"), F.lit(False))
     # the lines that follow are gathered as small codes; only openers use them
     code = (
@@ -223,7 +226,7 @@ def silent_catches(lines: DataFrame) -> DataFrame:
 
 def custom_matchers(lines: DataFrame) -> DataFrame:
     """(scan_id, names): matchers that the change set itself registers."""
-    added = lines.where("marker = '+'").withColumn("registers", F.max(F.col("body").contains("expect.extend(").cast("int")).over(_HUNK))
+    added = lines.where("marker = '+'").withColumn("registers", F.max(F.col("body").contains("expect.extend(").cast("int")).over(_hunk()))
     names = added.where("registers = 1").select("scan_id", F.explode(F.regexp_extract_all("body", F.lit(r"(?:^|[\s{,])(?:async\s+)?([A-Za-z_]\w*)\s*(?:\(|:\s*(?:async\s*)?(?:function|\())"), 1)).alias("n"))
     return names.groupBy("scan_id").agg(F.collect_set("n").alias("names"))
 

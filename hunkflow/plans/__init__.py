@@ -1,8 +1,8 @@
 """Registered queries: name -> (query, equivalent SQL or None)."""
 
-from . import scan
+from . import relational, scan
 
-_MODULES = (scan,)
+_MODULES = (scan, relational)
 
 
 def all_queries() -> dict:
