@@ -1,8 +1,8 @@
 """Registered queries: name -> (query, equivalent SQL or None)."""
 
-from . import relational, scan
+from . import history, relational, scan
 
-_MODULES = (scan, relational)
+_MODULES = (scan, relational, history)
 
 
 def all_queries() -> dict:

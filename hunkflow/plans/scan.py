@@ -48,7 +48,7 @@ def d4_claims(spark, sf_dir):
 
 def _findings(spark, sf_dir):
     scans = _scans(spark, sf_dir)
-    lines = diffs.parse_lines(scans)
+    lines = diffs.parse_lines(scans).persist()  # every detector reads them
     return D.all_findings(lines, scans), scans, lines
 
 
