@@ -74,7 +74,7 @@ def rate_limited(events: DataFrame, tier: str = "anonymous") -> DataFrame:
     if events.isStreaming:
         return events.groupBy("user_id").applyInPandasWithState(run, LIMITED, "times array<long>", "append", "NoTimeout")
 
-    def whole(key, group: pd.DataFrame) -> pd.DataFrame:
+    def whole(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         return next(run(key, iter([group]), _NoState()))
 
     return events.groupBy("user_id").applyInPandas(whole, LIMITED)
@@ -106,7 +106,7 @@ def profiles(events: DataFrame) -> DataFrame:
     if events.isStreaming:
         return events.groupBy("user_id").applyInPandasWithState(run, PROFILE, "scans int, mean int, failures int, suspicion double", "update", "NoTimeout")
 
-    def whole(key, group: pd.DataFrame) -> pd.DataFrame:
+    def whole(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         return next(run(key, iter([group]), _NoState()))
 
     return events.groupBy("user_id").applyInPandas(whole, PROFILE)
