@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import gc
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable
+from typing import Any
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space that separates words: space and U+0009 to U+000D.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
+BATCH_ROWS = 512
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -45,6 +51,13 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def modest_batches(df: DataFrame) -> DataFrame:
+    """Hand Python at most ``BATCH_ROWS`` rows at a time from now on: texts are
+    long, and a batch exists several times over on its way."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def partitions(spark: SparkSession, rows: int, per_partition: int) -> int:
     """Shuffle partitions so that none holds much more than ``per_partition`` rows."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_partition))
@@ -77,13 +90,47 @@ def join_small(rows: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn(salt, (F.rand(7) * SALTS).cast("int")).join(spread, [*keys, salt]).drop(salt)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver drop the shuffle files of jobs that nothing refers to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(df: DataFrame) -> None:
-    """Delete a table that ``materialise`` wrote, and let the driver drop the
-    shuffle files of jobs that nothing refers to any more."""
+    """Delete a table that ``materialise`` wrote, and release what made it."""
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(file)
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    jvm.System.gc()
+    release(spark)
+
+
+def worker_cache(name: str, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps between tasks. One cache lives at a time: a
+    worker that moves on to another kind of task drops the last one's."""
+    store = sys.modules.setdefault("_hunkflow_worker", types.ModuleType("_hunkflow_worker"))
+    held = store.__dict__.get("held")
+    if held is None or held[0] != name:
+        store.__dict__["held"] = None
+        held = store.__dict__["held"] = (name, make())
+    return held[1]
+
+
+class WordHashes(dict):
+    """64-bit hashes of words, at most ``WORDS`` of them remembered."""
+
+    WORDS = 120_000
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) >= self.WORDS:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+
+def hash_words(words: list[bytes]) -> np.ndarray:
+    known = worker_cache("words", WordHashes)
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))

@@ -24,15 +24,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, table
+from .common import discard, hash_words, materialise, modest_batches, release, table
 
 WINDOW = 13
 ANCHOR = 5
-CACHE = 500_000
 SLICE = 256
 NO_ID = (1 << 63) - 1  # a null id comes after all others
 
@@ -40,17 +38,6 @@ _GEN = np.random.default_rng(131_313)
 _POWERS = _GEN.integers(1, 1 << 63, WINDOW, np.int64).astype(np.uint64) | np.uint64(1)
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_HASHES = _WordHashes()
-
-
 def split(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
@@ -81,10 +68,6 @@ def anchors(h: np.ndarray, window: int = WINDOW, width: int = ANCHOR) -> np.ndar
     return least
 
 
-def _hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-
-
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
     ends = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
     flat = np.concatenate(arrays) if arrays else np.zeros(0, np.uint64)
@@ -113,7 +96,7 @@ def _anchor_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = []
             for t in part.column(1):
                 words = split(t.as_py())
-                found.append(np.unique(anchors(_hashes(words))) if len(words) >= WINDOW else _NONE)
+                found.append(np.unique(anchors(hash_words(words))) if len(words) >= WINDOW else _NONE)
             yield pa.RecordBatch.from_arrays([part.column(0), _lists(found)], ["id", "keys"])
 
 
@@ -124,7 +107,7 @@ def _phrase_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(at, SLICE)
             found = []
             for i, t in enumerate(part.column(1)):
-                h = _hashes(split(t.as_py()))
+                h = hash_words(split(t.as_py()))
                 if len(h) < WINDOW:
                     found.append(_NONE)
                     continue
@@ -149,7 +132,7 @@ def _cut_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 words, known = split(t.as_py()), _numbers(part.column(2), i)
                 found = []
                 if len(known) and len(words) >= WINDOW:
-                    found = factors(_inside(_rolled(_hashes(words), WINDOW), known))
+                    found = factors(_inside(_rolled(hash_words(words), WINDOW), known))
                 kept, end = [], 0
                 for a, b in found:
                     kept += words[end:a]
@@ -171,15 +154,21 @@ def _shared(rows: DataFrame, later_only: bool) -> DataFrame:
     """(id, keys): each document's keys that other documents have too; with
     ``later_only``, those that a document with a smaller id has. The counts
     and minima are formed map-side, and what meets them is an equi-join whose
-    large partitions may be split: a key in very many documents is harmless."""
+    large partitions may be split: a key in very many documents is harmless.
+    ``rows`` is discarded; the counts are written first, so that the files of
+    only one of the two shuffles exist at a time."""
     pairs = rows.select("id", F.explode("keys").alias("key"))
     if later_only:
         known = pairs.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("key", "first")
-        met = pairs.join(known, "key").where("id > first")
     else:
         known = pairs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-        met = pairs.join(known, "key")
-    return met.groupBy("id").agg(F.collect_list("key").alias("keys"))
+    known = materialise(known)
+    release(rows.sparkSession)
+    met = pairs.join(known, "key").where("id > first") if later_only else pairs.join(known, "key")
+    found = materialise(met.groupBy("id").agg(F.collect_list("key").alias("keys")))
+    discard(known)
+    discard(rows)
+    return found
 
 
 def find_spans(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -191,14 +180,13 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     A null id counts as larger than any other; rows that share an id are not
     earlier than each other. Within a document repetition is no duplicate.
     """
+    modest_batches(docs)
     texts = docs.select(_id(id_col).alias("id"), "text")
     keyed = materialise(texts.mapInArrow(_anchor_rows, "id long, keys array<long>").where("size(keys) > 0"))
-    shared = materialise(_shared(keyed, False))
-    discard(keyed)
+    shared = _shared(keyed, False)
     phrases = materialise(texts.join(shared, "id").select("id", "text", "keys").mapInArrow(_phrase_rows, "id long, keys array<long>").where("size(keys) > 0"))
     discard(shared)
-    hits = materialise(_shared(phrases, True))
-    discard(phrases)
+    hits = _shared(phrases, True)
     cut = texts.join(hits, "id", "left").select("id", "text", "keys").mapInArrow(_cut_rows, "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start: long, end: long>>")
     return cut.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
