@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import sys
 import tempfile
 import types
@@ -34,7 +36,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="hunkflow-")
+        path = tempfile.mkdtemp(prefix="hunkflow-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+        path = "file://" + path
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 

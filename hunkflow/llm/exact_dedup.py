@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, free_name, materialise, partitions, table, text_or_empty
+from .common import ASCII_SPACE, BROADCAST_ROWS, free_name, materialise, partitions, table, text_or_empty
 
 SLOTS = 4  # fingerprints in a filter bucket
 KICKS = 200  # moves before an insertion counts as overflow
@@ -250,10 +250,14 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     groups = materialise(fold_copies(rows, rows.count()).where("n > 1"))
     sha, cp, best, best_cp, tied = (free_name(docs, n) for n in ("_sha", "_cp", "_best", "_best_cp", "_tied"))
     best_rows = groups.select(F.col("sha").alias(sha), F.col("doc_id").alias(best), F.col("n_cp").alias(best_cp), F.col("tied").alias(tied))
+    if groups.count() <= BROADCAST_ROWS:  # else texts meet their groups in a shuffle
+        best_rows = F.broadcast(best_rows)
     joined = docs.withColumns({sha: F.unhex(F.sha2(normalised().cast("binary"), 256)), cp: F.char_length(text_or_empty()).cast("long")}).join(best_rows, sha, "left")
     stays = F.col(tied).isNull() | ((F.col(cp) == F.col(best_cp)) & F.col(id_col).cast("long").eqNullSafe(F.col(best)))
     kept = joined.where(stays)
     once = kept.where(F.coalesce(F.col(tied), F.lit(1)) == 1).select(*(F.col(f"`{c}`") for c in docs.columns))
+    if groups.where("tied > 1").isEmpty():
+        return once
     # rows that repeat id and length of the one that stays: any one of them
     again = kept.where(F.col(tied) > 1).dropDuplicates([sha]).select(*(F.col(f"`{c}`") for c in docs.columns))
     return once.unionAll(again)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import modest_batches, table
 
 COLUMNS = ("words", "links", "words_before", "links_before", "words_after", "links_after", "furniture", "article")
 #: Labelled blocks: the columns above, then 1 for article text. Word counts
@@ -71,6 +71,12 @@ LABELLED = [
     (7, 0.0, 90, 0.0, 0, 0.0, 0, 0, 0),
     (6, 0.0, 70, 0.0, 3, 1.0, 0, 0, 0),
     (2, 0.0, 1, 1.0, 1, 1.0, 0, 0, 0),
+    (1, 1.0, 1, 1.0, 60, 0.0, 0, 0, 0),  # menu without a name next to text
+    (3, 1.0, 2, 1.0, 90, 0.0, 0, 0, 0),
+    (2, 1.0, 70, 0.0, 0, 0.0, 0, 0, 0),
+    (4, 1.0, 50, 0.0, 3, 1.0, 0, 0, 0),
+    (9, 1.0, 60, 0.0, 45, 0.0, 0, 0, 0),
+    (14, 0.8, 2, 1.0, 70, 0.0, 0, 0, 0),
     (5, 0.0, 2, 0.5, 4, 0.5, 0, 0, 0),
     (3, 0.0, 0, 0.0, 2, 1.0, 0, 0, 0),
     (10, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0),
@@ -230,6 +236,7 @@ def extract(pages: DataFrame, labelled: list[tuple] | None = None) -> DataFrame:
     script or style takes the rest with it. Repeated rows are extracted each
     by themselves, other columns are ignored.
     """
+    modest_batches(pages)
     tree = grow(LABELLED if labelled is None else labelled)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, free_name, materialise, table
+from .common import BROADCAST_ROWS, free_name, hash_words, materialise, modest_batches, table
 from .graph import components
 
 N, SIMILARITY = 5, 0.8
@@ -39,18 +39,6 @@ _GEN = np.random.default_rng(20_260)
 _POWERS = _GEN.integers(1, 1 << 63, N, np.int64).astype(np.uint64) | np.uint64(1)
 _MULT = (_GEN.integers(1, 1 << 31, ROWS * BANDS, np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)).reshape(-1, 1)
 _ADD = _GEN.integers(0, 1 << 32, ROWS * BANDS, np.int64).astype(np.uint32).reshape(-1, 1)
-CACHE = 500_000
-
-
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_HASHES = _WordHashes()
 
 
 def ngrams(text: str | None) -> np.ndarray:
@@ -59,7 +47,7 @@ def ngrams(text: str | None) -> np.ndarray:
     words = (text or "").encode("utf-8", "replace").split()
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    h = hash_words(words)
     if len(h) < N:
         return np.array([xxhash.xxh64_intdigest(b" ".join(words))], np.uint64)
     m = len(h) - N + 1
@@ -208,6 +196,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame,
     """(rows, classes, linked): rows has ``doc_id``, ``sig``, ``n`` of every
     document; classes has ``sig``, ``class_id``; linked has ``id`` (a class),
     ``links`` and ``root``, for the classes that have links."""
+    modest_batches(docs)
     signed = materialise(docs.select(F.col(id_col).cast("long").alias("doc_id"), "text").mapInArrow(_signer, "doc_id long, sig binary, n long, bands array<long>"))
     some = signed.where("sig IS NOT NULL AND doc_id IS NOT NULL")
     classes = materialise(some.groupBy("sig").agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n"), F.first("bands").alias("bands")))

@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import modest_batches, table, worker_cache
 
 LENGTH = 2048
 END_ID = 1
 GROUP_DOCS = 1024  # expected documents of a group
-CACHE = 400_000  # words whose ids a worker remembers
+CACHE = 120_000  # words whose ids a worker remembers
 SLICE = 256  # documents tokenised together
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: A word of plain letters, then ASCII marks other than the apostrophe: its
@@ -96,14 +96,9 @@ class Words:
         return b"".join(ids)
 
 
-_WORDS: dict[str, Words] = {}
-
-
 def _tokeniser(path: str) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _WORDS:
-            _WORDS[path] = Words(path)
-        words = _WORDS[path]
+        words = worker_cache(f"tokens {path}", lambda: Words(path))
         end = words._bytes([END_ID])
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
@@ -223,6 +218,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = LENGTH,
     each by itself. A document longer than a sequence is cut. An empty table
     gives no rows. ``tokenizer_path`` must exist on every executor.
     """
+    modest_batches(docs)
     groups = max(1, -(-docs.count() // group_docs))
     rows = docs.select(F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.lit(20_480)), F.lit(groups)).alias("grp"), F.col(id_col).cast("long").alias("doc_id"), "text")
     tokens = rows.mapInArrow(_tokeniser(tokenizer_path), "grp long, doc_id long, ids binary")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import modest_batches, table
 from .quality_rules import measure
 
 TRAIN_ROWS = 20_000
@@ -152,6 +152,7 @@ def _featured(docs: DataFrame, y: str) -> DataFrame:
             rows = [features(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], ["y", "x"])
 
+    modest_batches(docs)
     return docs.select(F.col(y).cast("int").alias("y"), "text").mapInArrow(run, "y int, x array<double>")
 
 
@@ -180,6 +181,7 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame
                 score = model.score(np.array([features(t.as_py()) for t in part.column(2)]))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(score)], ["doc_id", "held_out", "score"])
 
+    modest_batches(docs)
     scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, free_name, join_small, materialise, table
+from .common import WORD, free_name, join_small, materialise, modest_batches, table
 
 ACCURACY = 0.01  # relative error of a sketch's quantiles
 GAMMA = (1 + ACCURACY) / (1 - ACCURACY)
@@ -153,6 +153,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     language or source forms a group. A value equal to its threshold passes.
     Repeated rows are judged separately; an empty table gives no rows.
     """
+    modest_batches(docs)
     # the measure runs once: what is written is a few numbers per document
     measured = docs.select(F.col(id_col).alias("id"), *(c.alias(n) for n, c in _keys(docs).items()), _measured("text").alias("f"))
     measured = materialise(measured.select("*", *(_per_mille(m, "f").alias(m) for m in MEASURES), _base_failed("f").alias("base_failed")))
@@ -163,6 +164,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def filter_documents(docs: DataFrame) -> DataFrame:
     """The documents that pass, with all their columns. Texts are measured a
     second time here, which costs less than moving them to join a verdict."""
+    modest_batches(docs)
     f, key = free_name(docs, "_measured"), {n: free_name(docs, f"_{n}") for n in ("lang", "source")}
     measured = docs.select(*(c.alias(n) for n, c in _keys(docs).items()), _measured("text").alias("f"))
     counts = materialise(sketches(measured.select("*", *(_per_mille(m, "f").alias(m) for m in MEASURES))))
