@@ -69,10 +69,10 @@ BOTH = {
     "ag_multiplicity": "SELECT n, count(*) AS groups FROM (SELECT text, count(*) AS n FROM documents GROUP BY text) t GROUP BY n",
     "ag_confusion": f"WITH {CONFUSION} SELECT detector, tp, fp, tn, fn FROM s",
     "ag_precision_recall": f"WITH {CONFUSION} SELECT detector, floor(p * 1000 + 0.5) / 10 AS precision_pct, floor(c * 1000 + 0.5) / 10 AS recall_pct, floor(f * 1000 + 0.5) / 10 AS f1_pct FROM s",
-    "ag_accuracy": f"WITH {JUDGED} SELECT count(*) AS n, floor(1000.0 * count(CASE WHEN (by_symbol OR by_bar) = actual THEN 1 END) / count(*) + 0.5) / 10 AS accuracy_pct FROM j",
+    "ag_accuracy": f"WITH {JUDGED} SELECT count(*) AS n, floor(1e3 * count(CASE WHEN (by_symbol OR by_bar) = actual THEN 1 END) / count(*) + 0.5) / 10 AS accuracy_pct FROM j",
     "ag_histogram": "SELECT bucket, count(*) AS n FROM (SELECT CASE WHEN v <= 0 THEN '0' WHEN v <= 20 THEN '20' WHEN v <= 40 THEN '40' WHEN v <= 60 THEN '60' WHEN v <= 80 THEN '80' ELSE '100' END AS bucket FROM (SELECT event_id % 101 AS v FROM events) a) b GROUP BY bucket",
     "ag_frequency": "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY event_type",
-    "ag_pass_rate": f"WITH {JUDGED} SELECT source, count(*) AS total, count(CASE WHEN by_symbol = actual THEN 1 END) AS passed, floor(100.0 * count(CASE WHEN by_symbol = actual THEN 1 END) / count(*) + 0.5) AS accuracy FROM j GROUP BY source",
+    "ag_pass_rate": f"WITH {JUDGED} SELECT source, count(*) AS total, count(CASE WHEN by_symbol = actual THEN 1 END) AS passed, floor(1e2 * count(CASE WHEN by_symbol = actual THEN 1 END) / count(*) + 0.5) AS accuracy FROM j GROUP BY source",
     "ag_detector_breakdown": f"WITH {FINDINGS} SELECT pattern, confidence, count(*) AS n FROM f GROUP BY pattern, confidence",
     "ag_total": "SELECT count(*) AS total FROM orders WHERE o_custkey < 100",
     "ag_max_id": "SELECT max(o_orderkey) AS max_id, max(o_custkey) AS max_cust FROM orders",
@@ -125,23 +125,23 @@ BOTH = {
     "dml_overwrite_labels": "SELECT l.doc_id, coalesce(m.q, l.quality) AS quality FROM labels l LEFT JOIN (SELECT doc_id, 0 AS q FROM documents WHERE text LIKE '%###%') m ON l.doc_id = m.doc_id",
     # evaluation
     "ev_suggested_weight": f"WITH {CONFUSION} SELECT detector, CASE WHEN f = 0 THEN 0 ELSE least(15, greatest(0, floor(f * 20 + 0.5))) END AS weight FROM s",
-    "ev_distribute": f"WITH {CONFUSION}, w AS (SELECT detector, CASE WHEN f = 0 THEN 0 ELSE least(15, greatest(0, floor(f * 20 + 0.5))) END AS w FROM s) SELECT detector, floor(w * 0.6 + 0.5) AS high, floor(w * 0.3 + 0.5) AS medium, greatest(0, w - floor(w * 0.6 + 0.5) - floor(w * 0.3 + 0.5)) AS low FROM w",
-    "ev_reliability": f"WITH {CONFUSION}, k AS (SELECT detector, p * least(1.0, least(tp + fn, fp + tn) / 50.0) AS r FROM s) SELECT detector, greatest(2, floor(20 * r + 0.5)) AS high, greatest(1, floor(10 * r + 0.5)) AS medium, greatest(0, floor(3 * r + 0.5)) AS low FROM k",
+    "ev_distribute": f"WITH {CONFUSION}, w AS (SELECT detector, CASE WHEN f = 0 THEN 0 ELSE least(15, greatest(0, floor(f * 20 + 0.5))) END AS w FROM s) SELECT detector, floor(w * 6e-1 + 0.5) AS high, floor(w * 3e-1 + 0.5) AS medium, greatest(0, w - floor(w * 6e-1 + 0.5) - floor(w * 3e-1 + 0.5)) AS low FROM w",
+    "ev_reliability": f"WITH {CONFUSION}, k AS (SELECT detector, p * least(1e0, least(tp + fn, fp + tn) / 5e1) AS r FROM s) SELECT detector, greatest(2, floor(20 * r + 0.5)) AS high, greatest(1, floor(10 * r + 0.5)) AS medium, greatest(0, floor(3 * r + 0.5)) AS low FROM k",
     "ev_regression_gate": f"WITH {CONFUSION} SELECT detector, floor(p * 1000 + 0.5) / 10 AS now, floor(p * 1000 + 0.5) / 10 - 60 AS delta, floor(p * 1000 + 0.5) / 10 < 55 AS failed FROM s",
     "ev_auto_label": "SELECT doc_id, CASE WHEN n_chars % 101 >= 80 THEN 'LEGIT' WHEN n_chars % 101 < 50 THEN 'DECEPTIVE' ELSE 'AMBIGUOUS' END AS label FROM documents",
     "ev_label_import": "SELECT d.doc_id, (SELECT max(doc_id) FROM labels) + row_number() OVER (ORDER BY d.doc_id) AS new_id FROM documents d LEFT ANTI JOIN labels l ON d.doc_id = l.doc_id WHERE d.lang IN ('en', 'de')",
     "ev_audit": "SELECT quality, toxic, count(*) AS n FROM labels GROUP BY quality, toxic",
     "ev_false_positives": f"WITH {JUDGED} SELECT source, CASE WHEN by_symbol THEN 'symbol' WHEN by_bar THEN 'bar' ELSE 'length' END AS reason, count(*) AS n FROM j WHERE NOT actual AND (by_symbol OR by_bar OR by_length) GROUP BY 1, 2",
     "ev_size_stats": "SELECT count(*) AS n, floor(avg(n_chars)) AS mean_chars, max(n_chars) AS max_chars, count(CASE WHEN n_chars > 50000 THEN 1 END) AS over_50k FROM documents",
-    "ev_benchmark_run": f"WITH {JUDGED} SELECT count(*) AS total, count(CASE WHEN abs(d) <= 20 THEN 1 END) AS passed, floor(100.0 * count(CASE WHEN abs(d) <= 20 THEN 1 END) / count(*) + 0.5) AS accuracy FROM (SELECT CASE WHEN actual THEN 40 ELSE 100 END - CASE WHEN by_symbol OR by_bar THEN 45 ELSE 95 END AS d FROM j) t",
+    "ev_benchmark_run": f"WITH {JUDGED} SELECT count(*) AS total, count(CASE WHEN abs(d) <= 20 THEN 1 END) AS passed, floor(1e2 * count(CASE WHEN abs(d) <= 20 THEN 1 END) / count(*) + 0.5) AS accuracy FROM (SELECT CASE WHEN actual THEN 40 ELSE 100 END - CASE WHEN by_symbol OR by_bar THEN 45 ELSE 95 END AS d FROM j) t",
     # text functions
     "fn_url_parts": "SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1) AS path FROM pages",
     "fn_normalise_name": "SELECT page_id, lower(regexp_replace(url, '[^a-zA-Z0-9_-]', '_')) AS name FROM pages",
     "fn_hash": "SELECT doc_id, substr(md5(text), 1, 16) AS short_md5 FROM documents",
     "fn_pad_repeat": "SELECT event_type, rpad(event_type, 12, '.') AS padded, repeat('#', CAST(floor(count(*) / 100) AS INT)) AS bar FROM events GROUP BY event_type",
-    "fn_days_until": "SELECT o_orderkey, CAST(ceil((1000 - (o_orderkey % 997)) / 30.0) AS BIGINT) AS periods FROM orders",
+    "fn_days_until": "SELECT o_orderkey, CAST(ceil((1000 - (o_orderkey % 997)) / 3e1) AS BIGINT) AS periods FROM orders",
     "fn_round": "SELECT l_orderkey, l_linenumber, l_partkey, floor(l_quantity * l_discount + 0.5) AS rounded FROM lineitem",
-    "fn_cost": "SELECT source, sum(n_chars) AS chars, round(sum(n_chars) / 4.0 / 1000000 * CASE WHEN source LIKE 'src1%' THEN 0.13 ELSE 0.02 END, 6) AS cost FROM documents GROUP BY source",
+    "fn_cost": "SELECT source, sum(n_chars) AS chars, round(sum(n_chars) / 4e0 / 1000000 * CASE WHEN source LIKE 'src1%' THEN 13e-2 ELSE 2e-2 END, 6) AS cost FROM documents GROUP BY source",
     "flt_keywords": "SELECT doc_id FROM documents WHERE lower(text) LIKE '%license%' AND length(text) BETWEEN 20 AND 500000",
 }
 
@@ -239,8 +239,8 @@ PAIRS = {
         "SELECT s, count(*) AS n FROM (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(regexp_extract_all(text, '([A-Z][a-z]{3,}) ', 1)) AS s FROM documents) a) b GROUP BY s ORDER BY n DESC, s LIMIT 50",
     ),
     "ev_holdout_by_source": (
-        f"WITH {JUDGED}, g AS (SELECT source, row_number() OVER (ORDER BY md5(concat(source, ':42')), source) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT source FROM j) t) SELECT CASE WHEN k <= ceil(0.7 * n) THEN 'train' ELSE 'holdout' END AS part, count(*) AS n, floor(1000.0 * count(CASE WHEN (by_symbol OR by_bar) = actual THEN 1 END) / count(*) + 0.5) / 10 AS accuracy FROM j JOIN g ON j.source = g.source GROUP BY 1",
-        f"WITH {JUDGED}, g AS (SELECT source, row_number() OVER (ORDER BY md5(source || ':42'), source) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT source FROM j) t) SELECT CASE WHEN k <= ceil(0.7 * n) THEN 'train' ELSE 'holdout' END AS part, count(*) AS n, floor(1000.0 * count(CASE WHEN (by_symbol OR by_bar) = actual THEN 1 END) / count(*) + 0.5) / 10 AS accuracy FROM j JOIN g ON j.source = g.source GROUP BY 1",
+        f"WITH {JUDGED}, g AS (SELECT source, row_number() OVER (ORDER BY md5(concat(source, ':42')), source) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT source FROM j) t) SELECT CASE WHEN k <= ceil(7e-1 * n) THEN 'train' ELSE 'holdout' END AS part, count(*) AS n, floor(1e3 * count(CASE WHEN (by_symbol OR by_bar) = actual THEN 1 END) / count(*) + 0.5) / 10 AS accuracy FROM j JOIN g ON j.source = g.source GROUP BY 1",
+        f"WITH {JUDGED}, g AS (SELECT source, row_number() OVER (ORDER BY md5(source || ':42'), source) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT source FROM j) t) SELECT CASE WHEN k <= ceil(7e-1 * n) THEN 'train' ELSE 'holdout' END AS part, count(*) AS n, floor(1e3 * count(CASE WHEN (by_symbol OR by_bar) = actual THEN 1 END) / count(*) + 0.5) / 10 AS accuracy FROM j JOIN g ON j.source = g.source GROUP BY 1",
     ),
     "ev_label_queue": (
         f"WITH {FINDINGS}, c AS (SELECT scan_id, pattern, count(*) AS n FROM f GROUP BY scan_id, pattern) SELECT scan_id, array_join(transform(array_sort(collect_list(struct(-n AS m, pattern, n))), x -> concat(x.pattern, ':', x.n)), ' ') AS summary FROM c GROUP BY scan_id",
