@@ -26,12 +26,13 @@ from .common import modest_batches, table, worker_cache
 LENGTH = 2048
 END_ID = 1
 GROUP_DOCS = 1024  # expected documents of a group
-CACHE = 120_000  # words whose ids a worker remembers
+CACHE = 150_000  # words in a generation of what a worker remembers
 SLICE = 256  # documents tokenised together
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: A word of plain letters, then ASCII marks other than the apostrophe: its
-#: ids are those of the lower-case letters followed by those of the marks.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
+#: What the tokenizer cuts a lower-cased text into, for texts of these characters
+#: only: ASCII other than control characters, and Latin-1 letters.
+_SIMPLE = re.compile(r"[ \t\n\x0b\x0c\r!-~À-ÖØ-öø-ÿ]*")
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 
 
 def _byte_letters() -> list[str]:
@@ -42,13 +43,35 @@ def _byte_letters() -> list[str]:
     return [chr(b if b in printed else next(rest)) for b in range(256)]
 
 
+class Recent:
+    """A bounded memory: when the new generation is full it becomes the old
+    one, and what is asked for again moves on to the next."""
+
+    def __init__(self, size: int):
+        self.size, self.new, self.old = size, {}, {}
+
+    def get(self, key):
+        found = self.new.get(key)
+        if found is None:
+            found = self.old.get(key)
+            if found is not None:
+                self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self.new) >= self.size:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
+
+
 class Words:
-    """Ids of white-space separated words, remembered per worker process.
+    """Ids of texts from remembered ids of their pieces, per worker process.
 
-    The tokenizer never joins what white space separates, so a text's ids are
-    its words' ids in a row. A new word of plain letters and marks is given to
-    the tokenizer's model directly, lower-cased and byte by byte as the
-    pipeline before the model would; any other goes through the whole pipeline.
+    The tokenizer lower-cases a text and cuts it into pieces that it encodes
+    each by itself. Texts of common characters are cut here in the same way,
+    and a new piece goes to the tokenizer's model, spelled byte by byte. In
+    other texts (or with a special token's string) the unit is what stands
+    between ASCII white space, and the whole tokenizer encodes a new one.
     """
 
     def __init__(self, path: str):
@@ -60,39 +83,33 @@ class Words:
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         letters = _byte_letters()
         self.spell = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
+        self.pieces, self.words = Recent(CACHE), Recent(CACHE // 4)
 
     def _bytes(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
-    def _part(self, part: str) -> bytes:
-        known = self.parts.get(part)
-        if known is None:
-            known = self.parts[part] = self._bytes([t.id for t in self.tokenizer.model.tokenize(part if part.isascii() else part.translate(self.spell))])
-        return known
+    def _piece(self, piece: str) -> bytes:
+        return self._bytes([t.id for t in self.tokenizer.model.tokenize(piece if piece.isascii() else piece.translate(self.spell))])
 
-    def _learn(self, word: bytes) -> bytes:
-        m = _PLAIN.fullmatch(s := word.decode("utf-8", "replace"))
-        if m:
-            ids = self._part(m[1].lower()) + self._part(m[2])
-        else:
-            ids = self._bytes(self.tokenizer.encode(s, add_special_tokens=False).ids)
-        self.words[word] = ids
-        return ids
+    def _word(self, word: bytes) -> bytes:
+        return self._bytes(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids)
 
     def encode(self, text: str | None) -> bytes:
-        if len(self.words) > CACHE:
-            self.words = {}
-        if len(self.parts) > CACHE:
-            self.parts = {"": b""}
-        words = (text or "").encode("utf-8", "replace").split()
-        ids = list(map(self.words.get, words))
+        text = text or ""
+        if _SIMPLE.fullmatch(text) and "<|" not in text:
+            units, known, learn = _PIECES.findall(text.lower()), self.pieces, self._piece
+        else:
+            units, known, learn = text.encode("utf-8", "replace").split(), self.words, self._word
+        ids = list(map(known.new.get, units))
         if None in ids:
             at = -1
             for _ in range(ids.count(None)):
                 at = ids.index(None, at + 1)
-                ids[at] = self.words.get(words[at]) or self._learn(words[at])
+                found = known.get(units[at])
+                if found is None:
+                    found = learn(units[at])
+                    known.put(units[at], found)
+                ids[at] = found
         return b"".join(ids)
 
 
