@@ -1,13 +1,15 @@
-"""Suggested patches for findings: ordered templates per kind of finding."""
+"""Suggested patches for findings: ordered rules per pattern type and language."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import rules as R
 from ..functions import text as T
 
-#: (kind of finding, what to find, what to put, risk); the first that matches wins.
+#: Our own templates, tried where no rule below applies: (kind of finding, what
+#: to find, what to put, risk); the first that matches wins.
 TEMPLATES = [
     ("skip", r"\bdescribe\.skip\s*\(", "describe(", "moderate"),
     ("skip", r"\b(it|test)\.skip\s*\(", "$1(", "safe"),
@@ -27,28 +29,117 @@ TEMPLATES = [
     ("mock_0", r"^\s*(jest|vi)\.(mock|doMock)\s*\(.*$", "", "risky"),
 ]
 
+_CATCH = r"(catch\s*(?:\([^)]*\))?\s*\{)"
+_JS_LOG = "\n    console.error('[Mantiz] Caught error:', error);\n    "
+_HANDLE = "TODO: Add proper error handling"
 
-def _apply(kind: Column, code: Column) -> tuple[Column, Column]:
-    fixed = risk = None
-    for k, pattern, put, r in TEMPLATES:
-        cond = (kind == k) & T.matches(code, pattern)
-        value = F.regexp_replace(code, F.lit(pattern), F.lit(put))
-        fixed = F.when(cond, value) if fixed is None else fixed.when(cond, value)
-        risk = F.when(cond, r) if risk is None else risk.when(cond, r)
-    return fixed, risk
+#: Matchers that no framework has, and what they stand for; the first found wins.
+MATCHER_MAP = {
+    "toExist": "toBeDefined", "toNotExist": "toBeNull", "toNotBe": "not.toBe", "toNotEqual": "not.toEqual", "toNotMatch": "not.toMatch", "toHave": "toHaveProperty",
+    "toNotHave": "not.toHaveProperty", "toHas": "toHaveProperty", "toNotHas": "not.toHaveProperty", "toBePresent": "toBeDefined", "toNotBePresent": "toBeNull",
+    "toBeValid": "toBeTruthy", "toBeInvalid": "toBeFalsy", "toIncludeAll": "toContain", "toExclude": "not.toContain", "toExcludeAll": "not.toContain",
+}
+
+
+def _comment(lang: Column, text: str) -> Column:
+    """``text`` as a comment in the language of the file, or of JavaScript."""
+    start = F.coalesce(T.by_language(lang, R.COMMENT_START, lambda s: F.lit(s[0])), F.lit("//"))
+    return F.concat(start, F.lit(" " + text))
+
+
+def _swap(code: Column, old: Column, new: Column) -> Column:
+    """``code`` with the first place of the text ``old`` replaced."""
+    at = F.position(old, code)
+    return F.concat(F.substr(code, F.lit(1), at - 1), new, F.substr(code, at + F.char_length(old)))
+
+
+def _rules(code: Column, lang: Column) -> list[tuple[str, str | None, Column, Column, str]]:
+    """(pattern type, language or None for any, condition, fixed code, risk)."""
+    out = []
+
+    def rule(kind: str, only: str | None, pattern: str, fixed, risk: str) -> None:
+        group = lambda n: F.regexp_extract(code, pattern, n)
+        out.append((kind, only, T.matches(code, pattern), fixed(group), risk))
+
+    def cut(pattern: str, put: str):
+        return lambda _: _swap(code, F.regexp_extract(code, f"({pattern})", 1), F.lit(put))
+
+    def unprefixed(n: int):
+        return lambda group: _swap(code, group(n), F.substr(group(n), F.lit(2)))
+
+    def noted(mark: str, note: str):
+        return lambda _: F.concat(F.lit(mark + " "), T.trim(code), F.lit(f"  {mark} TODO: {note}"))
+
+    def above(note: str, mark: str = "// "):
+        return lambda group: F.concat(_comment(lang, "TODO: " + note), F.lit("\n"), group(1), F.lit(mark), T.trim(code))
+
+    skip = "disabled_assertion"
+    rule(skip, None, r"(it|test|describe)\.skip\s*\(", cut(r"\.skip\s*\(", "("), "safe")
+    rule(skip, None, r"(xit|xtest|xdescribe)\s*\(", unprefixed(1), "safe")
+    rule(skip, None, r"(fit|fdescribe)\s*\(", unprefixed(1), "safe")
+    rule(skip, None, r"if\s*\(\s*false\s*\)\s*\{", cut(r"if\s*\(\s*false\s*\)\s*\{\s*\n?", ""), "moderate")
+    rule(skip, None, r"//\s*(assert|expect|should)", cut(r"//\s*", ""), "moderate")
+    rule(skip, "python", r"^\s*@pytest\.mark\.skip\s*$", noted("#", "Remove skip or add proper skip condition"), "moderate")
+    rule(skip, "python", r"^\s*@pytest\.mark\.skipif\s*\(", noted("#", "Remove conditional skip or justify properly"), "moderate")
+    rule(skip, "python", r"^\s*@unittest\.(?:skip|skipIf)\s*\(", noted("#", "Remove skip or justify"), "moderate")
+    rule(skip, "python", r"self\.skipTest\s*\(", noted("#", "Remove skipTest call"), "moderate")
+    rule(skip, "python", r"if\s+False\s*:", lambda _: F.concat(_comment(lang, "TODO: Remove if False: wrapper — code never executes"), F.lit("\n"), code), "moderate")
+    rule(skip, "go", r"(\s*)t\.(?:Skip|Skipf|SkipNow)\s*\(", above("Remove t.Skip() — test should verify behavior"), "moderate")
+    rule(skip, "java", r"^\s*@(?:Disabled|Ignore)\b", noted("//", "Remove @Disabled or add proper condition"), "moderate")
+    rule(skip, "java", r"(\s*)(assumeTrue|assumeFalse)\s*\(", above("Remove assumption — test may skip silently"), "moderate")
+    rule(skip, "ruby", r"(xit|xdescribe|xcontext|xspecify)\b", unprefixed(1), "safe")
+    rule(skip, "ruby", r"(\s*)pending\b", above("Remove pending — test should verify behavior", ""), "moderate")
+    rule(skip, "rust", r"(?i)^\s*#\[ignore\]", noted("//", "Remove #[ignore] or add conditional compilation"), "moderate")
+    rule(skip, "php", r"(\s*)(?:markTestSkipped|markTestIncomplete)\s*\(", above("Remove skip — test should verify behavior"), "moderate")
+
+    catch = "silent_catch_and_pass"
+    handle, lit = _comment(lang, _HANDLE), F.lit
+    rule(catch, None, _CATCH + r"\s*(\}\s*$)", lambda g: F.concat(g(1), lit(_JS_LOG), handle, lit("\n  "), g(2)), "moderate")
+    rule(catch, None, _CATCH + r"\s*//\s*(TODO|FIXME).*(\})", lambda g: _swap(code, g(0), F.concat(g(1), lit(_JS_LOG), handle, lit("\n  "), g(3))), "moderate")
+    rule(catch, None, _CATCH + r"\s*console\.\w+\s*\([^)]*\)\s*;?\s*(\})", lambda g: F.concat(g(1), lit(_JS_LOG + "throw error; "), _comment(lang, "Re-throw to fail the test"), lit("\n  "), g(2)), "risky")
+    rule(catch, "python", r"(except\s*\w*\s*:)\s*pass\s*$", lambda g: F.concat(g(1), lit("\n    "), handle, lit("\n    print(f'[Mantiz] Caught error: {e}')\n    raise  # Re-raise to ensure test fails")), "risky")
+    rule(catch, "go", r"(if\s+err\s*!=\s*nil\s*\{\s*)return\s*(nil|0|\"\")\s*(\})", lambda g: F.concat(g(1), lit("\n\t\t"), handle, lit('\n\t\tlog.Printf("[Mantiz] Caught error: %v", err)\n\t\treturn fmt.Errorf("wrapping: %w", err)\n\t'), g(3)), "risky")
+    rule(catch, "java", r"(catch\s*\([^)]*\)\s*\{)\s*(\}\s*$)", lambda g: F.concat(g(1), lit("\n        "), handle, lit('\n        System.err.println("[Mantiz] Caught error: " + e.getMessage());\n        throw e;  // Re-throw to fail the test\n    '), g(2)), "risky")
+    rule(catch, "ruby", r"(rescue\s+\w*)\s*$", lambda g: F.concat(g(1), lit("\n  "), handle, lit('\n  puts "[Mantiz] Caught error: #{e.message}"\n  raise  # Re-raise to fail the test')), "risky")
+
+    for name, valid in MATCHER_MAP.items():
+        out.append(("hallucinated_assertion", None, code.contains(f".{name}("), F.replace(code, lit(f".{name}("), lit(f".{valid}(")), "safe"))
+
+    mock = "mock_to_avoid_failure"
+    keep = lambda note: lambda _: F.concat(lit(note + "\n"), code)
+    rule(mock, None, r"(jest|vi)\.mock\s*\(", lambda _: F.concat(_comment(lang, "TODO: Add real-path test for this module"), lit("\n// "), code), "moderate")
+    rule(mock, None, r"@(?:mock\.)?patch\s*\(", keep("# TODO: Add real-path test alongside this mock"), "moderate")
+    rule(mock, None, r"Mockito\.mock\s*\(|@Mock\b", keep("// TODO: Add real-path test alongside mock"), "moderate")
+    rule(mock, None, r"\.On\s*\(.*\)\.Return\s*\(", keep("// TODO: Add real-path test alongside mock"), "moderate")
+    rule(mock, None, r"allow\(.*\)\.to\s+receive", keep("# TODO: Add real-path test alongside mock"), "moderate")
+    return out
+
+
+def _apply(pattern_type: Column, kind: Column, code: Column, lang: Column) -> tuple[Column, list[Column], list[str]]:
+    """Number of the first rule that applies or null, and each rule's fixed
+    code and risk."""
+    cases = [((pattern_type == p) & cond if only is None else (pattern_type == p) & (lang == only) & cond, fixed, risk) for p, only, cond, fixed, risk in _rules(code, lang)]
+    cases += [((kind == k) & T.matches(code, p), F.regexp_replace(code, F.lit(p), F.lit(put)), r) for k, p, put, r in TEMPLATES]
+    return F.coalesce(*(F.when(cond, F.lit(n)) for n, (cond, _, _) in enumerate(cases))), [c[1] for c in cases], [c[2] for c in cases]
 
 
 def suggest(findings: DataFrame) -> DataFrame:
-    """One patch per (scan, path, line, pattern): original, fixed, risk. A
-    finding without a template has none; the first finding of a place counts."""
-    fixed, risk = _apply(F.col("kind"), F.col("evidence"))
-    first = findings.groupBy("scan_id", "path", "line_start", "pattern_type").agg(F.min_by(F.struct("kind", "evidence"), "seq").alias("f")).select("scan_id", "path", "line_start", "pattern_type", "f.*")
-    return first.select("scan_id", "path", "line_start", "pattern_type", F.col("evidence").alias("original"), fixed.alias("fixed"), risk.alias("risk")).where("fixed IS NOT NULL")
+    """One patch per (scan, path, line, pattern): original, fixed, risk, and
+    ``seq``, the order of the findings. A finding that no rule fits has none;
+    the first finding of a place counts."""
+    first = findings.groupBy("scan_id", "path", "line_start", "pattern_type").agg(F.min_by(F.struct("kind", "evidence", "seq"), "seq").alias("f")).select("scan_id", "path", "line_start", "pattern_type", "f.*")
+    which, fixed, risks = _apply(F.col("pattern_type"), F.col("kind"), F.col("evidence"), F.col("lang"))
+    fixes = first.withColumn("lang", T.language(F.col("path"))).withColumn("which", which).where("which IS NOT NULL")
+    code = F.coalesce(*(F.when(F.col("which") == n, c) for n, c in enumerate(fixed)))
+    risk = F.element_at(F.array(*map(F.lit, risks)), F.col("which") + 1)
+    return fixes.select("scan_id", "path", "line_start", "pattern_type", F.col("evidence").alias("original"), code.alias("fixed"), risk.alias("risk"), "seq")
 
 
 def apply_to_diff(scans: DataFrame, patches: DataFrame) -> DataFrame:
-    """(scan_id, patched): every patch replaced in the diff's text, from the
-    last line to the first; each replaces all places of its original."""
-    ordered = patches.where("risk <> 'risky' AND original <> ''").groupBy("scan_id").agg(F.reverse(F.array_sort(F.collect_list(F.struct("line_start", "original", "fixed")))).alias("p"))
-    joined = scans.join(ordered, "scan_id")
-    return joined.select("scan_id", F.aggregate("p", F.col("raw_diff"), lambda a, x: F.replace(a, x["original"], x["fixed"])).alias("patched"))
+    """(scan_id, patched) of every change set: each patch, of any risk, replaces
+    all places of its original in the diff's text, from the last line to the
+    first, and on one line in the order of the findings."""
+    ordered = patches.where("original <> ''").groupBy("scan_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("line_start")).alias("at"), "seq", "original", "fixed"))).alias("p"))
+    joined = scans.join(ordered, "scan_id", "left")
+    fixed = F.aggregate("p", F.col("raw_diff"), lambda a, x: F.replace(a, x["original"], x["fixed"]))
+    return joined.select("scan_id", F.when(F.col("p").isNull(), F.col("raw_diff")).otherwise(fixed).alias("patched"))

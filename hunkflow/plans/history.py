@@ -41,7 +41,7 @@ def _findings(spark, sf_dir):
 
 
 def hl_patches(spark, sf_dir):
-    return patches.suggest(_findings(spark, sf_dir)[0])
+    return patches.suggest(_findings(spark, sf_dir)[0]).drop("seq")
 
 
 def hl_patched_diffs(spark, sf_dir):

@@ -123,6 +123,40 @@ def test_patches(spark):
     assert "+it('x', fn)\n+expect(x).toBe(1)" in patches.apply_to_diff(s, fixes).first().patched
 
 
+@pytest.mark.parametrize(
+    ("path", "pattern", "code", "fixed", "risk"),
+    [
+        ("tests/test_a.py", "disabled_assertion", "@pytest.mark.skip", "# @pytest.mark.skip  # TODO: Remove skip or add proper skip condition", "moderate"),
+        ("a_test.go", "disabled_assertion", "t.Skip('slow')", "// TODO: Remove t.Skip() — test should verify behavior\n// t.Skip('slow')", "moderate"),
+        ("ATest.java", "disabled_assertion", "@Disabled", "// @Disabled  // TODO: Remove @Disabled or add proper condition", "moderate"),
+        ("a_spec.rb", "disabled_assertion", "pending 'x'", "# TODO: Remove pending — test should verify behavior\npending 'x'", "moderate"),
+        ("a_spec.rb", "disabled_assertion", "xcontext 'x'", "context 'x'", "safe"),
+        ("a.rs", "disabled_assertion", "#[ignore]", "// #[ignore]  // TODO: Remove #[ignore] or add conditional compilation", "moderate"),
+        ("ATest.php", "disabled_assertion", "$this->markTestSkipped('x');", "// TODO: Remove skip — test should verify behavior\n// $this->markTestSkipped('x');", "moderate"),
+        ("a.test.ts", "disabled_assertion", "exit(); xit('a', f)", "eit(); xit('a', f)", "safe"),  # as in the reference: the first place of the text
+        ("a.test.ts", "disabled_assertion", "if (false) { x()", "x()", "moderate"),
+        ("a.py", "silent_catch_and_pass", "except ValueError: pass", "except ValueError:\n    # TODO: Add proper error handling\n    print(f'[Mantiz] Caught error: {e}')\n    raise  # Re-raise to ensure test fails", "risky"),
+        ("a.ts", "silent_catch_and_pass", "} catch (e) { // TODO later }", "} catch (e) {\n    console.error('[Mantiz] Caught error:', error);\n    // TODO: Add proper error handling\n  }", "moderate"),
+        ("a.go", "silent_catch_and_pass", "if err != nil { return nil }", 'if err != nil { \n\t\t// TODO: Add proper error handling\n\t\tlog.Printf("[Mantiz] Caught error: %v", err)\n\t\treturn fmt.Errorf("wrapping: %w", err)\n\t}', "risky"),
+        ("a.rb", "silent_catch_and_pass", "rescue Error", 'rescue Error\n  # TODO: Add proper error handling\n  puts "[Mantiz] Caught error: #{e.message}"\n  raise  # Re-raise to fail the test', "risky"),
+        ("a.test.ts", "hallucinated_assertion", "expect(x).toNotExist()", "expect(x).toBeNull()", "safe"),
+        ("a.test.ts", "hallucinated_assertion", "expect(x).toExcludeAll(y)", "expect(x).not.toContain(y)", "safe"),
+        ("ATest.java", "mock_to_avoid_failure", "@Mock Cart cart;", "// TODO: Add real-path test alongside mock\n@Mock Cart cart;", "moderate"),
+        ("a.test.ts", "mock_to_avoid_failure", "jest.mock('./db')", "// TODO: Add real-path test for this module\n// jest.mock('./db')", "moderate"),
+    ],
+)
+def test_patches_of_all_languages(spark, path, pattern, code, fixed, risk):
+    found = spark.createDataFrame([(1, path, 3, pattern, "any", code, 1)], "scan_id long, path string, line_start int, pattern_type string, kind string, evidence string, seq int")
+    assert [(r.fixed, r.risk) for r in patches.suggest(found).collect()] == [(fixed, risk)]
+
+
+def test_all_patches_are_applied(spark):
+    s = scans(spark, diff("a.ts", "+catch (e) { console.log(e) }"), diff("a.ts", "+x"))
+    found = detectors.all_findings(diffs.parse_lines(s), s)
+    patched = {r.scan_id: r.patched for r in patches.apply_to_diff(s, patches.suggest(found)).collect()}
+    assert "throw error;" in patched[0] and patched[1] == diff("a.ts", "+x")
+
+
 def test_large_hunks(spark):
     lines = ["+it('a', () => {"] + ["+  step()"] * 60 + ["+})"]
     rows = susceptibility.susceptible_hunks(diffs.parse_lines(scans(spark, diff("a.test.ts", *lines), diff("a.test.ts", "+x")))).collect()
