@@ -1,7 +1,8 @@
 """N-gram Jaccard self-join by MinHash banding.
 
 Documents with the same set of word n-grams are one class; one document
-stands for it. Classes meet in band buckets: ``BANDS`` and ``ROWS`` are the
+stands for it. A class is a node of the graph with a number of its own, so rows
+that share an id but not their text are told apart. Classes meet in band buckets: ``BANDS`` and ``ROWS`` are the
 fewest hashes that find a pair at the similarity threshold with the target
 recall. Buckets are linked as stars, their components say who may be similar
 to whom, and every pair within a component that can reach the threshold is
@@ -69,6 +70,10 @@ def band_hashes(grams: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(raw[4 * ROWS * b : 4 * ROWS * (b + 1)], seed=b) - (1 << 63) for b in range(BANDS)]
 
 
+def signature(grams: np.ndarray) -> bytes | None:
+    return xxhash.xxh3_128_digest(grams.tobytes()) if len(grams) else None
+
+
 def _signer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
@@ -77,22 +82,29 @@ def _signer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for t in part.column(1):
                 g = ngrams(t.as_py())
                 sizes.append(len(g))
-                sigs.append(xxhash.xxh3_128_digest(g.tobytes()) if len(g) else None)
+                sigs.append(signature(g))
                 bands.append(band_hashes(g) if len(g) else [])
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "sig", "n", "bands"])
 
 
 def _setter(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of documents that stand for a class become their n-grams. A text
-    with the id but not the signature of the class is another one."""
+    """(doc_id, text) becomes (doc_id, sig, grams). Of rows that repeat both id
+    and n-grams a task returns one."""
+    seen = set()
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            grams = [ngrams(t.as_py()) for t in part.column(4)]
-            keep = [i for i, (g, s) in enumerate(zip(grams, part.column(3).to_pylist(), strict=True)) if len(g) and xxhash.xxh3_128_digest(g.tobytes()) == s]
+            keep, sigs, sets = [], [], []
+            for i, (id_, t) in enumerate(zip(part.column(0).to_pylist(), part.column(1), strict=True)):
+                g = ngrams(t.as_py())
+                sig = signature(g)
+                if sig is not None and (id_, sig) not in seen:
+                    seen.add((id_, sig))
+                    keep.append(i)
+                    sigs.append(sig)
+                    sets.append(g.tobytes())
             if keep:
-                rows = part.take(pa.array(keep))
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(2), pa.array([grams[i].tobytes() for i in keep], pa.binary())], ["id", "comp", "tasks", "grams"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep)), pa.array(sigs, pa.binary()), pa.array(sets, pa.binary())], ["doc_id", "sig", "grams"])
 
 
 def _links(sets: list[np.ndarray], sides: list[int]) -> tuple[np.ndarray, list[int]]:
@@ -168,7 +180,7 @@ def _tasks(members: DataFrame) -> DataFrame:
     bins = max(1, -(-members.count() // TASK))
     small = F.array(F.struct(F.pmod(F.xxhash64("comp"), F.lit(bins)).cast("string").alias("task"), F.lit(0).alias("side")))
     if not total.where(F.col("of_comp") > TASK).limit(1).count():
-        return sized.select("id", "comp", small.alias("tasks"), "sig")
+        return sized.select("id", "comp", small.alias("tasks"), "sig", "class_id")
     cells = sized.join(total.where(F.col("of_comp") > TASK), "comp").groupBy("comp", "cls").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
     cells = materialise(cells)
     upper = cells.select("comp", (F.col("cls") - 1).alias("cls"), F.col("blocks").alias("above"))
@@ -181,37 +193,60 @@ def _tasks(members: DataFrame) -> DataFrame:
     same = F.transform(seq("blocks"), lambda b: F.struct(name(cls, F.least(b, F.col("mine")), cls, F.greatest(b, F.col("mine"))).alias("task"), (b < F.col("mine")).cast("int").alias("side")))
     up = F.transform(seq("above"), lambda b: F.struct(name(cls, F.col("mine"), cls + 1, b).alias("task"), F.lit(0).alias("side")))
     down = F.transform(seq("below"), lambda b: F.struct(name(cls - 1, b, cls, F.col("mine")).alias("task"), F.lit(1).alias("side")))
-    return placed.select("id", "comp", F.when(F.col("blocks").isNull(), small).otherwise(F.concat(same, up, down)).alias("tasks"), "sig")
+    return placed.select("id", "comp", F.when(F.col("blocks").isNull(), small).otherwise(F.concat(same, up, down)).alias("tasks"), "sig", "class_id")
 
 
-def _with_text(docs: DataFrame, members: DataFrame, id_col: str) -> DataFrame:
-    side = members.withColumnRenamed("id", "doc_id")
-    if members.count() <= BROADCAST_ROWS:
-        side = F.broadcast(side)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), "text")
-    return texts.join(side, "doc_id").select(F.col("doc_id").alias("id"), "comp", "tasks", "sig", "text")
+def _with_sets(docs: DataFrame, members: DataFrame, id_col: str) -> DataFrame:
+    """(id, comp, tasks, grams) of each class, from the documents that stand
+    for it. The id finds the documents, the signature the class: one id may
+    stand for many."""
+    side = materialise(members.withColumnRenamed("class_id", "doc_id"))
+    ids = side.select("doc_id").distinct()
+    if side.count() <= BROADCAST_ROWS:
+        side, ids = F.broadcast(side), F.broadcast(ids)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
+    sets = texts.mapInArrow(_setter, "doc_id long, sig binary, grams binary")
+    return sets.join(side, ["doc_id", "sig"]).select("id", "comp", "tasks", "grams")
 
 
 def similar_classes(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, classes, linked): rows has ``doc_id``, ``sig``, ``n`` of every
-    document; classes has ``sig``, ``class_id``; linked has ``id`` (a class),
-    ``links`` and ``root``, for the classes that have links."""
+    document; classes has ``sig``, ``id`` (the number of the class) and
+    ``class_id`` (its smallest document); linked has ``id``, ``links``,
+    ``group_id`` and ``first`` (whether the class stands for its group), for
+    the classes that have links."""
     modest_batches(docs)
     signed = materialise(docs.select(F.col(id_col).cast("long").alias("doc_id"), "text").mapInArrow(_signer, "doc_id long, sig binary, n long, bands array<long>"))
     some = signed.where("sig IS NOT NULL AND doc_id IS NOT NULL")
-    classes = materialise(some.groupBy("sig").agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n"), F.first("bands").alias("bands")))
-    placed = classes.select(F.col("class_id").alias("id"), F.explode("bands").alias("band"))
+    grouped = some.groupBy("sig").agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = materialise(grouped.withColumn("id", F.monotonically_increasing_id()))  # written once, so the numbers stay
+    placed = classes.select("id", F.explode("bands").alias("band"))
     hubs = placed.groupBy("band").agg(F.min("id").alias("hub"), F.count("*").alias("k")).where("k > 1")
     edges = placed.join(hubs, "band").where("id != hub").select(F.col("id").alias("a"), F.col("hub").alias("b"))
     comps = materialise(components(edges))
-    members = materialise(comps.select("id", F.col("root").alias("comp")).join(classes.select(F.col("class_id").alias("id"), "n", "sig"), "id"))
-    with_sets = _with_text(docs, _tasks(members), id_col).mapInArrow(_setter, "id long, comp long, tasks array<struct<task: string, side: int>>, grams binary")
+    members = materialise(comps.select("id", F.col("root").alias("comp")).join(classes.select("id", "class_id", "n", "sig"), "id"))
+    with_sets = _with_sets(docs, _tasks(members), id_col)
     dealt = with_sets.select("id", "comp", "grams", F.explode("tasks").alias("t")).select("id", "comp", "grams", "t.*")
     checked = materialise(dealt.groupBy("task").applyInArrow(_verify, "id long, links long, root long"))
     forest = components(checked.select(F.col("id").alias("a"), F.col("root").alias("b")))
     counts = checked.groupBy("id").agg(F.sum("links").alias("links"))
-    linked = materialise(counts.join(forest, "id").select("id", "links", "root"))
-    return signed.select("doc_id", "sig", "n"), classes.select("sig", "class_id"), linked
+    nodes = materialise(counts.join(forest, "id").join(members.select("id", "class_id", "sig"), "id"))
+    heads = materialise(nodes.groupBy("root").agg(F.min(F.struct("class_id", "sig")).alias("head")))
+    if heads.count() <= BROADCAST_ROWS:
+        heads = F.broadcast(heads)
+    linked = nodes.join(heads, "root").select("id", "links", F.col("head.class_id").alias("group_id"), (F.col("sig") == F.col("head.sig")).alias("first"))
+    return signed.select("doc_id", "sig", "n"), classes.select("sig", "id", "class_id"), materialise(linked)
+
+
+def _placed(docs: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``join`` with ``sig`` and ``gone``: whether another document
+    stands for the row's group."""
+    rows, classes, linked = similar_classes(docs, id_col)
+    known = F.col("doc_id").isNotNull()
+    out = rows.join(classes, "sig", "left").withColumn("id", F.when(known, F.col("id"))).withColumn("class_id", F.when(known, F.coalesce("class_id", "doc_id")))
+    out = out.join(linked, "id", "left").withColumn("group_id", F.coalesce("group_id", "class_id"))
+    gone = F.coalesce((F.col("doc_id") != F.col("group_id")) | ~F.coalesce("first", F.lit(True)), F.lit(False))
+    return out.select("doc_id", "class_id", "group_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.col("n").alias("n_ngrams"), "sig", gone.alias("gone"))
 
 
 def join(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -222,21 +257,31 @@ def join(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     A text without words (or null) is a class and group of its own and has no
     links. Repeated rows are of one class. A null id is never linked. Rows
-    that share an id but not their text are one node of the graph.
+    that share an id but not their n-grams are of different classes.
     """
-    rows, classes, linked = similar_classes(docs, id_col)
-    out = rows.join(classes, "sig", "left").withColumn("class_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")))
-    out = out.join(linked.withColumnRenamed("id", "class_id"), "class_id", "left")
-    return out.select("doc_id", "class_id", F.coalesce("root", "class_id").alias("group_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.col("n").alias("n_ngrams"))
+    return _placed(docs, id_col).drop("sig", "gone")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents without those whose group has a smaller id."""
-    gone_id = free_name(docs, "_gone")
-    gone = materialise(join(docs, id_col).where("doc_id != group_id").select(F.col("doc_id").alias(gone_id)).distinct())
-    if gone.count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, docs[id_col].cast("long") == gone[gone_id], "left_anti")
+    """The documents that stand for their groups: of each group the class with
+    the smallest id, and of that class the rows with this id."""
+    gone_id, gone_sig = free_name(docs, "_gone"), free_name(docs, "_gone_sig")
+    rows = materialise(_placed(docs, id_col).where("doc_id IS NOT NULL").select("doc_id", "sig", "gone"))
+    gone = rows.where("gone").select("doc_id", "sig").distinct()
+    mixed = materialise(gone.join(rows.where("NOT gone").select("doc_id").distinct(), "doc_id").select(F.col("doc_id").alias(gone_id), F.col("sig").alias(gone_sig)))
+    whole = materialise(gone.select(F.col("doc_id").alias(gone_id)).distinct().join(mixed, gone_id, "left_anti"))
+    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    key = docs[id_col].cast("long")
+    left = docs.join(small(whole), key == F.col(gone_id), "left_anti")
+    if not mixed.limit(1).count():
+        return left
+    # ids of which some rows stay: here the text decides
+    ids = small(materialise(mixed.select(gone_id).distinct()))
+    sig = F.udf(lambda t: signature(ngrams(t)), "binary", useArrow=True)
+    own = free_name(docs, "_own_sig")
+    some = left.join(ids, key == F.col(gone_id), "left_semi").withColumn(own, sig("text"))
+    some = some.join(small(mixed), (key == F.col(gone_id)) & (F.col(own) == F.col(gone_sig)), "left_anti").drop(own)
+    return left.join(ids, key == F.col(gone_id), "left_anti").unionByName(some)
 
 
 def op10_near_join(spark, sf_dir):

@@ -316,6 +316,19 @@ def test_near_join_edges(odd):
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} == {1, 2, 3, 4, 5, None}
 
 
+def test_near_join_tells_rows_of_one_id_apart(spark):
+    x = [f"x{i}" for i in range(60)]
+    near, y = " ".join([*x[:-1], "z"]), " ".join(f"y{i}" for i in range(60))
+    rows = [(3, " ".join(x)), (7, near), (7, y), (9, y + " more"), (9, " ".join(f"u{i}" for i in range(60)))]
+    for texts in (rows, rows[::-1]):
+        docs = spark.createDataFrame(texts, "doc_id long, text string")
+        got = sorted((r.doc_id, r.class_id, r.group_id, r.n_links) for r in near_join.join(docs).collect())
+        assert got == [(3, 3, 3, 1), (7, 7, 3, 1), (7, 7, 7, 1), (9, 9, 7, 1), (9, 9, 9, 0)]
+        assert sorted(map(tuple, near_join.keep_one(docs).collect())) == sorted([rows[0], rows[2], rows[4]])
+    same_id = spark.createDataFrame([(4, " ".join(x)), (4, near)], "doc_id long, text string")
+    assert near_join.keep_one(same_id).count() == 1
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(20)] + [(50, 60), (60, 70), (70, 50)]
     got = {r.id: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
