@@ -84,11 +84,28 @@ def test_repeated_words():
         assert quality_rules.measure(" ".join(words))[4] == len(covered)
 
 
+def _limits(spark, shift):
+    rows = [(i, "en", s, i % 10 + base, 480 + i % 40 + base) for i in range(1200) for s, base in (("plain", 0), ("code", shift))]
+    measured = spark.createDataFrame(rows, "id long, lang string, source string, symbols long, word_length long").selectExpr("*", "0L AS dup_lines", "0L AS repeats", "0L AS capitals", "200L + id % 100 AS n_words", "10L AS n_lines", "1000L + id AS word_chars")
+    return {r.source: r for r in quality_rules.thresholds(quality_rules.sketches(measured)).collect()}
+
+
 def test_thresholds_follow_the_group(spark):
-    rows = [(i, "en", s, i % 10 + base) for i in range(1200) for s, base in (("plain", 0), ("code", 300))]
-    measured = spark.createDataFrame(rows, "id long, lang string, source string, symbols long").selectExpr("*", "0L AS dup_lines", "0L AS repeats", "0L AS capitals")
-    limits = {r.source: r.max_symbols for r in quality_rules.thresholds(quality_rules.sketches(measured)).collect()}
-    assert limits["plain"] == quality_rules.SLACK["symbols"] and 305 < limits["code"] < 345
+    limits, moved = _limits(spark, 300), _limits(spark, 100)
+    assert 15 < limits["plain"].max_symbols < 30 and 310 < limits["code"].max_symbols < 345
+    assert limits["plain"] == moved["plain"] and moved["code"].max_symbols < limits["code"].max_symbols - 150
+    assert limits["plain"].max_word_length < 780 < limits["code"].max_word_length and moved["code"].min_word_length < limits["code"].min_word_length
+    # nothing but the width of a few events where a group has none of what is counted
+    assert 1000 * 5 / 1300 * 0.98 < limits["plain"].max_capitals < 1000 * 5 / 1300 * 1.02
+
+
+def test_verdicts_move_with_the_group(spark):
+    def docs(dense):
+        rows = [(i, " ".join(f"w{j}x{i}" for j in range(120)) + " #" * (i % 3 + (40 if dense else 0)), "en", "a") for i in range(300)]
+        return spark.createDataFrame([*rows, (999, " ".join(f"w{j}x7" for j in range(120)) + " #" * 40, "en", "a")], "doc_id long, text string, lang string, source string")
+
+    verdict = lambda dense: {r.doc_id: r.kept for r in quality_rules.judge(docs(dense)).collect()}
+    assert not verdict(False)[999] and verdict(True)[999]  # the same text, an outlier in one group and usual in the other
 
 
 def test_cuckoo_index():
