@@ -176,6 +176,36 @@ def test_license_scan(spark, odd):
     assert all(r.labels == "" and r.score == 0 for r in license_scan.scan(odd).collect())
 
 
+def word_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        above, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_license_spans_are_verified(spark):
+    """Texts with edited templates, against the edit distance of words at every place."""
+    rng, texts = random.Random(8), {1: "under the mit zzz the mit license", 2: "licensed under cc by sa 4 0 or licensed under cc by nd 4 0", 3: "under the mit license under the mit license", 4: "a\x00under\x00THE mit LICENSE"}
+    for i, (_, text) in enumerate(license_scan.TEMPLATES * 4):
+        words = license_scan._template_words(text)
+        for _ in range(rng.randrange(0, 1 + len(words) // 8)):
+            at = rng.randrange(len(words))
+            words[at : at + rng.randrange(2)] = rng.choice([[], ["zq"], ["zq", "zr"]])
+        texts[10 + i] = " ".join([f"p{i}"] * rng.randrange(9) + words + ["x"] * rng.randrange(3))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {(r.id, r.template): r.edits for r in license_scan.spans(docs).collect()}
+    for k, text in texts.items():
+        words = license_scan._template_words(text)
+        for n, (_, template) in enumerate(license_scan.TEMPLATES):
+            wanted = license_scan._template_words(template)
+            least = min(word_edits(words[a:b], wanted) for a in range(len(words)) for b in range(max(a, a + len(wanted) - 4), min(len(words), a + len(wanted) + 4) + 1)) if len(words) + 4 >= len(wanted) else 99
+            # hits of three words see a little less than single words do
+            assert ((k, n) in got) <= (10 * least <= len(wanted)) and ((k, n) in got) >= (20 * least <= len(wanted)), (k, n, least)
+    assert {n for k, n in got if k == 1} == set() and {license_scan.TEMPLATES[n][0] for k, n in got if k in (2, 3, 4)} == {"cc-by-sa", "mit"}
+
+
 def test_mixing(spark):
     rows = [(i, "w " * (5 + i % 7), "big" if i % 10 else ("small" if i % 20 else None)) for i in range(4000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
