@@ -1,15 +1,18 @@
 """Packing documents into fixed-length token sequences.
 
-Documents are dealt at random (by a hash of their id) into groups of bounded
-expected size, and each group is packed by itself: first-fit decreasing, where
-a tournament tree over the bins' free space finds the first bin that fits in
-logarithmic time. What first-fit leaves open is then closed by cutting pieces
-of the emptiest bins, so a group ends with one open bin at most, and that is
-dealt into sequences of power-of-two lengths, which need no padding.
+Where a document is read, it is cut into full sequences and a rest shorter than
+one; full sequences are done, and only their numbers travel on. The rests are
+dealt at random (by a hash of id and row) into groups of bounded expected size,
+and so of bounded bytes, and each group is packed by itself: first-fit
+decreasing, where a tournament tree over the bins' free space finds the first
+bin that fits in logarithmic time. What first-fit leaves open is then closed by
+cutting pieces of the emptiest bins, so a group ends with one open bin at most,
+and that is dealt into sequences of power-of-two lengths, which need no padding.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -21,16 +24,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import modest_batches, table, worker_cache
+from .common import modest_batches, partitions, table, worker_cache
 
 LENGTH = 2048
 END_ID = 1
 GROUP_DOCS = 1024  # expected documents of a group
 CACHE = 150_000  # words in a generation of what a worker remembers
 SLICE = 256  # documents tokenised together
+PART_DOCS = 50_000  # rests of documents that one partition should receive, at most 4 or 8 KB each
+PARTS = "grp long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: What the tokenizer cuts a lower-cased text into, for texts of these characters
-#: only: ASCII other than control characters, and Latin-1 letters.
+# fixed values: the tokenizer settings that the short cuts below know
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+#: What such a tokenizer cuts a lower-cased text into, for texts of these
+#: characters only: ASCII other than control characters, and Latin-1 letters.
 _SIMPLE = re.compile(r"[ \t\n\x0b\x0c\r!-~À-ÖØ-öø-ÿ]*")
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 
@@ -72,6 +80,9 @@ class Words:
     and a new piece goes to the tokenizer's model, spelled byte by byte. In
     other texts (or with a special token's string) the unit is what stands
     between ASCII white space, and the whole tokenizer encodes a new one.
+
+    Both hold for ``NORMALIZER`` and ``PRE_TOKENIZER`` only: with a tokenizer
+    that is set up in another way, whole texts are encoded as they are.
     """
 
     def __init__(self, path: str):
@@ -79,6 +90,10 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            setup = json.load(file)
+        self.known_setup = setup["normalizer"] == NORMALIZER and setup["pre_tokenizer"] == PRE_TOKENIZER and setup["model"]["type"] == "BPE" and all(t["content"].startswith("<|") for t in setup["added_tokens"])
+        del setup
         self.dtype = np.dtype("<u2" if max(self.tokenizer.get_vocab().values()) < 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         letters = _byte_letters()
@@ -96,6 +111,8 @@ class Words:
 
     def encode(self, text: str | None) -> bytes:
         text = text or ""
+        if not self.known_setup:
+            return self._bytes(self.tokenizer.encode(text.encode("utf-8", "replace").decode(), add_special_tokens=False).ids)
         if _SIMPLE.fullmatch(text) and "<|" not in text:
             units, known, learn = _PIECES.findall(text.lower()), self.pieces, self._piece
         else:
@@ -113,15 +130,35 @@ class Words:
         return b"".join(ids)
 
 
-def _tokeniser(path: str) -> Callable:
+def _cut(ids: bytes, dtype: np.dtype, capacity: int) -> Iterator[tuple[int, int, int | None, bytes | None]]:
+    """(start, length, CRC, None) of the full sequences at the beginning of a
+    document, then (start, length, None, ids) of the rest."""
+    n = len(ids) // dtype.itemsize
+    full = n - n % capacity
+    for at in range(0, full, capacity):
+        yield at, capacity, _crc(np.frombuffer(ids, dtype, capacity, at * dtype.itemsize)), None
+    if n > full:
+        yield full, n - full, None, ids[full * dtype.itemsize :]
+
+
+def _crc(ids: np.ndarray) -> int:
+    return zlib.crc32(ids.astype("<u4").tobytes())
+
+
+def _tokeniser(path: str, capacity: int) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = worker_cache(f"tokens {path}", lambda: Words(path))
         end = words._bytes([END_ID])
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                ids = [words.encode(t.as_py()) + end for t in part.column(2)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.large_binary()).cast(pa.binary())], ["grp", "doc_id", "ids"])
+                rows = []
+                for grp, doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
+                    ids = words.encode(text.as_py()) + end
+                    n = len(ids) // words.dtype.itemsize
+                    rows += [(grp, doc_id, start, length, crc, n, rest) for start, length, crc, rest in _cut(ids, words.dtype, capacity)]
+                columns = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:-1]), pa.array(columns[-1], pa.binary())], names=[f.split()[0] for f in PARTS.split(", ")])
 
     return run
 
@@ -213,15 +250,23 @@ def _binary(pieces: list[tuple[int, int, int]], total: int) -> list[list[tuple[i
 
 def _pack_group(dtype: str, capacity: int) -> Callable:
     def run(group: pa.Table) -> pa.Table:
-        order = sorted(range(group.num_rows), key=lambda i: ((d := doc_ids[i]) is None, d or 0, raw[i])) if (doc_ids := group.column("doc_id").to_pylist()) and (raw := group.column("ids").to_pylist()) else []
-        doc_ids, ids = [doc_ids[i] for i in order], [np.frombuffer(raw[i], dtype) for i in order]
-        base = group.column("grp")[0].as_py() << 32
-        rows = []
-        for q, pieces in enumerate(pack([len(x) for x in ids], capacity)):
+        whole, rests = [], []
+        for row in zip(*(group.column(f.split()[0]).to_pylist() for f in PARTS.split(", ")), strict=True):
+            (whole if row[-1] is None else rests).append(row)
+        by_doc = lambda r: (r[1] is None, r[1] or 0, r[2], r[-1] or b"")
+        rests.sort(key=by_doc)
+        ids = [np.frombuffer(r[-1], dtype) for r in rests]
+        base, rows, q = group.column("grp")[0].as_py() << 32, [], 0
+        for pieces in pack([len(x) for x in ids], capacity):
             offset = 0
             for d, s, n in pieces:
-                rows.append((doc_ids[d], s, n, zlib.crc32(ids[d][s : s + n].astype("<u4").tobytes()), len(ids[d]), base + q, offset))
+                _, doc_id, start, _, _, doc_tokens, _ = rests[d]
+                rows.append((doc_id, start + s, n, _crc(ids[d][s : s + n]), doc_tokens, base + q, offset))
                 offset += n
+            q += 1
+        for _, doc_id, start, length, crc, doc_tokens, _ in sorted(whole, key=by_doc):
+            rows.append((doc_id, start, length, crc, doc_tokens, base + q, 0))
+            q += 1
         return pa.table([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=[f.split()[0] for f in PIECES.split(", ")])
 
     return run
@@ -232,15 +277,20 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = LENGTH,
     ``doc_tokens``, ``sequence_id``, ``offset``.
 
     A null or empty text is one token, the end id. Repeated rows are packed
-    each by itself. A document longer than a sequence is cut. An empty table
-    gives no rows. ``tokenizer_path`` must exist on every executor.
+    each by itself, and an id may hold any number of rows: groups are dealt by
+    row. A document longer than a sequence is cut. An empty table gives no
+    rows; other columns are ignored. ``docs`` should be a written table, so
+    that a task which is run again numbers its rows as before.
+    ``tokenizer_path`` must exist on every executor.
     """
     modest_batches(docs)
-    groups = max(1, -(-docs.count() // group_docs))
-    rows = docs.select(F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.lit(20_480)), F.lit(groups)).alias("grp"), F.col(id_col).cast("long").alias("doc_id"), "text")
-    tokens = rows.mapInArrow(_tokeniser(tokenizer_path), "grp long, doc_id long, ids binary")
-    dtype = Words(tokenizer_path).dtype.str
-    return tokens.groupBy("grp").applyInArrow(_pack_group(dtype, capacity), PIECES)
+    n = docs.count()
+    groups = max(1, -(-n // group_docs))
+    grp = F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.monotonically_increasing_id()), F.lit(groups))
+    rows = docs.select(grp.alias("grp"), F.col(id_col).cast("long").alias("doc_id"), "text")
+    parts = rows.mapInArrow(_tokeniser(tokenizer_path, capacity), PARTS)
+    dealt = parts.repartition(partitions(docs.sparkSession, n, PART_DOCS), "grp")
+    return dealt.groupBy("grp").applyInArrow(_pack_group(Words(tokenizer_path).dtype.str, capacity), PIECES)
 
 
 def public_tokenizer() -> str:
