@@ -15,6 +15,7 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_html_text": html_text.op9_html_text,
     "op10_near_join": near_join.op10_near_join,
+    "shards_of_64k": sharding.shards_of_64k,
 }
 
 ORACLE_SQL = {
@@ -24,4 +25,5 @@ ORACLE_SQL = {
     "op5_substring_dedup": substring_dedup.OP5_SQL,
     "op6_license_scan": license_scan.OP6_SQL,
     "op7_mixing": mixing.OP7_SQL,
+    "shards_of_64k": sharding.shards_sql(1 << 16),
 }

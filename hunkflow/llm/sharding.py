@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, table, text_or_empty
+from .common import free_name, materialise, partitions, table, text_or_empty
 
 STEP = 8  # bits a round: two hexadecimal digits
 DIGITS = 14  # hexadecimal digits of either half of the hash
@@ -36,20 +36,24 @@ def assign_shards(df: DataFrame, limit: int = LIMIT, key: str = "doc_id", carry:
     A null text counts no bytes and a null key hashes as the empty string. A
     row over the limit gets a shard of its own: it is the only kind of shard
     that exceeds the limit. Repeated rows are separate rows. An empty table
-    gives no rows. Columns beside ``carry``, ``key`` and ``text`` are ignored.
+    gives no rows. Columns beside ``carry``, ``key`` and ``text`` are ignored;
+    ``carry`` may not hold the names of the new columns (see ``write_shards``).
     """
+    return _dealt(df, limit, key, carry).select("row.*", "n_bytes", "shard", F.col("depth").cast("int").alias("depth"), "shard_bytes", "shard_rows")
+
+
+def _dealt(df: DataFrame, limit: int, key: str, carry: Sequence[str]) -> DataFrame:
+    """(row: struct of ``carry``, n_bytes, shard, depth, shard_bytes, shard_rows)."""
     rows = materialise(
         df.select(
-            F.struct(*(F.col(c) for c in carry)).alias("row"),
+            F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row"),
             F.octet_length(text_or_empty()).cast("long").alias("n_bytes"),
             F.concat(_hash_digits(F.col(key)), _hash_digits(F.monotonically_increasing_id())).alias("h"),
         )
     )
     total = rows.agg(F.sum("n_bytes"), F.count("*")).first()
     if (total[0] or 0) <= limit or total[1] == 1:
-        return _named(
-            rows.select("row", "n_bytes", F.lit("").alias("shard"), F.lit(0).alias("depth"), F.lit(total[0] or 0).cast("long").alias("shard_bytes"), F.lit(total[1]).cast("long").alias("shard_rows"))
-        )
+        return rows.select("row", "n_bytes", F.lit("").alias("shard"), F.lit(0).alias("depth"), F.lit(total[0] or 0).cast("long").alias("shard_bytes"), F.lit(total[1]).cast("long").alias("shard_rows"))
     directories, open_cells, done = [], None, 0
     while done < 2 * DIGITS:
         cells = _split(rows, open_cells, done, limit)
@@ -63,7 +67,7 @@ def assign_shards(df: DataFrame, limit: int = LIMIT, key: str = "doc_id", carry:
         rows.withColumn("cell", F.substring("h", 1, d)).join(directory, "cell").select("row", "n_bytes", "shard", "depth", "shard_bytes", "shard_rows")
         for d, directory in directories
     ]
-    return _named(reduce(DataFrame.unionAll, placed))
+    return reduce(DataFrame.unionAll, placed)
 
 
 def _split(rows: DataFrame, open_cells: DataFrame | None, done: int, limit: int) -> DataFrame:
@@ -100,31 +104,44 @@ def _split(rows: DataFrame, open_cells: DataFrame | None, done: int, limit: int)
     )
 
 
-def _named(df: DataFrame) -> DataFrame:
-    return df.select("row.*", "n_bytes", "shard", F.col("depth").cast("int").alias("depth"), "shard_bytes", "shard_rows")
-
-
 def write_shards(df: DataFrame, path: str, limit: int = LIMIT, key: str = "doc_id") -> None:
-    """Write the rows of ``df`` under ``path``, one folder per shard."""
-    shards = assign_shards(df, limit, key, df.columns)
-    shards.repartition("shard").write.partitionBy("shard").parquet(path)
+    """Write the rows of ``df`` under ``path``, one folder ``shard=b<bits>``
+    per shard, each written by one task.
+
+    Columns of any name may be there: where ``df`` has a column ``shard``, the
+    folders are called ``_shard=...`` instead. Null, empty and repeated rows
+    are written like others; an empty table writes no folder.
+    """
+    name = free_name(df, "shard")
+    dealt = materialise(_dealt(df, limit, key, df.columns).select("row", F.concat(F.lit("b"), "shard").alias("shard")))
+    n = partitions(df.sparkSession, dealt.select("shard").distinct().count(), 4)
+    dealt.repartition(n, "shard").select("row.*", F.col("shard").alias(name)).write.partitionBy(name).parquet(path)
 
 
 def op1_shard(spark, sf_dir):
     return assign_shards(table(spark, sf_dir, "documents"))
 
 
-OP1_SQL = f"""
+def shards_of_64k(spark, sf_dir):
+    """The same with a small limit, so that small tables split as well."""
+    return assign_shards(table(spark, sf_dir, "documents"), 1 << 16)
+
+
+def shards_sql(limit: int) -> str:
+    return f"""
 WITH d AS (
   SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes,
          ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, {DIGITS}))::BIGINT AS h
   FROM documents),
 l AS (
   SELECT level, h // (1::BIGINT << ({DIGITS * 4} - level)) AS node, sum(n_bytes)::BIGINT AS shard_bytes, count(*) AS shard_rows
-  FROM d, range(0, 40) r(level) GROUP BY ALL HAVING sum(n_bytes) <= {LIMIT} OR count(*) = 1),
+  FROM d, range(0, 40) r(level) GROUP BY ALL HAVING sum(n_bytes) <= {limit} OR count(*) = 1),
 a AS (
   SELECT d.doc_id, d.n_bytes, d.h, min(l.level) AS depth
   FROM d JOIN l ON l.node = d.h // (1::BIGINT << ({DIGITS * 4} - l.level)) GROUP BY ALL)
 SELECT a.doc_id, a.n_bytes, left(lpad(bin(a.h), {DIGITS * 4}, '0'), a.depth) AS shard, a.depth::INT AS depth, l.shard_bytes, l.shard_rows
 FROM a JOIN l ON l.level = a.depth AND l.node = a.h // (1::BIGINT << ({DIGITS * 4} - a.depth))
 """
+
+
+OP1_SQL = shards_sql(LIMIT)

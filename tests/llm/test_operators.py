@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from hunkflow.llm import exact_dedup, graph, html_text, license_scan, mixing, near_join, packing, quality_model, quality_rules, queries, sharding, substring_dedup
 from tests.conftest import SMALL
@@ -68,6 +69,16 @@ def test_sharding(spark, odd):
     assert max(r.shard_bytes for r in shards) <= 500 and len(shards) == 400
 
 
+def test_write_shards(spark, odd, tmp_path):
+    sharding.write_shards(odd, str(tmp_path / "out"), 100)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert "_shard" in back.columns and sorted(map(str, back.select(*odd.columns).collect())) == sorted(map(str, odd.collect()))
+    dealt = collections.Counter(r.shard for r in sharding.assign_shards(odd, 100).collect())
+    assert collections.Counter(r._shard for r in back.collect()) == {f"b{s}": n for s, n in dealt.items()}
+    sharding.write_shards(odd.withColumns({"depth": F.lit(1), "n_bytes": F.lit(2), "row": F.lit(3)}).drop("shard"), str(tmp_path / "clash"))
+    assert spark.read.parquet(str(tmp_path / "clash")).count() == len(ROWS)
+
+
 def test_quality_rules(odd):
     rows = quality_rules.judge(odd).collect()
     assert sorted((r.n_words, r.base_failed) for r in rows if r.n_words < 10) == [(0, True)] * 3 + [(7, True)] * 4
@@ -224,31 +235,33 @@ def test_mixing(spark):
 
 
 def test_mixing_entropy(spark):
-    sources = spark.createDataFrame([("a", 900), ("b", 90), ("c", 10)], "k string, t long")
-    for target in (0.6, 0.9, 1.0):
-        a = mixing.exponent(sources, target_entropy=target).first().a
-        w = np.array([900, 90, 10.0]) ** a
-        w /= w.sum()
-        assert abs(-(w * np.log(w)).sum() / np.log(3) - target) < 1e-3
-
-
-def test_packing_round_trip(spark, odd):
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(packing.public_tokenizer())
-    rows = packing.pack_documents(odd.where("doc_id <> 1"), packing.public_tokenizer()).collect()
-    pieces, sequences = collections.defaultdict(list), collections.defaultdict(list)
+    rng = np.random.default_rng(4)
+    for sizes in ([900, 90, 10], np.exp(rng.normal(9, 3, 3000)).astype(int) + 1):
+        sources = spark.createDataFrame([(str(i), int(t)) for i, t in enumerate(sizes)], "k string, t long")
+        for target in (0.6, 0.9, 1.0):
+            a = mixing.exponent(sources, target_entropy=target).first().a
+            w = np.array(sizes, float) ** a
+            w /= w.sum()
+            assert abs(-(w * np.log(w)).sum() / np.log(len(w)) - target) < 1e-3
+    assert mixing.exponent(sources.where("t < 0"), target_entropy=0.5).count() == mixing.exponent(sources.where("t < 0")).count() == 0
+
+
+def test_mixing_edges(odd):
+    """Nulls, a long text, names that clash, repeated rows and one id with many texts."""
+    more = odd.withColumns({"k": F.lit(1), "_plan_cut": F.lit(2), "epoch": F.lit(3)})
+    mixed = collections.Counter((r.doc_id, r.n_tokens) for r in mixing.mix(more, 3.0).collect())
+    assert set(mixed) == {(r[0], len((r[1] or "").split())) for r in ROWS}
+    back = mixing.repeat_documents(more, 3.0)
+    assert back.columns == more.columns and collections.Counter((r.doc_id, len((r.text or "").split())) for r in back.collect()) == mixed
+    same_id = odd.sparkSession.range(3000).selectExpr("7L AS doc_id", "concat('w ', id) AS text", "if(id < 2000, 'a', 'b') AS source")
+    rows = mixing.mix(same_id, 2.0).collect()
+    assert len({r.doc_key for r in rows}) == 3000 and 1900 < sum(r.source == "b" for r in rows) <= 2000
+
+
+def check_sequences(rows):
+    sequences = collections.defaultdict(list)
     for r in rows:
-        pieces[r.doc_id].append(r)
         sequences[r.sequence_id].append(r)
-    for doc_id, text, *_ in ROWS:
-        if doc_id in (None, 1):
-            continue
-        ids, at = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 1], "<u4"), 0
-        for r in sorted(pieces[doc_id], key=lambda r: r.start):
-            assert (r.start, r.doc_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids[at : at + r.length].tobytes()))
-            at += r.length
-        assert at == len(ids)
     for s in sequences.values():
         at = 0
         for r in sorted(s, key=lambda r: r.offset):
@@ -257,6 +270,47 @@ def test_packing_round_trip(spark, odd):
         assert at <= 2048 and (at == 2048 or at & (at - 1) == 0)
 
 
+def test_packing_round_trip(spark, odd):
+    """All rows, also those that repeat an id or have none, against the tokenizer."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.public_tokenizer())
+    rows = packing.pack_documents(odd, packing.public_tokenizer()).collect()
+    check_sequences(rows)
+    wanted = collections.Counter()
+    for doc_id, text, *_ in ROWS:
+        ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+        for r in {(r.start, r.length) for r in rows if r.doc_id == doc_id and r.doc_tokens == len(ids)}:
+            wanted[doc_id, len(ids), *r, zlib.crc32(ids[r[0] : sum(r)].tobytes())] += 0
+        wanted[doc_id, "tokens"] += len(ids)
+    for r in rows:
+        assert (r.doc_id, r.doc_tokens, r.start, r.length, r.ids_crc32) in wanted
+        wanted[r.doc_id, "tokens"] -= r.length
+    assert not any(wanted.values())
+
+
+def test_packing_one_id(spark):
+    """An id that holds most rows is spread over the groups."""
+    docs = spark.createDataFrame([(7, f"w{i} x") for i in range(900)] + [(i, "y") for i in range(100)], "doc_id long, text string")
+    rows = packing.pack_documents(docs, packing.public_tokenizer(), group_docs=100).collect()
+    check_sequences(rows)
+    tokens = sum(len(t.split()) + 1 for _, t in [(7, f"w x") for _ in range(900)]) + 200
+    assert len({r.sequence_id >> 32 for r in rows if r.doc_id == 7}) == 10 and sum(r.length for r in rows) >= tokens
+
+
+def test_words_of_an_unknown_tokenizer(tmp_path):
+    import json
+
+    with open(packing.public_tokenizer(), encoding="utf-8") as file:
+        setup = json.load(file)
+    setup["normalizer"] = None  # capitals now matter
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(setup), encoding="utf-8")
+    words = packing.Words(str(path))
+    text = "It's an Other SETUP"
+    assert np.frombuffer(words.encode(text), words.dtype).tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids != packing.Words(packing.public_tokenizer()).tokenizer.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("text", ["It's 3.5€ ÀÉß ñandú", "a<|endoftext|>b 's x's", "é İ K ﬁ", "a b c\x1cd", "汉字 emoji 😀!", "don't,won't... ###x %%"])
 def test_word_ids(text):
     words = packing.Words(packing.public_tokenizer())
@@ -285,18 +339,66 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><b
 
 
 def test_html(spark):
-    tree = html_text.grow(html_text.LABELLED)
+    tree = html_text.grow(*html_text.labelled_blocks())
     assert html_text.main_text(PAGE, tree) == "Title & more\n\nFirst paragraph with bold text, and a break © here.\n\nBe.\n\nLast <one>."
     rows = html_text.extract(spark.createDataFrame([(1, "u", PAGE), (2, None, None), (3, "v", ""), (4, "w", "<p"), (5, "x", "<article><p>cut &am"), (1, "u", PAGE)], "page_id long, url string, html string")).collect()
     assert [(r.page_id, r.n_chars) for r in rows][1:5] == [(2, 0), (3, 0), (4, 0), (5, 7)] and rows[0] == rows[5]
 
 
-def test_html_decides_without_names():
-    tree = html_text.grow(html_text.LABELLED)
-    body = " ".join(["word"] * 60)
-    page = f"<div><a href=a>One</a></div><div><a href=b>Two</a></div><div><p>{body} a</p><p>{body} b</p></div><div><a href=c>Three</a></div>"
-    assert html_text.main_text(page, tree) == f"{body} a\n\n{body} b"
-    assert all(html_text.is_text(tree, r[:-1]) == bool(r[-1]) for r in html_text.LABELLED)
+LINE = " ".join(["word"] * 60)
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        # nothing is named
+        ("<div><a href=a>One</a></div><div><a href=b>Two</a></div><div><p>L a</p><p>L b</p></div><div><a href=c>Three</a></div>", "L a|L b"),
+        ("<ul><li><a href=a>One</a><li><a href=b>Two</a></ul><div>Seven short words of an advert here</div><h1>Title</h1><p>L<p>Be.<p>L b<div>the site 2020</div>", "Title|L|Be.|L b"),
+        # names that hold a word of articles or furniture and mean neither
+        ('<div class="text-center"><a href=a>Home</a></div><div class="text-center"><a href=b>Shop</a></div><div><p>L</p><p>L b</p></div>', "L|L b"),
+        ('<body class="has-sidebar"><main><h1>T</h1><section class="legal"><p>L</p><p>L b</p></section></main></body>', "T|L|L b"),
+        # names on blocks themselves, hidden blocks and hidden parts of blocks
+        ('<article><p>L</p><p class="advert">L c</p><p style="display: none">L d</p><p hidden>L e</p><p>L <span hidden>x <span>y</span> z</span>f</p></article>', "L|L f"),
+        ('<article><p>L</p><table><tr><td class=ad>L<td>L b</table><p>L c</article>', "L|L b|L c"),
+        ('<article><p>L</p><div class="userComments"><p>L a</p></div><div id=relatedPosts><a href=x>more</a></div><p>L b</p></article><aside>L</aside>', "L|L b"),
+        ('<header><p>L</p></header><article><header><h1>T</h1></header><p>L</p></article><footer><p>L</p></footer>', "T|L"),
+    ],
+)
+def test_html_blocks(page, text):
+    tree = html_text.grow(*html_text.labelled_blocks())
+    assert html_text.main_text(page.replace("L", LINE), tree) == text.replace("L", LINE).replace("|", "\n\n")
+
+
+def test_html_tree_on_pages_it_has_not_seen():
+    lines = html_text.PAGES.strip().split("\n")
+    right = total = unnamed = 0
+    for k in range(5):
+        tree = html_text.grow(*html_text.labelled_blocks("\n".join(line for i, line in enumerate(lines) if i % 5 != k)))
+        for line in lines[k::5]:
+            found, labels = html_text.labelled_page(line)
+            verdicts = [html_text.is_text(tree, r) == bool(y) for r, y in zip(html_text.describe(found), labels, strict=True)]
+            right, total = right + sum(verdicts), total + len(verdicts)
+            unnamed += sum(html_text.is_text(tree, r) == bool(y) for r, y in zip(html_text.describe([(*b[:3], 0) for b in found]), labels, strict=True))
+    assert right > 0.9 * total and unnamed > 0.75 * total, (right, unnamed, total)
+
+
+def test_html_words_and_links_decide(spark):
+    """The shared pages, as they are and with names and telling elements taken away."""
+    import html
+    import re
+
+    tree = html_text.grow(*html_text.labelled_blocks())
+    for row in spark.read.parquet(f"{SMALL}/pages.parquet").collect():
+        article = re.search(r"<article>(.*?)</article>", row.html, re.S)[1]
+        wanted = [" ".join(html.unescape(re.sub("<[^>]*>", "", b.replace("<br>", " "))).split()) for b in re.split("</?p>|</?h1>", article)]
+        bare = re.sub(r"<(/?)(?:nav|article|footer|div)\b[^>]*>", r"<\1div>", row.html)
+        assert html_text.main_text(row.html, tree) == html_text.main_text(bare, tree) == "\n\n".join(w for w in wanted if w)
+
+
+def test_html_edges(spark):
+    long_page = "<article>" + "<p>word <b>more</b></p>" * 20_000 + "</article>" + "<div>" * 20_000
+    pages = spark.createDataFrame([(1, "u", long_page, "t", 3), (2, "u", "<div class=>&#0;</div><p", None, None)], "page_id long, url string, html string, text string, n_chars int")
+    assert sorted(tuple(r)[:2] + (r.n_chars,) for r in html_text.extract(pages).collect()) == [(1, "u", 20_000 * 9 + 19_999 * 2), (2, "u", 0)]
 
 
 def brute_groups(texts):
