@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import shutil
 import sys
 import tempfile
 import types
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
@@ -43,16 +44,71 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_scratches: list[list[str]] = []  # tables written in each open ``scratch``, innermost last
+
+
+def _folder(spark: SparkSession) -> str:
+    """This application's own folder for tables; it goes with the driver."""
+    path = f"{shared_dir(spark)}/hunkflow-{spark.sparkContext.applicationId}"
+    if path not in _folders:
+        _folders.add(path)
+        atexit.register(_forget, spark, path)
+    return path
+
+
+_folders: set[str] = set()
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs no more than the tasks that
-    were running on it, and later steps read the same rows each time.
+    were running on it, and later steps read the same rows each time. The table
+    is deleted by ``discard``, at the end of the ``scratch`` it was written in,
+    or with the application.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/hunkflow-{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _scratches:
+        _scratches[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that ``materialise`` writes inside are deleted at the end, but for
+    those handed to the function it gives."""
+    mine: list[str] = []
+    kept: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df.written_to)
+        return df
+
+    _scratches.append(mine)
+    try:
+        yield keep
+    finally:
+        _scratches.remove(mine)
+        for path in mine:
+            if path in kept:
+                if _scratches:
+                    _scratches[-1].append(path)
+            else:
+                _delete(spark, path)
 
 
 def modest_batches(df: DataFrame) -> DataFrame:
@@ -83,15 +139,20 @@ BROADCAST_ROWS = 100_000
 SALTS = 64
 
 
-def join_small(rows: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+def join_small(rows: DataFrame, small: DataFrame, keys: list[str], spread_by: list[str] | None = None) -> DataFrame:
     """Join on keys of which one may hold most of ``rows``. ``small`` has one
-    row per key and was materialised: up to ``BROADCAST_ROWS`` rows of it are
-    broadcast, beyond that each key is spread over ``SALTS`` partitions."""
+    short row per key and was materialised: up to ``BROADCAST_ROWS`` rows of it
+    are broadcast, beyond that each key is spread over ``SALTS`` partitions, or
+    more of them if there are more shuffle partitions. ``rows`` are dealt out
+    among them by a hash of ``spread_by`` (all their columns if it is left out),
+    so that a task which runs again deals as before."""
     if small.count() <= BROADCAST_ROWS:
         return rows.join(F.broadcast(small), keys)
     salt = free_name(rows, "_salt")
-    spread = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn(salt, (F.rand(7) * SALTS).cast("int")).join(spread, [*keys, salt]).drop(salt)
+    salts = max(SALTS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 16)
+    spread = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    by = F.xxhash64(*(F.col(f"`{c}`") for c in (spread_by or rows.columns)))
+    return rows.withColumn(salt, F.pmod(by, F.lit(salts)).cast("int")).join(spread, [*keys, salt]).drop(salt)
 
 
 def release(spark: SparkSession) -> None:
@@ -102,12 +163,8 @@ def release(spark: SparkSession) -> None:
 
 def discard(df: DataFrame) -> None:
     """Delete a table that ``materialise`` wrote, and release what made it."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    release(spark)
+    _delete(df.sparkSession, df.written_to)
+    release(df.sparkSession)
 
 
 def worker_cache(name: str, make: Callable[[], Any]) -> Any:

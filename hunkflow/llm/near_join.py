@@ -1,18 +1,24 @@
 """N-gram Jaccard self-join by MinHash banding.
 
 Documents with the same set of word n-grams are one class; one document
-stands for it. A class is a node of the graph with a number of its own, so rows
-that share an id but not their text are told apart. Classes meet in band buckets: ``BANDS`` and ``ROWS`` are the
-fewest hashes that find a pair at the similarity threshold with the target
-recall. Buckets are linked as stars, their components say who may be similar
-to whom, and every pair within a component that can reach the threshold is
-verified on the full n-gram sets.
-
-A component that is too large for one task is cut into blocks by the sizes of
-the sets: sets whose sizes differ by more than the threshold allows can't be
-similar, so a block meets those of its own and the neighbouring size classes
-only. Tasks return each class's number of links and a spanning forest, never
-pairs.
+stands for it. A class has a number of its own, so rows that share an id but
+not their text are told apart. Classes meet in band buckets: ``BANDS`` and
+``ROWS`` are the fewest hashes that find a pair at the similarity threshold
+with the target recall.
+
+The hub of a bucket is its smallest class. As a hub has one bucket per band,
+two classes share a bucket of a band if and only if they have the same hub
+there. So a class travels to each of its different hubs, mostly one or a few,
+instead of its many buckets, and all that share a bucket meet. A pair counts at
+the hub of the first band that it shares, hence once, and only if its full
+n-gram sets are similar enough. Weak links don't chain groups together: a
+class is compared with those of its own buckets only.
+
+The group of a hub that is too large for one task, in classes or in n-grams,
+is cut into blocks by the sizes of the sets: sets whose sizes differ by more
+than the threshold allows can't be similar, so a block meets those of its own
+and the neighbouring size classes only. Tasks return each class's number of
+links and a spanning forest, never pairs.
 """
 
 from __future__ import annotations
@@ -26,15 +32,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, free_name, hash_words, materialise, modest_batches, table
+from .common import BROADCAST_ROWS, free_name, hash_words, join_small, materialise, modest_batches, partitions, scratch, table
 from .graph import components
 
 N, SIMILARITY = 5, 0.8
 RECALL = 0.998
 ROWS = 7
 BANDS = math.ceil(math.log(1 - RECALL) / math.log(1 - SIMILARITY**ROWS))
-BLOCK = 2048  # classes of a block
-TASK = 4096  # classes that one task compares without cutting
+BLOCK, BLOCK_GRAMS = 2048, 2_000_000  # classes of a block, and n-grams of 8 bytes
+TASK, TASK_GRAMS = 4096, 4_000_000  # what one task compares without cutting
+PART_GRAMS = 4 * TASK_GRAMS  # n-grams that one partition should receive
+BROADCAST_BYTES = 32 << 20
 
 _GEN = np.random.default_rng(20_260)
 _POWERS = _GEN.integers(1, 1 << 63, N, np.int64).astype(np.uint64) | np.uint64(1)
@@ -107,9 +115,11 @@ def _setter(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep)), pa.array(sigs, pa.binary()), pa.array(sets, pa.binary())], ["doc_id", "sig", "grams"])
 
 
-def _links(sets: list[np.ndarray], sides: list[int]) -> tuple[np.ndarray, list[int]]:
+def _links(sets: list[np.ndarray], sides: list[int], hubs: np.ndarray, hub: int) -> tuple[np.ndarray, list[int]]:
     """Links of each set, and for each the root of its tree. Two sides: only
-    pairs across them count; one side: all pairs."""
+    pairs across them count; one side: all pairs. ``hubs`` has a row per set,
+    its hub in each band (-1 without): a pair counts here if the first hub that
+    it shares is ``hub``."""
     sizes = np.array([len(s) for s in sets])
     _, ids = np.unique(np.concatenate(sets), return_inverse=True)
     owner = np.repeat(np.arange(len(sets)), sizes)
@@ -144,6 +154,9 @@ def _links(sets: list[np.ndarray], sides: list[int]) -> tuple[np.ndarray, list[i
         if two:
             near &= side == 1
         found = np.flatnonzero(near)
+        if len(found):
+            shares = (hubs[found] == hubs[i]) & (hubs[i] >= 0)
+            found = found[shares.any(axis=1) & (hubs[i][shares.argmax(axis=1)] == hub)]
         links[i] += len(found)
         links[found] += 1
         for j in found:
@@ -156,12 +169,15 @@ def _links(sets: list[np.ndarray], sides: list[int]) -> tuple[np.ndarray, list[i
 def _verify(group: pa.Table) -> pa.Table:
     """Links and forest of one task: (id, links, root) per class and side."""
     out_id, out_links, out_root = [], [], []
-    seen: dict[tuple, dict[tuple, bytes]] = {}
-    for comp, side, id_, grams in zip(*(group.column(c).to_pylist() for c in ("comp", "side", "id", "grams")), strict=True):
-        seen.setdefault(comp, {})[(id_, side)] = grams
-    for members in seen.values():
+    seen: dict[int, dict[tuple, tuple]] = {}
+    for comp, side, id_, hubs, grams in zip(*(group.column(c).to_pylist() for c in ("comp", "side", "id", "hubs", "grams")), strict=True):
+        seen.setdefault(comp, {})[(id_, side)] = (hubs, grams)
+    for comp, members in seen.items():
         keys = sorted(members)
-        links, roots = _links([np.frombuffer(members[k], np.uint64) for k in keys], [k[1] for k in keys])
+        if len(keys) < 2:
+            continue
+        hubs = np.array([members[k][0] for k in keys], np.int64)
+        links, roots = _links([np.frombuffer(members[k][1], np.uint64) for k in keys], [k[1] for k in keys], hubs, comp)
         for k, n, r in zip(keys, links.tolist(), roots, strict=True):
             if n:
                 out_id.append(k[0])
@@ -170,19 +186,20 @@ def _verify(group: pa.Table) -> pa.Table:
     return pa.table([pa.array(c, pa.int64()) for c in (out_id, out_links, out_root)], names=["id", "links", "root"])
 
 
-def _tasks(members: DataFrame) -> DataFrame:
-    """Adds ``tasks`` to (id, comp, n): the tasks a class takes part in, each
-    with its side there. A small component is in one task, which it shares
-    with others; a large one is cut by size class and hash."""
-    ratio = F.floor(F.log("n") / math.log(1 / SIMILARITY)).cast("long")
-    sized = members.withColumn("cls", ratio)
-    total = materialise(sized.groupBy("comp").agg(F.count("*").alias("of_comp")))
-    bins = max(1, -(-members.count() // TASK))
-    small = F.array(F.struct(F.pmod(F.xxhash64("comp"), F.lit(bins)).cast("string").alias("task"), F.lit(0).alias("side")))
-    if not total.where(F.col("of_comp") > TASK).limit(1).count():
-        return sized.select("id", "comp", small.alias("tasks"), "sig", "class_id")
-    cells = sized.join(total.where(F.col("of_comp") > TASK), "comp").groupBy("comp", "cls").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-    cells = materialise(cells)
+def _tasks(members: DataFrame, grams: int) -> DataFrame:
+    """(id, tasks) of ``members`` (id, n, hubs): the tasks a class takes part
+    in, each with its hub and the class's side there. A small group is in one
+    task, which it shares with others; a large one is cut by size class and
+    hash. ``grams``: how many n-grams all groups have."""
+    sized = members.select("id", "n", F.floor(F.log("n") / math.log(1 / SIMILARITY)).cast("long").alias("cls"), F.explode(F.array_distinct(F.filter("hubs", lambda h: h >= 0))).alias("comp"))
+    large = sized.groupBy("comp").agg(F.count("*").alias("classes"), F.sum("n").alias("grams")).where((F.col("classes") > TASK) | (F.col("grams") > TASK_GRAMS))
+    large = materialise(large)
+    bins = max(1, -(-grams // TASK_GRAMS))
+    small = F.array(F.struct(F.pmod(F.xxhash64("comp"), F.lit(bins)).cast("string").alias("task"), F.col("comp"), F.lit(0).alias("side")))
+    if not large.limit(1).count():
+        return sized.groupBy("id").agg(F.flatten(F.collect_list(small)).alias("tasks"))
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("long")
+    cells = materialise(sized.join(large, "comp", "left_semi").groupBy("comp", "cls").agg(blocks.alias("blocks")))
     upper = cells.select("comp", (F.col("cls") - 1).alias("cls"), F.col("blocks").alias("above"))
     lower = cells.select("comp", (F.col("cls") + 1).alias("cls"), F.col("blocks").alias("below"))
     around = materialise(cells.join(upper, ["comp", "cls"], "left").join(lower, ["comp", "cls"], "left"))
@@ -190,23 +207,34 @@ def _tasks(members: DataFrame) -> DataFrame:
     name = lambda c, a, d, b: F.concat_ws("/", F.lit("big"), F.col("comp"), c, a, d, b)
     cls = F.col("cls")
     seq = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).otherwise(F.array().cast("array<bigint>"))
-    same = F.transform(seq("blocks"), lambda b: F.struct(name(cls, F.least(b, F.col("mine")), cls, F.greatest(b, F.col("mine"))).alias("task"), (b < F.col("mine")).cast("int").alias("side")))
-    up = F.transform(seq("above"), lambda b: F.struct(name(cls, F.col("mine"), cls + 1, b).alias("task"), F.lit(0).alias("side")))
-    down = F.transform(seq("below"), lambda b: F.struct(name(cls - 1, b, cls, F.col("mine")).alias("task"), F.lit(1).alias("side")))
-    return placed.select("id", "comp", F.when(F.col("blocks").isNull(), small).otherwise(F.concat(same, up, down)).alias("tasks"), "sig", "class_id")
+    task = lambda t, side: F.struct(t.alias("task"), F.col("comp"), side.cast("int").alias("side"))
+    same = F.transform(seq("blocks"), lambda b: task(name(cls, F.least(b, F.col("mine")), cls, F.greatest(b, F.col("mine"))), b < F.col("mine")))
+    up = F.transform(seq("above"), lambda b: task(name(cls, F.col("mine"), cls + 1, b), F.lit(0)))
+    down = F.transform(seq("below"), lambda b: task(name(cls - 1, b, cls, F.col("mine")), F.lit(1)))
+    each = placed.select("id", F.when(F.col("blocks").isNull(), small).otherwise(F.concat(same, up, down)).alias("tasks"))
+    return each.groupBy("id").agg(F.flatten(F.collect_list("tasks")).alias("tasks"))
 
 
-def _with_sets(docs: DataFrame, members: DataFrame, id_col: str) -> DataFrame:
-    """(id, comp, tasks, grams) of each class, from the documents that stand
+def _with_sets(docs: DataFrame, members: DataFrame, small: bool, id_col: str) -> DataFrame:
+    """(id, hubs, tasks, grams) of each class, from the documents that stand
     for it. The id finds the documents, the signature the class: one id may
     stand for many."""
-    side = materialise(members.withColumnRenamed("class_id", "doc_id"))
+    side = members.withColumnRenamed("class_id", "doc_id").drop("n")
     ids = side.select("doc_id").distinct()
-    if side.count() <= BROADCAST_ROWS:
+    if small:
         side, ids = F.broadcast(side), F.broadcast(ids)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
     sets = texts.mapInArrow(_setter, "doc_id long, sig binary, grams binary")
-    return sets.join(side, ["doc_id", "sig"]).select("id", "comp", "tasks", "grams")
+    return sets.join(side, ["doc_id", "sig"]).select("id", "hubs", "tasks", "grams")
+
+
+def _hubs(classes: DataFrame) -> DataFrame:
+    """(id, hubs) of the classes that share a bucket with another one: the hub
+    in each band, -1 where there is no other class."""
+    placed = classes.select("id", F.posexplode("bands").alias("band", "bucket"))
+    hubs = placed.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("k")).where("k > 1").drop("k")
+    met = placed.join(hubs, "bucket").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("band", "hub"))).alias("by_band"))
+    return met.select("id", F.array(*(F.coalesce(F.try_element_at("by_band", F.lit(b)), F.lit(-1).cast("long")) for b in range(BANDS))).alias("hubs"))
 
 
 def similar_classes(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -214,28 +242,32 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame,
     document; classes has ``sig``, ``id`` (the number of the class) and
     ``class_id`` (its smallest document); linked has ``id``, ``links``,
     ``group_id`` and ``first`` (whether the class stands for its group), for
-    the classes that have links."""
+    the classes that have links.
+
+    Null, empty and blank texts have no signature and rows without an id no
+    class; rows that repeat id and text are of one class; an empty table gives
+    three empty ones."""
     modest_batches(docs)
-    signed = materialise(docs.select(F.col(id_col).cast("long").alias("doc_id"), "text").mapInArrow(_signer, "doc_id long, sig binary, n long, bands array<long>"))
-    some = signed.where("sig IS NOT NULL AND doc_id IS NOT NULL")
-    grouped = some.groupBy("sig").agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    classes = materialise(grouped.withColumn("id", F.monotonically_increasing_id()))  # written once, so the numbers stay
-    placed = classes.select("id", F.explode("bands").alias("band"))
-    hubs = placed.groupBy("band").agg(F.min("id").alias("hub"), F.count("*").alias("k")).where("k > 1")
-    edges = placed.join(hubs, "band").where("id != hub").select(F.col("id").alias("a"), F.col("hub").alias("b"))
-    comps = materialise(components(edges))
-    members = materialise(comps.select("id", F.col("root").alias("comp")).join(classes.select("id", "class_id", "n", "sig"), "id"))
-    with_sets = _with_sets(docs, _tasks(members), id_col)
-    dealt = with_sets.select("id", "comp", "grams", F.explode("tasks").alias("t")).select("id", "comp", "grams", "t.*")
-    checked = materialise(dealt.groupBy("task").applyInArrow(_verify, "id long, links long, root long"))
-    forest = components(checked.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    counts = checked.groupBy("id").agg(F.sum("links").alias("links"))
-    nodes = materialise(counts.join(forest, "id").join(members.select("id", "class_id", "sig"), "id"))
-    heads = materialise(nodes.groupBy("root").agg(F.min(F.struct("class_id", "sig")).alias("head")))
-    if heads.count() <= BROADCAST_ROWS:
-        heads = F.broadcast(heads)
-    linked = nodes.join(heads, "root").select("id", "links", F.col("head.class_id").alias("group_id"), (F.col("sig") == F.col("head.sig")).alias("first"))
-    return signed.select("doc_id", "sig", "n"), classes.select("sig", "id", "class_id"), materialise(linked)
+    spark = docs.sparkSession
+    with scratch(spark) as keep:
+        signed = keep(materialise(docs.select(F.col(id_col).cast("long").alias("doc_id"), "text").mapInArrow(_signer, "doc_id long, sig binary, n long, bands array<long>")))
+        some = signed.where("sig IS NOT NULL AND doc_id IS NOT NULL")
+        grouped = some.groupBy("sig").agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+        classes = keep(materialise(grouped.withColumn("id", F.monotonically_increasing_id())))  # written once, so the numbers stay
+        members = materialise(_hubs(classes).join(classes.select("id", "class_id", "n", "sig"), "id"))
+        of_all = members.agg(F.sum(F.col("n") * F.size(F.array_distinct("hubs")))).first()[0] or 0
+        dealt = materialise(members.join(_tasks(members, of_all), "id"))
+        total = dealt.agg(F.count("*"), F.sum(F.size("tasks")), F.sum(F.col("n") * F.size("tasks"))).first()
+        small = total[0] * (64 + 8 * BANDS) + (total[1] or 0) * 64 <= BROADCAST_BYTES
+        with_sets = _with_sets(docs, dealt, small, id_col)
+        each = with_sets.select("id", "hubs", "grams", F.explode("tasks").alias("t")).select("id", "hubs", "grams", "t.*").repartition(partitions(spark, total[2] or 0, PART_GRAMS), "task")
+        checked = materialise(each.groupBy("task").applyInArrow(_verify, "id long, links long, root long"))
+        forest = components(checked.select(F.col("id").alias("a"), F.col("root").alias("b")))
+        counts = checked.groupBy("id").agg(F.sum("links").alias("links"))
+        nodes = materialise(counts.join(forest, "id").join(members.select("id", "class_id", "sig"), "id"))
+        heads = materialise(nodes.groupBy("root").agg(F.min(F.struct("class_id", "sig")).alias("head")))
+        linked = join_small(nodes, heads, ["root"], ["id"]).select("id", "links", F.col("head.class_id").alias("group_id"), (F.col("sig") == F.col("head.sig")).alias("first"))
+        return signed.select("doc_id", "sig", "n"), classes.select("sig", "id", "class_id"), keep(materialise(linked))
 
 
 def _placed(docs: DataFrame, id_col: str) -> DataFrame:
@@ -264,7 +296,11 @@ def join(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The documents that stand for their groups: of each group the class with
-    the smallest id, and of that class the rows with this id."""
+    the smallest id, and of that class the rows with this id.
+
+    Null, empty and blank texts and rows without an id all stay; rows that
+    repeat id and text stay or go together; an empty table gives no rows;
+    columns of any name may be there beside id and text."""
     gone_id, gone_sig = free_name(docs, "_gone"), free_name(docs, "_gone_sig")
     rows = materialise(_placed(docs, id_col).where("doc_id IS NOT NULL").select("doc_id", "sig", "gone"))
     gone = rows.where("gone").select("doc_id", "sig").distinct()
