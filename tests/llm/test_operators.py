@@ -170,14 +170,67 @@ def test_substring_dedup(odd):
     assert {r.doc_id: r.n_removed for r in rows if r.doc_id in (5, 6)} == {5: 0, 6: 30_000}
     assert sum(r.n_removed for r in rows) == 30_000
     assert [r.kept_sha256 for r in rows if r.doc_id == 6] == [hashlib.sha256(b"more").hexdigest()]
-    assert substring_dedup.factors(np.array([0, 1, 1, 0, 1, 0], bool), 3) == [(1, 5), (4, 7)]
+    hit, r, p = np.array([0, 1, 1, 0, 1, 1, 1], bool), np.array([0, 9, 9, 0, 9, -8, -8]), np.array([0, 4, 5, 0, 2, 3, 4])
+    assert substring_dedup.factors(hit, r, p, 3) == [(1, 5, 9, 4), (4, 7, 9, 2), (5, 9, -8, 3)]
 
 
-def test_anchors_depend_on_the_phrase_alone():
-    words = np.random.default_rng(2).integers(0, 5, 300).astype(np.uint64)
-    found = substring_dedup.anchors(words)
-    assert len(found) == 288
-    assert all(found[i] == substring_dedup.anchors(words[i : i + 13])[0] for i in range(288))
+def brute_removed(rows):
+    """Removed words per row by comparing all phrases as words."""
+    first = {}
+    for id_, text in rows:
+        words, key = (text or "").split(), substring_dedup.NO_ID if id_ is None else id_
+        for i in range(len(words) - 12):
+            phrase = tuple(words[i : i + 13])
+            first[phrase] = min(first.get(phrase, key), key)
+    out = []
+    for id_, text in rows:
+        words, key = (text or "").split(), substring_dedup.NO_ID if id_ is None else id_
+        gone = {i + k for i in range(len(words) - 12) if first[tuple(words[i : i + 13])] < key for k in range(13)}
+        out.append((id_, len(words), len(gone), hashlib.sha256(" ".join(w for i, w in enumerate(words) if i not in gone).encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+def test_substring_dedup_against_brute_force(spark):
+    """Copies, passages of all lengths, texts of few words, shared and missing ids."""
+    rng, rows = random.Random(12), []
+    passages = [[f"p{rng.randrange(900)}" for _ in range(n)] for n in (12, 13, 14, 20, 40, 90, 200)]
+    for i in range(150):
+        words = []
+        for _ in range(rng.randrange(1, 5)):
+            words += [f"w{rng.randrange(5 if i % 7 == 0 else 3000)}" for _ in range(rng.randrange(60))]
+            start = rng.randrange(8)
+            words += rng.choice(passages)[start if rng.random() < 0.5 else 0 :]
+        if rows and i % 9 == 0:  # a copy with one word changed
+            words = rng.choice(rows)[1].split()
+            words[rng.randrange(len(words))] = "edit"
+        rows.append((rng.choice([None, -5, 3]) if i % 20 == 19 else 1000 - i, " ".join(words)))
+    rows += [(None, None), (2, ""), (-7, rows[3][1]), rows[5], rows[5]]
+    got = substring_dedup.find_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=str) == brute_removed(rows)
+    # every factor is one contiguous piece of one earlier document
+    texts = collections.defaultdict(list)
+    for id_, text in rows:
+        texts[substring_dedup.NO_ID if id_ is None else id_].append((text or "").split())
+    n = 0
+    for r in got:
+        own = [w for w in texts[substring_dedup.NO_ID if r.doc_id is None else r.doc_id] if len(w) == r.n_words]
+        for f in r.spans:
+            n += 1
+            length = f.end - f.start
+            assert f.ref_id < (substring_dedup.NO_ID if r.doc_id is None else r.doc_id) and length >= 13
+            assert any(o[f.start : f.end] == ref[f.ref_start : f.ref_start + length] for o in own for ref in texts[f.ref_id])
+    assert n > 100
+
+
+def test_anchors_and_chunks_depend_on_their_words_alone():
+    words = np.random.default_rng(2).integers(0, 1 << 60, 40).astype(np.uint64)[np.random.default_rng(3).integers(0, 40, 600)]
+    both = substring_dedup.sums(words)
+    found = substring_dedup.anchors(both[0])
+    assert len(found) == 588
+    assert all(found[i] == substring_dedup.anchors(substring_dedup.sums(words[i : i + 13])[0])[0] for i in range(588))
+    inner = substring_dedup.chunks(substring_dedup.sums(words[50:500]))
+    outer = set(zip(*(c.tolist() for c in substring_dedup.chunks(both)), strict=True))
+    assert len(inner[0]) > 5 and {(a + 50, b + 50, k1, k2) for a, b, k1, k2 in zip(*(c.tolist() for c in inner), strict=True)} <= outer
 
 
 def test_license_scan(spark, odd):
