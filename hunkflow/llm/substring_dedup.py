@@ -24,8 +24,8 @@ The index is built coarse to fine, so that most phrases never leave their task:
 
 Chunks and phrases are compared by 128-bit hashes of their words: among n of
 them about n * n / 2 ** 129 pairs are taken for equal by chance, 10 ** -12 for
-the 10 ** 13 phrases of 100 TB. Rows are told apart by id and a hash of the
-text, so an id may hold many rows.
+the 10 ** 13 phrases of 100 TB. Where ids repeat, rows are told apart by a hash
+of the text as well, so an id may hold many rows.
 """
 
 from __future__ import annotations
@@ -249,8 +249,12 @@ def _cut_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _texts(docs: DataFrame, id_col: str) -> DataFrame:
-    no_id: Column = F.lit(NO_ID)
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), no_id).alias("id"), F.xxhash64("text").alias("sig"), "text")
+    """(id, sig, text). The hash tells rows of one id apart; where no id is
+    repeated it would only add to what is moved, and is 0."""
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), "text")
+    unique = rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    sig: Column = F.lit(0).cast("long") if unique else F.xxhash64("text")
+    return rows.select("id", sig.alias("sig"), "text")
 
 
 # In both functions counts and minima are formed map-side, and what meets them
@@ -273,8 +277,7 @@ def _earlier(rows: DataFrame, name: str) -> DataFrame:
     """(id, sig, hits) of the documents with keys that a document of a smaller
     id has: hits are (k1, k2, r, p), with the first such document and the place there."""
     pairs = rows.select(*ROW, F.inline(F.arrays_zip("k1", "k2", "pos")))
-    first = F.min(F.struct(F.col("id").alias("r"), F.col("pos").alias("p"))).alias("first")
-    known = pairs.groupBy("k1", "k2").agg(first, F.max("id").alias("last")).where("first.r < last").select("k1", "k2", "first.r", "first.p")
+    known = pairs.groupBy("k1", "k2").agg(F.min("id").alias("r"), F.min_by("pos", "id").alias("p"), F.max("id").alias("last")).where("r < last").drop("last")
     known = materialise(known)
     release(rows.sparkSession)
     met = pairs.join(known, ["k1", "k2"]).where("id > r").select(*ROW, F.struct("k1", "k2", "r", "p").alias("hit"))
@@ -286,7 +289,8 @@ def _earlier(rows: DataFrame, name: str) -> DataFrame:
 def find_spans(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One row per document: ``doc_id``, ``n_words``, ``n_removed``,
     ``kept_sha256`` and ``spans`` (start and end word of each factor, the
-    reference document and where the factor starts in it).
+    reference document and where the factor starts in it; among rows that share
+    the reference's id, in one of them).
 
     Words that are equal byte for byte, between ASCII white space, are equal.
     A text of fewer than 13 words, an empty or null one keeps all its words.
