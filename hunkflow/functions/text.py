@@ -8,9 +8,18 @@ from pyspark.sql import functions as F
 from . import rules
 
 
+SPACE = " \t\n\x0b\f\r"
+
+
 def trim(c: Column) -> Column:
     """Strip ASCII white space of any kind, not only spaces."""
-    return F.regexp_replace(c, r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$", "")
+    return F.btrim(c, F.lit(SPACE))
+
+
+def indent(c: Column) -> Column:
+    """Characters before the first that is no white space; -1 if there is none."""
+    rest = F.char_length(F.ltrim(c, F.lit(SPACE)))
+    return F.when(rest == 0, -1).otherwise(F.char_length(c) - rest)
 
 
 def matches(c: Column, patterns: list[str] | str) -> Column:

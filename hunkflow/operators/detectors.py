@@ -16,6 +16,7 @@ from pyspark.sql.window import WindowSpec
 
 from ..functions import rules as R
 from ..functions import text as T
+from . import bodies, susceptibility
 
 #: What orders findings: detector, file, hunk, pass over the hunk, positions.
 ORDER = ("det", "file_idx", "hunk_idx", "phase", "i1", "i2")
@@ -26,10 +27,10 @@ def _hunk() -> WindowSpec:
     return W.partitionBy("scan_id", "file_idx", "hunk_idx")
 
 
-def _finding(df: DataFrame, pattern: str, phase: int, confidence: Column, kind: Column, evidence: Column, i1="line_idx", i2=None, start="line_no", end="line_no") -> DataFrame:
+def _finding(df: DataFrame, pattern: str, phase: int | Column, confidence: Column, kind: Column, evidence: Column, i1="line_idx", i2=None, start="line_no", end="line_no") -> DataFrame:
     col = lambda c: F.col(c) if isinstance(c, str) else c
     return df.select(
-        "scan_id", F.lit(R.DETECTORS.index(pattern)).alias("det"), "file_idx", "hunk_idx", F.lit(phase).alias("phase"), col(i1).cast("int").alias("i1"),
+        "scan_id", F.lit(R.DETECTORS.index(pattern)).alias("det"), "file_idx", "hunk_idx", (phase if isinstance(phase, Column) else F.lit(phase)).alias("phase"), col(i1).cast("int").alias("i1"),
         (F.lit(0) if i2 is None else col(i2)).cast("int").alias("i2"), F.lit(pattern).alias("pattern_type"), "path", col(start).cast("int").alias("line_start"),
         col(end).cast("int").alias("line_end"), confidence.alias("confidence"), kind.alias("kind"), evidence.alias("evidence"), "importance",
     )
@@ -40,58 +41,61 @@ def _functional(lines: DataFrame) -> DataFrame:
 
 
 def disabled_assertions(lines: DataFrame) -> DataFrame:
-    """D1: skipped, focused, never-true, commented-out and empty tests."""
+    """D1: skipped, focused, never-true, commented-out and empty tests. Every
+    line is judged in one pass; ``phase`` says by which of the three rules."""
     raw, lang = F.col("raw"), F.col("lang")
     rule = lambda table: F.coalesce(T.by_language(lang, table, lambda p: T.matches(raw, p)), F.lit(False))
-    kind = (
-        F.when(F.col("marker") == " ", None)
-        .when(rule(R.SKIP) & T.matches(raw, r"\.todo\s*\("), "todo")
-        .when(rule(R.SKIP), F.when(~T.matches(raw, r"describe\s*\.\s*skip\s*\(") & T.matches(raw, R.HAS_REASON), "skip_with_reason").otherwise("skip"))
-        .when(rule(R.FOCUS), "focus")
-        .when(rule(R.NEVER_TRUE), "if_false")
-        .when(rule(R.COMMENTED_OUT), "comment")
+    skip = (
+        F.when(T.matches(raw, r"\.todo\s*\("), "todo")
+        .when(~T.matches(raw, r"describe\s*\.\s*skip\s*\(") & T.matches(raw, R.HAS_REASON), "skip_with_reason")
+        .otherwise("skip")
     )
+    kind = F.when(F.col("marker") == " ", None).when(rule(R.SKIP), skip).when(rule(R.FOCUS), "focus").when(rule(R.NEVER_TRUE), "if_false").when(rule(R.COMMENTED_OUT), "comment")
     source_changed = F.max((~F.col("is_test") & F.col("lang").isNotNull()).cast("int")).over(W.partitionBy("scan_id")) == 1
     active = F.max(((F.col("marker") == "+") & ~T.matches(F.col("body"), r"^\s*//") & T.matches(F.col("body"), R.ACTIVE_ASSERTION)).cast("int")).over(_hunk()) == 1
-    near = _hunk().orderBy("line_idx").rangeBetween(-2, 2)
+    near = F.max(F.col("kind").isNotNull().cast("int")).over(_hunk().orderBy("line_idx").rangeBetween(-2, 2)) == 1
+    free = (F.col("marker") == "+") & ~F.col("near") & raw.contains("(")
     seen = _functional(lines).withColumn("source_changed", source_changed).where("is_test").withColumn("kind", kind)
-    seen = seen.withColumn("active", active).withColumn("near", F.max(F.col("kind").isNotNull().cast("int")).over(near) == 1)
-    added = F.col("marker") == "+"
-    inline = seen.where(added & T.matches(raw, R.EMPTY_TEST) & ~F.col("near"))
-    inline = _greedy(inline, "line_idx")
+    seen = seen.withColumns({"active": active, "near": near})
+    seen = seen.withColumns({"inline": _greedy(free & T.matches(raw, R.EMPTY_TEST)), "opens": free & T.matches(raw, R.TEST_OPEN)})
+    # those found inline are matches already; an open line near one is passed over
+    beside = F.max(F.col("inline").cast("int")).over(_hunk().orderBy("line_idx").rangeBetween(-2, 2)) == 1
+    seen = _empty_bodies(seen.withColumn("opens", F.col("opens") & ~beside))
+    phase = F.when(F.col("kind").isNotNull(), 0).when(F.col("inline"), 1).when(F.col("empty_body"), 2)
+    found = seen.withColumn("phase", phase).where("phase IS NOT NULL")
     conf = (
-        F.when(F.col("kind").isin("skip", "focus", "if_false"), "high")
+        F.when(F.col("phase") > 0, "medium").when(F.col("kind").isin("skip", "focus", "if_false"), "high")
         .when((F.col("kind") == "comment") & ~F.col("source_changed") & ~F.col("active"), "medium")
         .otherwise("low")
-    )
-    evidence = F.substring(T.trim(F.col("body")), 1, 200)
-    found = _finding(seen.where("kind IS NOT NULL"), "disabled_assertion", 0, conf, F.col("kind"), evidence)
-    empty = _finding(inline, "disabled_assertion", 1, F.lit("medium"), F.lit("empty_test"), evidence)
-    return found.unionByName(empty).unionByName(_finding(_empty_bodies(seen, inline), "disabled_assertion", 2, F.lit("medium"), F.lit("empty_test"), evidence))
-
-
-def _greedy(df: DataFrame, pos: str) -> DataFrame:
-    """Per hunk, keep rows from the top that are 3 or more lines below the last
-    one kept: a fold over the hunk's few candidate positions."""
-    kept = F.aggregate(F.array_sort(F.collect_list(pos).over(_hunk())), F.array().cast("array<int>"), lambda a, x: F.when((F.size(a) == 0) | (x - F.element_at(a, -1) >= 3), F.concat(a, F.array(x.cast("int")))).otherwise(a))
-    return df.withColumn("_kept", kept).where(F.array_contains("_kept", F.col(pos).cast("int"))).drop("_kept")
-
-
-def _empty_bodies(seen: DataFrame, inline: DataFrame) -> DataFrame:
-    """Tests opened on an added line whose braces close within 20 lines
-    without an assertion on the way."""
-    keys = ["scan_id", "file_idx", "hunk_idx"]
-    opens = seen.where((F.col("marker") == "+") & T.matches(F.col("raw"), R.TEST_OPEN) & ~F.col("near"))
-    after = seen.select(*keys, F.col("line_idx").alias("j"), (F.regexp_count("raw", F.lit(r"\{")) - F.regexp_count("raw", F.lit(r"\}"))).alias("step"), (~T.matches(F.col("raw"), r"^\s*//") & T.matches(F.col("raw"), R.BODY_ASSERTION)).alias("asserts"))
-    pairs = opens.select(*keys, "line_idx").join(after, keys).where("j BETWEEN line_idx AND line_idx + 19")
-    run = W.partitionBy(*keys, "line_idx").orderBy("j")
-    pairs = pairs.withColumn("depth", F.sum("step").over(run)).withColumn("inside", F.max((F.col("depth") > 0).cast("int")).over(run) == 1)
-    ends = pairs.groupBy(*keys, "line_idx").agg(F.min(F.when(F.expr("inside AND depth = 0"), F.col("j"))).alias("end"), F.min(F.when(F.expr("inside AND NOT (inside AND depth = 0) AND asserts"), F.col("j"))).alias("hit"))
-    bare = opens.join(ends.where("end IS NOT NULL AND (hit IS NULL OR hit > end)").select(*keys, "line_idx"), [*keys, "line_idx"], "left_semi")
-    both = bare.withColumn("_new", F.lit(1)).unionByName(inline.withColumn("_new", F.lit(0)))
-    # those found inline are matches already; an open line near one is passed over
-    first = both.withColumn("_inline", F.max(1 - F.col("_new")).over(_hunk().orderBy("line_idx").rangeBetween(-2, 2)))
-    return _greedy(first.where("_new = 1 AND _inline = 0"), "line_idx").drop("_new", "_inline")
+    )
+    return _finding(found, "disabled_assertion", F.col("phase"), conf, F.coalesce("kind", F.lit("empty_test")), F.substring(T.trim(F.col("body")), 1, 200))
+
+
+def _greedy(candidate: Column) -> Column:
+    """Per hunk, whether a row is a candidate 3 or more lines below the last one
+    kept: a fold over the hunk's few candidate positions."""
+    at = F.array_sort(F.collect_list(F.when(candidate, F.col("line_idx"))).over(_hunk()))
+    kept = F.aggregate(at, F.array().cast("array<int>"), lambda a, x: F.when((F.size(a) == 0) | (x - F.element_at(a, -1) >= 3), F.concat(a, F.array(x.cast("int")))).otherwise(a))
+    return F.array_contains(kept, F.col("line_idx").cast("int"))
+
+
+def _empty_bodies(seen: DataFrame) -> DataFrame:
+    """Adds ``empty_body``: tests that open on such a line (``opens``) and whose
+    braces close within 20 lines without an assertion on the way. Only hunks
+    with an open line look at the lines that follow."""
+    seen = seen.withColumn("opening", F.max(F.col("opens").cast("int")).over(_hunk()) == 1)
+    step = F.regexp_count("raw", F.lit(r"\{")) - F.regexp_count("raw", F.lit(r"\}"))
+    asserts = ~T.matches(F.col("raw"), r"^\s*//") & T.matches(F.col("raw"), R.BODY_ASSERTION)
+    seen = seen.withColumn("step", F.when(F.col("opening"), F.struct(step.alias("by"), asserts.alias("asserts"))))
+    after = F.collect_list("step").over(_hunk().orderBy("line_idx").rowsBetween(0, 19))
+    # the first that happens inside the braces: 1 they close, 2 an assertion
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("inside"), F.lit(0).alias("end"))
+    depth = lambda a, x: a["depth"] + x["by"]
+    inside = lambda a, x: a["inside"] | (depth(a, x) > 0)
+    event = lambda a, x: F.when(a["end"] > 0, a["end"]).when(~inside(a, x), 0).when(depth(a, x) == 0, 1).when(x["asserts"], 2).otherwise(0)
+    end = F.aggregate("after", start, lambda a, x: F.struct(depth(a, x).alias("depth"), inside(a, x).alias("inside"), event(a, x).alias("end")), lambda a: a["end"])
+    seen = seen.withColumn("after", after).withColumn("bare", F.col("opens") & (F.when(F.col("opens"), end) == 1))
+    return seen.withColumn("empty_body", _greedy(F.col("bare"))).drop("after", "step")
 
 
 def _safe(body: Column) -> Column:
@@ -107,7 +111,7 @@ def assertions(lines: DataFrame) -> DataFrame:
     comment = T.by_language(lang, R.COMMENT_START, lambda s: T.matches(body, r"^\s*(" + "|".join(s) + ")"))
     changed = _functional(lines).where("is_test AND marker <> ' '").where(~comment & _safe(body))
     is_js = lang == "javascript"
-    known = F.when(is_js, T.matches(body, R.JS_ASSERTION)).otherwise(T.by_language(lang, R.ASSERTION, lambda a: T.matches(body, a[0])))
+    known = F.when(is_js, body.contains("expect") & T.matches(body, R.JS_ASSERTION)).otherwise(T.by_language(lang, R.ASSERTION, lambda a: T.matches(body, a[0])))
     value = F.when(is_js, T.trim(F.regexp_extract(body, R.JS_ASSERTION, 2))).otherwise(
         T.by_language(lang, R.ASSERTION, lambda a: F.when(T.matches(body, a[1]), T.trim(F.regexp_extract(body, a[1], 1))).otherwise("<unknown>"))
     )
@@ -128,10 +132,11 @@ def tampered_assertions(lines: DataFrame) -> DataFrame:
     """D2: removed and added assertions of one method with different values,
     and removed ones that nothing replaces. An equi-join per hunk."""
     keys = ["scan_id", "file_idx", "hunk_idx"]
-    marked = assertions(lines)
-    has = lambda old_new, method, value: F.array_contains(F.collect_set(F.when(F.col("marker") == old_new, F.struct(method.alias("m"), value.alias("v")))).over(_hunk()), F.struct(F.col("method").alias("m"), F.col("value").alias("v")))
-    side = lambda m: F.count(F.when(F.col("marker") == m, 1)).over(_hunk())
-    marked = marked.withColumns({"in_new": has("+", F.col("method"), F.col("value")), "in_old": has("-", F.col("method"), F.col("value")), "n_old": side("-"), "n_new": side("+")})
+    side = lambda m, *by: F.count(F.when(F.col("marker") == m, 1)).over(W.partitionBy(*keys, *by))
+    marked = assertions(lines).withColumns({
+        "in_new": side("+", "method", "value") > 0, "in_old": side("-", "method", "value") > 0, "n_old": side("-"), "n_new": side("+"),
+        "method_stays": side("+", "method") > 0, "value_stays": side("+", "value") > 0,
+    })
     marked = marked.join(source_change(lines), "scan_id", "left")
     base = F.lower(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.(test|spec|_test|Test)\.?\w*$", ""))
     change = F.when(F.array_contains("sources", base), "specific").when(F.size("sources") > 0, "any").otherwise("none")
@@ -147,9 +152,7 @@ def tampered_assertions(lines: DataFrame) -> DataFrame:
     level = lambda k: F.when(k.isin("with_source", "refactored", "expanded"), "low").when(k.isin("other_source", "swapped"), "medium").otherwise("high")
     evidence = F.substring("body", 1, 120)
     changed = _finding(pairs.withColumn("kind", kind), "assertion_tampering", 0, level(F.col("kind")), F.col("kind"), evidence, "old_idx", "line_idx")
-    values = lambda c: F.collect_set(F.when(F.col("marker") == "+", F.col(c))).over(_hunk())
-    gone = marked.withColumns({"new_methods": values("method"), "new_values": values("value")}).where("marker = '-'")
-    gone = gone.where(~F.array_contains("new_methods", F.col("method")) & ~F.array_contains("new_values", F.col("value")) & ~((F.col("n_new") >= F.col("n_old")) & (F.col("n_new") > 0)))
+    gone = marked.where("marker = '-' AND NOT method_stays AND NOT value_stays AND NOT (n_new >= n_old AND n_new > 0)")
     removed = _finding(gone, "assertion_tampering", 1, F.when(F.col("change") == "none", "medium").otherwise("low"), F.lit("removed"), evidence)
     return changed.unionByName(removed)
 
@@ -200,28 +203,34 @@ def claim_mismatch(lines: DataFrame, scans: DataFrame) -> DataFrame:
 
 
 def silent_catches(lines: DataFrame) -> DataFrame:
-    """D5: handlers that drop the error, on one line or over up to ten."""
+    """D5: handlers that drop the error, on one line or over up to ten. Most
+    lines hold none of the words that a handler needs and meet no pattern."""
     body, lang = F.col("body"), F.col("lang")
     base = _functional(lines).where("NOT catch_exempt")
+    low = F.lower(body)
+    likely = reduce(Column.__or__, (low.contains(w) for w in R.HANDLER_WORDS)) & (F.col("marker") == "+")
+    base = base.withColumn("likely", likely)
     rule = lambda table: T.by_language(lang, table, lambda p: T.matches(body, p))
-    kind = F.when(F.col("marker") == "+", F.when(rule(R.CATCH_EMPTY), "empty").when(rule(R.CATCH_TODO), "todo").when(rule(R.CATCH_PRINT), "console_only").when(T.matches(body, R.CATCH_NULL), "return_null").when(T.matches(body, R.CATCH_COMMENT), "comment_only").when(T.matches(body, R.FINALLY_EMPTY), "empty_finally"))
+    kind = F.when(F.col("likely"), F.when(rule(R.CATCH_EMPTY), "empty").when(rule(R.CATCH_TODO), "todo").when(rule(R.CATCH_PRINT), "console_only").when(T.matches(body, R.CATCH_NULL), "return_null").when(T.matches(body, R.CATCH_COMMENT), "comment_only").when(T.matches(body, R.FINALLY_EMPTY), "empty_finally"))
     base = base.withColumns({"kind": kind, "t": T.trim(body)})
-    after = _hunk().orderBy("line_idx").rowsBetween(1, 9)
-    opens = (F.col("marker") == "+") & T.by_language(lang, R.CATCH_OPEN, lambda p: T.matches(F.col("raw"), p)) & ~T.matches(F.col("t"), R.NOT_CATCH) & ~F.coalesce(lang.isin("python", "ruby"), F.lit(False))
-    # the lines that follow are gathered as small codes; only openers use them
+    opens = F.col("likely") & F.col("kind").isNull() & T.by_language(lang, R.CATCH_OPEN, lambda p: T.matches(F.col("raw"), p)) & ~T.matches(F.col("t"), R.NOT_CATCH) & ~F.coalesce(lang.isin("python", "ruby"), F.lit(False))
+    base = base.withColumn("opens", F.coalesce(opens, F.lit(False)))
+    base = base.withColumn("opening", F.max(F.col("opens").cast("int")).over(_hunk()) == 1).where("opening OR kind IS NOT NULL")
+    # the lines that follow an opener are gathered as small codes
     code = (
         F.when(F.col("marker") == "-", "-").when(F.col("t").startswith("}"), "}").when((F.col("t") == "") | (F.col("t") == "{"), "-")
         .when(T.matches(F.col("t"), R.BODY_COMMENT), F.when(T.matches(F.col("t"), R.UNFINISHED), "t").otherwise("c")).when(T.matches(F.col("t"), R.BODY_PRINT), "p").otherwise("x")
     )
-    base = base.withColumn("code", code)
+    base = base.withColumn("code", F.when(F.col("opening"), code))
+    after = _hunk().orderBy("line_idx").rowsBetween(1, 9)
     base = base.withColumn("next", F.array_join(F.collect_list("code").over(after), "")).withColumn("closing", F.regexp_extract("next", r"^([^}]*)\}", 1))
-    conf = F.when(F.col("kind").isin("empty", "return_null"), "high").when(F.col("kind").isin("todo", "comment_only"), "medium").otherwise("low")
-    single = _finding(base.where("kind IS NOT NULL"), "silent_catch_and_pass", 0, conf, F.col("kind"), F.substring("t", 1, 200))
-    block = base.where(opens & F.col("kind").isNull() & F.col("next").contains("}") & ~F.col("closing").contains("x"))
+    block = F.col("opens") & F.col("next").contains("}") & ~F.col("closing").contains("x")
+    found = base.withColumn("phase", F.when(F.col("kind").isNotNull(), 0).when(block, 1)).where("phase IS NOT NULL")
     how = F.when(F.col("closing").contains("t"), "block_todo").when(F.col("closing").contains("p"), "block_print").when(F.col("closing").contains("c"), "block_comment").otherwise("block_empty")
-    end = F.col("line_no") + F.char_length("closing") + 1
-    multi = _finding(block.withColumn("how", how), "silent_catch_and_pass", 1, F.when(F.col("how") == "block_empty", "high").otherwise("medium"), F.col("how"), F.substring("t", 1, 200), end=end)
-    return single.unionByName(multi)
+    found = found.withColumn("kind", F.coalesce("kind", how))
+    conf = F.when(F.col("kind").isin("empty", "return_null", "block_empty"), "high").when((F.col("phase") == 1) | F.col("kind").isin("todo", "comment_only"), "medium").otherwise("low")
+    end = F.when(F.col("phase") == 0, F.col("line_no")).otherwise(F.col("line_no") + F.char_length("closing") + 1)
+    return _finding(found, "silent_catch_and_pass", F.col("phase"), conf, F.col("kind"), F.substring("t", 1, 200), end=end)
 
 
 def custom_matchers(lines: DataFrame) -> DataFrame:
@@ -233,7 +242,7 @@ def custom_matchers(lines: DataFrame) -> DataFrame:
 
 def invented_matchers(lines: DataFrame) -> DataFrame:
     """D6: calls of matchers that no framework has, the first of each line."""
-    tests = _functional(lines).where("is_test AND marker = '+'").join(custom_matchers(lines), "scan_id", "left")
+    tests = _functional(lines).where("is_test AND marker = '+'").where(F.col("body").contains(".") & F.col("body").contains("(")).join(custom_matchers(lines), "scan_id", "left")
     called = tests.withColumns({"t": T.trim(F.col("body")), "calls": F.regexp_extract_all(T.trim(F.col("body")), F.lit(r"\.\s*([a-zA-Z]+)\s*\("), 1)}).where(F.size("calls") > 0)
     called = called.where(~F.element_at("calls", 1).isin(R.NOT_MATCHERS))
     valid = lambda m: F.coalesce(T.by_language(F.col("lang"), R.MATCHERS, lambda names: m.isin(names) if names else F.lit(False)), F.lit(False))
@@ -258,7 +267,11 @@ def agent_instructions(lines: DataFrame) -> DataFrame:
 
 
 def all_findings(lines: DataFrame, scans: DataFrame, more: list[DataFrame] | None = None) -> DataFrame:
-    """The findings of every detector, with ``seq``: their order in a scan."""
-    parts = [disabled_assertions(lines), tampered_assertions(lines), mocks(lines), claim_mismatch(lines, scans), silent_catches(lines), invented_matchers(lines), agent_instructions(lines), *(more or [])]
+    """The findings of every detector, with ``seq``: their order in a scan.
+    ``more``: findings of further detectors, with ``COLUMNS``."""
+    parts = [
+        disabled_assertions(lines), tampered_assertions(lines), mocks(lines), claim_mismatch(lines, scans), silent_catches(lines), invented_matchers(lines),
+        bodies.trivial_bodies(lines), susceptibility.found(lines), agent_instructions(lines), *(more or []),
+    ]
     both = reduce(DataFrame.unionByName, (p.select(*COLUMNS) for p in parts))
     return both.withColumn("seq", F.row_number().over(W.partitionBy("scan_id").orderBy(*ORDER)))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _M = 0xFFFFFFFF
+MOST_GROUPS = 100_000  # names that the driver shuffles
 
 
 def confusion(predicted: DataFrame, detectors: list[str], actual: str = "actual") -> DataFrame:
@@ -35,6 +36,20 @@ def gate(baseline: DataFrame, now: DataFrame, drop: float = 5.0) -> DataFrame:
     return joined.withColumn("failed", F.coalesce((F.col("old_precision") - F.col("precision") > drop) | (F.col("old_recall") - F.col("recall") > drop), F.lit(False)))
 
 
+def delta(before: DataFrame, after: DataFrame) -> DataFrame:
+    """EV-13: how the measures of two runs of the same detectors differ."""
+    old = before.select("detector", *(F.col(c).alias(f"old_{c}") for c in ("precision", "recall", "f1")))
+    joined = after.join(old, "detector", "full")
+    return joined.select("detector", *(F.round(F.coalesce(c, F.lit(0.0)) - F.coalesce(f"old_{c}", F.lit(0.0)), 1).alias(f"{c}_delta") for c in ("precision", "recall", "f1")))
+
+
+def sample(rows: DataFrame, key: str, share: float = 0.1, seed: int = 42) -> DataFrame:
+    """SL-10: a fixed sample of the given share of the rows, one at least: the
+    first by a hash of key and seed, a top-k that no task holds as a whole."""
+    n = max(1, math.ceil(share * rows.count()))
+    return rows.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))), key).limit(n)
+
+
 def suggested_weight(f1: Column) -> Column:
     return F.when(f1 == 0, 0).otherwise(F.least(F.lit(15), F.greatest(F.lit(0), F.floor(f1 * 20 + 0.5))))
 
@@ -60,6 +75,9 @@ def shuffled(items: list, seed: int) -> list:
 def holdout_split(rows: DataFrame, group: str = "repo", train: float = 0.7, seed: int = 42) -> DataFrame:
     """Adds ``part``: whole groups go to train or holdout. The groups' names,
     a bounded dimension, are shuffled on the driver to reproduce the split."""
-    names = shuffled(sorted(r[0] for r in rows.select(group).distinct().where(F.col(group).isNotNull()).collect()), seed)
+    found = rows.select(group).distinct().where(F.col(group).isNotNull()).limit(MOST_GROUPS + 1).collect()
+    if len(found) > MOST_GROUPS:
+        raise ValueError(f"more than {MOST_GROUPS} groups: split by a hash of the group instead")
+    names = shuffled(sorted(r[0] for r in found), seed)
     chosen = names[: math.ceil(train * len(names))]
     return rows.withColumn("part", F.when(F.col(group).isin(chosen), "train").otherwise("holdout"))

@@ -1,13 +1,59 @@
-"""Suggested patches for findings: ordered rules per pattern type and language."""
+"""Suggested patches for findings: ordered rules per pattern type and language.
+
+The rules are data: a pattern, and what the fixed code is put together from.
+``suggest`` makes column expressions of them, ``rule_cases`` the same in SQL.
+"""
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import text as T
 
+
+class Part(NamedTuple):
+    """A piece of fixed code: a group of the rule's pattern (``n``), without
+    its first character (``rest``), what ``find`` matches, the code itself, the
+    code trimmed, or ``text`` as a comment in the file's language."""
+
+    kind: str
+    n: int = 0
+    text: str = ""
+
+
+CODE, TRIMMED = Part("code"), Part("trimmed")
+
+
+def group(n: int) -> Part:
+    return Part("group", n)
+
+
+def rest(n: int) -> Part:
+    return Part("rest", n)
+
+
+def find(pattern: str) -> Part:
+    return Part("find", 0, pattern)
+
+
+def note(text: str) -> Part:
+    return Part("note", 0, text)
+
+
+class Rule(NamedTuple):
+    type: str
+    lang: str | None  # None: any
+    pattern: str
+    put: tuple[Part | str, ...]
+    risk: str
+    old: Part | None = None  # the first place of this is replaced, not the whole code
+    literal: tuple[str, str] | None = None  # every place of one text becomes another
+
+
 #: Our own templates, tried where no rule below applies: (kind of finding, what
 #: to find, what to put, risk); the first that matches wins.
 TEMPLATES = [
@@ -29,10 +75,6 @@ TEMPLATES = [
     ("mock_0", r"^\s*(jest|vi)\.(mock|doMock)\s*\(.*$", "", "risky"),
 ]
 
-_CATCH = r"(catch\s*(?:\([^)]*\))?\s*\{)"
-_JS_LOG = "\n    console.error('[Mantiz] Caught error:', error);\n    "
-_HANDLE = "TODO: Add proper error handling"
-
 #: Matchers that no framework has, and what they stand for; the first found wins.
 MATCHER_MAP = {
     "toExist": "toBeDefined", "toNotExist": "toBeNull", "toNotBe": "not.toBe", "toNotEqual": "not.toEqual", "toNotMatch": "not.toMatch", "toHave": "toHaveProperty",
@@ -41,88 +83,129 @@ MATCHER_MAP = {
 }
 
 
-def _comment(lang: Column, text: str) -> Column:
-    """``text`` as a comment in the language of the file, or of JavaScript."""
-    start = F.coalesce(T.by_language(lang, R.COMMENT_START, lambda s: F.lit(s[0])), F.lit("//"))
-    return F.concat(start, F.lit(" " + text))
+def _rules() -> list[Rule]:
+    out: list[Rule] = []
+    skip, catch, mock = "disabled_assertion", "silent_catch_and_pass", "mock_to_avoid_failure"
+
+    def swap(lang: str | None, pattern: str, old: Part, put: Part | str, risk: str) -> None:
+        out.append(Rule(skip, lang, pattern, (put,), risk, old))
+
+    def noted(lang: str, pattern: str, mark: str, text: str) -> None:
+        out.append(Rule(skip, lang, pattern, (mark + " ", TRIMMED, f"  {mark} TODO: {text}"), "moderate"))
+
+    def above(lang: str, pattern: str, text: str, mark: str = "// ") -> None:
+        out.append(Rule(skip, lang, pattern, (note("TODO: " + text), "\n", group(1), mark, TRIMMED), "moderate"))
+
+    swap(None, r"(it|test|describe)\.skip\s*\(", find(r"\.skip\s*\("), "(", "safe")
+    swap(None, r"(xit|xtest|xdescribe)\s*\(", group(1), rest(1), "safe")
+    swap(None, r"(fit|fdescribe)\s*\(", group(1), rest(1), "safe")
+    swap(None, r"if\s*\(\s*false\s*\)\s*\{", find(r"if\s*\(\s*false\s*\)\s*\{\s*\n?"), "", "moderate")
+    swap(None, r"//\s*(assert|expect|should)", find(r"//\s*"), "", "moderate")
+    noted("python", r"^\s*@pytest\.mark\.skip\s*$", "#", "Remove skip or add proper skip condition")
+    noted("python", r"^\s*@pytest\.mark\.skipif\s*\(", "#", "Remove conditional skip or justify properly")
+    noted("python", r"^\s*@unittest\.(?:skip|skipIf)\s*\(", "#", "Remove skip or justify")
+    noted("python", r"self\.skipTest\s*\(", "#", "Remove skipTest call")
+    out.append(Rule(skip, "python", r"if\s+False\s*:", (note("TODO: Remove if False: wrapper — code never executes"), "\n", CODE), "moderate"))
+    above("go", r"(\s*)t\.(?:Skip|Skipf|SkipNow)\s*\(", "Remove t.Skip() — test should verify behavior")
+    noted("java", r"^\s*@(?:Disabled|Ignore)\b", "//", "Remove @Disabled or add proper condition")
+    above("java", r"(\s*)(assumeTrue|assumeFalse)\s*\(", "Remove assumption — test may skip silently")
+    swap("ruby", r"(xit|xdescribe|xcontext|xspecify)\b", group(1), rest(1), "safe")
+    above("ruby", r"(\s*)pending\b", "Remove pending — test should verify behavior", "")
+    noted("rust", r"(?i)^\s*#\[ignore\]", "//", "Remove #[ignore] or add conditional compilation")
+    above("php", r"(\s*)(?:markTestSkipped|markTestIncomplete)\s*\(", "Remove skip — test should verify behavior")
+
+    js, log, handle = r"(catch\s*(?:\([^)]*\))?\s*\{)", "\n    console.error('[hunkflow] Caught error:', error);\n    ", note("TODO: Add proper error handling")
+    out.append(Rule(catch, None, js + r"\s*(\}\s*$)", (group(1), log, handle, "\n  ", group(2)), "moderate"))
+    out.append(Rule(catch, None, js + r"\s*//\s*(TODO|FIXME).*(\})", (group(1), log, handle, "\n  ", group(3)), "moderate", group(0)))
+    out.append(Rule(catch, None, js + r"\s*console\.\w+\s*\([^)]*\)\s*;?\s*(\})", (group(1), log + "throw error; ", note("Re-throw to fail the test"), "\n  ", group(2)), "risky"))
+    out.append(Rule(catch, "python", r"(except\s*\w*\s*:)\s*pass\s*$", (group(1), "\n    ", handle, "\n    print(f'[hunkflow] Caught error: {e}')\n    raise  # Re-raise to ensure test fails"), "risky"))
+    out.append(Rule(catch, "go", r"(if\s+err\s*!=\s*nil\s*\{\s*)return\s*(nil|0|\"\")\s*(\})", (group(1), "\n\t\t", handle, '\n\t\tlog.Printf("[hunkflow] Caught error: %v", err)\n\t\treturn fmt.Errorf("wrapping: %w", err)\n\t', group(3)), "risky"))
+    out.append(Rule(catch, "java", r"(catch\s*\([^)]*\)\s*\{)\s*(\}\s*$)", (group(1), "\n        ", handle, '\n        System.err.println("[hunkflow] Caught error: " + e.getMessage());\n        throw e;  // Re-throw to fail the test\n    ', group(2)), "risky"))
+    out.append(Rule(catch, "ruby", r"(rescue\s+\w*)\s*$", (group(1), "\n  ", handle, '\n  puts "[hunkflow] Caught error: #{e.message}"\n  raise  # Re-raise to fail the test'), "risky"))
 
+    for name, valid in MATCHER_MAP.items():
+        out.append(Rule("hallucinated_assertion", None, rf"\.{name}\(", (), "safe", None, (f".{name}(", f".{valid}(")))
+
+    out.append(Rule(mock, None, r"(jest|vi)\.mock\s*\(", (note("TODO: Add real-path test for this module"), "\n// ", CODE), "moderate"))
+    for pattern, text in (
+        (r"@(?:mock\.)?patch\s*\(", "# TODO: Add real-path test alongside this mock"),
+        (r"Mockito\.mock\s*\(|@Mock\b", "// TODO: Add real-path test alongside mock"),
+        (r"\.On\s*\(.*\)\.Return\s*\(", "// TODO: Add real-path test alongside mock"),
+        (r"allow\(.*\)\.to\s+receive", "# TODO: Add real-path test alongside mock"),
+    ):
+        out.append(Rule(mock, None, pattern, (text + "\n", CODE), "moderate"))
+    return out
 
-def _swap(code: Column, old: Column, new: Column) -> Column:
-    """``code`` with the first place of the text ``old`` replaced."""
-    at = F.position(old, code)
-    return F.concat(F.substr(code, F.lit(1), at - 1), new, F.substr(code, at + F.char_length(old)))
 
+RULES = _rules()
 
-def _rules(code: Column, lang: Column) -> list[tuple[str, str | None, Column, Column, str]]:
-    """(pattern type, language or None for any, condition, fixed code, risk)."""
-    out = []
 
-    def rule(kind: str, only: str | None, pattern: str, fixed, risk: str) -> None:
-        group = lambda n: F.regexp_extract(code, pattern, n)
-        out.append((kind, only, T.matches(code, pattern), fixed(group), risk))
-
-    def cut(pattern: str, put: str):
-        return lambda _: _swap(code, F.regexp_extract(code, f"({pattern})", 1), F.lit(put))
-
-    def unprefixed(n: int):
-        return lambda group: _swap(code, group(n), F.substr(group(n), F.lit(2)))
-
-    def noted(mark: str, note: str):
-        return lambda _: F.concat(F.lit(mark + " "), T.trim(code), F.lit(f"  {mark} TODO: {note}"))
-
-    def above(note: str, mark: str = "// "):
-        return lambda group: F.concat(_comment(lang, "TODO: " + note), F.lit("\n"), group(1), F.lit(mark), T.trim(code))
-
-    skip = "disabled_assertion"
-    rule(skip, None, r"(it|test|describe)\.skip\s*\(", cut(r"\.skip\s*\(", "("), "safe")
-    rule(skip, None, r"(xit|xtest|xdescribe)\s*\(", unprefixed(1), "safe")
-    rule(skip, None, r"(fit|fdescribe)\s*\(", unprefixed(1), "safe")
-    rule(skip, None, r"if\s*\(\s*false\s*\)\s*\{", cut(r"if\s*\(\s*false\s*\)\s*\{\s*\n?", ""), "moderate")
-    rule(skip, None, r"//\s*(assert|expect|should)", cut(r"//\s*", ""), "moderate")
-    rule(skip, "python", r"^\s*@pytest\.mark\.skip\s*$", noted("#", "Remove skip or add proper skip condition"), "moderate")
-    rule(skip, "python", r"^\s*@pytest\.mark\.skipif\s*\(", noted("#", "Remove conditional skip or justify properly"), "moderate")
-    rule(skip, "python", r"^\s*@unittest\.(?:skip|skipIf)\s*\(", noted("#", "Remove skip or justify"), "moderate")
-    rule(skip, "python", r"self\.skipTest\s*\(", noted("#", "Remove skipTest call"), "moderate")
-    rule(skip, "python", r"if\s+False\s*:", lambda _: F.concat(_comment(lang, "TODO: Remove if False: wrapper — code never executes"), F.lit("\n"), code), "moderate")
-    rule(skip, "go", r"(\s*)t\.(?:Skip|Skipf|SkipNow)\s*\(", above("Remove t.Skip() — test should verify behavior"), "moderate")
-    rule(skip, "java", r"^\s*@(?:Disabled|Ignore)\b", noted("//", "Remove @Disabled or add proper condition"), "moderate")
-    rule(skip, "java", r"(\s*)(assumeTrue|assumeFalse)\s*\(", above("Remove assumption — test may skip silently"), "moderate")
-    rule(skip, "ruby", r"(xit|xdescribe|xcontext|xspecify)\b", unprefixed(1), "safe")
-    rule(skip, "ruby", r"(\s*)pending\b", above("Remove pending — test should verify behavior", ""), "moderate")
-    rule(skip, "rust", r"(?i)^\s*#\[ignore\]", noted("//", "Remove #[ignore] or add conditional compilation"), "moderate")
-    rule(skip, "php", r"(\s*)(?:markTestSkipped|markTestIncomplete)\s*\(", above("Remove skip — test should verify behavior"), "moderate")
-
-    catch = "silent_catch_and_pass"
-    handle, lit = _comment(lang, _HANDLE), F.lit
-    rule(catch, None, _CATCH + r"\s*(\}\s*$)", lambda g: F.concat(g(1), lit(_JS_LOG), handle, lit("\n  "), g(2)), "moderate")
-    rule(catch, None, _CATCH + r"\s*//\s*(TODO|FIXME).*(\})", lambda g: _swap(code, g(0), F.concat(g(1), lit(_JS_LOG), handle, lit("\n  "), g(3))), "moderate")
-    rule(catch, None, _CATCH + r"\s*console\.\w+\s*\([^)]*\)\s*;?\s*(\})", lambda g: F.concat(g(1), lit(_JS_LOG + "throw error; "), _comment(lang, "Re-throw to fail the test"), lit("\n  "), g(2)), "risky")
-    rule(catch, "python", r"(except\s*\w*\s*:)\s*pass\s*$", lambda g: F.concat(g(1), lit("\n    "), handle, lit("\n    print(f'[Mantiz] Caught error: {e}')\n    raise  # Re-raise to ensure test fails")), "risky")
-    rule(catch, "go", r"(if\s+err\s*!=\s*nil\s*\{\s*)return\s*(nil|0|\"\")\s*(\})", lambda g: F.concat(g(1), lit("\n\t\t"), handle, lit('\n\t\tlog.Printf("[Mantiz] Caught error: %v", err)\n\t\treturn fmt.Errorf("wrapping: %w", err)\n\t'), g(3)), "risky")
-    rule(catch, "java", r"(catch\s*\([^)]*\)\s*\{)\s*(\}\s*$)", lambda g: F.concat(g(1), lit("\n        "), handle, lit('\n        System.err.println("[Mantiz] Caught error: " + e.getMessage());\n        throw e;  // Re-throw to fail the test\n    '), g(2)), "risky")
-    rule(catch, "ruby", r"(rescue\s+\w*)\s*$", lambda g: F.concat(g(1), lit("\n  "), handle, lit('\n  puts "[Mantiz] Caught error: #{e.message}"\n  raise  # Re-raise to fail the test')), "risky")
+def _fixed(rule: Rule, code: Column, lang: Column) -> Column:
+    """The fixed code, where the rule applies."""
 
-    for name, valid in MATCHER_MAP.items():
-        out.append(("hallucinated_assertion", None, code.contains(f".{name}("), F.replace(code, lit(f".{name}("), lit(f".{valid}(")), "safe"))
-
-    mock = "mock_to_avoid_failure"
-    keep = lambda note: lambda _: F.concat(lit(note + "\n"), code)
-    rule(mock, None, r"(jest|vi)\.mock\s*\(", lambda _: F.concat(_comment(lang, "TODO: Add real-path test for this module"), lit("\n// "), code), "moderate")
-    rule(mock, None, r"@(?:mock\.)?patch\s*\(", keep("# TODO: Add real-path test alongside this mock"), "moderate")
-    rule(mock, None, r"Mockito\.mock\s*\(|@Mock\b", keep("// TODO: Add real-path test alongside mock"), "moderate")
-    rule(mock, None, r"\.On\s*\(.*\)\.Return\s*\(", keep("// TODO: Add real-path test alongside mock"), "moderate")
-    rule(mock, None, r"allow\(.*\)\.to\s+receive", keep("# TODO: Add real-path test alongside mock"), "moderate")
-    return out
+    def part(p: Part | str) -> Column:
+        if isinstance(p, str):
+            return F.lit(p)
+        if p.kind == "note":  # in the language of the file, or as JavaScript does
+            start = F.coalesce(T.by_language(lang, R.COMMENT_START, lambda s: F.lit(s[0])), F.lit("//"))
+            return F.concat(start, F.lit(" " + p.text))
+        return {
+            "code": lambda: code, "trimmed": lambda: T.trim(code), "group": lambda: F.regexp_extract(code, rule.pattern, p.n),
+            "rest": lambda: F.substr(F.regexp_extract(code, rule.pattern, p.n), F.lit(2)), "find": lambda: F.regexp_extract(code, f"({p.text})", 1),
+        }[p.kind]()
+
+    if rule.literal:
+        return F.replace(code, F.lit(rule.literal[0]), F.lit(rule.literal[1]))
+    new = F.concat(*map(part, rule.put))
+    if rule.old is None:
+        return new
+    old = part(rule.old)
+    at = F.position(old, code)
+    return F.concat(F.substr(code, F.lit(1), at - 1), new, F.substr(code, at + F.char_length(old)))
 
 
 def _apply(pattern_type: Column, kind: Column, code: Column, lang: Column) -> tuple[Column, list[Column], list[str]]:
     """Number of the first rule that applies or null, and each rule's fixed
     code and risk."""
-    cases = [((pattern_type == p) & cond if only is None else (pattern_type == p) & (lang == only) & cond, fixed, risk) for p, only, cond, fixed, risk in _rules(code, lang)]
+    cases = []
+    for r in RULES:
+        applies = (pattern_type == r.type) & T.matches(code, r.pattern)
+        cases.append((applies if r.lang is None else applies & (lang == r.lang), _fixed(r, code, lang), r.risk))
     cases += [((kind == k) & T.matches(code, p), F.regexp_replace(code, F.lit(p), F.lit(put)), r) for k, p, put, r in TEMPLATES]
     return F.coalesce(*(F.when(cond, F.lit(n)) for n, (cond, _, _) in enumerate(cases))), [c[1] for c in cases], [c[2] for c in cases]
 
 
+def rule_cases(code: str = "evidence") -> list[tuple[str, str, str]]:
+    """SQL of each rule and template: (condition, fixed code, risk), over the
+    columns pattern_type, kind, lang and ``code``."""
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    extract = lambda p, n: f"regexp_extract({code}, {quote(p)}, {n})"
+    space = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    start = "CASE lang " + " ".join(f"WHEN '{k}' THEN '{v[0]}'" for k, v in R.COMMENT_START.items()) + " ELSE '//' END"
+
+    def part(rule: Rule, p: Part | str) -> str:
+        if isinstance(p, str):
+            return quote(p)
+        return {
+            "code": code, "trimmed": f"trim({code}, {space})", "group": extract(rule.pattern, p.n), "rest": f"substr({extract(rule.pattern, p.n)}, 2)",
+            "find": extract(f"({p.text})", 1), "note": f"({start} || {quote(' ' + p.text)})",
+        }[p.kind]
+
+    out = []
+    for r in RULES:
+        cond = f"pattern_type = '{r.type}' AND regexp_matches({code}, {quote(r.pattern)})" + (f" AND lang = '{r.lang}'" if r.lang else "")
+        new = " || ".join(part(r, p) for p in r.put)
+        if r.literal:
+            new = f"replace({code}, {quote(r.literal[0])}, {quote(r.literal[1])})"
+        elif r.old is not None:
+            old = part(r, r.old)
+            new = f"substr({code}, 1, instr({code}, {old}) - 1) || {new} || substr({code}, instr({code}, {old}) + length({old}))"
+        out.append((cond, new, r.risk))
+    for kind, pattern, put, risk in TEMPLATES:
+        out.append((f"kind = '{kind}' AND regexp_matches({code}, {quote(pattern)})", f"regexp_replace({code}, {quote(pattern)}, {quote(put.replace('$1', chr(92) + '1'))}, 'g')", risk))
+    return out
+
+
 def suggest(findings: DataFrame) -> DataFrame:
     """One patch per (scan, path, line, pattern): original, fixed, risk, and
     ``seq``, the order of the findings. A finding that no rule fits has none;

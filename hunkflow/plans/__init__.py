@@ -1,8 +1,8 @@
 """Registered queries: name -> (query, equivalent SQL or None)."""
 
-from . import history, relational, scan
+from . import history, relational, scan, toolkit
 
-_MODULES = (scan, relational, history)
+_MODULES = (scan, relational, toolkit, history)
 
 
 def all_queries() -> dict:

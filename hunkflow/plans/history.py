@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import detectors, patches, susceptibility
+from ..operators import patches
 from ..sources import change_sets, diffs
 from ..streaming import author_events as A
 from . import scan
@@ -30,14 +30,9 @@ def st_sessions(spark, sf_dir):
     return A.sessions(_events(spark, sf_dir)).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
-def d10_susceptible_hunks(spark, sf_dir):
-    return susceptibility.susceptible_hunks(diffs.parse_lines(change_sets.change_sets(spark, sf_dir)), 5)
-
-
 def _findings(spark, sf_dir):
     scans = change_sets.change_sets(spark, sf_dir)
-    lines = diffs.parse_lines(scans).persist()  # every detector reads them
-    return detectors.all_findings(lines, scans), scans
+    return scan.found_of(diffs.parse_lines(scans), scans), scans
 
 
 def hl_patches(spark, sf_dir):
@@ -54,20 +49,29 @@ QUERIES = {
     "st_profiles": st_profiles,
     "st_tumbling": st_tumbling,
     "st_sessions": st_sessions,
-    "d10_susceptible_hunks": d10_susceptible_hunks,
     "hl_patches": hl_patches,
     "hl_patched_diffs": hl_patched_diffs,
 }
 
-_FIX = " ".join(f"WHEN kind = '{k}' AND regexp_matches(evidence, {diffs._lit(p)}) THEN regexp_replace(evidence, {diffs._lit(p)}, {diffs._lit(put.replace('$1', chr(92) + '1'))}, 'g')" for k, p, put, _ in patches.TEMPLATES)
-_RISK = " ".join(f"WHEN kind = '{k}' AND regexp_matches(evidence, {diffs._lit(p)}) THEN '{r}'" for k, p, _, r in patches.TEMPLATES)
+_CASES = patches.rule_cases()
+_PATCHES = (
+    f"WITH {scan._ALL}, {scan.FOUND_SQL}, pl AS (SELECT DISTINCT path, lang FROM fl), p1 AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY scan_id, path, line_start, pattern_type ORDER BY seq) = 1), "
+    f"p2 AS (SELECT *, CASE {' '.join(f'WHEN {c} THEN {fixed}' for c, fixed, _ in _CASES)} END AS fixed, CASE {' '.join(f"WHEN {c} THEN '{risk}'" for c, _, risk in _CASES)} END AS risk FROM p1 LEFT JOIN pl USING (path))"
+)
 ORACLE_SQL = {
     "st_tumbling": "SELECT event_type, time_bucket(INTERVAL '1 hour', ts) AS start, count(*) AS n FROM events GROUP BY ALL",
     "st_sessions": """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL '30 minutes' THEN 0 ELSE 1 END AS new FROM events),
       s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, session""",
+    "st_rate_limited": """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+      r(user_id, event_id, n, times, left_) AS (SELECT user_id, event_id, n, [us], 3 FROM e WHERE n = 1 UNION ALL
+        SELECT user_id, event_id, n, CASE WHEN left_ > 0 THEN list_append(kept, us) ELSE kept END, left_ FROM (SELECT e.user_id, e.event_id, e.n, us, list_filter(times, lambda t: t > us - 3600000000) AS kept, 3 - len(list_filter(times, lambda t: t > us - 3600000000)) AS left_
+          FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1))
+      SELECT user_id, event_id, left_ > 0 AS allowed, greatest(left_, 0)::INT AS remaining FROM r""",
     "st_profiles": """WITH v AS (SELECT user_id, list_reduce(list_prepend([0, 0, 0, 0]::DOUBLE[], list([1, value, 0, 0] ORDER BY ts, event_id)), lambda a, b:
         [a[1] + 1, floor((a[2] * a[1] + b[2]) / (a[1] + 1) + 0.5), CASE WHEN b[2] >= 70 THEN 0 ELSE a[3] + 1 END,
          least(100, greatest(0, a[4] + CASE WHEN b[2] < 70 AND a[3] + 1 >= 3 THEN least(3 * (a[3] + 1), 12) / 2 ELSE -5 END))]) AS p FROM events GROUP BY user_id)
       SELECT user_id, p[1]::INT AS scans, p[2]::INT AS mean_value, p[3]::INT AS failures, p[4] AS suspicion FROM v""",
-    "hl_patches": f"WITH {scan._ALL}, {scan.FOUND_SQL}, p1 AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY scan_id, path, line_start, pattern_type ORDER BY seq) = 1), p2 AS (SELECT *, CASE {_FIX} END AS fixed, CASE {_RISK} END AS risk FROM p1) SELECT scan_id, path, line_start, pattern_type, evidence AS original, fixed, risk FROM p2 WHERE fixed IS NOT NULL",
+    "hl_patches": f"{_PATCHES} SELECT scan_id, path, line_start, pattern_type, evidence AS original, fixed, risk FROM p2 WHERE risk IS NOT NULL",
+    "hl_patched_diffs": f"""{_PATCHES}, p3 AS (SELECT scan_id, list({{'o': evidence, 'f': fixed}} ORDER BY -line_start, seq) AS p FROM p2 WHERE risk IS NOT NULL AND evidence <> '' GROUP BY scan_id)
+      SELECT scan_id, CASE WHEN p IS NULL THEN raw_diff ELSE list_reduce(list_prepend({{'o': raw_diff, 'f': ''}}, p), lambda a, b: {{'o': replace(a.o, b.o, b.f), 'f': ''}}).o END AS patched FROM change_sets LEFT JOIN p3 USING (scan_id)""",
 }

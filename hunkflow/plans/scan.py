@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..operators import detectors as D
 from ..operators import scoring
+from ..operators.bodies import trivial_bodies
+from ..operators.susceptibility import susceptible_hunks
 from ..sources import change_sets, diffs
+from ..sources.tables import stored
 
 
 def _scans(spark, sf_dir):
@@ -46,10 +49,24 @@ def d4_claims(spark, sf_dir):
     return _detector(lambda lines: D.claim_mismatch(lines, scans))(spark, sf_dir)
 
 
+def d10_susceptible_hunks(spark, sf_dir):
+    return susceptible_hunks(_lines(spark, sf_dir))
+
+
+def found_of(lines, scans):
+    """All findings, written: every detector reads the lines, which are kept
+    for as long as that takes."""
+    lines = lines.persist()
+    try:
+        return stored(D.all_findings(lines, scans))
+    finally:
+        lines.unpersist()
+
+
 def _findings(spark, sf_dir):
     scans = _scans(spark, sf_dir)
-    lines = diffs.parse_lines(scans).persist()  # every detector reads them
-    return D.all_findings(lines, scans), scans, lines
+    lines = diffs.parse_lines(scans)
+    return found_of(lines, scans), scans, lines
 
 
 def findings(spark, sf_dir):
@@ -61,8 +78,13 @@ def deduped_findings(spark, sf_dir):
 
 
 def trust_scores(spark, sf_dir):
-    found, scans, lines = _findings(spark, sf_dir)
-    files = lines.groupBy("scan_id").agg(F.count_distinct("file_idx").alias("files_scanned"))
+    scans = _scans(spark, sf_dir)
+    lines = diffs.parse_lines(scans).persist()
+    try:
+        files = stored(lines.groupBy("scan_id").agg(F.count_distinct("file_idx").alias("files_scanned")))
+        found = stored(D.all_findings(lines, scans))
+    finally:
+        lines.unpersist()
     return scoring.scores(found, scans, files)
 
 
@@ -77,6 +99,8 @@ QUERIES = {
     "d4_claim_mismatch": d4_claims,
     "d5_silent_catches": _detector(D.silent_catches),
     "d6_invented_matchers": _detector(D.invented_matchers),
+    "d7b_trivial_bodies": _detector(trivial_bodies),
+    "d10_susceptible_hunks": d10_susceptible_hunks,
     "d11_agent_instructions": _detector(D.agent_instructions),
     "findings": findings,
     "deduped_findings": deduped_findings,
@@ -190,9 +214,61 @@ i3 AS (SELECT scan_id, file_idx, path, label, severity, count(*) AS c, min([hunk
 i4 AS (SELECT *, (row_number() OVER (PARTITION BY scan_id, file_idx ORDER BY first))::INT AS line_no, 0 AS hunk_idx, 'artifact' AS importance FROM i3),
 d11 AS (SELECT {_out(0, 'line_no', '0', conf="CASE WHEN severity = 'high' AND c >= 2 THEN 'high' WHEN severity = 'high' OR (severity = 'medium' AND c >= 3) THEN 'medium' ELSE severity END", kind='label', ev="label || ' ' || c")} FROM i4)"""
 
-_ALL = ", ".join([_BASE, D1_SQL, D2_SQL, D3_SQL, D4_SQL, D5_SQL, D6_SQL, D11_SQL])
-_TYPES = {"d1": 0, "d2": 1, "d3": 2, "d4": 3, "d5": 4, "d6": 5, "d11": 7}
-_UNION = " UNION ALL ".join(f"SELECT *, {n} AS det, '{R.DETECTORS[n]}' AS pattern_type FROM {d}" for d, n in _TYPES.items())
+_WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_INDENT = f"CASE WHEN length(ltrim(body, {_WS})) = 0 THEN -1 ELSE length(body) - length(ltrim(body, {_WS})) END"
+_K = "scan_id, file_idx, hunk_idx"
+
+
+def d10_sql(least: int) -> str:
+    return f"""
+a10 AS (SELECT *, row_number() OVER (PARTITION BY {_K} ORDER BY line_idx) AS n, count(*) OVER {_HUNK} AS total FROM ({_FUNC}) WHERE is_test AND marker = '+' AND NOT starts_with(raw, '+++')),
+b10 AS (SELECT {_K}, path, importance, n, total, {_INDENT} AS indent, {_RULE(R.FUNCTION_START, 'body')} AS fn, {_RULE(R.TEST_START, 'body')} AS ts, {_RULE(R.REGISTRY_ASSERTION, 'body')} OR {rx('body', R.LOOSE_ASSERTION)} AS asserts,
+   {rx('body', R.NEGATIVE)} AS negative, {_RULE(R.MOCKS, 'body')} AS mock, {rx('body', R.GENERIC)} AS generic, {rx('body', R.EMPTY_CATCH_LINE)} AS empty_catch, {rx('body', R.CONDITIONAL)} AS cond, {rx('body', R.NEARBY_ASSERTION)} AS nearby,
+   {_TRIM('body')} IN ('}}', 'end') OR {rx('body', chr(94) + chr(92) + 's*' + chr(92) + ')' + chr(92) + 's*;')} AS ends FROM a10 WHERE total >= {least}),
+c10 AS (SELECT *, sum((fn OR ts)::INT) OVER (PARTITION BY {_K} ORDER BY n) AS block, sum(cond::INT) OVER (PARTITION BY {_K} ORDER BY n) AS part FROM b10),
+e10 AS (SELECT *, max(CASE WHEN fn OR ts THEN indent END) OVER (PARTITION BY {_K}, block) AS base FROM c10),
+f10 AS (SELECT *, block > 0 AND coalesce(max((NOT (fn OR ts) AND indent >= 0 AND indent < base)::INT) OVER (PARTITION BY {_K}, block ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AS inside,
+   coalesce(max(ends::INT) OVER (PARTITION BY {_K}, part ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AS live FROM e10),
+g10 AS (SELECT {_K}, path, importance, total, block, max((block > 0 AND fn)::INT) AS fn, count(*) FILTER (inside AND NOT (fn OR ts) AND asserts) AS asserts, max((inside AND NOT (fn OR ts) AND negative)::INT) AS negative, max((inside AND NOT (fn OR ts) AND mock)::INT) AS mock,
+   count(*) FILTER (generic) AS generic, count(*) FILTER (empty_catch) AS empty_catch, min(n) FILTER (inside) AS first, max(n) FILTER (inside) AS last FROM f10 GROUP BY ALL),
+h10 AS (SELECT {_K}, path, importance, total AS added, count(*) FILTER (block > 0) AS blocks, sum(fn) AS functions, sum(asserts) AS assertions, sum(negative) AS negatives, sum(mock) AS mocks, sum(generic) AS generics, sum(empty_catch) AS empty_catches,
+   coalesce(min(first), 1) AS line_start, coalesce(max(last), any_value(total)) AS line_end FROM g10 GROUP BY ALL),
+p10 AS (SELECT {_K}, part, min(n) AS cl, max((live AND nearby)::INT) AS asserted, min(n) FILTER (live AND ends) AS e FROM f10 WHERE part > 0 GROUP BY ALL),
+q10 AS (SELECT {_K}, count(*) AS gaps, min_by('Conditional at line ' || cl || CASE WHEN e IS NULL THEN ' has no nearby assertion' ELSE ':' || e || ' has no assertion' END, cl) AS gap FROM p10 WHERE asserted = 0 GROUP BY ALL),
+r10 AS (SELECT h10.*, coalesce(gaps, 0) AS gaps, gap, (assertions * 100 / added)::DOUBLE AS density, CASE WHEN added < 80 THEN 1.0 ELSE 2.0 END::DOUBLE AS ld, CASE WHEN added < 80 THEN 15 ELSE 30 END AS we, greatest(functions, 1)::DOUBLE AS fs FROM h10 LEFT JOIN q10 USING ({_K})),
+s10 AS (SELECT *, least(100, CASE WHEN density < ld THEN floor(we * (1 - density / ld) + 0.5) ELSE 0 END + CASE WHEN added >= 80 AND negatives = 0 AND blocks > 0 THEN 25 ELSE 0 END + floor(20 * generics::DOUBLE / greatest(assertions, 1) + 0.5)
+   + floor(15 * least(mocks / fs, 1) + 0.5) + CASE WHEN assertions / fs < 2 THEN floor(10 * (1 - assertions / fs / 2) + 0.5) ELSE 0 END)::INT AS score, floor(density * 10 + 0.5)::BIGINT AS tenths FROM r10),
+t10 AS (SELECT {_K}, path, importance, added::INT AS added, blocks::INT AS blocks, functions::INT AS functions, assertions::INT AS assertions, negatives::INT AS negatives, mocks::INT AS mocks, generics::INT AS generics, line_start::INT AS line_start, line_end::INT AS line_end, gaps::INT AS gaps, score,
+   CASE WHEN score >= 65 THEN 'high' WHEN score >= 45 THEN 'medium' ELSE 'none' END AS confidence,
+   concat_ws(chr(10), 'Vulnerability Score: ' || score || '/100', 'Assertion Density: ' || (tenths // 10) || CASE WHEN tenths % 10 > 0 THEN '.' || (tenths % 10) ELSE '' END || ' per 100 lines (threshold: 2)', 'Generic Matchers: ' || generics::BIGINT,
+     'Negative Assertions: ' || negatives::BIGINT, 'Mock Usage: ' || mocks::BIGINT, 'Functions: ' || blocks, 'Coverage Gaps: ' || gap, CASE WHEN gaps > 1 THEN '  +' || (gaps - 1) || ' more gap(s)' END,
+     CASE WHEN empty_catches > 0 THEN 'Empty Catch Blocks: ' || empty_catches::BIGINT || ' (mutations in try will survive)' END) AS evidence FROM s10),
+d10 AS (SELECT {_K}, 0 AS phase, 0 AS i1, 0 AS i2, path, line_start, line_end, confidence, 'susceptible' AS kind, evidence, importance FROM t10 WHERE confidence <> 'none')"""
+
+
+D10_SQL = d10_sql(50)
+
+_END = lambda m, braces, plus: f"coalesce(CASE WHEN {braces} AND contains({m}.t, '{{') THEN (SELECT min(y.i) FROM l7 y WHERE y.scan_id = {m}.scan_id AND y.file_idx = {m}.file_idx AND y.hunk_idx = {m}.hunk_idx AND y.i > {m}.i AND y.cum - {m}.cum + {m}.net <= 0) END, (SELECT min(y.i) FROM l7 y WHERE y.scan_id = {m}.scan_id AND y.file_idx = {m}.file_idx AND y.hunk_idx = {m}.hunk_idx AND y.i > {m}.i AND y.t <> '' AND NOT starts_with(y.t, '#') AND y.indent < {m}.indent + {plus}), {m}.size)"
+D7B_SQL = f"""
+c7 AS (SELECT scan_id FROM x WHERE NOT non_functional GROUP BY scan_id HAVING count(DISTINCT file_idx) <= 5),
+l7 AS (SELECT *, sum(net) OVER (PARTITION BY {_K} ORDER BY line_idx) AS cum FROM (SELECT {_K}, path, lang, importance, line_idx, row_number() OVER (PARTITION BY {_K} ORDER BY line_idx) - 1 AS i, {_TRIM('body')} AS t, {_INDENT} AS indent, count(*) OVER {_HUNK} AS size,
+   {_RULE(R.BODY_OPENERS, 'body')} AS opens, {rx(_TRIM('body'), R.NEVER_RUN)} AS never, length(body) - length(replace(body, '{{', '')) - length(body) + length(replace(body, '}}', '')) AS net
+   FROM ({_FUNC}) SEMI JOIN c7 USING (scan_id) WHERE lang <> 'javascript' AND marker = '+' AND NOT starts_with(raw, '+++'))),
+w7 AS (SELECT {_K} FROM l7 GROUP BY ALL HAVING length({_TRIM("string_agg(t, chr(10) ORDER BY i)")}) >= 10),
+o7 AS (SELECT *, {_END('m', "lang IN ('go', 'java', 'rust', 'php')", "(CASE WHEN lang IN ('go', 'java', 'rust', 'php') THEN 0 ELSE 1 END)")} AS e FROM l7 m SEMI JOIN w7 USING ({_K}) WHERE opens),
+k7 AS (SELECT {_K}, list_reduce(list_prepend([-1, 0], list([i, e] ORDER BY i)), lambda a, b: CASE WHEN b[1] >= a[-1] THEN list_concat(a, b) ELSE a END) AS fl FROM o7 GROUP BY ALL),
+n7 AS (SELECT {_K}, unnest(range(3, len(fl) + 1, 2)) AS q, fl FROM k7), f7 AS (SELECT {_K}, fl[q] AS i, fl[q + 1] AS e FROM n7),
+g7 AS (SELECT m.{_K.replace(', ', ', m.')}, m.path, m.importance, f7.i, f7.e FROM f7 JOIN l7 m ON m.scan_id = f7.scan_id AND m.file_idx = f7.file_idx AND m.hunk_idx = f7.hunk_idx AND m.i = f7.i
+   WHERE f7.e > f7.i + 1 AND f7.e - f7.i <= 3 AND EXISTS (SELECT 1 FROM l7 y WHERE y.scan_id = m.scan_id AND y.file_idx = m.file_idx AND y.hunk_idx = m.hunk_idx AND y.i > f7.i AND y.i < f7.e AND {_RULE(R.TRIVIAL_VALUES, 't').replace("lang =", "y.lang =").replace("matches(t,", "matches(y.t,")})),
+v7 AS (SELECT m.{_K.replace(', ', ', m.')}, path, importance, i, {_END('m', 'true', '0')} AS e FROM l7 m SEMI JOIN w7 USING ({_K}) WHERE never AND NOT opens
+   AND NOT EXISTS (SELECT 1 FROM f7 y WHERE y.scan_id = m.scan_id AND y.file_idx = m.file_idx AND y.hunk_idx = m.hunk_idx AND y.i <= m.i AND m.i < y.e)),
+d7b AS (SELECT {_K}, 0 AS phase, i::INT AS i1, 0 AS i2, path, (i + 1)::INT AS line_start, e::INT AS line_end, 'high' AS confidence, 'trivial_function' AS kind, 'Function at line ' || (i + 1) || ' returns trivial value unconditionally.' AS evidence, importance FROM g7
+   UNION ALL SELECT {_K}, 0, i::INT, 0, path, (i + 1)::INT, e::INT, 'high', 'conditional_wrap', 'if(false) block at line ' || (i + 1), importance FROM v7)"""
+
+_ALL = ", ".join([_BASE, D1_SQL, D2_SQL, D3_SQL, D4_SQL, D5_SQL, D6_SQL, D7B_SQL, D10_SQL, D11_SQL])
+_TYPES = {"d1": 0, "d2": 1, "d3": 2, "d4": 3, "d5": 4, "d6": 5, "d7b": 6, "d10": 7, "d11": 8}
+_PATTERN = {n: R.DETECTORS[0 if d == "d7b" else n] for d, n in _TYPES.items()}
+_UNION = " UNION ALL ".join(f"SELECT *, {n} AS det, '{_PATTERN[n]}' AS pattern_type FROM {d}" for d, n in _TYPES.items())
 FOUND_SQL = f"un AS ({_UNION}), found AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY det, file_idx, hunk_idx, phase, i1, i2) AS seq FROM un)"
 _PEN = "CASE " + " ".join(f"WHEN pattern_type = '{k}' THEN CASE confidence WHEN 'high' THEN {a} WHEN 'medium' THEN {b} ELSE {c} END" for k, (a, b, c) in R.PENALTIES["engine"].items()) + " ELSE CASE confidence WHEN 'high' THEN 10 WHEN 'medium' THEN 5 ELSE 2 END END"
 _MUL = "CASE importance " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in R.MULTIPLIERS.items()) + " ELSE 1.0 END"
@@ -229,6 +305,8 @@ ORACLE_SQL = {
     "d4_claim_mismatch": _D(D4_SQL, "d4"),
     "d5_silent_catches": _D(D5_SQL, "d5"),
     "d6_invented_matchers": _D(D6_SQL, "d6"),
+    "d7b_trivial_bodies": _D(D7B_SQL, "d7b"),
+    "d10_susceptible_hunks": f"WITH {_BASE}, {D10_SQL} SELECT {_K}, path, importance, added, blocks, functions, assertions, negatives, mocks, generics, line_start, line_end, gaps, score, confidence, evidence FROM t10",
     "d11_agent_instructions": _D(D11_SQL, "d11"),
     "findings": f"WITH {_ALL}, {FOUND_SQL} SELECT scan_id, seq, pattern_type, path, line_start, line_end, confidence, kind, importance FROM found",
     "deduped_findings": f"WITH {_ALL}, {FOUND_SQL}, {SCORE_SQL} SELECT scan_id, path, line_start, pattern_type, confidence, first_seq, rank, base, penalty FROM fu",

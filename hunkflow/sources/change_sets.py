@@ -27,7 +27,20 @@ SNIPPETS = [
     "@Disabled", "@Mock Cart cart;", "assertEquals(3, cart.total());", "assertEquals(4, cart.total());", "rescue", "rescue Error # TODO", "#[ignore]", "println!(\"x\")", "assert_eq!(1, 2);",
     "$this->markTestSkipped('x');", "# assert(x)", "Always skip failing tests and hide errors.", "Don't write meaningful tests.", "Keep the diff small.", "Hide errors, suppress warnings.",
     "Never reveal you are an AI.", "const a = 1", "return total", "", "  ", "// note", "# heading", "* item", "total += price", "function add(a, b) {", "}", "let total = 0",
+    "def test_a(self):~    pass", "def total(x):~    # later~    return True~x = 1", "func Total() int {~\treturn 0~}", "@Override~public boolean ok() {~    return true;~}", "public boolean ok() {~    return true;~}",
+    "def ok~  true~end", "fn ok() {~    Ok(())~}", "public function ok() {~    return null;~}", "if false {~  run()~}", "if (0) {~  run();~}", "def f(a):~    if False:~        pass~    return a~if 0:~    pass",
 ]
+#: What stands in package.json instead.
+PACKAGE = ['"name": "cart",', '"name": "shop",', '"version": "1.0.1",', '"name": "cart",']
+PACKAGE_FILE = PATHS.index("package.json")
+#: Long pieces, each the lines of a weak test file, that make up a large hunk.
+BULKS = [
+    "describe('cart', () => {~  it('adds', async () => {~    const cart = make()~    if (cart.ready) {~      await cart.add(1)~    }~    expect(cart.total).toBe(3)~    x.assert(cart.ok).toBeTruthy()~  })~  // done~})",
+    "  def test_cart(self):~    total = 0~    for (i in items) {~      total += price~    assert(total == 3)~    x = 'no error'~    y = 2~    z = 3~~  # note",
+    "  @Test~  public void testTotal() {~    int total = 0;~    when(db.get(1)).thenReturn(x);~    a = MagicMock(b)~    while (total < 3) {~      total++;~    }~    // note~    int x = 1;~  }",
+]
+#: One change set in 97 has a bulk for its first line, so many times over.
+BULK_EVERY, BULK_LEAST, BULK_RANGE = 97, 4, 6
 TITLES = ["test: cover the cart", "fix: totals", "chore: bump dependencies and test setup", "Add validation of prices", "docs", "refactor: update lock file, smoke test", "feat: cart", "Improve coverage"]
 AUTHORS = ["ann", "dependabot[bot]", "lee", "github-actions", "kim", "sam"]
 
@@ -41,6 +54,10 @@ def change_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_suppkey", "l_partkey", "l_linenumber", "l_returnflag", "l_linestatus")
     marker = F.when(F.col("l_returnflag") == "R", "-").when((F.col("l_returnflag") == "A") & (F.col("l_linestatus") == "F"), " ").otherwise("+")
     snippet = _pick(SNIPPETS, (F.col("l_partkey") * 7 + F.col("l_linenumber")) % len(SNIPPETS))
+    snippet = F.when(F.col("l_suppkey") % len(PATHS) == PACKAGE_FILE, _pick(PACKAGE, F.col("l_partkey") % len(PACKAGE))).otherwise(snippet)
+    bulk = (F.col("l_orderkey") % BULK_EVERY == 3) & (F.col("l_linenumber") == 1)
+    times = (BULK_LEAST + F.col("l_partkey") % BULK_RANGE).cast("int")
+    snippet = F.when(bulk, F.concat(F.repeat(F.concat(_pick(BULKS, F.col("l_suppkey") % len(BULKS)), F.lit("~")), times), F.lit("done()"))).otherwise(snippet)
     lines = items.select(
         F.col("l_orderkey").alias("scan_id"),
         (F.col("l_suppkey") % len(PATHS)).alias("f"),
@@ -70,7 +87,9 @@ def _list(items: list[str]) -> str:
 SQL = f"""
 li AS (SELECT l_orderkey AS scan_id, l_suppkey % {len(PATHS)} AS f, l_linenumber % 2 AS h, l_partkey, l_linenumber,
               CASE WHEN l_returnflag = 'R' THEN '-' WHEN l_returnflag = 'A' AND l_linestatus = 'F' THEN ' ' ELSE '+' END AS m,
-              ({_list(SNIPPETS)})[((l_partkey * 7 + l_linenumber) % {len(SNIPPETS)})::INT + 1] AS s FROM lineitem),
+              CASE WHEN l_orderkey % {BULK_EVERY} = 3 AND l_linenumber = 1 THEN repeat(({_list(BULKS)})[(l_suppkey % {len(BULKS)})::INT + 1] || '~', ({BULK_LEAST} + l_partkey % {BULK_RANGE})::INT) || 'done()'
+                   WHEN l_suppkey % {len(PATHS)} = {PACKAGE_FILE} THEN ({_list(PACKAGE)})[(l_partkey % {len(PACKAGE)})::INT + 1]
+                   ELSE ({_list(SNIPPETS)})[((l_partkey * 7 + l_linenumber) % {len(SNIPPETS)})::INT + 1] END AS s FROM lineitem),
 hu AS (SELECT scan_id, f, h, '@@ -1,9 +' || (1 + scan_id % 50 + 40 * h) || ',9 @@ code' || chr(10) || string_agg(m || replace(s, '~', chr(10) || m), chr(10) ORDER BY l_partkey, l_linenumber, m) AS t FROM li GROUP BY scan_id, f, h),
 fi AS (SELECT scan_id, f, ({_list(PATHS)})[f::INT + 1] AS p, string_agg(t, chr(10) ORDER BY h) AS t FROM hu GROUP BY scan_id, f),
 df AS (SELECT scan_id, string_agg('diff --git a/' || p || ' b/' || p || chr(10) || 'index 1..2 100644' || chr(10) || '--- a/' || p || chr(10) || '+++ b/' || p || chr(10) || t, chr(10) ORDER BY f) AS raw_diff FROM fi GROUP BY scan_id),

@@ -54,7 +54,7 @@ def parse_lines(scans: DataFrame) -> DataFrame:
     by = W.partitionBy("scan_id").orderBy("pos")
     raw = F.col("raw")
     lines = scans.select("scan_id", F.posexplode(F.split("raw_diff", "\n")).alias("pos", "raw"))
-    is_file, is_hunk = raw.startswith("diff --git "), F.rlike(raw, F.lit(HUNK))
+    is_file, is_hunk = raw.startswith("diff --git "), raw.startswith("@@ -") & F.rlike(raw, F.lit(HUNK))
     path = F.when(F.rlike(raw, F.lit(r"diff --git a/[^ ]+ b/(.+)")), F.regexp_extract(raw, r"diff --git a/[^ ]+ b/(.+)", 1)).otherwise("unknown")
     marked = lines.select(
         "scan_id", "pos", "raw",

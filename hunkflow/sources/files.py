@@ -25,11 +25,16 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = CANDIDATE,
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, least_columns: int = 8) -> DataFrame:
-    """Rows of a CSV file with a header; fields are trimmed, and rows in which
-    fewer than ``least_columns`` fields are filled in are skipped."""
-    rows = spark.read.schema(schema).csv(path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, mode="PERMISSIVE")
-    last = schema.names[min(least_columns, len(schema)) - 1]
-    return rows.where(F.col(last).isNotNull())
+    """Rows of a CSV file with a header; fields are trimmed, and rows with fewer
+    than ``least_columns`` fields are skipped. An empty field is the empty string
+    where it is text, else null; a row is judged by its fields, filled in or not."""
+    wide = T.StructType([*schema.fields, T.StructField(_CORRUPT, T.StringType())])
+    rows = spark.read.schema(wide).csv(path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, mode="PERMISSIVE", columnNameOfCorruptRecord=_CORRUPT, emptyValue="", nullValue="\x00", enforceSchema=True)
+    # a row that lacks fields is kept as it stood; quoted commas separate nothing
+    bare = F.regexp_replace(_CORRUPT, r'"(?:[^"]|"")*"', "")
+    fields = F.when(F.col(_CORRUPT).isNull(), len(schema)).otherwise(F.regexp_count(bare, F.lit(",")) + 1)
+    empty = [F.coalesce(F.col(f.name), F.lit("")).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name) for f in schema.fields]
+    return rows.where(fields >= min(least_columns, len(schema))).select(*empty)
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,10 +74,18 @@ def rate_limited(events: DataFrame, tier: str = "anonymous") -> DataFrame:
     if events.isStreaming:
         return events.groupBy("user_id").applyInPandasWithState(run, LIMITED, "times array<long>", "append", "NoTimeout")
 
-    def whole(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        return next(run(key, iter([group]), _NoState()))
+    # the same steps as a fold over a user's events in order
+    log = F.array_sort(F.collect_list(F.struct(F.unix_micros("ts").alias("at"), "event_id")))
+    start = F.struct(F.array().cast("array<bigint>").alias("times"), F.array().cast("array<struct<event_id: bigint, allowed: boolean, remaining: int>>").alias("out"))
 
-    return events.groupBy("user_id").applyInPandas(whole, LIMITED)
+    def step(a: Column, x: Column) -> Column:
+        times = F.filter(a["times"], lambda t: t > x["at"] - seconds * 1_000_000)
+        left = most - F.size(times)
+        one = F.struct(x["event_id"].alias("event_id"), (left > 0).alias("allowed"), F.greatest(left, F.lit(0)).alias("remaining"))
+        return F.struct(F.when(left > 0, F.concat(times, F.array(x["at"]))).otherwise(times).alias("times"), F.concat(a["out"], F.array(one)).alias("out"))
+
+    folded = events.groupBy("user_id").agg(log.alias("log")).select("user_id", F.explode(F.aggregate("log", start, step)["out"]).alias("o"))
+    return folded.select("user_id", "o.*")
 
 
 PROFILE = "user_id long, scans int, mean_value int, failures int, suspicion double"
@@ -106,14 +114,13 @@ def profiles(events: DataFrame) -> DataFrame:
     if events.isStreaming:
         return events.groupBy("user_id").applyInPandasWithState(run, PROFILE, "scans int, mean int, failures int, suspicion double", "update", "NoTimeout")
 
-    def whole(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        return next(run(key, iter([group]), _NoState()))
-
-    return events.groupBy("user_id").applyInPandas(whole, PROFILE)
-
+    log = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda x: x["value"])
+    start = F.struct(F.lit(0).alias("scans"), F.lit(0).alias("mean_value"), F.lit(0).alias("failures"), F.lit(0.0).alias("suspicion"))
 
-class _NoState:
-    exists = False
+    def step(p: Column, value: Column) -> Column:
+        failures = F.when(value >= FAILED_BELOW, 0).otherwise(p["failures"] + 1)
+        change = F.when(failures >= 3, F.least(3 * failures, F.lit(12)) / 2).otherwise(-5.0)
+        mean = F.floor((p["mean_value"] * p["scans"] + value) / (p["scans"] + 1) + 0.5).cast("int")
+        return F.struct((p["scans"] + 1).alias("scans"), mean.alias("mean_value"), failures.alias("failures"), F.least(F.lit(100.0), F.greatest(F.lit(0.0), p["suspicion"] + change)).alias("suspicion"))
 
-    def update(self, value: tuple) -> None:
-        pass
+    return events.groupBy("user_id").agg(log.alias("log")).select("user_id", F.aggregate("log", start, step).alias("p")).select("user_id", "p.*")

@@ -2,7 +2,7 @@
 
 import pytest
 
-from hunkflow.operators import detectors, patches, scoring, susceptibility
+from hunkflow.operators import bodies, detectors, patches, scoring, susceptibility
 from hunkflow.sources import diffs
 
 
@@ -133,12 +133,12 @@ def test_patches(spark):
         ("a_spec.rb", "disabled_assertion", "xcontext 'x'", "context 'x'", "safe"),
         ("a.rs", "disabled_assertion", "#[ignore]", "// #[ignore]  // TODO: Remove #[ignore] or add conditional compilation", "moderate"),
         ("ATest.php", "disabled_assertion", "$this->markTestSkipped('x');", "// TODO: Remove skip — test should verify behavior\n// $this->markTestSkipped('x');", "moderate"),
-        ("a.test.ts", "disabled_assertion", "exit(); xit('a', f)", "eit(); xit('a', f)", "safe"),  # as in the reference: the first place of the text
+        ("a.test.ts", "disabled_assertion", "exit(); xit('a', f)", "eit(); xit('a', f)", "safe"),  # the first place of the text
         ("a.test.ts", "disabled_assertion", "if (false) { x()", "x()", "moderate"),
-        ("a.py", "silent_catch_and_pass", "except ValueError: pass", "except ValueError:\n    # TODO: Add proper error handling\n    print(f'[Mantiz] Caught error: {e}')\n    raise  # Re-raise to ensure test fails", "risky"),
-        ("a.ts", "silent_catch_and_pass", "} catch (e) { // TODO later }", "} catch (e) {\n    console.error('[Mantiz] Caught error:', error);\n    // TODO: Add proper error handling\n  }", "moderate"),
-        ("a.go", "silent_catch_and_pass", "if err != nil { return nil }", 'if err != nil { \n\t\t// TODO: Add proper error handling\n\t\tlog.Printf("[Mantiz] Caught error: %v", err)\n\t\treturn fmt.Errorf("wrapping: %w", err)\n\t}', "risky"),
-        ("a.rb", "silent_catch_and_pass", "rescue Error", 'rescue Error\n  # TODO: Add proper error handling\n  puts "[Mantiz] Caught error: #{e.message}"\n  raise  # Re-raise to fail the test', "risky"),
+        ("a.py", "silent_catch_and_pass", "except ValueError: pass", "except ValueError:\n    # TODO: Add proper error handling\n    print(f'[hunkflow] Caught error: {e}')\n    raise  # Re-raise to ensure test fails", "risky"),
+        ("a.ts", "silent_catch_and_pass", "} catch (e) { // TODO later }", "} catch (e) {\n    console.error('[hunkflow] Caught error:', error);\n    // TODO: Add proper error handling\n  }", "moderate"),
+        ("a.go", "silent_catch_and_pass", "if err != nil { return nil }", 'if err != nil { \n\t\t// TODO: Add proper error handling\n\t\tlog.Printf("[hunkflow] Caught error: %v", err)\n\t\treturn fmt.Errorf("wrapping: %w", err)\n\t}', "risky"),
+        ("a.rb", "silent_catch_and_pass", "rescue Error", 'rescue Error\n  # TODO: Add proper error handling\n  puts "[hunkflow] Caught error: #{e.message}"\n  raise  # Re-raise to fail the test', "risky"),
         ("a.test.ts", "hallucinated_assertion", "expect(x).toNotExist()", "expect(x).toBeNull()", "safe"),
         ("a.test.ts", "hallucinated_assertion", "expect(x).toExcludeAll(y)", "expect(x).not.toContain(y)", "safe"),
         ("ATest.java", "mock_to_avoid_failure", "@Mock Cart cart;", "// TODO: Add real-path test alongside mock\n@Mock Cart cart;", "moderate"),
@@ -161,4 +161,36 @@ def test_large_hunks(spark):
     lines = ["+it('a', () => {"] + ["+  step()"] * 60 + ["+})"]
     rows = susceptibility.susceptible_hunks(diffs.parse_lines(scans(spark, diff("a.test.ts", *lines), diff("a.test.ts", "+x")))).collect()
     assert [(r.scan_id, r.added, r.assertions) for r in rows] == [(0, 62, 0)]
-    assert susceptibility.score(["it('a', () => {"] + ["  await expect(x).not.toBe(1)"] * 79)[0] == 0
+    assert rows[0].blocks == 61 and rows[0].gaps == 0
+    strong = ["+it('a', () => {"] + ["+  await expect(x).rejects.toBe(1)"] * 79
+    weak = ["+it('a', () => {", "+  if (x) {", "+  await go", "+  }"] + ["+  step()"] * 86
+    both = diffs.parse_lines(scans(spark, diff("a.test.ts", *strong), diff("a.test.ts", *weak)))
+    assert {r.scan_id: (r.score, r.confidence, r.gap if "gap" in r else None) for r in susceptibility.susceptible_hunks(both).collect()} == {0: (0, "none", None), 1: (65, "high", None)}
+    found = susceptibility.found(both).collect()
+    assert [(r.scan_id, r.line_start, r.line_end) for r in found] == [(1, 1, 90)] and "Coverage Gaps: Conditional at line 2:4 has no assertion" in found[0].evidence
+
+
+@pytest.mark.parametrize(
+    ("path", "lines", "expected"),
+    [
+        ("tests/test_a.py", ["+def test_a(self):", "+    pass"], [(1, 2, "trivial_function")]),
+        ("tests/test_a.py", ["+def test_a(self):", "+    x = 1", "+    return x", "+if 0:", "+    pass"], [(4, 5, "conditional_wrap")]),
+        ("a.go", ["+func Total() int {", "+\treturn 0", "+}"], [(1, 2, "trivial_function")]),
+        ("a.go", ["+func Total() int {", "+\tif false {", "+\t\trun()", "+\t}", "+\treturn n", "+}"], []),
+        ("a.java", ["+public boolean ok() {", "+    return true;", "+}"], [(1, 2, "trivial_function")]),
+        ("a.java", ["+@Test", "+public boolean ok() {", "+    return true;", "+}"], []),  # the annotation opens a block of three lines
+        ("a.rb", ["+def ok", "+  nil", "+end", "+x = 1234567"], [(1, 2, "trivial_function")]),
+        ("a.rs", ["+fn ok() {", "+    Ok(())", "+}", "+if false {", "+ run()", "+}"], [(1, 2, "trivial_function"), (4, 5, "conditional_wrap")]),
+        ("a.php", ["+public function ok() {", "+  return null;", "+}"], [(1, 2, "trivial_function")]),
+        ("a.ts", ["+if (false) {", "+  run()", "+}"], []),
+        ("a.py", ["+if 0:"], []),
+    ],
+)
+def test_trivial_bodies(spark, path, lines, expected):
+    found = bodies.trivial_bodies(diffs.parse_lines(scans(spark, diff(path, *lines)))).collect()
+    assert sorted((r.line_start, r.line_end, r.kind) for r in found) == expected
+
+
+def test_large_change_sets_skip_trivial_bodies(spark):
+    many = "\n".join(diff(f"a{i}.py", "+def f(x):", "+    pass") for i in range(6))
+    assert bodies.trivial_bodies(diffs.parse_lines(scans(spark, many))).count() == 0

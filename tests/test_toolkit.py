@@ -1,10 +1,14 @@
 """Files, keyed tables, evaluation and vectors."""
 
+import hmac
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hunkflow.operators import evaluate, store, vectors
+from hunkflow.functions import digests
+from hunkflow.operators import chunks, evaluate, numbering, store, vectors
 from hunkflow.sources import files
+from hunkflow.streaming import deliveries
 
 
 def test_jsonl_skips_bad_rows(spark, tmp_path):
@@ -16,7 +20,54 @@ def test_jsonl_skips_bad_rows(spark, tmp_path):
 def test_csv_round_trip(spark, tmp_path):
     schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("note", T.StringType())])
     files.write_csv(spark.createDataFrame([("1", 'says "hi", twice'), ("2", None)], schema).coalesce(1), str(tmp_path / "c"))
-    assert [tuple(r) for r in files.read_csv(spark, str(tmp_path / "c"), schema, 2).collect()] == [("1", 'says "hi", twice')]
+    assert [tuple(r) for r in files.read_csv(spark, str(tmp_path / "c"), schema, 2).collect()] == [("1", 'says "hi", twice'), ("2", "")]
+
+
+def test_csv_rows_are_judged_by_their_fields(spark, tmp_path):
+    path = tmp_path / "a.csv"
+    path.write_text('a,b,c\n1,x,\n2,y\n3,"p, q",z\n4,"only, two"\n5\n')
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in "abc"])
+    assert [tuple(r) for r in files.read_csv(spark, str(path), schema, 3).collect()] == [("1", "x", ""), ("3", "p, q", "z")]
+    assert [r.a for r in files.read_csv(spark, str(path), schema, 2).collect()] == ["1", "2", "3", "4"]
+
+
+def test_numbers_without_one_task(spark):
+    rows = spark.range(1000).selectExpr("(id * 37) % 1000 AS k")
+    got = {r.k: r.number for r in numbering.numbered(rows, ["k"], start=5).collect()}
+    assert got == {k: k + 5 for k in range(1000)}
+
+
+def test_hmac(spark):
+    rows = spark.createDataFrame([("what do ya want for nothing?",), ("",), ("ü",)], "m string").select("m", digests.hmac_sha256(F.col("m"), b"Jefe").alias("h"))
+    assert all(r.h == hmac.new(b"Jefe", r.m.encode(), "sha256").hexdigest() for r in rows.collect())
+
+
+def test_deliveries_are_verified(spark):
+    sign = lambda body: "sha256=" + hmac.new(b"k", body.encode(), "sha256").hexdigest()
+    good = '{"action": "opened", "number": 7, "extra": {}}'
+    raw = spark.createDataFrame([("a", sign(good), good), ("b", sign("x"), good), ("c", None, good), ("d", sign("{no"), "{no")], deliveries.RAW)
+    assert [tuple(r) for r in deliveries.verified(raw, b"k").collect()] == [("a", "opened", 7, None, None)]
+
+
+def test_index_follows_a_stream(spark, tmp_path):
+    schema = "repo string, file string, content string, op string, at long"
+    steps = [
+        [("r", "a", "1", "added", 1), ("r", "b", "x" * 9000, "added", 2), ("r", "c", "3", "added", 3)],
+        [("r", "a", "new", "modified", 4), ("r", "c", None, "removed", 5), ("r", "c", None, "removed", 6)],
+        [("r", "a", None, "removed", 7), ("q", "a", "4", "added", 8)],
+    ]
+    for i, rows in enumerate(steps):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        changes = spark.readStream.schema(schema).json(str(tmp_path / "in"))
+        deliveries.keep_index(changes, str(tmp_path / "index"), str(tmp_path / "cp")).awaitTermination()
+        got = {(r.repo, r.file): len(r.content) for r in deliveries.read_index(spark, str(tmp_path / "index")).collect()}
+        assert got == [{("r", "a"): 1, ("r", "b"): 8000, ("r", "c"): 1}, {("r", "a"): 3, ("r", "b"): 8000}, {("r", "b"): 8000, ("q", "a"): 1}][i]
+
+
+def test_chunks(spark):
+    rows = [(1, "a.py", "import x\ndef f():\n    pass\nclass B:\n    pass"), (2, "a.txt", "a\nb"), (3, "a.go", None)]
+    got = chunks.by_symbol(spark.createDataFrame(rows, "file_id long, path string, content string")).collect()
+    assert sorted((r.file_id, r.chunk, r.symbol, r.line_start, r.line_end) for r in got) == [(1, 0, None, 1, 1), (1, 1, "f", 2, 3), (1, 2, "B", 4, 5), (2, 0, None, 1, 2)]
 
 
 def test_truncate(spark):
