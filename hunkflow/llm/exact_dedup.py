@@ -26,6 +26,7 @@ SLOTS = 4  # fingerprints in a filter bucket
 KICKS = 200  # moves before an insertion counts as overflow
 LOCAL_KEYS = 100_000  # digests a reading task folds before it passes them on
 PART_KEYS = 200_000  # rows that one part should receive
+HOT = 10_000
 
 
 class CuckooIndex:
@@ -231,9 +232,14 @@ def dedup(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     them stays; a null id loses against any other. Other columns are ignored.
     """
     rows = materialise(digests(docs, id_col))
-    groups = materialise(fold_copies(rows, rows.count()).where("n > 1"))
+    n_rows = rows.count()
+    groups = materialise(fold_copies(rows, n_rows).where("n > 1"))
     best = groups.select("sha", F.col("doc_id").alias("best"), F.col("rid").alias("best_rid"), "n")
-    joined = rows.drop("n").join(best, "sha", "left")
+    # there are fewer than HOT groups with more than one in HOT of all rows: these
+    # are broadcast, and no other one is large enough to burden a partition
+    hot = F.broadcast(best.where(F.col("n") * HOT > n_rows))
+    rest = rows.drop("n").join(hot.select("sha"), "sha", "left_anti").join(best.where(F.col("n") * HOT <= n_rows), "sha", "left")
+    joined = rows.drop("n").join(hot, "sha").unionByName(rest)
     single = F.col("n").isNull()
     return joined.select(
         "doc_id",
@@ -245,7 +251,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents that stay, with all their columns."""
+    """The documents that stay, with all their columns; ``dedup`` says which.
+    Of rows that repeat id and text one stays; null, empty and blank texts are
+    one group; an empty table gives no rows; columns of any name may be there."""
     rows = materialise(digests(docs, id_col))
     groups = materialise(fold_copies(rows, rows.count()).where("n > 1"))
     sha, cp, best, best_cp, tied = (free_name(docs, n) for n in ("_sha", "_cp", "_best", "_best_cp", "_tied"))
