@@ -1,7 +1,13 @@
 """From raw documents to packed token sequences, in five stages.
 
 Each stage takes all that its predecessor kept, written as Parquet and read
-again. All but the last return the columns of ``documents``.
+again. All but the last return the columns of ``documents``, whatever others the
+table has beside them.
+
+Null, empty and blank texts fail the first stage's base rules and go. Rows that
+repeat id and text are copies of which the second stage leaves one. Rows that
+share an id but not their text are documents of their own in every stage. A tie
+is decided by the smallest id. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -39,6 +45,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over ``documents``. The tables between the
+    stages are deleted when the application ends."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir))

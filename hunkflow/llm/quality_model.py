@@ -146,25 +146,29 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
 
 
-def _featured(docs: DataFrame, y: str) -> DataFrame:
+def _featured(docs: DataFrame) -> DataFrame:
+    """(_id, _y, text) becomes (_id, y, x)."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [features(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], ["y", "x"])
+            rows = [features(t.as_py()) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.float64()))], ["_id", "y", "x"])
 
     modest_batches(docs)
-    return docs.select(F.col(y).cast("int").alias("y"), "text").mapInArrow(run, "y int, x array<double>")
+    return docs.select("_id", F.col("_y").cast("int").alias("y"), "text").mapInArrow(run, "_id long, y int, x array<double>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", rows: int = TRAIN_ROWS) -> Model:
-    """Train on at most ``rows`` labelled documents that aren't held out. Of
-    several labels for one document the highest counts; null labels and ids
-    are left out."""
+    """Train on at most ``rows`` labelled documents that aren't held out, chosen
+    by a hash of their id. Of several labels for one document the highest
+    counts, of several texts of one id the one with the least features; null
+    labels and ids are left out. Without labels every score is 1/2."""
     known = labels.where(~held_out(id_col)).where(F.col(id_col).isNotNull() & F.col(label).isNotNull())
     known = known.groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(label).alias("_y"))
     chosen = known.orderBy(F.xxhash64("_id", F.lit(4)), "_id").limit(rows)
-    # the sample is bounded, so it may be broadcast and its features gathered
-    got = _featured(docs.select(F.col(id_col).cast("long").alias("_id"), "text").join(F.broadcast(chosen), "_id"), "_y").limit(2 * rows).collect()
+    # one row per chosen id: the sample may be broadcast and its features gathered
+    some = docs.select(F.col(id_col).cast("long").alias("_id"), "text").join(F.broadcast(chosen), "_id")
+    got = _featured(some).groupBy("_id").agg(F.min("x").alias("x"), F.max("y").alias("y")).collect()
     got.sort(key=lambda r: (list(r.x), r.y))
     return train(np.array([r.x for r in got], float), np.array([r.y for r in got], float))
 

@@ -156,6 +156,27 @@ def test_quality_model_held_out(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
 
 
+def test_scores_are_sums_of_looked_up_bins(spark):
+    """Scores of the small documents, added up cell by cell."""
+    import bisect
+    import math
+
+    docs, labels = (spark.read.parquet(f"{SMALL}/{n}.parquet") for n in ("documents", "labels"))
+    model = quality_model.fit(docs, labels)
+    assert len(model.pairs) == quality_model.PAIRS and any(t.any() for t in model.pair_tables)
+    scores = {r.doc_id: r.score for r in quality_model.classify(docs, model).collect()}
+    for row in docs.collect():
+        x = quality_model.features(row.text)
+        z = model.base + sum(t[bisect.bisect_right(e.tolist(), v)] for e, t, v in zip(model.edges, model.tables, x, strict=True))
+        at = [bisect.bisect_right(e.tolist(), v) for e, v in zip(model.pair_edges, x, strict=True)]
+        z += sum(t[at[i], at[j]] for (i, j), t in zip(model.pairs, model.pair_tables, strict=True))
+        assert abs(scores[row.doc_id] - 1 / (1 + math.exp(-max(-35, min(35, z))))) < 1e-9
+    # rows that repeat an id don't change the sample's size or depend on their order
+    twice = docs.unionAll(docs.select("doc_id", F.lit("zz zz zz").alias("text"), "lang", "source", "n_chars"))
+    one, other = (quality_model.fit(d, labels).base for d in (twice, twice.orderBy(F.desc("text"))))
+    assert one == other == model.base
+
+
 def test_quality_model_edges(odd):
     model = quality_model.train(np.zeros((0, len(quality_model.FEATURES))), np.zeros(0))
     rows = quality_model.classify(odd, model).collect()
@@ -538,6 +559,19 @@ def test_components(spark):
     assert got == {i: 0 for i in range(21)} | {50: 50, 60: 50, 70: 50}
 
 
+def test_pipeline_on_odd_tables(spark, odd, none):
+    """Nulls, blanks, repeats and clashing names go through every stage, and so does nothing."""
+    import corpus_pipeline
+
+    for docs in (odd, none):
+        columns = docs.columns
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, SMALL)
+            assert docs.columns == columns
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).collect()
+        assert {r.doc_id for r in packed} == {r.doc_id for r in docs.collect()}
+
+
 def test_pipeline(spark):
     """Stage by stage against plain Python on the small documents."""
     import corpus_pipeline
