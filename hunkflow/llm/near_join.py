@@ -39,9 +39,9 @@ N, SIMILARITY = 5, 0.8
 RECALL = 0.998
 ROWS = 7
 BANDS = math.ceil(math.log(1 - RECALL) / math.log(1 - SIMILARITY**ROWS))
-BLOCK, BLOCK_GRAMS = 2048, 2_000_000  # classes of a block, and n-grams of 8 bytes
-TASK, TASK_GRAMS = 4096, 4_000_000  # what one task compares without cutting
-PART_GRAMS = 4 * TASK_GRAMS  # n-grams that one partition should receive
+BLOCK, BLOCK_GRAMS = 1024, 500_000  # classes of a block, and n-grams of 8 bytes
+TASK, TASK_GRAMS = 2048, 1_000_000  # what one task compares without cutting
+PART_GRAMS = 8 * TASK_GRAMS  # n-grams that one partition should receive
 BROADCAST_BYTES = 32 << 20
 
 _GEN = np.random.default_rng(20_260)

@@ -515,7 +515,7 @@ def near_texts(n):
     return texts | {n: None, n + 1: "", n + 2: "a b", n + 3: "a  b"}
 
 
-@pytest.mark.parametrize("task", [4096, 40])
+@pytest.mark.parametrize("task", [2048, 40])
 def test_near_join(spark, monkeypatch, task):
     monkeypatch.setattr(near_join, "TASK", task)
     monkeypatch.setattr(near_join, "BLOCK", task // 4)
