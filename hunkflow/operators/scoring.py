@@ -41,13 +41,22 @@ def fused(deduped: DataFrame, profile: str = "engine", fusion: bool = True) -> D
     return ranked.withColumn("penalty", base.cast("double") * times.otherwise(1.0))
 
 
-def scores(findings: DataFrame, scans: DataFrame, files: DataFrame, profile: str = "engine", fusion: bool = True, min_score: int = 0, threshold: int = 70) -> DataFrame:
+def apply_verdicts(findings: DataFrame, verdict: Column) -> DataFrame:
+    """Findings after a judge's verdicts: FALSE_POSITIVE ones go, CONTEXTUAL ones
+    lose a level, all others (and those without a verdict) stay as they are."""
+    judged = findings.withColumn("_verdict", F.coalesce(verdict, F.lit("VALID"))).where("_verdict <> 'FALSE_POSITIVE'")
+    lower = F.when(F.col("confidence") == "high", "medium").otherwise("low")
+    return judged.withColumn("confidence", F.when(F.col("_verdict") == "CONTEXTUAL", lower).otherwise(F.col("confidence"))).drop("_verdict")
+
+
+def scores(findings: DataFrame, scans: DataFrame, files: DataFrame, profile: str = "engine", fusion: bool = True, min_score: int = 0, threshold: int = 70, deduplicate: bool = True) -> DataFrame:
     """One row per scan. ``files`` has (scan_id, files_scanned). A scan without
     files scores 100 and has no verdict.
 
     Penalties are added in the order of clusters and ranks: the order of a sum
-    of doubles can decide a rounding tie."""
-    deduped = fused(dedup(findings), profile, fusion)
+    of doubles can decide a rounding tie. A score that is worked out again
+    after verdicts or later findings takes them all (``deduplicate=False``)."""
+    deduped = fused(dedup(findings) if deduplicate else findings.withColumn("first_seq", F.col("seq")), profile, fusion)
     total = F.aggregate(F.array_sort(F.collect_list(F.struct("cluster_seq", "rank", "penalty"))), F.lit(0.0), lambda a, x: a + x["penalty"])
     level = lambda c: F.count_if(F.col("confidence") == c)
     summed = deduped.groupBy("scan_id").agg(F.count("*").alias("n"), level("high").alias("high"), level("medium").alias("medium"), level("low").alias("low"), T.round_half_up(total).cast("int").alias("penalty"))

@@ -40,8 +40,9 @@ def signatures(v: Column, size: int, tables: int = 8, bits: int = 8, seed: int =
     return F.array(*out)
 
 
-def approximate_top_k(queries: DataFrame, rows: DataFrame, size: int, k: int = 5, tables: int = 8, bits: int = 4) -> DataFrame:
-    """As ``top_k``, among the rows that share a bucket with the query."""
+def approximate_top_k(queries: DataFrame, rows: DataFrame, size: int, k: int = 5, tables: int = 12, bits: int = 3) -> DataFrame:
+    """As ``top_k``, among the rows that share a bucket with the query. More
+    tables find more neighbours, more bits make the buckets smaller."""
     q = queries.withColumn("bucket", F.explode(signatures(F.col("qv"), size, tables, bits)))
     r = rows.withColumn("bucket", F.explode(signatures(F.col("v"), size, tables, bits)))
     pairs = q.join(r, "bucket").dropDuplicates(["q_id", "vec_id"])

@@ -191,6 +191,18 @@ def sc_package_profile(spark, sf_dir):
     return penalties.groupBy("scan_id").agg(F.greatest(F.lit(0), 100 - F.sum("penalty")).cast("long").alias("score"))
 
 
+def sc_async_rescore(spark, sf_dir):
+    """Scores of one detector's findings after verdicts (here by their line),
+    without their files' importance, as after a judge has answered."""
+    scans = change_sets.change_sets(spark, sf_dir)
+    lines = diffs.parse_lines(scans)
+    found = detectors.invented_matchers(lines).withColumn("seq", F.row_number().over(W.partitionBy("scan_id").orderBy(*detectors.ORDER)))
+    verdict = F.when(F.col("line_start") % 4 == 0, "FALSE_POSITIVE").when(F.col("line_start") % 4 == 1, "CONTEXTUAL")
+    judged = scoring.apply_verdicts(found, verdict).withColumn("importance", F.lit(None).cast("string"))
+    files = lines.groupBy("scan_id").agg(F.count_distinct("file_idx").alias("files_scanned"))
+    return scoring.scores(judged, scans, files, deduplicate=False).select("scan_id", "findings", "penalty", "trust_score", "verdict")
+
+
 def st_behaviour(spark, sf_dir):
     scans = _read(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("author"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("score"), F.col("event_type").alias("style"))
     return behaviour.flags(scans)
@@ -220,7 +232,7 @@ def vec_chunks(spark, sf_dir):
 SECRET = b"not a secret"
 NAMES = (
     "ag_confusion ag_precision_recall ev_suggested_weight ev_regression_gate ev_delta ev_holdout_by_source sl_sample dml_upsert dml_insert_missing dml_update_case dml_delete_where dml_overwrite_labels st_latest_op "
-    "vec_cosine_topk vec_quantise win_batches win_assign_ids ev_label_import flt_path_class flt_rebrand flt_safe_depth jn_findings_files ag_by_language sc_package_profile st_behaviour st_sliding_windows fn_hmac vec_embed vec_chunks"
+    "vec_cosine_topk vec_quantise win_batches win_assign_ids ev_label_import flt_path_class flt_rebrand flt_safe_depth jn_findings_files ag_by_language sc_package_profile sc_async_rescore st_behaviour st_sliding_windows fn_hmac vec_embed vec_chunks"
 ).split()
 QUERIES = {n: globals()[n] for n in NAMES}
 
@@ -274,6 +286,9 @@ ORACLE_SQL = {
     "ag_by_language": f"WITH {scan._BASE}, {scan.D7B_SQL}, p AS (SELECT DISTINCT path, lang FROM files) SELECT lang, kind, count(*) AS n, count(DISTINCT scan_id) AS scans FROM d7b JOIN p USING (path) GROUP BY ALL",
     "sc_package_profile": relational.DUCK["sc_package_profile"],
     "vec_quantise": relational.PAIRS["vec_quantise"][1],
+    "sc_async_rescore": f"""WITH {scan._BASE}, {scan.D6_SQL}, f0 AS (SELECT *, 'hallucinated_assertion' AS pattern_type, row_number() OVER (PARTITION BY scan_id ORDER BY file_idx, hunk_idx, phase, i1, i2) AS seq FROM d6),
+      found AS (SELECT * REPLACE (CASE WHEN line_start % 4 = 1 THEN CASE confidence WHEN 'high' THEN 'medium' ELSE 'low' END ELSE confidence END AS confidence, NULL::VARCHAR AS importance) FROM f0 WHERE line_start % 4 <> 0),
+      dd AS (SELECT * EXCLUDE (seq), seq AS first_seq FROM found), {scan.SCORE_SQL[scan.SCORE_SQL.index('rk AS'):]} SELECT scan_id, findings, penalty, trust_score, verdict FROM j3""",
     "st_sliding_windows": "SELECT event_type, time_bucket(INTERVAL '30 minutes', ts) - k * INTERVAL '30 minutes' AS start, count(*) AS n FROM events, range(0, 2) r(k) GROUP BY ALL",
     "st_behaviour": f"""WITH a AS (SELECT *, row_number() OVER o AS scans, abs(value - lag(value) OVER o) AS swing, sum((value >= 70)::INT) OVER o AS passes, list(event_type) OVER (o ROWS BETWEEN {behaviour.KEPT_STYLES} PRECEDING AND 1 PRECEDING) AS styles,
         least(count(*) OVER (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW), 50) AS recent FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id)),
