@@ -1,8 +1,8 @@
-"""The ten operators as queries over the shared tables."""
+"""The operators as queries over the shared tables."""
 
 from __future__ import annotations
 
-from . import exact_dedup, html_text, license_scan, mixing, near_join, packing, quality_model, quality_rules, sharding, substring_dedup
+from . import exact_dedup, html_text, license_scan, mixing, near_join, packing, quality_model, quality_rules, resampling, sharding, substring_dedup, token_counts
 
 QUERIES = {
     "op1_shard": sharding.op1_shard,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_html_text": html_text.op9_html_text,
     "op10_near_join": near_join.op10_near_join,
+    "op11_token_counts": token_counts.op11_token_counts,
+    "op13_resampling": resampling.op13_resampling,
     "shards_of_64k": sharding.shards_of_64k,
 }
 
@@ -25,5 +27,6 @@ ORACLE_SQL = {
     "op5_substring_dedup": substring_dedup.OP5_SQL,
     "op6_license_scan": license_scan.OP6_SQL,
     "op7_mixing": mixing.OP7_SQL,
+    "op13_resampling": resampling.OP13_SQL,
     "shards_of_64k": sharding.shards_sql(1 << 16),
 }
