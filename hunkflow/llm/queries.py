@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_text, license_scan, mixing, near_join, packing, quality_model, quality_rules, resampling, sharding, substring_dedup, token_counts
+from . import conversations, exact_dedup, html_text, license_scan, mixing, near_join, packing, quality_model, quality_rules, resampling, sharding, substring_dedup, token_counts
 
 QUERIES = {
     "op1_shard": sharding.op1_shard,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_html_text": html_text.op9_html_text,
     "op10_near_join": near_join.op10_near_join,
     "op11_token_counts": token_counts.op11_token_counts,
+    "op12_conversation_repair": conversations.op12_conversation_repair,
     "op13_resampling": resampling.op13_resampling,
     "shards_of_64k": sharding.shards_of_64k,
 }
