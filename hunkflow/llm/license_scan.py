@@ -5,9 +5,10 @@ of the same k-gram in the license templates. A hit votes for the diagonal
 (text position minus template position) it lies on; votes add up per text,
 template and diagonal, and diagonals that differ by a few words are merged.
 
-A merged span with enough votes is then verified word by word. The hits say
-which words of the template stand where in the text; all other words of the
-span count as strange. Span and template are written with one letter per word,
+A merged span with enough votes is then verified. If one of its diagonals holds
+the whole template, it is as it should be. Of the others the hits say which words
+of the template stand where in the text; all other words of the span count as
+strange. Span and template are written with one letter per word,
 and their edit distance must stay below a tenth of the template's words, so
 short names must stand word for word and long notices may differ a little.
 """
@@ -110,17 +111,31 @@ def _places(words: str) -> Column:
     return F.filter(F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0))), lambda i: F.struct(i.cast("long").alias("at"), label(i).alias("label"))), lambda x: x["label"].isNotNull())
 
 
-def _verified(hits: str, code: str) -> Column:
+def _letters_of(hits: str, code: str) -> Column:
+    """(pos, letter) of all words of a span that its hits account for, in order;
+    hits that share a word agree on it and give it several times."""
+    # each hit accounts for K words
+    each = lambda h: F.flatten(F.transform(h["tpos"], lambda p: F.transform(F.sequence(F.lit(0), F.lit(K - 1)), lambda k: F.struct((h["diagonal"] + p + k).alias("pos"), F.substring(F.col(code), p + k + 1, F.lit(1)).alias("letter")))))
+    return F.sort_array(F.flatten(F.transform(hits, each)))
+
+
+def _filled(letters: str) -> Column:
+    """One letter per word from the first to the last of ``letters``."""
+    before = lambda i: F.get(F.col(letters), i - 1)["pos"]
+    gap = lambda x, i: F.array_repeat(F.lit(_STRANGE), (x["pos"] - before(i) - 1).cast("int"))
+    none = F.array().cast("array<string>")
+    return F.flatten(F.transform(letters, lambda x, i: F.when(i == 0, F.array(x["letter"])).when(x["pos"] == before(i), none).otherwise(F.concat(gap(x, i), F.array(x["letter"])))))
+
+
+def _verified(hits: str, span: str, first: Column, code: str) -> Column:
     """(edits, first, last) of the best reading of a merged span: as a whole,
-    or as far as the template reaches along one of its diagonals."""
-    # each hit accounts for K words; two hits that share a word agree on it
-    letters = F.flatten(F.transform(hits, lambda h: F.flatten(F.transform(h["tpos"], lambda p: F.transform(F.sequence(F.lit(0), F.lit(K - 1)), lambda k: F.struct((h["diagonal"] + p + k).alias("pos"), F.substring(F.col(code), p + k + 1, F.lit(1)).alias("letter")))))))
-    known = F.map_from_entries(F.array_distinct(letters))
-    first, last, length = F.array_min(F.map_keys(known)), F.array_max(F.map_keys(known)), F.char_length(code)
-    span = F.array_join(F.transform(F.sequence(first, last), lambda p: F.coalesce(F.get(F.transform(F.array(p), lambda q: known[q]), F.lit(0)), F.lit(_STRANGE))), "")
+    or as far as the template reaches along one of its diagonals. ``span`` and
+    what else is read in each step are columns of their own, so a reading costs
+    what the template's length says, however long the span is."""
+    length, last = F.char_length(code), first + F.size(span) - 1
 
     def reading(a: Column, b: Column) -> Column:
-        part = F.substring(span, a - first + 1, b - a + 1)
+        part = F.array_join(F.transform(F.sequence(a, b), lambda p: F.get(F.col(span), (p - first).cast("int"))), "")
         # a reading that is far too long needs no comparison
         edits = F.when(b - a + 1 > 2 * length, b - a + 1).otherwise(F.levenshtein(part, F.col(code)))
         return F.struct(edits.cast("int").alias("edits"), a.alias("first"), b.alias("last"))
@@ -133,7 +148,8 @@ def spans(docs: DataFrame, id_col: str = "doc_id", templates: list[tuple[str, st
     """Verified spans: ``id``, ``sig`` (hash of the text), ``template``,
     ``label``, ``first`` and ``last`` word, ``edits``, ``likeness`` (1 minus
     edits per word of the template). Null, empty and short texts have none;
-    rows that repeat id and text share their spans."""
+    rows that repeat id and text share their spans. The work on a very long
+    text grows with its words and hits, also where it repeats a phrase."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64("text").alias("sig"), _words().alias("w"))
     after = lambda n: F.slice("w", F.lit(n + 1), F.size("w")).alias(f"t{n}")
     rolling = rows.select("id", "sig", F.posexplode(F.arrays_zip(F.col("w").alias("t0"), *(after(n) for n in range(1, K)))).alias("pos", "g")).select("id", "sig", "pos", "g.*").where(f"t{K - 1} IS NOT NULL")
@@ -146,7 +162,15 @@ def spans(docs: DataFrame, id_col: str = "doc_id", templates: list[tuple[str, st
     merged = apart.withColumn("span", F.sum(F.coalesce("new", F.lit(0))).over(by.orderBy("diagonal"))).groupBy("id", "sig", "template", "label", "code", "span")
     merged = merged.agg(F.collect_list(F.struct("diagonal", "tpos")).alias("hits")).withColumn("length", F.char_length("code"))
     covered = F.size(F.array_distinct(F.flatten(F.transform(F.flatten("hits.tpos"), lambda p: F.sequence(p, p + K - 1)))))
-    found = merged.where(VOTES * covered >= F.col("length")).withColumn("best", _verified("hits", "code")).where(EDITS * F.col("best.edits") <= F.col("length"))
+    # a diagonal that holds the whole template needs no comparison
+    exact = F.array_min(F.transform(F.filter("hits", lambda h: F.size(h["tpos"]) == F.col("length") - K + 1), lambda h: h["diagonal"]))
+    voted = merged.where(VOTES * covered >= F.col("length")).withColumn("exact", exact)
+    voted = voted.withColumn("letters", F.when(F.col("exact").isNull(), _letters_of("hits", "code")))
+    voted = voted.withColumns({"filled": _filled("letters"), "start": F.get("letters", F.lit(0))["pos"]})
+    # one row per group already: this keeps the filter on edits from working these columns out anew for every reading
+    voted = voted.groupBy("id", "sig", "template", "label", "code", "span", "length").agg(*(F.first(c).alias(c) for c in ("hits", "exact", "filled", "start")))
+    best = F.when(F.col("exact").isNotNull(), F.struct(F.lit(0).alias("edits"), F.col("exact").alias("first"), (F.col("exact") + F.col("length") - 1).alias("last"))).otherwise(_verified("hits", "filled", F.col("start"), "code"))
+    found = voted.withColumn("best", best).where(EDITS * F.col("best.edits") <= F.col("length"))
     return found.select("id", "sig", "template", "label", F.col("best.first").alias("first"), F.col("best.last").alias("last"), F.col("best.edits").alias("edits"), (1 - F.col("best.edits") / F.col("length")).alias("likeness"))
 
 

@@ -597,3 +597,21 @@ def test_pipeline(spark):
     for r in rows:
         read[r.doc_id] += r.length
     assert all(read[k] % tokens[k] == 0 and 1 <= read[k] // tokens[k] <= 2 for k in tokens)
+
+
+def test_license_scan_is_linear_in_repeats(spark):
+    import time
+
+    words = license_scan._template_words(license_scan.TEMPLATES[1][1])
+    nearly = " ".join([*words[:10], "strange", *words[11:]])
+    rng = random.Random(1)
+    torn = " ".join(w for _ in range(20_000) for p in [rng.randrange(len(words) - 3)] for w in words[p : p + 3])
+    texts = ["All rights reserved. " * 100_000, (nearly + " ") * 2000, torn, "under the MIT License " * 50_000]
+    license_scan.scan(spark.createDataFrame([(0, "warm up")], "doc_id long, text string")).collect()
+    began = time.time()
+    rows = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).orderBy("doc_id").collect()
+    assert time.time() - began < 60
+    assert (rows[0].n_base, rows[0].first_word, rows[0].last_word, rows[0].labels) == (100_000, 0, 299_997, "reserved")
+    assert rows[1].labels == "mit" and rows[1].score == round(1 - 1 / len(words), 6) and rows[2].score == 0 and (rows[3].labels, rows[3].score) == ("mit", 1)
+    spans = license_scan.spans(spark.createDataFrame([(1, texts[1])], "doc_id long, text string")).collect()
+    assert len(spans) == 2000 and {r.edits for r in spans} == {1}
