@@ -28,6 +28,7 @@ COLUMNS = ("words", "links", "words_before", "links_before", "words_after", "lin
 BARE, ITEM, HEADING, PARAGRAPH = range(4)  # kinds of blocks
 NEAR = 3  # neighbours on either side among which the longest unlinked block counts
 LEAST_LEAF, DEPTH = 10, 8
+LONG = 30  # words of a block that could be a paragraph
 
 #: The labelled pages, one per line, as the blocks from top to bottom. A block
 #: is its kind (b bare text of a div or cell, i list item, h heading, p
@@ -92,21 +93,32 @@ h7+* p50+* b2L+~ i4L+~ i5L+~ p60+* p30+~* b4-
 p44+* i3L+~ i2L+~ b5L+~ p51+* b1L+~ b2L+~ i9L+~ b3-
 h4+* p70+~* p35+~* b40+~* i6L+~ i4L+~ i3L+~ b6-
 h9+* p80+* b33+- i18+- b52+- i6+- p25+* p8+* b16+* i5+* b22+- i30+- b3-
+b1L b1L b1L h1* b60* b60* b60*
+b1L b2L b1L h6* b45* b70* b28* b90* b3 b4L
+i1L i1L i2L h7* b60* b60* p3 b5
+h4* b60* b60* p3* p4
+b1L b1L b2L b1L h9* b33* b120* b41* b18* b64* b6 b2L b2L
+b3 b2L b1L b1L b55* b80* b47* b5L b7L b6L b3
+h5* b25* b38* h3* b52* b19* b77* b12 b2L b1L
+b1L b3L b2L b140* b4
+i2L i1L i1L b66* b50* b71* b2
 """
 
 # fixed values: parts of class, id and role names
-#: page furniture wherever they stand in a name
+#: page furniture, if nothing but these and NEUTRAL is in the name
 CLEAR = frozenset("nav navbar navigation menu menubar sidebar aside footer masthead topbar toolbar breadcrumb breadcrumbs pagination pager ad ads adv advert adverts advertisement advertising sponsor sponsored promo cookie cookies consent gdpr notice notices alert popup modal newsletter subscribe subscription signup login share sharing comment comments disqus replies respond widget widgets copyright contentinfo complementary".split())
 #: often page furniture, but sections of articles have such names as well
 VAGUE = frozenset("header banner search form legal related recommended trending popular social follow warning promotion overlay dialog discussion reply signin recommendations".split())
+#: say where or what kind of box something is, and nothing about its content
+NEUTRAL = frozenset("site page main primary secondary global local left right top bottom middle center upper lower inner outer wrap wrapper container box block area region zone section panel bar slot unit list item items row col column grid group holder link links button buttons icon icons title label text body head header footer content post posts entry article story user users small large mobile desktop fixed sticky the my id".split())
 #: an article, if nothing else is in the name
 ARTICLE = frozenset("article main content post entry story body text".split())
 _STATES = frozenset("has no with without show hide is js".split())  # what such a name begins with says something about others
 _FURNITURE_TAGS = frozenset("nav footer aside form header dialog menu".split())
 _ARTICLE_TAGS = frozenset("article main".split())
 #: Elements whose content is never text of the page.
-_RAW_TAGS = frozenset("script style noscript template svg math iframe object textarea select button title".split())
-_BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+_RAW_TAGS = frozenset("script style template svg iframe object textarea select button title".split())
+_BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav noscript ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _KINDS = {t: HEADING for t in "h1 h2 h3 h4 h5 h6".split()} | {t: PARAGRAPH for t in "p pre blockquote".split()} | {"li": ITEM, "dt": ITEM, "dd": ITEM}
 #: An element that opens ends the open one of these, up to the list or table they are in.
@@ -129,6 +141,8 @@ def _flags(tag: str, attributes: str, inside: int) -> int:
         flags |= FURNISH
     if tag in _ARTICLE_TAGS:
         flags |= WITHIN
+    if tag == "noscript":
+        flags |= DOUBT
     if "=" in attributes or "hidden" in attributes:
         for name, a, b, c in _NAMES.findall(attributes):
             name, value = name.lower(), a or b or c
@@ -144,7 +158,9 @@ def _flags(tag: str, attributes: str, inside: int) -> int:
                     if all(p in ARTICLE for p in parts):
                         flags |= WITHIN
                     elif any(p in CLEAR for p in parts):
-                        flags |= FURNISH
+                        # other words may make it a name for something else, as in ad-hoc
+                        plain = all(p in CLEAR or p in VAGUE or p in NEUTRAL or not p.isalpha() for p in parts)
+                        flags |= FURNISH if plain else DOUBT
                     elif any(p in VAGUE for p in parts):
                         flags |= DOUBT
     return flags
@@ -268,13 +284,15 @@ def labelled_page(line: str) -> tuple[list[tuple[int, float, int, int]], list[in
 
 def labelled_blocks(pages: str = PAGES) -> tuple[np.ndarray, np.ndarray]:
     """Columns and labels of the labelled pages with all hints, without those
-    of article elements, and with none."""
+    of article elements, and twice with none. Long unlinked furniture that only
+    its hints tell from an article is not learned from without them."""
     x, y = [], []
     for line in pages.strip().split("\n"):
         found, labels = labelled_page(line)
-        for seen in (~0, ~WITHIN, 0):
-            x.append(describe([(*b[:3], b[3] & seen) for b in found]))
-            y += labels
+        for seen in (~0, ~WITHIN, 0, 0):
+            told = [bool(seen or label or not flags or words < LONG or links > 0.2) for (words, links, _, flags), label in zip(found, labels, strict=True)]
+            x.append(describe([(*b[:3], b[3] & seen) for b in found])[told])
+            y += [label for label, t in zip(labels, told, strict=True) if t]
     return np.concatenate(x), np.array(y)
 
 
