@@ -1,12 +1,9 @@
-"""Exact and approximate nearest neighbours over float arrays."""
+"""Arithmetic on float arrays, as column expressions."""
 
 from __future__ import annotations
 
-import random
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -18,38 +15,6 @@ def normalised(v: Column) -> Column:
     return F.transform(v, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(0.0))
 
 
-def top_k(queries: DataFrame, rows: DataFrame, k: int = 5, on: Column | None = None) -> DataFrame:
-    """(q_id, vec_id, score): exact cosine neighbours. ``queries`` has q_id,
-    qv; ``rows`` has vec_id, v; ``on`` narrows the pairs (say, an equal key)."""
-    pairs = queries.withColumn("qv", normalised(F.col("qv"))).join(rows.withColumn("v", normalised(F.col("v"))), on if on is not None else F.lit(True))
-    scored = pairs.select("q_id", "vec_id", dot(F.col("qv"), F.col("v")).alias("score"))
-    best = scored.withColumn("rank", F.row_number().over(W.partitionBy("q_id").orderBy(F.desc("score"), "vec_id")))
-    return best.where(F.col("rank") <= k)
-
-
-def signatures(v: Column, size: int, tables: int = 8, bits: int = 8, seed: int = 11) -> Column:
-    """Random-hyperplane signatures: one bucket number per table."""
-    rng = random.Random(seed)
-    out = []
-    for t in range(tables):
-        code = F.lit(t << bits)
-        for b in range(bits):
-            plane = F.array(*(F.lit(rng.gauss(0, 1)) for _ in range(size)))
-            code = code + F.when(dot(v, plane) > 0, 1 << b).otherwise(0)
-        out.append(code)
-    return F.array(*out)
-
-
-def approximate_top_k(queries: DataFrame, rows: DataFrame, size: int, k: int = 5, tables: int = 12, bits: int = 3) -> DataFrame:
-    """As ``top_k``, among the rows that share a bucket with the query. More
-    tables find more neighbours, more bits make the buckets smaller."""
-    q = queries.withColumn("bucket", F.explode(signatures(F.col("qv"), size, tables, bits)))
-    r = rows.withColumn("bucket", F.explode(signatures(F.col("v"), size, tables, bits)))
-    pairs = q.join(r, "bucket").dropDuplicates(["q_id", "vec_id"])
-    scored = pairs.select("q_id", "vec_id", dot(normalised(F.col("qv")), normalised(F.col("v"))).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(W.partitionBy("q_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
-
-
 def quantise(v: Column) -> tuple[Column, Column]:
     """8-bit codes and the scale that turns them back."""
     scale = F.array_max(F.transform(v, lambda x: F.abs(x.cast("double")))) / 127

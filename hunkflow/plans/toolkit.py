@@ -9,10 +9,11 @@ from pyspark.sql import Window as W
 from ..functions import rules as R
 from ..functions import text as T
 from ..functions.digests import hashed_words, hmac_sha256
-from ..operators import behaviour, chunks, detectors, evaluate, paths, scoring, store, vectors
+from ..operators import behaviour, chunks, detectors, evaluate, paths, scoring, store, vector_index, vectors
 from ..operators.bodies import trivial_bodies
 from ..operators.numbering import numbered
 from ..sources import change_sets, diffs
+from ..sources.tables import shared_path
 from ..streaming import author_events as A
 from . import relational, scan
 
@@ -122,10 +123,18 @@ def _vectors(spark, sf_dir):
 
 def vec_cosine_topk(spark, sf_dir):
     queries, rows = _vectors(spark, sf_dir)
-    best = vectors.top_k(queries, rows, 5, (F.col("q_label") == F.col("label")) & (F.col("q_id") != F.col("vec_id")))
+    best = vector_index.exact_top_k(queries, rows, 5, F.col("q_label"), F.col("label"), others=True)
     return best.select("q_id", "vec_id", F.round("score", 6).alias("score"))
 
 
+def vec_index_search(spark, sf_dir):
+    """An index of all rows, searched for every row whose id is divisible by 20."""
+    queries, rows = _vectors(spark, sf_dir)
+    path = shared_path(spark)
+    vector_index.build(rows.select("vec_id", "v"), path)
+    return vector_index.search(spark, path, queries, 5, others=True).select("q_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
 def vec_quantise(spark, sf_dir):
     return _read(spark, sf_dir, "embeddings").select("vec_id", F.transform(vectors.quantise(F.col("embedding"))[0], lambda x: x.cast("int")).alias("q"))
 
@@ -232,7 +241,7 @@ def vec_chunks(spark, sf_dir):
 SECRET = b"not a secret"
 NAMES = (
     "ag_confusion ag_precision_recall ev_suggested_weight ev_regression_gate ev_delta ev_holdout_by_source sl_sample dml_upsert dml_insert_missing dml_update_case dml_delete_where dml_overwrite_labels st_latest_op "
-    "vec_cosine_topk vec_quantise win_batches win_assign_ids ev_label_import flt_path_class flt_rebrand flt_safe_depth jn_findings_files ag_by_language sc_package_profile sc_async_rescore st_behaviour st_sliding_windows fn_hmac vec_embed vec_chunks"
+    "vec_cosine_topk vec_index_search vec_quantise win_batches win_assign_ids ev_label_import flt_path_class flt_rebrand flt_safe_depth jn_findings_files ag_by_language sc_package_profile sc_async_rescore st_behaviour st_sliding_windows fn_hmac vec_embed vec_chunks"
 ).split()
 QUERIES = {n: globals()[n] for n in NAMES}
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import shutil
 import tempfile
 import uuid
@@ -16,7 +17,7 @@ def shared_dir(spark: SparkSession) -> str:
     is set here only for a local master that leaves it unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="hunkflow-")
         atexit.register(shutil.rmtree, path, ignore_errors=True)
@@ -25,15 +26,34 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def shared_path(spark: SparkSession) -> str:
+    """A free path in the shared folder. What is written there goes with the
+    application, or before by ``forget``."""
+    path = f"{shared_dir(spark)}/hunkflow-core-{uuid.uuid4().hex}"
+    if not _paths:
+        atexit.register(lambda: [_forget(spark, p) for p in list(_paths)])
+    _paths.add(path)
+    return path
+
+
+_paths: set[str] = set()
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df``, written to the shared folder and read back: its rows are worked
     out once, and a lost executor costs the running tasks only. The table goes
-    with the application."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/hunkflow-core-{uuid.uuid4().hex}"
+    with the application, or before by ``forget``."""
+    path = shared_path(df.sparkSession)
     df.write.parquet(path)
-    atexit.register(_forget, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes a table that ``stored`` wrote."""
+    _forget(df.sparkSession, df.written_to)
+    _paths.discard(df.written_to)
 
 
 def _forget(spark: SparkSession, path: str) -> None:
