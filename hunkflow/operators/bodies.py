@@ -17,15 +17,18 @@ from ..functions import rules as R
 from ..functions import text as T
 
 KEYS = ("scan_id", "file_idx", "hunk_idx")
-MOST_FILES = 5  # larger change sets are not looked at
+MOST_FILES = 5  # functional files of the change sets that are looked at, unless asked for otherwise
 
 
-def _candidates(lines: DataFrame) -> DataFrame:
+def _candidates(lines: DataFrame, most_files: int | None) -> DataFrame:
     """Added lines of the hunks that hold an opener, one array per hunk."""
     body, t = F.col("body"), T.trim(F.col("body"))
     scan, hunk = W.partitionBy("scan_id"), W.partitionBy(*KEYS)
-    functional = lines.where("NOT non_functional").withColumn("files", F.size(F.collect_set("file_idx").over(scan)))
-    added = functional.where(f"files <= {MOST_FILES} AND path <> '/dev/null' AND lang <> 'javascript' AND marker = '+' AND raw NOT LIKE '+++%'")
+    functional = lines.where("NOT non_functional")
+    if most_files is not None:
+        first = F.row_number().over(W.partitionBy("scan_id", "file_idx").orderBy("hunk_idx", "line_idx")) == 1
+        functional = functional.withColumn("first", first).withColumn("files", F.count_if("first").over(scan)).where(f"files <= {most_files}")
+    added = functional.where(f"path <> '/dev/null' AND lang <> 'javascript' AND marker = '+' AND raw NOT LIKE '+++%'")
     opens = F.coalesce(T.by_language(F.col("lang"), R.BODY_OPENERS, lambda p: T.matches(body, p)), F.lit(False))
     added = added.withColumns({"opens": opens, "never": T.matches(t, R.NEVER_RUN), "t": t})
     added = added.withColumn("any", F.max((F.col("opens") | F.col("never")).cast("int")).over(hunk)).where("any = 1")
@@ -45,13 +48,14 @@ def _end(m: Column, by_braces: Column, plus: Column) -> Column:
     return F.coalesce(F.when(by_braces & m["t"].contains("{"), brace), indent, F.size(ls))
 
 
-def trivial_bodies(lines: DataFrame) -> DataFrame:
+def trivial_bodies(lines: DataFrame, most_files: int | None = MOST_FILES) -> DataFrame:
     """Findings: functions of at most two lines of which one is a trivial value
     (phase 0), and conditions that are never true outside of functions (phase 1).
-    ``line_start`` counts the hunk's added lines from 1."""
+    ``line_start`` counts the hunk's added lines from 1. Change sets with more
+    than ``most_files`` functional files are passed over; None looks at all."""
     braces = F.col("lang").isin(R.BRACE_LANGUAGES)
     plus = F.when(braces, 0).otherwise(1)
-    hunks = _candidates(lines).where(F.char_length(T.trim(F.array_join("ls.t", "\n"))) >= 10)
+    hunks = _candidates(lines, most_files).where(F.char_length(T.trim(F.array_join("ls.t", "\n"))) >= 10)
     openers = F.transform(F.filter("ls", lambda x: x["opens"]), lambda m: F.struct(m["i"].alias("i"), _end(m, braces, plus).alias("end")))
     none = F.array().cast("array<struct<i: int, end: int>>")
     hunks = hunks.withColumn("openers", openers.cast("array<struct<i: int, end: int>>"))

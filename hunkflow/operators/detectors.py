@@ -23,8 +23,11 @@ ORDER = ("det", "file_idx", "hunk_idx", "phase", "i1", "i2")
 COLUMNS = ("scan_id", *ORDER, "pattern_type", "path", "line_start", "line_end", "confidence", "kind", "evidence", "importance")
 
 
+KEYS = ("scan_id", "file_idx", "hunk_idx")
+
+
 def _hunk() -> WindowSpec:
-    return W.partitionBy("scan_id", "file_idx", "hunk_idx")
+    return W.partitionBy(*KEYS)
 
 
 def _finding(df: DataFrame, pattern: str, phase: int | Column, confidence: Column, kind: Column, evidence: Column, i1="line_idx", i2=None, start="line_no", end="line_no") -> DataFrame:
@@ -57,12 +60,15 @@ def disabled_assertions(lines: DataFrame) -> DataFrame:
     free = (F.col("marker") == "+") & ~F.col("near") & raw.contains("(")
     seen = _functional(lines).withColumn("source_changed", source_changed).where("is_test").withColumn("kind", kind)
     seen = seen.withColumns({"active": active, "near": near})
-    seen = seen.withColumns({"inline": _greedy(free & T.matches(raw, R.EMPTY_TEST)), "opens": free & T.matches(raw, R.TEST_OPEN)})
+    seen = _bare_bodies(seen.withColumns({"inline": free & T.matches(raw, R.EMPTY_TEST), "opens": free & T.matches(raw, R.TEST_OPEN)}))
+    # what is left are the few lines of which one rule or another speaks
+    few = seen.where("kind IS NOT NULL OR inline OR bare").select(*KEYS, "path", "importance", "line_idx", "line_no", "body", "kind", "source_changed", "active", "inline", "bare")
+    few = _apart(few, "inline")
     # those found inline are matches already; an open line near one is passed over
     beside = F.max(F.col("inline").cast("int")).over(_hunk().orderBy("line_idx").rangeBetween(-2, 2)) == 1
-    seen = _empty_bodies(seen.withColumn("opens", F.col("opens") & ~beside))
-    phase = F.when(F.col("kind").isNotNull(), 0).when(F.col("inline"), 1).when(F.col("empty_body"), 2)
-    found = seen.withColumn("phase", phase).where("phase IS NOT NULL")
+    few = _apart(few.withColumn("bare", F.col("bare") & ~beside), "bare")
+    phase = F.when(F.col("kind").isNotNull(), 0).when(F.col("inline"), 1).when(F.col("bare"), 2)
+    found = few.withColumn("phase", phase).where("phase IS NOT NULL")
     conf = (
         F.when(F.col("phase") > 0, "medium").when(F.col("kind").isin("skip", "focus", "if_false"), "high")
         .when((F.col("kind") == "comment") & ~F.col("source_changed") & ~F.col("active"), "medium")
@@ -71,16 +77,27 @@ def disabled_assertions(lines: DataFrame) -> DataFrame:
     return _finding(found, "disabled_assertion", F.col("phase"), conf, F.coalesce("kind", F.lit("empty_test")), F.substring(T.trim(F.col("body")), 1, 200))
 
 
-def _greedy(candidate: Column) -> Column:
-    """Per hunk, whether a row is a candidate 3 or more lines below the last one
-    kept: a fold over the hunk's few candidate positions."""
-    at = F.array_sort(F.collect_list(F.when(candidate, F.col("line_idx"))).over(_hunk()))
-    kept = F.aggregate(at, F.array().cast("array<int>"), lambda a, x: F.when((F.size(a) == 0) | (x - F.element_at(a, -1) >= 3), F.concat(a, F.array(x.cast("int")))).otherwise(a))
-    return F.array_contains(kept, F.col("line_idx").cast("int"))
+BLOCK = 64  # rows that are folded together
+
+
+def _apart(rows: DataFrame, flag: str) -> DataFrame:
+    """Per hunk, leaves ``flag`` set only where a row is 3 or more lines below
+    the last one that keeps it. One fold per hunk over its rows in order, which
+    are few; they are cut into blocks so that no list grows row by row."""
+    row = F.struct("line_idx", *(c for c in rows.columns if c not in (*KEYS, "line_idx")))
+    blocks = rows.withColumn("_block", F.floor(F.col("line_idx") / BLOCK)).groupBy(*KEYS, "_block").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    hunks = blocks.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("_block", "rows"))).alias("blocks"))
+    keeps = lambda s, x: x[flag] & (x["line_idx"] - s["last"] >= 3)
+    state = lambda last, out: F.struct(last.cast("int").alias("last"), out.alias("out"))
+    flags, lists = F.array().cast("array<boolean>"), F.array().cast("array<array<boolean>>")
+    inside = lambda a, b: F.aggregate(b["rows"], state(a["last"], flags), lambda s, x: state(F.when(keeps(s, x), x["line_idx"]).otherwise(s["last"]), F.concat(s["out"], F.array(keeps(s, x)))))
+    kept = F.aggregate("blocks", state(F.lit(-9), lists), lambda a, b: state(inside(a, b)["last"], F.concat(a["out"], F.array(inside(a, b)["out"]))), lambda a: F.flatten(a["out"]))
+    each = hunks.select(*KEYS, F.explode(F.arrays_zip(F.flatten("blocks.rows").alias("r"), kept.alias("keep"))).alias("x"))
+    return each.select(*KEYS, "x.r.*", "x.keep").drop(flag).withColumnRenamed("keep", flag)
 
 
-def _empty_bodies(seen: DataFrame) -> DataFrame:
-    """Adds ``empty_body``: tests that open on such a line (``opens``) and whose
+def _bare_bodies(seen: DataFrame) -> DataFrame:
+    """Adds ``bare``: tests that open on such a line (``opens``) and whose
     braces close within 20 lines without an assertion on the way. Only hunks
     with an open line look at the lines that follow."""
     seen = seen.withColumn("opening", F.max(F.col("opens").cast("int")).over(_hunk()) == 1)
@@ -94,8 +111,7 @@ def _empty_bodies(seen: DataFrame) -> DataFrame:
     inside = lambda a, x: a["inside"] | (depth(a, x) > 0)
     event = lambda a, x: F.when(a["end"] > 0, a["end"]).when(~inside(a, x), 0).when(depth(a, x) == 0, 1).when(x["asserts"], 2).otherwise(0)
     end = F.aggregate("after", start, lambda a, x: F.struct(depth(a, x).alias("depth"), inside(a, x).alias("inside"), event(a, x).alias("end")), lambda a: a["end"])
-    seen = seen.withColumn("after", after).withColumn("bare", F.col("opens") & (F.when(F.col("opens"), end) == 1))
-    return seen.withColumn("empty_body", _greedy(F.col("bare"))).drop("after", "step")
+    return seen.withColumn("after", after).withColumn("bare", F.col("opens") & (F.when(F.col("opens"), end) == 1)).drop("after", "step")
 
 
 def _safe(body: Column) -> Column:

@@ -194,3 +194,39 @@ def test_trivial_bodies(spark, path, lines, expected):
 def test_large_change_sets_skip_trivial_bodies(spark):
     many = "\n".join(diff(f"a{i}.py", "+def f(x):", "+    pass") for i in range(6))
     assert bodies.trivial_bodies(diffs.parse_lines(scans(spark, many))).count() == 0
+
+
+def test_large_hunks_of_empty_tests(spark):
+    import time
+
+    inline = diff("a.test.ts", *(f"+  it('t{i}', () => {{}});" for i in range(20_000)))
+    bare = diff("a.test.ts", *(["+  it('t', () => {", "+ foo();", "+ });"] * 7000))
+    run(spark, detectors.disabled_assertions, diff("a.test.ts", "+x"))
+    began = time.time()
+    rows = detectors.disabled_assertions(diffs.parse_lines(scans(spark, inline, bare))).select("scan_id", "line_start", "kind").collect()
+    assert time.time() - began < 40
+    assert sorted(r.line_start for r in rows if r.scan_id == 0) == list(range(1, 20_001, 3))
+    assert sorted(r.line_start for r in rows if r.scan_id == 1) == list(range(1, 21_000, 3))
+
+
+def test_kept_rows_are_apart(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(s, 1, 1, i, rng.random() < 0.6) for s in range(5) for i in sorted(rng.sample(range(600), 300))]
+    df = spark.createDataFrame(rows, "scan_id long, file_idx int, hunk_idx int, line_idx int, bare boolean")
+    want = set()
+    for s in range(5):
+        last = -9
+        for _, _, _, i, flag in sorted(r for r in rows if r[0] == s):
+            if flag and i - last >= 3:
+                want.add((s, i))
+                last = i
+    got = detectors._apart(df, "bare").collect()
+    assert len(got) == len(rows) and {(r.scan_id, r.line_idx) for r in got if r.bare} == want
+
+
+def test_body_cap_is_a_parameter(spark):
+    many = "\n".join(diff(f"m{i}.py", "+def f(a):", "+    # changed for now", "+    return True", "+x = 1") for i in range(7))
+    lines = diffs.parse_lines(scans(spark, many))
+    assert bodies.trivial_bodies(lines).count() == 0 and bodies.trivial_bodies(lines, None).count() == bodies.trivial_bodies(lines, 7).count() == 7
