@@ -16,7 +16,7 @@ from pyspark.sql.window import WindowSpec
 
 from ..functions import rules as R
 from ..functions import text as T
-from . import bodies, susceptibility
+from . import bodies, susceptibility, syntax
 
 #: What orders findings: detector, file, hunk, pass over the hunk, positions.
 ORDER = ("det", "file_idx", "hunk_idx", "phase", "i1", "i2")
@@ -249,16 +249,9 @@ def silent_catches(lines: DataFrame) -> DataFrame:
     return _finding(found, "silent_catch_and_pass", F.col("phase"), conf, F.col("kind"), F.substring("t", 1, 200), end=end)
 
 
-def custom_matchers(lines: DataFrame) -> DataFrame:
-    """(scan_id, names): matchers that the change set itself registers."""
-    added = lines.where("marker = '+'").withColumn("registers", F.max(F.col("body").contains("expect.extend(").cast("int")).over(_hunk()))
-    names = added.where("registers = 1").select("scan_id", F.explode(F.regexp_extract_all("body", F.lit(r"(?:^|[\s{,])(?:async\s+)?([A-Za-z_]\w*)\s*(?:\(|:\s*(?:async\s*)?(?:function|\())"), 1)).alias("n"))
-    return names.groupBy("scan_id").agg(F.collect_set("n").alias("names"))
-
-
 def invented_matchers(lines: DataFrame) -> DataFrame:
     """D6: calls of matchers that no framework has, the first of each line."""
-    tests = _functional(lines).where("is_test AND marker = '+'").where(F.col("body").contains(".") & F.col("body").contains("(")).join(custom_matchers(lines), "scan_id", "left")
+    tests = _functional(lines).where("is_test AND marker = '+'").where(F.col("body").contains(".") & F.col("body").contains("(")).join(syntax.registered_matchers(lines), "scan_id", "left")
     called = tests.withColumns({"t": T.trim(F.col("body")), "calls": F.regexp_extract_all(T.trim(F.col("body")), F.lit(r"\.\s*([a-zA-Z]+)\s*\("), 1)}).where(F.size("calls") > 0)
     called = called.where(~F.element_at("calls", 1).isin(R.NOT_MATCHERS))
     valid = lambda m: F.coalesce(T.by_language(F.col("lang"), R.MATCHERS, lambda names: m.isin(names) if names else F.lit(False)), F.lit(False))

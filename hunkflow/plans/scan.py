@@ -8,6 +8,7 @@ from ..functions import rules as R
 from ..operators import detectors as D
 from ..operators import scoring
 from ..operators.bodies import trivial_bodies
+from ..operators import syntax as S
 from ..operators.susceptibility import susceptible_hunks
 from ..sources import change_sets, diffs
 from ..sources.tables import stored
@@ -77,18 +78,36 @@ def deduped_findings(spark, sf_dir):
     return scoring.fused(scoring.dedup(_findings(spark, sf_dir)[0])).select("scan_id", "path", "line_start", "pattern_type", "confidence", "first_seq", "rank", "base", "penalty")
 
 
-def trust_scores(spark, sf_dir):
-    scans = _scans(spark, sf_dir)
-    lines = diffs.parse_lines(scans).persist()
+def scores_of(lines, scans, more=lambda lines: []):
+    """Scores of parsed change sets; ``more`` adds findings of further detectors."""
+    lines = lines.persist()
     try:
         files = stored(lines.groupBy("scan_id").agg(F.count_distinct("file_idx").alias("files_scanned")))
-        found = stored(D.all_findings(lines, scans))
+        found = stored(D.all_findings(lines, scans, more(lines)))
     finally:
         lines.unpersist()
     return scoring.scores(found, scans, files)
 
 
+def trust_scores(spark, sf_dir):
+    scans = _scans(spark, sf_dir)
+    return scores_of(diffs.parse_lines(scans), scans)
+
+
+def d7a_syntax_findings(spark, sf_dir):
+    """The syntax rules on all added code, whatever the size of a change set."""
+    return _detector(lambda lines: S.syntax_findings(lines, most_files=None, most_hunks=None, most_pieces=None, most_chars=None))(spark, sf_dir)
+
+
+def syntax_trust_scores(spark, sf_dir):
+    """Trust scores to which the syntax rules contribute, within their limits."""
+    scans = _scans(spark, sf_dir)
+    return scores_of(diffs.parse_lines(scans), scans, lambda lines: [S.syntax_findings(lines)])
+
+
 QUERIES = {
+    "d7a_syntax_findings": d7a_syntax_findings,
+    "syntax_trust_scores": syntax_trust_scores,
     "src_diff_lines": diff_lines,
     "src_diff_files": diff_files,
     "src_looks_valid": looks_valid,
@@ -265,8 +284,62 @@ v7 AS (SELECT m.{_K.replace(', ', ', m.')}, path, importance, i, {_END('m', 'tru
 d7b AS (SELECT {_K}, 0 AS phase, i::INT AS i1, 0 AS i2, path, (i + 1)::INT AS line_start, e::INT AS line_end, 'high' AS confidence, 'trivial_function' AS kind, 'Function at line ' || (i + 1) || ' returns trivial value unconditionally.' AS evidence, importance FROM g7
    UNION ALL SELECT {_K}, 0, i::INT, 0, path, (i + 1)::INT, e::INT, 'high', 'conditional_wrap', 'if(false) block at line ' || (i + 1), importance FROM v7)"""
 
+_TOK, _FLAT = diffs._lit(S.TOKEN), "replace(sig, chr(10) || ' ', '')"
+
+
+def _statements(sig: str) -> str:
+    for pattern, to in zip(S.CARRIES, ("\\1", "\\1", "}~\\1"), strict=True):
+        sig = f"regexp_replace({sig}, {diffs._lit(pattern)}, '{to}', 'g')"
+    return f"len(list_filter(regexp_split_to_array({sig}, ';|\\n|\\}} '), lambda x: trim(x) <> ''))"
+
+
+def d7a_sql(limited: bool) -> str:
+    k = _K
+    few = f"SEMI JOIN (SELECT scan_id FROM x WHERE NOT non_functional GROUP BY scan_id HAVING count(DISTINCT file_idx) <= {S.MOST_FILES}) USING (scan_id)" if limited else ""
+    cut = f"code[1:{S.MOST_CHARS}]" if limited else "code"
+    most = f"AND n <= {S.MOST_HUNKS} AND pieces <= {S.MOST_PIECES}" if limited else ""
+    opens, closes = "tok IN ('(', '[', '{')", "tok IN (')', ']', '}')"
+    lags = ", ".join(f"lag(tok, {n}) OVER o AS p{n}, lag(line, {n}) OVER o AS l{n}" for n in range(1, S.BEFORE + 1))
+    controls = ", ".join(map(diffs._lit, S.NOT_FUNCTIONS))
+    name = lambda c: f"regexp_matches({c}, '^[A-Za-z_$]') AND {c} NOT IN ({controls})"
+    text = lambda kind, line: f"'{kind} at line ' || nos[{line} + 1]"
+    hit = lambda no, cond, kind, conf, line, ev: f"SELECT {k}, path, importance, pos, {no} AS no, '{kind}' AS kind, '{conf}' AS conf, nos[{line} + 1] AS line_start, nos[end_line + 1] AS line_end, {ev} AS ev FROM yj WHERE {cond}"
+    hits = [
+        hit(0, "is_function AND trivial <> ''", "trivial_function", "high", "line", text("Function", "line") + " || ' returns ' || trivial || ' unconditionally.'"),
+        hit(1, f"is_function AND regexp_matches(flat, {diffs._lit(S.FUNCTION_TRY)}) AND holds_silent", "async_gutted", "high", "line", text("Function", "line") + " || ' wraps logic in try/catch with no error handling.'"),
+        hit(2, "is_function AND (flat = '' OR lone)", "empty_test_shell", "medium", "line", text("Function", "line") + " || ' has no meaningful body.'"),
+        hit(3, "is_catch AND (n = 0 OR (n = 1 AND expression))", "async_gutted", "high", "try_line", text("Try/catch", "try_line") + " || CASE WHEN n = 0 THEN ' has empty catch body.' ELSE ' has comment-only catch body.' END"),
+        hit(4, "tok = '(' AND p1 = 'if' AND flat = 'false'", "conditional_wrap", "high", "line", text("if(false) block", "line")),
+        hit(5, "tok = '(' AND p1 = 'if' AND regexp_matches(flat, '^0+(?:\\.0*)?$')", "conditional_wrap", "high", "line", text("if(0) block", "line")),
+        hit(6, f"tok = '(' AND p1 = 'if' AND regexp_matches(flat, {diffs._lit(S.SIMPLE_CONDITION)}) AND regexp_matches(flat[1:80], '{S.SKIPS}')", "conditional_wrap", "medium", "line", text("Conditional", "line") + " || ': ' || flat[1:80]"),
+        hit(7, f"tok = '{{' AND p3 = 'switch' AND p1 = ')' AND has_default AND {_statements('rest')} <= 1", "conditional_wrap", "medium", "line", text("Switch", "line")),
+    ]
+    return f"""
+ya AS (SELECT *, count(*) OVER {_HUNK} AS added, line_idx - row_number() OVER (PARTITION BY {k} ORDER BY line_idx) AS piece FROM ({_FUNC}) {few} WHERE lang = 'javascript' AND marker = '+' AND NOT starts_with(raw, '+++') AND {rx('path', R.TEST_FILE)}),
+yb AS (SELECT {k}, path, importance, piece, string_agg(body, chr(10) ORDER BY line_idx) AS t, list(line_no ORDER BY line_idx) AS ls FROM ya WHERE added >= {S.LEAST_ADDED} GROUP BY ALL),
+yc AS (SELECT {k}, path, importance, count(*) AS pieces, string_agg(t, chr(10) ORDER BY piece) FILTER (length({_TRIM('t')}) > {S.LEAST_PIECE}) AS code, flatten(list(ls ORDER BY piece) FILTER (length({_TRIM('t')}) > {S.LEAST_PIECE})) AS nos FROM yb GROUP BY ALL),
+yd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY file_idx, hunk_idx) AS n FROM yc) WHERE code IS NOT NULL {most}),
+ye AS (SELECT {k}, unnest(regexp_extract_all({cut}, {_TOK})) AS tok, generate_subscripts(regexp_extract_all({cut}, {_TOK}), 1) - 1 AS pos FROM yd),
+yf AS (SELECT {k}, pos, tok, coalesce(sum(length(tok) - length(replace(tok, chr(10), ''))) OVER b, 0)::INT AS line, (coalesce(sum(({opens})::INT - ({closes})::INT) OVER b, 0) - ({closes})::INT)::INT AS level
+   FROM ye WINDOW b AS (PARTITION BY {k} ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+yg AS (SELECT {k}, pos, CASE WHEN left(tok, 1) IN (chr(39), '"', '`') AND length(tok) > 1 THEN '{S.STRING}' ELSE tok END AS tok, line, level FROM yf WHERE tok <> chr(10) AND NOT starts_with(tok, '//') AND NOT starts_with(tok, '/*')),
+yh AS (SELECT * FROM (SELECT *, last_value(mark IGNORE NULLS) OVER (PARTITION BY {k}, level ORDER BY pos) AS owner FROM (SELECT *, NULL::BIGINT AS mark FROM yg UNION ALL SELECT {k}, pos, tok, line, level + 1, pos FROM yg WHERE {opens})) WHERE mark IS NULL),
+yi AS (SELECT *, coalesce(line > lag(line) OVER o, false) AS fresh, lead(tok) OVER o AS close, lead(line) OVER o AS end_line, {lags} FROM yh WINDOW o AS (PARTITION BY {k}, owner ORDER BY pos)),
+ys AS (SELECT {k}, owner AS pos, string_agg(CASE WHEN fresh THEN chr(10) || ' ' ELSE '' END || tok, ' ' ORDER BY pos) AS sig FROM yi WHERE owner IS NOT NULL GROUP BY {k}, owner),
+yk AS (SELECT yi.*, coalesce(sig, '') AS sig FROM yi LEFT JOIN ys USING ({k}, pos) WHERE tok || close IN ('()', '[]', '{{}}')),
+yl AS (SELECT *, {_FLAT} AS flat, {_statements('sig')} AS n,
+   coalesce(tok = '{{' AND (p1 = '=>' OR (p1 = ')' AND p2 = '(' AND {name('p3')}) OR (p2 = ':' AND p3 = ')' AND p4 = '(' AND {name('p5')})), false) AS is_function,
+   coalesce(tok = '{{' AND ((p1 = 'catch' AND p4 = 'try') OR (p1 = ')' AND p3 = 'catch' AND p6 = 'try')), false) AS is_catch, CASE WHEN p1 = 'catch' THEN l4 ELSE l6 END AS try_line,
+   regexp_extract(sig, '(?s)(?:^|\\n |[;}}] )default :(.*)$', 1) AS def, regexp_matches(sig, '(?:^|\\n |[;}}] )default :') AS has_default FROM yk),
+ym AS (SELECT *, regexp_replace(def, '(?s)(?:^|\\n |[;}}] | )case .*$', '', 'g') AS rest, NOT regexp_matches(flat, {diffs._lit(f'^(?:{S.NOT_EXPRESSIONS})(?: |$)')}) AS expression, regexp_extract(flat, '^return (true|false|null|undefined)(?: ;)?$', 1) AS trivial,
+   regexp_matches(flat, '^[A-Za-z_$][A-Za-z0-9_$]*(?: ;)?$') AND NOT regexp_matches(flat, '^(?:return|break|continue|debugger|this|true|false|null|super)(?: |$)') AS lone, max(CASE WHEN is_catch AND n <= 1 THEN owner END) OVER (PARTITION BY {k}, owner) AS silent_owner FROM yl),
+yn AS (SELECT DISTINCT {k}, silent_owner AS pos FROM ym WHERE silent_owner IS NOT NULL),
+yj AS (SELECT ym.*, path, importance, nos, yn.pos IS NOT NULL AS holds_silent FROM ym LEFT JOIN yn USING ({k}, pos) JOIN yd USING ({k})),
+d7a AS (SELECT {k}, 0 AS phase, pos::INT AS i1, no::INT AS i2, path, line_start::INT AS line_start, line_end::INT AS line_end, conf AS confidence, kind, ev[1:200] AS evidence, importance FROM ({' UNION ALL '.join(hits)}))"""
+
+
 _ALL = ", ".join([_BASE, D1_SQL, D2_SQL, D3_SQL, D4_SQL, D5_SQL, D6_SQL, D7B_SQL, D10_SQL, D11_SQL])
-_TYPES = {"d1": 0, "d2": 1, "d3": 2, "d4": 3, "d5": 4, "d6": 5, "d7b": 6, "d10": 7, "d11": 8}
+_TYPES = {"d1": 0, "d2": 1, "d3": 2, "d4": 3, "d5": 4, "d6": 5, "d7b": 7, "d10": 8, "d11": 9}
 _PATTERN = {n: R.DETECTORS[0 if d == "d7b" else n] for d, n in _TYPES.items()}
 _UNION = " UNION ALL ".join(f"SELECT *, {n} AS det, '{_PATTERN[n]}' AS pattern_type FROM {d}" for d, n in _TYPES.items())
 FOUND_SQL = f"un AS ({_UNION}), found AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY det, file_idx, hunk_idx, phase, i1, i2) AS seq FROM un)"
@@ -285,6 +358,10 @@ j1 AS (SELECT scan_id, coalesce(raw, 0)::INT AS raw_findings, coalesce(n, 0)::IN
 j2 AS (SELECT *, CASE WHEN files_scanned = 0 THEN 100 ELSE least(greatest(CASE WHEN findings > 0 THEN 30 ELSE 0 END, 100 - least(penalty, 85)), CASE WHEN high_count >= 2 THEN 40 WHEN high_count = 1 THEN 60 WHEN medium_count >= 3 THEN 70 ELSE 100 END) END::INT AS trust_score FROM j1),
 j3 AS (SELECT *, CASE WHEN files_scanned > 0 THEN CASE WHEN trust_score >= 80 AND high_count = 0 THEN 'CLEAN' WHEN trust_score >= 50 THEN 'SUSPICIOUS' ELSE 'LIKELY_DECEPTIVE' END END AS verdict FROM j2)"""
 
+#: The last step from scores to verdicts.
+_VERDICTS = """SELECT *, CASE verdict WHEN 'CLEAN' THEN CASE WHEN trust_score >= 95 THEN 'high' WHEN trust_score >= 88 THEN 'medium' ELSE 'low' END
+      WHEN 'SUSPICIOUS' THEN CASE WHEN trust_score >= 80 OR trust_score <= 60 THEN 'high' ELSE 'medium' END WHEN 'LIKELY_DECEPTIVE' THEN CASE WHEN trust_score <= 30 THEN 'high' ELSE 'medium' END END AS verdict_confidence, trust_score >= 70 AS passed FROM j3"""
+_SYNTAX = f" UNION ALL SELECT *, {R.DETECTORS.index('syntax')} AS det, CASE WHEN kind = 'async_gutted' THEN 'silent_catch_and_pass' ELSE 'disabled_assertion' END AS pattern_type FROM d7a"
 _D = lambda ctes, name: f"WITH {_BASE}, {ctes} SELECT scan_id, file_idx, hunk_idx, phase, i1, i2, path, line_start, line_end, confidence, kind, evidence, importance FROM {name}"
 ORACLE_SQL = {
     "src_diff_lines": f"WITH {_BASE} SELECT scan_id, file_idx, path, lang, is_test, non_functional, catch_exempt, is_agent, importance, hunk_idx, new_start, line_idx, marker, raw, body, line_no FROM x",
@@ -306,10 +383,11 @@ ORACLE_SQL = {
     "d5_silent_catches": _D(D5_SQL, "d5"),
     "d6_invented_matchers": _D(D6_SQL, "d6"),
     "d7b_trivial_bodies": _D(D7B_SQL, "d7b"),
+    "d7a_syntax_findings": _D(d7a_sql(False), "d7a"),
     "d10_susceptible_hunks": f"WITH {_BASE}, {D10_SQL} SELECT {_K}, path, importance, added, blocks, functions, assertions, negatives, mocks, generics, line_start, line_end, gaps, score, confidence, evidence FROM t10",
     "d11_agent_instructions": _D(D11_SQL, "d11"),
     "findings": f"WITH {_ALL}, {FOUND_SQL} SELECT scan_id, seq, pattern_type, path, line_start, line_end, confidence, kind, importance FROM found",
     "deduped_findings": f"WITH {_ALL}, {FOUND_SQL}, {SCORE_SQL} SELECT scan_id, path, line_start, pattern_type, confidence, first_seq, rank, base, penalty FROM fu",
-    "trust_scores": f"""WITH {_ALL}, {FOUND_SQL}, {SCORE_SQL} SELECT *, CASE verdict WHEN 'CLEAN' THEN CASE WHEN trust_score >= 95 THEN 'high' WHEN trust_score >= 88 THEN 'medium' ELSE 'low' END
-      WHEN 'SUSPICIOUS' THEN CASE WHEN trust_score >= 80 OR trust_score <= 60 THEN 'high' ELSE 'medium' END WHEN 'LIKELY_DECEPTIVE' THEN CASE WHEN trust_score <= 30 THEN 'high' ELSE 'medium' END END AS verdict_confidence, trust_score >= 70 AS passed FROM j3""",
+    "trust_scores": f"WITH {_ALL}, {FOUND_SQL}, {SCORE_SQL} {_VERDICTS}",
+    "syntax_trust_scores": f"WITH {_ALL}, {d7a_sql(True)}, {FOUND_SQL.replace(_UNION, _UNION + _SYNTAX)}, {SCORE_SQL} {_VERDICTS}",
 }
