@@ -10,7 +10,7 @@ from ..operators import scoring
 from ..operators.bodies import trivial_bodies
 from ..operators import syntax as S
 from ..operators.susceptibility import susceptible_hunks
-from ..sources import change_sets, diffs
+from ..sources import change_sets, diffs, strict
 from ..sources.tables import stored
 
 
@@ -105,7 +105,19 @@ def syntax_trust_scores(spark, sf_dir):
     return scores_of(diffs.parse_lines(scans), scans, lambda lines: [S.syntax_findings(lines)])
 
 
+def src_strict_lines(spark, sf_dir):
+    return strict.parse(change_sets.change_sets(spark, sf_dir, exact=True))
+
+
+def strict_trust_scores(spark, sf_dir):
+    """Trust scores of change sets most of which a strict parser accepts."""
+    scans = change_sets.change_sets(spark, sf_dir, exact=True)
+    return scores_of(strict.parse(scans).drop("strict"), scans)
+
+
 QUERIES = {
+    "src_strict_lines": src_strict_lines,
+    "strict_trust_scores": strict_trust_scores,
     "d7a_syntax_findings": d7a_syntax_findings,
     "syntax_trust_scores": syntax_trust_scores,
     "src_diff_lines": diff_lines,
@@ -362,14 +374,16 @@ j3 AS (SELECT *, CASE WHEN files_scanned > 0 THEN CASE WHEN trust_score >= 80 AN
 _VERDICTS = """SELECT *, CASE verdict WHEN 'CLEAN' THEN CASE WHEN trust_score >= 95 THEN 'high' WHEN trust_score >= 88 THEN 'medium' ELSE 'low' END
       WHEN 'SUSPICIOUS' THEN CASE WHEN trust_score >= 80 OR trust_score <= 60 THEN 'high' ELSE 'medium' END WHEN 'LIKELY_DECEPTIVE' THEN CASE WHEN trust_score <= 30 THEN 'high' ELSE 'medium' END END AS verdict_confidence, trust_score >= 70 AS passed FROM j3"""
 _SYNTAX = f" UNION ALL SELECT *, {R.DETECTORS.index('syntax')} AS det, CASE WHEN kind = 'async_gutted' THEN 'silent_catch_and_pass' ELSE 'disabled_assertion' END AS pattern_type FROM d7a"
+_VALID = f"""v AS (SELECT scan_id, raw_diff, {_TRIM("string_split(regexp_replace(raw_diff, '[ " + chr(92) + "t" + chr(92) + "n" + chr(92) + "x0B" + chr(92) + "f" + chr(92) + "r]+$', ''), chr(10))[-1]")} AS last FROM change_sets),
+  valid AS (SELECT scan_id, length({_TRIM('raw_diff')}) >= 20 AND contains(raw_diff, 'diff --git ') AND regexp_matches(raw_diff, '@@ -\\d+(?:,\\d+)? \\+\\d+(?:,\\d+)? @@') AND NOT starts_with(last, '@@')
+        AND NOT starts_with(last, 'diff --git') AND NOT contains(last, '[truncated]') AND (starts_with(last, '+') OR starts_with(last, '-')) AS valid,
+        len(regexp_extract_all(raw_diff, '(?m)^diff --git'))::INT AS n_files FROM v)"""
+_STRICT_BASE = f"{change_sets.EXACT_SQL}, {_VALID}, {strict.LINES_SQL}, {diffs.FILES_SQL}"
 _D = lambda ctes, name: f"WITH {_BASE}, {ctes} SELECT scan_id, file_idx, hunk_idx, phase, i1, i2, path, line_start, line_end, confidence, kind, evidence, importance FROM {name}"
 ORACLE_SQL = {
     "src_diff_lines": f"WITH {_BASE} SELECT scan_id, file_idx, path, lang, is_test, non_functional, catch_exempt, is_agent, importance, hunk_idx, new_start, line_idx, marker, raw, body, line_no FROM x",
     "src_diff_files": f"WITH {_BASE} SELECT scan_id, file_idx, path, lang, is_test, non_functional, catch_exempt, is_agent, importance, count(*) FILTER (marker = '+') AS added, count(*) FILTER (marker = '-') AS removed FROM x GROUP BY ALL",
-    "src_looks_valid": f"""WITH {change_sets.SQL}, v AS (SELECT scan_id, raw_diff, {_TRIM("string_split(regexp_replace(raw_diff, '[ " + chr(92) + "t" + chr(92) + "n" + chr(92) + "x0B" + chr(92) + "f" + chr(92) + "r]+$', ''), chr(10))[-1]")} AS last FROM change_sets)
-      SELECT scan_id, length({_TRIM('raw_diff')}) >= 20 AND contains(raw_diff, 'diff --git ') AND regexp_matches(raw_diff, '@@ -\\d+(?:,\\d+)? \\+\\d+(?:,\\d+)? @@') AND NOT starts_with(last, '@@')
-        AND NOT starts_with(last, 'diff --git') AND NOT contains(last, '[truncated]') AND (starts_with(last, '+') OR starts_with(last, '-')) AS valid,
-        len(regexp_extract_all(raw_diff, '(?m)^diff --git'))::INT AS n_files FROM v""",
+    "src_looks_valid": f"WITH {change_sets.SQL}, {_VALID} SELECT scan_id, valid, n_files FROM valid",
     "src_viewer_lines": f"""WITH {change_sets.SQL}, rw AS (SELECT scan_id, unnest(string_split(raw_diff, chr(10))) AS raw, generate_subscripts(string_split(raw_diff, chr(10)), 1) - 1 AS pos FROM change_sets),
       kd AS (SELECT *, CASE WHEN regexp_matches(raw, '{diffs.HUNK}') THEN 'header' WHEN regexp_matches(raw, '^(diff |index |--- |\\+\\+\\+ )') THEN 'info' WHEN starts_with(raw, '+') THEN 'add' WHEN starts_with(raw, '-') THEN 'remove' ELSE 'context' END AS kind FROM rw),
       hk AS (SELECT *, sum((kind = 'header')::INT) OVER (PARTITION BY scan_id ORDER BY pos) AS hunk FROM kd),
@@ -388,6 +402,8 @@ ORACLE_SQL = {
     "d11_agent_instructions": _D(D11_SQL, "d11"),
     "findings": f"WITH {_ALL}, {FOUND_SQL} SELECT scan_id, seq, pattern_type, path, line_start, line_end, confidence, kind, importance FROM found",
     "deduped_findings": f"WITH {_ALL}, {FOUND_SQL}, {SCORE_SQL} SELECT scan_id, path, line_start, pattern_type, confidence, first_seq, rank, base, penalty FROM fu",
+    "src_strict_lines": f"WITH {_STRICT_BASE} SELECT x.scan_id, file_idx, path, lang, is_test, non_functional, catch_exempt, is_agent, importance, hunk_idx, new_start, line_idx, marker, raw, body, line_no, scan_id IN (SELECT scan_id FROM a9 WHERE strict) AS strict FROM x",
+    "strict_trust_scores": f"WITH {_ALL.replace(_BASE, _STRICT_BASE)}, {FOUND_SQL}, {SCORE_SQL} {_VERDICTS}",
     "trust_scores": f"WITH {_ALL}, {FOUND_SQL}, {SCORE_SQL} {_VERDICTS}",
     "syntax_trust_scores": f"WITH {_ALL}, {d7a_sql(True)}, {FOUND_SQL.replace(_UNION, _UNION + _SYNTAX)}, {SCORE_SQL} {_VERDICTS}",
 }

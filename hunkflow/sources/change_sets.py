@@ -49,8 +49,13 @@ def _pick(items: list[str], n):
     return F.element_at(F.array(*map(F.lit, items)), n.cast("int") + 1)
 
 
-def change_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(scan_id, raw_diff, pr_title, pr_author)."""
+#: With exact headers, one change set in so many keeps a header that is wrong.
+LOOSE_EVERY = 3
+
+
+def change_sets(spark: SparkSession, sf_dir: str, exact: bool = False) -> DataFrame:
+    """(scan_id, raw_diff, pr_title, pr_author). Headers of hunks name lengths
+    that are not theirs, unless ``exact``: then most do."""
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_suppkey", "l_partkey", "l_linenumber", "l_returnflag", "l_linestatus")
     marker = F.when(F.col("l_returnflag") == "R", "-").when((F.col("l_returnflag") == "A") & (F.col("l_linestatus") == "F"), " ").otherwise("+")
     snippet = _pick(SNIPPETS, (F.col("l_partkey") * 7 + F.col("l_linenumber")) % len(SNIPPETS))
@@ -62,12 +67,19 @@ def change_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_orderkey").alias("scan_id"),
         (F.col("l_suppkey") % len(PATHS)).alias("f"),
         (F.col("l_linenumber") % 2).alias("h"),
+        marker.alias("m"),
+        (F.char_length(snippet) - F.char_length(F.replace(snippet, F.lit("~"), F.lit(""))) + 1).alias("k"),
         F.struct("l_partkey", "l_linenumber", marker.alias("m"), F.concat(marker, F.replace(snippet, F.lit("~"), F.concat(F.lit("\n"), marker))).alias("t")).alias("l"),
     )
     joined = F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["t"]), "\n")
-    hunks = lines.groupBy("scan_id", "f", "h").agg(joined.alias("t"))
+    side = lambda gone: F.sum(F.when(F.col("m") != gone, F.col("k")).otherwise(0)).cast("string")
+    hunks = lines.groupBy("scan_id", "f", "h").agg(joined.alias("t"), side("+").alias("old"), side("-").alias("new"))
+    if not exact:
+        hunks = hunks.withColumns({"old": F.lit("9"), "new": F.lit("9")})
+    wrong = F.col("scan_id") % LOOSE_EVERY == 0
+    old, new = (F.when(wrong, "9").otherwise(F.col(c)) for c in ("old", "new"))
     start = 1 + F.col("scan_id") % 50 + 40 * F.col("h")
-    hunks = hunks.select("scan_id", "f", F.struct("h", F.concat(F.lit("@@ -1,9 +"), start.cast("string"), F.lit(",9 @@ code\n"), F.col("t")).alias("t")).alias("l"))
+    hunks = hunks.select("scan_id", "f", F.struct("h", F.concat(F.lit("@@ -1,"), old, F.lit(" +"), start.cast("string"), F.lit(","), new, F.lit(" @@ code\n"), F.col("t")).alias("t")).alias("l"))
     path = _pick(PATHS, F.col("f"))
     head = F.concat(F.lit("diff --git a/"), path, F.lit(" b/"), path, F.lit("\nindex 1..2 100644\n--- a/"), path, F.lit("\n+++ b/"), path, F.lit("\n"))
     files = hunks.groupBy("scan_id", "f").agg(joined.alias("t")).select("scan_id", F.struct("f", F.concat(head, F.col("t")).alias("t")).alias("l"))
@@ -84,14 +96,17 @@ def _list(items: list[str]) -> str:
     return "[" + ", ".join(map(quote, items)) + "]"
 
 
-SQL = f"""
+_side = lambda gone: f"CASE WHEN scan_id % {LOOSE_EVERY} = 0 THEN 9 ELSE coalesce(sum(len(s) - len(replace(s, '~', '')) + 1) FILTER (m <> '{gone}'), 0)::INT END"
+_OLD, _NEW = _side("+"), _side("-")
+EXACT_SQL = f"""
 li AS (SELECT l_orderkey AS scan_id, l_suppkey % {len(PATHS)} AS f, l_linenumber % 2 AS h, l_partkey, l_linenumber,
               CASE WHEN l_returnflag = 'R' THEN '-' WHEN l_returnflag = 'A' AND l_linestatus = 'F' THEN ' ' ELSE '+' END AS m,
               CASE WHEN l_orderkey % {BULK_EVERY} = 3 AND l_linenumber = 1 THEN repeat(({_list(BULKS)})[(l_suppkey % {len(BULKS)})::INT + 1] || '~', ({BULK_LEAST} + l_partkey % {BULK_RANGE})::INT) || 'done()'
                    WHEN l_suppkey % {len(PATHS)} = {PACKAGE_FILE} THEN ({_list(PACKAGE)})[(l_partkey % {len(PACKAGE)})::INT + 1]
                    ELSE ({_list(SNIPPETS)})[((l_partkey * 7 + l_linenumber) % {len(SNIPPETS)})::INT + 1] END AS s FROM lineitem),
-hu AS (SELECT scan_id, f, h, '@@ -1,9 +' || (1 + scan_id % 50 + 40 * h) || ',9 @@ code' || chr(10) || string_agg(m || replace(s, '~', chr(10) || m), chr(10) ORDER BY l_partkey, l_linenumber, m) AS t FROM li GROUP BY scan_id, f, h),
+hu AS (SELECT scan_id, f, h, '@@ -1,' || {_OLD} || ' +' || (1 + scan_id % 50 + 40 * h) || ',' || {_NEW} || ' @@ code' || chr(10) || string_agg(m || replace(s, '~', chr(10) || m), chr(10) ORDER BY l_partkey, l_linenumber, m) AS t FROM li GROUP BY scan_id, f, h),
 fi AS (SELECT scan_id, f, ({_list(PATHS)})[f::INT + 1] AS p, string_agg(t, chr(10) ORDER BY h) AS t FROM hu GROUP BY scan_id, f),
 df AS (SELECT scan_id, string_agg('diff --git a/' || p || ' b/' || p || chr(10) || 'index 1..2 100644' || chr(10) || '--- a/' || p || chr(10) || '+++ b/' || p || chr(10) || t, chr(10) ORDER BY f) AS raw_diff FROM fi GROUP BY scan_id),
 change_sets AS (SELECT scan_id, raw_diff, ({_list(TITLES)})[(o_custkey % {len(TITLES)})::INT + 1] AS pr_title, ({_list(AUTHORS)})[(o_custkey % {len(AUTHORS)})::INT + 1] AS pr_author
                 FROM df JOIN orders ON o_orderkey = scan_id)"""
+SQL = EXACT_SQL.replace(_OLD, "9").replace(_NEW, "9")
