@@ -108,18 +108,18 @@ def parse(scans: DataFrame) -> DataFrame:
     return strict.withColumn("strict", F.lit(True)).unionByName(tolerant.withColumn("strict", F.lit(False)))
 
 
-_N = lambda g, absent: f"CASE WHEN regexp_extract(raw, h, {g}) = '' THEN {absent} ELSE regexp_extract(raw, h, {g})::INT END"
+_N = lambda g, absent: f"CASE WHEN regexp_extract(raw, '{HEADER}', {g}) = '' THEN {absent} ELSE regexp_extract(raw, '{HEADER}', {g})::INT END"
 _NAME_SQL = lambda sign: f"CASE WHEN regexp_matches(said, '^{sign}\\s') THEN regexp_replace(string_split(regexp_extract(said, '^{sign}\\s+([^\r]*)', 1), chr(9))[1], '\\\\\\\\', '\\\\', 'g') END"
 #: The same reading in SQL; tables ``change_sets`` and ``valid`` (scan_id, valid) to ``lines``.
 LINES_SQL = f"""
-a1 AS (SELECT scan_id, valid, unnest(string_split(raw_diff, chr(10))) AS raw, generate_subscripts(string_split(raw_diff, chr(10)), 1) AS pos, len(string_split(raw_diff, chr(10))) AS n, '{HEADER}' AS h FROM change_sets JOIN valid USING (scan_id)),
-a2 AS (SELECT *, CASE WHEN raw = '' AND pos < n THEN ' ' ELSE left(raw, 1) END AS op, starts_with(raw, '@@') AS at, sum(starts_with(raw, '@@')::INT) OVER (PARTITION BY scan_id ORDER BY pos) AS seg FROM a1),
-a3 AS (SELECT *, first_value(CASE WHEN at THEN {_N(2, 1)} END) OVER s AS old_n, first_value(CASE WHEN at THEN {_N(4, 1)} END) OVER s AS new_n, first_value(CASE WHEN at THEN {_N(3, 'NULL')} END) OVER s AS start,
-   first_value(at AND regexp_matches(raw, h)) OVER s AS known, row_number() OVER s - 1 AS idx,
-   coalesce(sum((NOT at AND op IN ('-', ' '))::INT) OVER b, 0) AS olds, coalesce(sum((NOT at AND op IN ('+', ' '))::INT) OVER b, 0) AS news
+a1 AS (SELECT scan_id, valid, unnest(string_split(raw_diff, chr(10))) AS raw, generate_subscripts(string_split(raw_diff, chr(10)), 1) AS pos, len(string_split(raw_diff, chr(10))) AS n FROM change_sets JOIN valid USING (scan_id)),
+a2 AS (SELECT *, CASE WHEN raw = '' AND pos < n THEN ' ' ELSE left(raw, 1) END AS op, starts_with(raw, '@@') AS is_at, sum(starts_with(raw, '@@')::INT) OVER (PARTITION BY scan_id ORDER BY pos) AS seg FROM a1),
+a3 AS (SELECT *, first_value(CASE WHEN is_at THEN {_N(2, 1)} END) OVER s AS old_n, first_value(CASE WHEN is_at THEN {_N(4, 1)} END) OVER s AS new_n, first_value(CASE WHEN is_at THEN {_N(3, 'NULL')} END) OVER s AS start,
+   first_value(is_at AND regexp_matches(raw, '{HEADER}')) OVER s AS known, row_number() OVER s - 1 AS idx,
+   coalesce(sum((NOT is_at AND op IN ('-', ' '))::INT) OVER b, 0) AS olds, coalesce(sum((NOT is_at AND op IN ('+', ' '))::INT) OVER b, 0) AS news
    FROM a2 WINDOW s AS (PARTITION BY scan_id, seg ORDER BY pos), b AS (PARTITION BY scan_id, seg ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-a4 AS (SELECT *, seg > 0 AND NOT at AND max((NOT at AND NOT (olds < old_n OR news < new_n OR starts_with(raw, chr(92))))::INT) OVER (PARTITION BY scan_id, seg ORDER BY pos) = 0 AS consumed FROM a3),
-a5 AS (SELECT *, CASE WHEN NOT consumed AND NOT at AND raw <> '' THEN raw END AS said FROM a4),
+a4 AS (SELECT *, seg > 0 AND NOT is_at AND max((NOT is_at AND NOT (olds < old_n OR news < new_n OR starts_with(raw, chr(92))))::INT) OVER (PARTITION BY scan_id, seg ORDER BY pos) = 0 AS consumed FROM a3),
+a5 AS (SELECT *, CASE WHEN NOT consumed AND NOT is_at AND raw <> '' THEN raw END AS said FROM a4),
 a6 AS (SELECT *, regexp_matches(said, '{FILE_LINE}') AS is_file, last_value(said IGNORE NULLS) OVER (PARTITION BY scan_id, seg ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous,
    sum((consumed AND op IN ('-', ' '))::INT) OVER w AS all_old, sum((consumed AND op IN ('+', ' '))::INT) OVER w AS all_new, seg = max(seg) OVER (PARTITION BY scan_id) AS final FROM a5 WINDOW w AS (PARTITION BY scan_id, seg)),
 a7 AS (SELECT *, coalesce(seg > 0 AND is_file AND previous IS NULL, false) AS begins, coalesce(NOT is_file AND CASE WHEN previous IS NULL THEN seg > 0 ELSE regexp_matches(previous, '{NAME_LINE}') END, false)
