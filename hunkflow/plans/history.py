@@ -44,7 +44,28 @@ def hl_patched_diffs(spark, sf_dir):
     return patches.apply_to_diff(scans, patches.suggest(found))
 
 
+#: Credits last three days here, so that the month of the shared events has resets.
+LEDGER_DAYS, LEASE_SECONDS = 3, 86_400
+
+
+def st_ledger_periods(spark, sf_dir):
+    return A.ledger(_events(spark, sf_dir), costs={"purchase": 3, "signup": 7}, days=LEDGER_DAYS)
+
+
+def st_leases(spark, sf_dir):
+    """A user's events are the arrivals of one delivery, a purchase completes it."""
+    events = _events(spark, sf_dir)
+    return A.leases(events.select(F.col("user_id").cast("string").alias("delivery_id"), "ts", "event_id", (F.col("event_type") == "purchase").alias("done")), LEASE_SECONDS)
+
+
+def ag_running_rounded(spark, sf_dir):
+    return A.running_mean(_events(spark, sf_dir)).select("user_id", "mean")
+
+
 QUERIES = {
+    "st_ledger_periods": st_ledger_periods,
+    "st_leases": st_leases,
+    "ag_running_rounded": ag_running_rounded,
     "st_rate_limited": st_rate_limited,
     "st_profiles": st_profiles,
     "st_tumbling": st_tumbling,
@@ -59,6 +80,15 @@ _PATCHES = (
     f"p2 AS (SELECT *, CASE {' '.join(f'WHEN {c} THEN {fixed}' for c, fixed, _ in _CASES)} END AS fixed, CASE {' '.join(f"WHEN {c} THEN '{risk}'" for c, _, risk in _CASES)} END AS risk FROM p1 LEFT JOIN pl USING (path))"
 )
 ORACLE_SQL = {
+    "ag_running_rounded": "SELECT user_id, list_reduce(list_prepend([0, 0]::DOUBLE[], list([1, value] ORDER BY ts, event_id)), lambda a, b: [a[1] + 1, floor((a[2] * a[1] + b[2]) / (a[1] + 1) + 0.5)])[2] AS mean FROM events GROUP BY user_id",
+    "st_ledger_periods": f"""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS us, CASE event_type WHEN 'purchase' THEN 3 WHEN 'signup' THEN 7 ELSE 2 END AS cost, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+      r(user_id, event_id, n, pe, reset, before, cost) AS (SELECT user_id, event_id, n, us + {LEDGER_DAYS} * 86400000000, false, {A.FREE}, cost FROM e WHERE n = 1 UNION ALL
+        SELECT e.user_id, e.event_id, e.n, CASE WHEN us > pe THEN us + {LEDGER_DAYS} * 86400000000 ELSE pe END, us > pe, CASE WHEN us > pe THEN {A.FREE} WHEN r.cost <= before THEN before - r.cost ELSE before END, e.cost FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
+      SELECT user_id, event_id, cost <= before AS allowed, CASE WHEN cost <= before THEN before - cost ELSE before END::INT AS balance, reset, CASE WHEN cost <= before THEN -cost ELSE 0 END::INT AS amount FROM r""",
+    "st_leases": f"""WITH a AS (SELECT *, event_type = 'purchase' AS done, min(CASE WHEN event_type <> 'purchase' THEN ts END) OVER u AS begun FROM events WINDOW u AS (PARTITION BY user_id)),
+      b AS (SELECT *, min(CASE WHEN done AND ts > begun THEN ts END) OVER (PARTITION BY user_id) AS ended FROM a)
+      SELECT user_id::VARCHAR AS delivery_id, event_id, CASE WHEN done THEN CASE WHEN ts = ended THEN 'completed' ELSE 'ignored' END WHEN ts = begun THEN 'accepted' WHEN ts > ended THEN 'skipped'
+        WHEN epoch_us(ts) - epoch_us(begun) < {LEASE_SECONDS * 1_000_000} THEN 'processing' ELSE 'retried' END AS status FROM b""",
     "st_tumbling": "SELECT event_type, time_bucket(INTERVAL '1 hour', ts) AS start, count(*) AS n FROM events GROUP BY ALL",
     "st_sessions": """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL '30 minutes' THEN 0 ELSE 1 END AS new FROM events),
       s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, session""",

@@ -174,10 +174,6 @@ PAIRS = {
         f"WITH {FINDINGS}, c AS (SELECT scan_id, confidence, count(*) AS n FROM f GROUP BY scan_id, confidence) SELECT scan_id, array_sort(collect_list(concat(confidence, ':', n))) AS detail FROM c GROUP BY scan_id",
         f"WITH {FINDINGS}, c AS (SELECT scan_id, confidence, count(*) AS n FROM f GROUP BY scan_id, confidence) SELECT scan_id, list_sort(list(confidence || ':' || n)) AS detail FROM c GROUP BY scan_id",
     ),
-    "ag_running_rounded": (
-        "SELECT user_id, aggregate(transform(array_sort(collect_list(struct(ts, value))), x -> x.value), named_struct('n', 0, 'm', 0D), (a, v) -> named_struct('n', a.n + 1, 'm', floor((a.m * a.n + v) / (a.n + 1) + 0.5) * 1D)).m AS mean FROM events GROUP BY user_id",
-        "SELECT user_id, list_reduce(list_prepend([0, 0]::DOUBLE[], list([1, value] ORDER BY ts)), lambda a, b: [a[1] + 1, floor((a[2] * a[1] + b[2]) / (a[1] + 1) + 0.5)])[2] AS mean FROM events GROUP BY user_id",
-    ),
     "win_ring_buffer": (
         "SELECT event_id, array_join(collect_list(event_type) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), ',') AS last_ten FROM events",
         "SELECT event_id, string_agg(event_type, ',') OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS last_ten FROM events",

@@ -8,13 +8,16 @@ arrive in order.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .ordered import Folds
+
 EVENTS = T.StructType(
     [T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampType()), T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType())]
 )
@@ -74,18 +77,13 @@ def rate_limited(events: DataFrame, tier: str = "anonymous") -> DataFrame:
     if events.isStreaming:
         return events.groupBy("user_id").applyInPandasWithState(run, LIMITED, "times array<long>", "append", "NoTimeout")
 
-    # the same steps as a fold over a user's events in order
-    log = F.array_sort(F.collect_list(F.struct(F.unix_micros("ts").alias("at"), "event_id")))
-    start = F.struct(F.array().cast("array<bigint>").alias("times"), F.array().cast("array<struct<event_id: bigint, allowed: boolean, remaining: int>>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        times = F.filter(a["times"], lambda t: t > x["at"] - seconds * 1_000_000)
-        left = most - F.size(times)
-        one = F.struct(x["event_id"].alias("event_id"), (left > 0).alias("allowed"), F.greatest(left, F.lit(0)).alias("remaining"))
-        return F.struct(F.when(left > 0, F.concat(times, F.array(x["at"]))).otherwise(times).alias("times"), F.concat(a["out"], F.array(one)).alias("out"))
+    def step(times, at, event_id):
+        times, ok, left = limit_step(times, at, most, seconds)
+        return times, (ok, left)
 
-    folded = events.groupBy("user_id").agg(log.alias("log")).select("user_id", F.explode(F.aggregate("log", start, step)["out"]).alias("o"))
-    return folded.select("user_id", "o.*")
+    rows = events.select("user_id", F.unix_micros("ts").alias("at"), "event_id")
+    folds = Folds(rows, "user_id", ["at", "event_id"], ["at", "event_id"], [], step)
+    return folds.rows(["event_id"], "allowed boolean, remaining int")
 
 
 PROFILE = "user_id long, scans int, mean_value int, failures int, suspicion double"
@@ -114,13 +112,115 @@ def profiles(events: DataFrame) -> DataFrame:
     if events.isStreaming:
         return events.groupBy("user_id").applyInPandasWithState(run, PROFILE, "scans int, mean int, failures int, suspicion double", "update", "NoTimeout")
 
-    log = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda x: x["value"])
-    start = F.struct(F.lit(0).alias("scans"), F.lit(0).alias("mean_value"), F.lit(0).alias("failures"), F.lit(0.0).alias("suspicion"))
+    rows = events.select("user_id", F.unix_micros("ts").alias("at"), "event_id", "value")
+    folds = Folds(rows, "user_id", ["at", "event_id"], ["value"], (0, 0, 0, 0.0), lambda p, value: (profile_step(p, value), ()))
+    return folds.states("scans int, mean_value int, failures int, suspicion double")
+
+
+FREE, PERIOD_DAYS = 30, 30
+#: What a reason costs; any other costs DEFAULT_COST.
+COSTS, DEFAULT_COST = {"ai_judge": 2, "ai_assisted": 2, "full_ai": 3}, 2
+
+
+def ledger_step(state: tuple | None, at: int, cost: int, free: int, period: int) -> tuple[tuple, tuple]:
+    """(balance, end of the period, used in all) after one request, and
+    (allowed, balance, reset, amount). The first request opens an account; one
+    after the end of a period starts a new one. A request that costs more than
+    is left changes nothing."""
+    balance, end, used = state or (free, at + period, 0)
+    reset = at > end
+    if reset:
+        balance, end = free, at + period
+    allowed = cost <= balance
+    if allowed:
+        balance, used = balance - cost, used + cost
+    return (balance, end, used), (allowed, balance, reset, -cost if allowed else 0)
+
+
+LEDGER = "allowed boolean, balance int, reset boolean, amount int"
+
+
+def ledger(events: DataFrame, reason: str = "event_type", costs: dict[str, int] = COSTS, free: int = FREE, days: float = PERIOD_DAYS) -> DataFrame:
+    """(user_id, event_id, allowed, balance, reset, amount): credits of users
+    who get ``free`` of them for each period of ``days``. Stateful per user in a
+    stream, a fold in order over ranges of events in a batch."""
+    period = int(days * 86_400_000_000)
+    cost = F.coalesce(*(F.when(F.col(reason) == r, c) for r, c in costs.items()), F.lit(DEFAULT_COST))
+    rows = events.select("user_id", F.unix_micros("ts").alias("at") if not events.isStreaming else "ts", "event_id", cost.alias("cost"))
+    if not events.isStreaming:
+        folds = Folds(rows, "user_id", ["at", "event_id"], ["at", "cost", "event_id"], None, lambda state, at, cost, event_id: ledger_step(state, at, cost, free, period))
+        return folds.rows(["event_id"], LEDGER)
+
+    def run(key, frames, state):
+        held, out = (tuple(state.get) if state.exists else None), []
+        for ts, event_id, cost in _ordered(frames)[["ts", "event_id", "cost"]].itertuples(index=False):
+            held, row = ledger_step(held, ts.value // 1000, cost, free, period)
+            out.append((key[0], event_id, *row))
+        state.update(held)
+        yield pd.DataFrame(out, columns=["user_id", "event_id", "allowed", "balance", "reset", "amount"])
+
+    return rows.groupBy("user_id").applyInPandasWithState(run, f"user_id long, event_id long, {LEDGER}", "balance int, period_end long, used long", "append", "NoTimeout")
+
+
+def running_mean(events: DataFrame) -> DataFrame:
+    """(user_id, n, mean) of values, the mean rounded after every event."""
+
+    def step(state, value):
+        n, mean = state
+        return (n + 1, float(math.floor((mean * n + value) / (n + 1) + 0.5))), ()
+
+    rows = events.select("user_id", F.unix_micros("ts").alias("at"), "event_id", "value")
+    return Folds(rows, "user_id", ["at", "event_id"], ["value"], (0, 0.0), step).states("n long, mean double")
+
 
-    def step(p: Column, value: Column) -> Column:
-        failures = F.when(value >= FAILED_BELOW, 0).otherwise(p["failures"] + 1)
-        change = F.when(failures >= 3, F.least(3 * failures, F.lit(12)) / 2).otherwise(-5.0)
-        mean = F.floor((p["mean_value"] * p["scans"] + value) / (p["scans"] + 1) + 0.5).cast("int")
-        return F.struct((p["scans"] + 1).alias("scans"), mean.alias("mean_value"), failures.alias("failures"), F.least(F.lit(100.0), F.greatest(F.lit(0.0), p["suspicion"] + change)).alias("suspicion"))
+LEASE = 120
+STATUS = "delivery_id string, event_id long, status string"
 
-    return events.groupBy("user_id").agg(log.alias("log")).select("user_id", F.aggregate("log", start, step).alias("p")).select("user_id", "p.*")
+
+def lease_step(state: tuple | None, at: int, done: bool, lease: int) -> tuple[tuple | None, str]:
+    """(begun, completed) of a delivery after one event, and its status: an
+    arrival is accepted once; while that one is at work others wait, after its
+    lease they may try again, and once it has completed they are skipped."""
+    if done:
+        return (state and (state[0], True)), "completed" if state and not state[1] else "ignored"
+    if state is None:
+        return (at, False), "accepted"
+    if state[1]:
+        return state, "skipped"
+    return state, "processing" if at - state[0] < lease * 1_000_000 else "retried"
+
+
+def leases(events: DataFrame, lease: int = LEASE, late: str = LATE) -> DataFrame:
+    """(delivery_id, event_id, status) of the arrivals and completions (``done``)
+    of deliveries. The lease runs from the first arrival and is not renewed.
+
+    A stream keeps a timer per delivery that is at work: when the watermark
+    passes the end of its lease, a row ``stale`` without an event says so. Rows
+    later than the watermark are dropped. Within a micro-batch events are taken
+    in order. The batch has no timers: there a delivery is stale where an
+    arrival after its lease, or no completion within it, shows it.
+    """
+    if not events.isStreaming:
+        rows = events.select("delivery_id", F.unix_micros("ts").alias("at"), "event_id", "done")
+        return Folds(rows, "delivery_id", ["at", "event_id"], ["at", "done", "event_id"], None, lambda s, at, done, event_id: (lambda t: (t[0], (t[1],)))(lease_step(s, at, done, lease))).rows(["event_id"], "status string")
+
+    def run(key, frames, state):
+        if state.hasTimedOut:
+            begun, completed = state.get
+            state.update((begun, completed))
+            yield pd.DataFrame([(key[0], None, "stale")], columns=["delivery_id", "event_id", "status"])
+            return
+        held, out = (tuple(state.get) if state.exists else None), []
+        for ts, event_id, done in _ordered(frames)[["ts", "event_id", "done"]].itertuples(index=False):
+            held, status = lease_step(held, ts.value // 1000, done, lease)
+            out.append((key[0], event_id, status))
+        if held is not None:
+            state.update(held)
+            ends = held[0] // 1000 + lease * 1000
+            if not held[1] and ends > state.getCurrentWatermarkMs():
+                state.setTimeoutTimestamp(ends)
+        frame = pd.DataFrame(out, columns=["delivery_id", "event_id", "status"])
+        yield frame.astype({"event_id": "Int64"})
+
+    rows = events.withWatermark("ts", late).select("delivery_id", "ts", "event_id", "done")
+    return rows.groupBy("delivery_id").applyInPandasWithState(run, STATUS, "begun long, completed boolean", "append", "EventTimeTimeout")
