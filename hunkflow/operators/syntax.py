@@ -82,18 +82,19 @@ def statements(sig: Column) -> Column:
     return F.size(F.filter(F.split(sig, r";|\n|\} "), lambda x: F.trim(x) != ""))
 
 
-def added_code(lines: DataFrame, most_files: int | None = MOST_FILES, most_hunks: int | None = MOST_HUNKS, most_pieces: int | None = MOST_PIECES, most_chars: int | None = MOST_CHARS) -> DataFrame:
+def added_code(lines: DataFrame, most_files: int | None = MOST_FILES, most_hunks: int | None = MOST_HUNKS, most_pieces: int | None = MOST_PIECES, most_chars: int | None = MOST_CHARS, least_added: int = LEAST_ADDED) -> DataFrame:
     """(keys, path, importance, code, nos): the added lines of hunks of test
     files, without pieces too short to hold anything; ``nos`` are their line
     numbers. Change sets of more files, and hunks beyond the first few or in
-    more pieces, are passed over, and code is cut, unless switched off by None."""
+    more pieces, are passed over, and code is cut, unless switched off by None.
+    Hunks of fewer than ``least_added`` added lines hold too little to judge."""
     rows = lines.where("NOT non_functional")
     if most_files is not None:
         first = F.row_number().over(W.partitionBy("scan_id", "file_idx").orderBy("hunk_idx", "line_idx")) == 1
         rows = rows.withColumn("first", first).withColumn("files", F.count_if("first").over(W.partitionBy("scan_id"))).where(f"files <= {most_files}")
     rows = rows.where("path <> '/dev/null' AND lang = 'javascript' AND marker = '+' AND raw NOT LIKE '+++%'").where(T.matches(F.col("path"), R.TEST_FILE))
     hunk = W.partitionBy(*KEYS)
-    rows = rows.withColumns({"added": F.count("*").over(hunk), "piece": F.col("line_idx") - F.row_number().over(hunk.orderBy("line_idx"))}).where(f"added >= {LEAST_ADDED}")
+    rows = rows.withColumns({"added": F.count("*").over(hunk), "piece": F.col("line_idx") - F.row_number().over(hunk.orderBy("line_idx"))}).where(f"added >= {least_added}")
     line = F.struct("line_idx", "line_no", "body")
     pieces = rows.groupBy(*KEYS, "path", "importance", "piece").agg(F.sort_array(F.collect_list(line)).alias("ls"))
     pieces = pieces.withColumn("long", F.char_length(T.trim(F.array_join("ls.body", "\n"))) > LEAST_PIECE)

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..operators import detectors as D
-from ..operators import scoring
+from ..operators import scoring, stages
 from ..operators.bodies import trivial_bodies
 from ..operators import syntax as S
 from ..operators.susceptibility import susceptible_hunks
 from ..sources import change_sets, diffs, strict
-from ..sources.tables import stored
+from ..sources.tables import shared_path, stored
 
 
 def _scans(spark, sf_dir):
@@ -96,7 +98,7 @@ def trust_scores(spark, sf_dir):
 
 def d7a_syntax_findings(spark, sf_dir):
     """The syntax rules on all added code, whatever the size of a change set."""
-    return _detector(lambda lines: S.syntax_findings(lines, most_files=None, most_hunks=None, most_pieces=None, most_chars=None))(spark, sf_dir)
+    return _detector(lambda lines: S.syntax_findings(lines, most_files=None, most_hunks=None, most_pieces=None, most_chars=None, least_added=1))(spark, sf_dir)
 
 
 def syntax_trust_scores(spark, sf_dir):
@@ -115,7 +117,31 @@ def strict_trust_scores(spark, sf_dir):
     return scores_of(strict.parse(scans).drop("strict"), scans)
 
 
+#: Stands in for a model: the first digit of the hash of what it is asked decides.
+_DIGIT = "substr(hash, 1, 1)"
+VERDICT = f"CASE WHEN {_DIGIT} <= '3' THEN 'FALSE_POSITIVE' WHEN {_DIGIT} <= '7' THEN 'CONTEXTUAL' WHEN {_DIGIT} <= 'd' THEN 'VALID' END"
+ANALYSIS = f"""CASE WHEN {_DIGIT} <= '5' THEN concat('{{"hasCheating": true, "findings": [{{"pattern": "test_silencing", "severity": "high", "explanation": "quiet"}}, {{"pattern": "semantic_bypass", "severity": "', CASE WHEN {_DIGIT} <= '2' THEN 'high' ELSE 'odd' END,
+  '", "explanation": "around", "filePath": "src/cart.ts", "lineStart": 7}}]}}') WHEN {_DIGIT} <= '8' THEN '{{"hasCheating": false, "findings": [{{"pattern": "other"}}]}}' WHEN {_DIGIT} <= 'a' THEN 'no JSON' END"""
+
+
+def sc_staged_scores(spark, sf_dir):
+    """Scores after a judge's verdicts, a model's findings and late rules."""
+    scans = _scans(spark, sf_dir)
+    lines = diffs.parse_lines(scans).persist()
+    try:
+        files = stored(lines.groupBy("scan_id").agg(F.count_distinct("file_idx").alias("files_scanned")))
+        deduped = stored(scoring.dedup(D.all_findings(lines, scans)))
+        late = stored(trivial_bodies(lines).groupBy("scan_id").agg(F.count("*").alias("n")))
+        shown = stages.answered(stages.shown_diffs(lines), shared_path(spark), lambda asked: asked.withColumn("answer", F.expr(ANALYSIS)))
+        found = stored(stages.assisted(shown, lines))
+    finally:
+        lines.unpersist()
+    verdicts = stages.answered(stages.judge_requests(deduped), shared_path(spark), lambda asked: asked.withColumn("answer", F.expr(VERDICT)))
+    return stages.staged_scores(deduped, verdicts.withColumnRenamed("answer", "verdict"), found, late, scans, files)
+
+
 QUERIES = {
+    "sc_staged_scores": sc_staged_scores,
     "src_strict_lines": src_strict_lines,
     "strict_trust_scores": strict_trust_scores,
     "d7a_syntax_findings": d7a_syntax_findings,
@@ -328,7 +354,7 @@ def d7a_sql(limited: bool) -> str:
     ]
     return f"""
 ya AS (SELECT *, count(*) OVER {_HUNK} AS added, line_idx - row_number() OVER (PARTITION BY {k} ORDER BY line_idx) AS piece FROM ({_FUNC}) {few} WHERE lang = 'javascript' AND marker = '+' AND NOT starts_with(raw, '+++') AND {rx('path', R.TEST_FILE)}),
-yb AS (SELECT {k}, path, importance, piece, string_agg(body, chr(10) ORDER BY line_idx) AS t, list(line_no ORDER BY line_idx) AS ls FROM ya WHERE added >= {S.LEAST_ADDED} GROUP BY ALL),
+yb AS (SELECT {k}, path, importance, piece, string_agg(body, chr(10) ORDER BY line_idx) AS t, list(line_no ORDER BY line_idx) AS ls FROM ya WHERE added >= {S.LEAST_ADDED if limited else 1} GROUP BY ALL),
 yc AS (SELECT {k}, path, importance, count(*) AS pieces, string_agg(t, chr(10) ORDER BY piece) FILTER (length({_TRIM('t')}) > {S.LEAST_PIECE}) AS code, flatten(list(ls ORDER BY piece) FILTER (length({_TRIM('t')}) > {S.LEAST_PIECE})) AS nos FROM yb GROUP BY ALL),
 yd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY file_idx, hunk_idx) AS n FROM yc) WHERE code IS NOT NULL {most}),
 ye AS (SELECT {k}, unnest(regexp_extract_all({cut}, {_TOK})) AS tok, generate_subscripts(regexp_extract_all({cut}, {_TOK}), 1) - 1 AS pos FROM yd),
@@ -379,6 +405,33 @@ _VALID = f"""v AS (SELECT scan_id, raw_diff, {_TRIM("string_split(regexp_replace
         AND NOT starts_with(last, 'diff --git') AND NOT contains(last, '[truncated]') AND (starts_with(last, '+') OR starts_with(last, '-')) AS valid,
         len(regexp_extract_all(raw_diff, '(?m)^diff --git'))::INT AS n_files FROM v)"""
 _STRICT_BASE = f"{change_sets.EXACT_SQL}, {_VALID}, {strict.LINES_SQL}, {diffs.FILES_SQL}"
+_AFTER_DEDUP = SCORE_SQL[SCORE_SQL.index("rk AS"):]
+
+
+def _again(suffix: str, deduped: str) -> str:
+    """The steps from deduplicated findings to verdicts under other names."""
+    steps = _AFTER_DEDUP.replace("FROM dd)", f"FROM {deduped})").replace("FROM found GROUP", f"FROM {deduped} GROUP")
+    for name in ("rk", "fu", "su", "ra", "fc", "j1", "j2", "j3"):
+        steps = re.sub(rf"\b{name}\b", f"{name}{suffix}", steps)
+    return steps
+
+
+_STAGED = f"""WITH {_ALL}, {FOUND_SQL}, {SCORE_SQL[:SCORE_SQL.index('rk AS')]} {_again('_a', 'dd')},
+hk AS (SELECT scan_id, file_idx, path, hunk_idx, '@@ -1,' || count(*) || ' +' || new_start || ',' || count(*) || ' @@' || chr(10) || string_agg(raw, chr(10) ORDER BY line_idx) AS t FROM lines GROUP BY scan_id, file_idx, path, hunk_idx, new_start),
+hf AS (SELECT scan_id, file_idx, path, 'diff --git a/' || path || ' b/' || path || chr(10) || string_agg(t, chr(10) ORDER BY hunk_idx) AS t FROM hk GROUP BY scan_id, file_idx, path),
+hs AS (SELECT scan_id, string_agg(t, chr(10) ORDER BY file_idx) AS t, arg_min(path, file_idx) AS first_path, max(regexp_matches(path, '{stages.TEST_FILES}')::INT) AS tests FROM hf GROUP BY scan_id),
+ha AS (SELECT scan_id, first_path, tests, sha256(CASE WHEN length(t) > {stages.MOST_DIFF} THEN t[1:{stages.MOST_DIFF}] || '{stages.CUT}' ELSE t END) AS hash FROM hs),
+ai AS (SELECT scan_id, 'ai_assisted_detection' AS pattern_type, first_path AS path, 1 AS line_start, 'high' AS confidence, NULL::VARCHAR AS importance, (1::BIGINT << 40) AS first_seq FROM ha WHERE {_DIGIT} <= '5' AND tests = 1
+  UNION ALL SELECT scan_id, 'ai_assisted_detection', 'src/cart.ts', 7, CASE WHEN {_DIGIT} > '2' THEN 'low' WHEN tests = 1 THEN 'high' ELSE 'medium' END, NULL, (1::BIGINT << 40) + tests FROM ha WHERE {_DIGIT} <= '5'),
+jv AS (SELECT scan_id, pattern_type, path, line_start, confidence, importance, first_seq, {VERDICT} AS verdict FROM (SELECT *, sha256(concat_ws('|', pattern_type, path, line_start, kind)) AS hash FROM dd)),
+nw AS (SELECT scan_id, pattern_type, path, line_start, CASE WHEN verdict = 'CONTEXTUAL' THEN CASE confidence WHEN 'high' THEN 'medium' ELSE 'low' END ELSE confidence END AS confidence, importance, first_seq FROM jv WHERE verdict IS NULL OR verdict <> 'FALSE_POSITIVE' UNION ALL SELECT * FROM ai),
+{_again('_b', 'nw')},
+tc AS (SELECT DISTINCT scan_id FROM (SELECT scan_id FROM jv WHERE verdict IN ('FALSE_POSITIVE', 'CONTEXTUAL') UNION ALL SELECT scan_id FROM ai)),
+lt AS (SELECT scan_id, count(*) AS n FROM d7b GROUP BY scan_id), nn AS (SELECT scan_id, count(*) AS n FROM nw GROUP BY scan_id)
+SELECT a.scan_id, a.trust_score AS static_score, CASE WHEN tc.scan_id IS NULL THEN a.findings ELSE b.findings END AS findings, CASE WHEN tc.scan_id IS NULL THEN a.high_count ELSE b.high_count END AS high_count,
+  CASE WHEN tc.scan_id IS NULL THEN a.trust_score ELSE b.trust_score END AS trust_score, CASE WHEN tc.scan_id IS NULL THEN a.verdict ELSE b.verdict END AS verdict, (coalesce(nn.n, 0) + coalesce(lt.n, 0))::INT AS listed,
+  greatest(a.findings - coalesce(nn.n, 0) - coalesce(lt.n, 0), 0)::INT AS judge_filtered, 0 AS ai_assisted
+FROM j3_a a JOIN j3_b b USING (scan_id) LEFT JOIN tc USING (scan_id) LEFT JOIN nn USING (scan_id) LEFT JOIN lt USING (scan_id)"""
 _D = lambda ctes, name: f"WITH {_BASE}, {ctes} SELECT scan_id, file_idx, hunk_idx, phase, i1, i2, path, line_start, line_end, confidence, kind, evidence, importance FROM {name}"
 ORACLE_SQL = {
     "src_diff_lines": f"WITH {_BASE} SELECT scan_id, file_idx, path, lang, is_test, non_functional, catch_exempt, is_agent, importance, hunk_idx, new_start, line_idx, marker, raw, body, line_no FROM x",
@@ -402,6 +455,7 @@ ORACLE_SQL = {
     "d11_agent_instructions": _D(D11_SQL, "d11"),
     "findings": f"WITH {_ALL}, {FOUND_SQL} SELECT scan_id, seq, pattern_type, path, line_start, line_end, confidence, kind, importance FROM found",
     "deduped_findings": f"WITH {_ALL}, {FOUND_SQL}, {SCORE_SQL} SELECT scan_id, path, line_start, pattern_type, confidence, first_seq, rank, base, penalty FROM fu",
+    "sc_staged_scores": _STAGED,
     "src_strict_lines": f"WITH {_STRICT_BASE} SELECT x.scan_id, file_idx, path, lang, is_test, non_functional, catch_exempt, is_agent, importance, hunk_idx, new_start, line_idx, marker, raw, body, line_no, scan_id IN (SELECT scan_id FROM a9 WHERE strict) AS strict FROM x",
     "strict_trust_scores": f"WITH {_ALL.replace(_BASE, _STRICT_BASE)}, {FOUND_SQL}, {SCORE_SQL} {_VERDICTS}",
     "trust_scores": f"WITH {_ALL}, {FOUND_SQL}, {SCORE_SQL} {_VERDICTS}",
