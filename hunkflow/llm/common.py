@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import gc
+import re
 import shutil
 import sys
 import tempfile
 import types
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="hunkflow-")
         atexit.register(shutil.rmtree, path, ignore_errors=True)
@@ -178,6 +181,26 @@ def worker_cache(name: str, make: Callable[[], Any]) -> Any:
     return held[1]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker is used again by later
+    stages, and would hold on to what a large task needed."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def frugal(run: Callable[[Iterable], Iterator]) -> Callable[[Iterable], Iterator]:
+    """A function for ``mapInArrow`` that gives memory back when it is done."""
+
+    def go(batches: Iterable) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return go
+
+
 class WordHashes(dict):
     """64-bit hashes of words, at most ``WORDS`` of them remembered."""
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, BROADCAST_ROWS, free_name, materialise, partitions, table, text_or_empty
+from .common import ASCII_SPACE, BROADCAST_ROWS, free_name, frugal, materialise, partitions, table, text_or_empty
 
 SLOTS = 4  # fingerprints in a filter bucket
 KICKS = 200  # moves before an insertion counts as overflow
@@ -193,9 +193,9 @@ def digests(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def fold_copies(rows: DataFrame, n_rows: int) -> DataFrame:
     """One row per digest: the document that stays (n_cp, doc_id, rid), the
     number of copies, and how many of them tie with it in length and id."""
-    local = rows.mapInArrow(_folder(LOCAL_KEYS), ENTRY)
+    local = rows.mapInArrow(frugal(_folder(LOCAL_KEYS)), ENTRY)
     parts = partitions(rows.sparkSession, n_rows, PART_KEYS)
-    return local.repartition(parts, "sha").mapInArrow(_folder(None), ENTRY)
+    return local.repartition(parts, "sha").mapInArrow(frugal(_folder(None)), ENTRY)
 
 
 def apply_deletions(live: DataFrame, gone: DataFrame, parts: int) -> DataFrame:

@@ -31,8 +31,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import BROADCAST_ROWS, free_name, hash_words, join_small, materialise, modest_batches, partitions, scratch, table
+from .common import BROADCAST_ROWS, free_name, frugal, give_back, hash_words, join_small, materialise, modest_batches, partitions, scratch, table
 from .graph import components
 
 N, SIMILARITY = 5, 0.8
@@ -183,6 +184,8 @@ def _verify(group: pa.Table) -> pa.Table:
                 out_id.append(k[0])
                 out_links.append(n)
                 out_root.append(keys[r][0])
+    seen.clear()
+    give_back()
     return pa.table([pa.array(c, pa.int64()) for c in (out_id, out_links, out_root)], names=["id", "links", "root"])
 
 
@@ -224,7 +227,7 @@ def _with_sets(docs: DataFrame, members: DataFrame, small: bool, id_col: str) ->
     if small:
         side, ids = F.broadcast(side), F.broadcast(ids)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
-    sets = texts.mapInArrow(_setter, "doc_id long, sig binary, grams binary")
+    sets = texts.mapInArrow(frugal(_setter), "doc_id long, sig binary, grams binary")
     return sets.join(side, ["doc_id", "sig"]).select("id", "hubs", "tasks", "grams")
 
 
@@ -250,7 +253,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame,
     modest_batches(docs)
     spark = docs.sparkSession
     with scratch(spark) as keep:
-        signed = keep(materialise(docs.select(F.col(id_col).cast("long").alias("doc_id"), "text").mapInArrow(_signer, "doc_id long, sig binary, n long, bands array<long>")))
+        signed = keep(materialise(docs.select(F.col(id_col).cast("long").alias("doc_id"), "text").mapInArrow(frugal(_signer), "doc_id long, sig binary, n long, bands array<long>")))
         some = signed.where("sig IS NOT NULL AND doc_id IS NOT NULL")
         grouped = some.groupBy("sig").agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
         classes = keep(materialise(grouped.withColumn("id", F.monotonically_increasing_id())))  # written once, so the numbers stay
@@ -313,11 +316,18 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
         return left
     # ids of which some rows stay: here the text decides
     ids = small(materialise(mixed.select(gone_id).distinct()))
-    sig = F.udf(lambda t: signature(ngrams(t)), "binary", useArrow=True)
-    own = free_name(docs, "_own_sig")
-    some = left.join(ids, key == F.col(gone_id), "left_semi").withColumn(own, sig("text"))
+    own, at = free_name(docs, "_own_sig"), docs.columns.index("text")
+
+    def signed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sigs = pa.array([signature(ngrams(t.as_py())) for t in batch.column(at)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, sigs], names=[*batch.schema.names, own])
+
+    some = left.join(ids, key == F.col(gone_id), "left_semi")
+    key = F.col(f"`{id_col}`").cast("long")
+    some = some.mapInArrow(frugal(signed), T.StructType([*some.schema.fields, T.StructField(own, T.BinaryType())]))
     some = some.join(small(mixed), (key == F.col(gone_id)) & (F.col(own) == F.col(gone_sig)), "left_anti").drop(own)
-    return left.join(ids, key == F.col(gone_id), "left_anti").unionByName(some)
+    return left.join(ids, docs[id_col].cast("long") == F.col(gone_id), "left_anti").unionByName(some)
 
 
 def op10_near_join(spark, sf_dir):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import modest_batches, partitions, table, worker_cache
+from .common import frugal, modest_batches, partitions, table, worker_cache
 
 LENGTH = 2048
 END_ID = 1
@@ -288,7 +288,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = LENGTH,
     groups = max(1, -(-n // group_docs))
     grp = F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.monotonically_increasing_id()), F.lit(groups))
     rows = docs.select(grp.alias("grp"), F.col(id_col).cast("long").alias("doc_id"), "text")
-    parts = rows.mapInArrow(_tokeniser(tokenizer_path, capacity), PARTS)
+    parts = rows.mapInArrow(frugal(_tokeniser(tokenizer_path, capacity)), PARTS)
     dealt = parts.repartition(partitions(docs.sparkSession, n, PART_DOCS), "grp")
     return dealt.groupBy("grp").applyInArrow(_pack_group(Words(tokenizer_path).dtype.str, capacity), PIECES)
 
