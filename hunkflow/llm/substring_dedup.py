@@ -22,9 +22,11 @@ The index is built coarse to fine, so that most phrases never leave their task:
   whose anchor occurs in two documents can be duplicates.
 * Phrases: what is left enters the index.
 
-Chunks and phrases are compared by 128-bit hashes of their words: among n of
-them about n * n / 2 ** 129 pairs are taken for equal by chance, 10 ** -12 for
-the 10 ** 13 phrases of 100 TB. Where ids repeat, rows are told apart by a hash
+Chunks and phrases are compared by two hashes of 64 bits, which both are made of
+the 64-bit hashes of their words. So two different words of equal hash are taken
+for one another: among n different words that happens to n * n / 2 ** 65 pairs,
+about 3 for 10 ** 10 words, and a stretch is then wrongly equal only to one that
+has all other words in common with it. Where ids repeat, rows are told apart by a hash
 of the text as well, so an id may hold many rows.
 """
 
