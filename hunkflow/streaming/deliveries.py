@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.digests import hmac_sha256
-from ..sources.tables import stored
+from ..sources.commits import Store
 
 EVENT = T.StructType([T.StructField("action", T.StringType()), T.StructField("number", T.LongType()), T.StructField("repository", T.StringType()), T.StructField("sender", T.StringType())])
 RAW = T.StructType([T.StructField(c, T.StringType()) for c in ("delivery", "signature", "body")])
 MOST_CONTENT = 8000
-BUCKETS = 64
+MOST_DELTAS = 20
+INDEX, KEYS = "index", ["repo", "file"]
 
 
 def verified(raw: DataFrame, secret: bytes, schema: T.StructType = EVENT) -> DataFrame:
@@ -25,39 +26,41 @@ def verified(raw: DataFrame, secret: bytes, schema: T.StructType = EVENT) -> Dat
     return parsed.where("ok").select("delivery", "e.*")
 
 
-def apply_changes(changes: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+def apply_changes(changes: DataFrame, path: str, batch: tuple[str, int] | None = None, most_content: int | None = MOST_CONTENT) -> None:
     """Bring an index of files up to date. ``changes``: repo, file, content, op
-    (``removed`` or anything else) and ``at``, by which the last one counts. The
-    index lies in buckets by a hash of its key; only buckets with changes are
-    read and written again, each with a marker row, so that an emptied one is
-    replaced as well. Contents are cut to 8,000 characters."""
-    spark, keys = changes.sparkSession, ["repo", "file"]
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-    last = changes.groupBy(*keys).agg(F.max_by(F.struct(F.substring("content", 1, MOST_CONTENT).alias("content"), "op"), "at").alias("c")).select(*keys, "c.*").withColumn("bucket", bucket)
-    last = stored(last)
-    if last.isEmpty():
-        return
-    touched = last.select("bucket").distinct()
-    fresh = last.where("op <> 'removed'").select(*keys, "content", "bucket")
-    old = read_index(spark, path)
-    if old is not None:
-        old = old.withColumn("bucket", bucket).join(F.broadcast(touched), "bucket", "left_semi").join(last.select(*keys), keys, "left_anti")
-        fresh = fresh.unionByName(old)
-    markers = touched.select(F.lit(None).cast("string").alias("repo"), F.lit(None).cast("string").alias("file"), F.lit(None).cast("string").alias("content"), "bucket")
-    whole = stored(fresh.unionByName(markers))
-    whole.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-
-
-def read_index(spark, path: str) -> DataFrame | None:
-    """(repo, file, content), or None before the first change."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+    (``removed`` or anything else) and ``at``, by which the last one counts. A
+    batch is appended as it is, whatever the size of the index, and published by
+    one commit; readers merge. After ``MOST_DELTAS`` of them they are folded into
+    one. Contents are cut to ``most_content`` characters (None: kept whole)."""
+    store = Store(changes.sparkSession, path)
+    content = F.col("content") if most_content is None else F.substring("content", 1, most_content)
+    last = changes.groupBy(*KEYS).agg(F.max_by(F.struct(content.alias("content"), "op"), "at").alias("c")).select(*KEYS, "c.*")
+    store.commit({INDEX: last}, batch=batch)
+    if len(store.manifest()["tables"][INDEX]) > MOST_DELTAS:
+        compact(store)
+
+
+def compact(store: Store) -> None:
+    """Folds the changes published so far into one folder; those that come in
+    meanwhile stay behind it."""
+    before = store.manifest()["tables"].get(INDEX, [])
+    rows = read_index(store.spark, store.path)
+    if rows is not None:
+        folder = store.write(INDEX, rows.withColumn("op", F.lit("kept")))
+        store.commit(replace=lambda tables: {INDEX: [folder, *(f for f in tables[INDEX] if f not in before)]} if set(before) <= set(tables[INDEX]) else {})
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame | None:
+    """(repo, file, content) as of the last commit, or None before the first."""
+    rows = Store(spark, path).read(INDEX, "repo string, file string, content string, op string", "place")
+    if rows is None:
         return None
-    spark.catalog.refreshByPath(path)
-    return spark.read.schema("repo string, file string, content string, bucket int").parquet(path).where("repo IS NOT NULL").drop("bucket")
+    last = rows.groupBy(*KEYS).agg(F.max_by(F.struct("content", "op"), "place").alias("c"))
+    return last.where("c.op <> 'removed' OR c.op IS NULL").select(*KEYS, "c.content")
 
 
-def keep_index(changes: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Apply a stream of changes batch by batch. A batch that is run again
-    leaves the index as it is."""
-    return changes.writeStream.foreachBatch(lambda batch, _: apply_changes(batch, path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def keep_index(changes: DataFrame, path: str, checkpoint: str, most_content: int | None = MOST_CONTENT) -> StreamingQuery:
+    """Apply a stream of changes batch by batch. A batch that is run again is
+    known by its number and leaves the index as it is."""
+    apply = lambda batch, number: apply_changes(batch, path, ("stream", number), most_content)
+    return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
