@@ -276,6 +276,7 @@ INVENTED = (
     "haveBeenCalledWith haveReturned willReturn willThrow willCall willResolve willReject willBe willHave"
 ).split()
 MATCHER_LIKE = r"^(to|assert|should|must|has|have|will)"
+FRAMEWORK_IMPORT = r"import\s+\{[^}]*\}\s*from\s*['\"](?:jest|vitest|@testing-library)[^'\"]*['\"]"
 GLOBALS = (
     "mock mocked fn spyOn mockReturnValue mockReturnValueOnce mockResolvedValue mockResolvedValueOnce mockRejectedValue mockRejectedValueOnce "
     "mockImplementation mockImplementationOnce mockRestore mockClear mockReset anything any arrayContaining assertions extend hasAssertions not "

@@ -262,6 +262,18 @@ def invented_matchers(lines: DataFrame) -> DataFrame:
     return _finding(found, "hallucinated_assertion", 0, F.when(F.col("hit.k") == "invented", "high").otherwise("low"), F.col("hit.m"), F.substring("t", 1, 200))
 
 
+def invented_imports(lines: DataFrame) -> DataFrame:
+    """Added imports from test frameworks of names that none of them has, in any
+    file. One of the package variant: not among ``all_findings``."""
+    body = T.trim(F.col("body"))
+    names = F.transform(F.split(F.regexp_extract(body, r"import\s+\{([^}]*)\}\s*from", 1), ","), lambda n: T.trim(n))
+    plain = lambda n: T.trim(F.regexp_replace(n, r"as\s+\w+", ""))
+    known = [*R.MATCHERS["javascript"], *R.GLOBALS]
+    odd = F.filter(names, lambda n: (n != "") & ~plain(n).isin(known) & ~plain(n).startswith("//"))
+    found = lines.where("marker = '+'").where(F.rlike(body, F.lit(R.FRAMEWORK_IMPORT))).withColumn("odd", odd).where(F.size("odd") > 0)
+    return _finding(found, "hallucinated_assertion", 1, F.lit("medium"), F.array_join("odd", ", "), F.substring(body, 1, 200))
+
+
 def agent_instructions(lines: DataFrame) -> DataFrame:
     """D11: suspicious sentences in files that instruct coding agents. Each
     line is matched against all rules in place: no join with the catalogue."""

@@ -26,6 +26,24 @@ def verified(raw: DataFrame, secret: bytes, schema: T.StructType = EVENT) -> Dat
     return parsed.where("ok").select("delivery", "e.*")
 
 
+def ingest(raw: DataFrame, secret: bytes, path: str, checkpoint: str, schema: T.StructType = EVENT) -> StreamingQuery:
+    """Takes in a stream of deliveries (say, of JSON files) batch by batch: those
+    with a right signature go to the table ``events``, each delivery once in a
+    batch, all others to ``rejected`` with the reason. Both are published by one
+    commit; a batch that runs again is known by its number."""
+
+    def take(batch: DataFrame, number: int) -> None:
+        signed = F.coalesce(F.col("signature") == F.concat(F.lit("sha256="), hmac_sha256(F.col("body"), secret)), F.lit(False))
+        parses = F.coalesce(F.get_json_object("body", "$").isNotNull(), F.lit(False))
+        reason = F.when(F.col("signature").isNull(), "unsigned").when(~signed, "signature").when(~parses, "body")
+        judged = batch.withColumn("reason", reason)
+        good = verified(judged.where("reason IS NULL").select(*RAW.names), secret, schema).dropDuplicates(["delivery"])
+        bad = judged.where("reason IS NOT NULL").select("delivery", "reason", F.sha2(F.coalesce("body", F.lit("")).cast("binary"), 256).alias("body_sha256"))
+        Store(batch.sparkSession, path).commit({"events": good, "rejected": bad}, batch=("ingest", number))
+
+    return raw.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def apply_changes(changes: DataFrame, path: str, batch: tuple[str, int] | None = None, most_content: int | None = MOST_CONTENT) -> None:
     """Bring an index of files up to date. ``changes``: repo, file, content, op
     (``removed`` or anything else) and ``at``, by which the last one counts. A
