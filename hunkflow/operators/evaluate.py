@@ -8,6 +8,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
 _M = 0xFFFFFFFF
 MOST_GROUPS = 100_000  # names that the driver shuffles
 
@@ -50,6 +52,35 @@ def sample(rows: DataFrame, key: str, share: float = 0.1, seed: int = 42) -> Dat
     return rows.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))), key).limit(n)
 
 
+def auto_label(findings: Column, score: Column) -> Column:
+    """EV-7: (label, confidence, reason) of a scored change set that nobody has
+    labelled. Only clean ones are confirmed; none is called deceptive unseen."""
+    case = lambda label, sure, reason: F.struct(F.lit(label).alias("label"), F.lit(sure).alias("confidence"), F.lit(reason).alias("reason"))
+    review = lambda reason: case("PENDING_REVIEW", "low", reason)
+    none = findings == 0
+    return F.when(none & (score >= 80), case("CONFIRMED_LEGIT", "high", "clean")).when(none, review("anomaly")).when((score >= 70) & (findings <= 2), review("maybe_false")).otherwise(review("manual"))
+
+
+LABELS = ("CONFIRMED_DECEPTIVE", "CONFIRMED_LEGIT", "AMBIGUOUS")
+
+
+def import_labels(known: DataFrame, rows: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """EV-9: labels to append, and how many rows were what. ``known`` has id
+    (``gt_`` and a number) and url, ``rows`` url, label, notes and repo, read in
+    the order of the columns ``order``. Rows without url or label and urls that are
+    known are skipped, other labels are invalid; ids go on after the largest."""
+    trimmed = rows.withColumns({"url": F.trim("url"), "label": F.upper(F.trim("label"))})
+    seen = known.select(F.col("url").alias("_url"), F.lit(True).alias("_seen")).distinct()
+    blank = F.coalesce(F.col("url") == "", F.lit(True)) | F.coalesce(F.col("label") == "", F.lit(True))
+    state = F.when(blank, "skipped").when(~F.col("label").isin(*LABELS), "invalid").when(F.col("_seen"), "skipped").otherwise("new")
+    judged = trimmed.join(seen, F.col("url") == F.col("_url"), "left").withColumn("state", state)
+    last = known.agg(F.max(F.try_to_number(F.regexp_extract("id", r"^gt_(\d+)", 1), F.lit("999999999999")))).first()[0]
+    repo = F.when(F.coalesce(F.col("repo"), F.lit("")) != "", F.col("repo")).otherwise(F.regexp_extract("url", r"^(?:https://github\.com/)?([^/]*(?:/[^/]*)?)", 1))
+    new = numbered(judged.where("state = 'new'").select(*dict.fromkeys([*order, "url", "label", "notes", "repo"])), order, "number", int(last or 0) + 1)
+    new = new.select(F.concat(F.lit("gt_"), F.when(F.col("number") < 10_000, F.lpad(F.col("number").cast("string"), 4, "0")).otherwise(F.col("number").cast("string"))).alias("id"), repo.alias("repo"), "url", "label", "notes")
+    return new, judged.groupBy("state").agg(F.count("*").alias("n"))
+
+
 def suggested_weight(f1: Column) -> Column:
     return F.when(f1 == 0, 0).otherwise(F.least(F.lit(15), F.greatest(F.lit(0), F.floor(f1 * 20 + 0.5))))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..operators import detectors as D
-from ..operators import scoring, stages
+from ..operators import evaluate, scoring, stages
 from ..operators.bodies import trivial_bodies
 from ..operators import syntax as S
 from ..operators.susceptibility import susceptible_hunks
@@ -140,7 +140,15 @@ def sc_staged_scores(spark, sf_dir):
     return stages.staged_scores(deduped, verdicts.withColumnRenamed("answer", "verdict"), found, late, scans, files)
 
 
+def ev_score_labels(spark, sf_dir):
+    """Labels that the scores of unseen change sets allow, and their bands of 20."""
+    scored = trust_scores(spark, sf_dir)
+    bucket = F.least(F.floor(F.greatest(F.col("trust_score") - 1, F.lit(0)) / 20) * 20 + 20, F.lit(100)).cast("int")
+    return scored.select("scan_id", evaluate.auto_label(F.col("findings"), F.col("trust_score")).alias("l"), bucket.alias("up_to")).select("scan_id", "l.*", "up_to")
+
+
 QUERIES = {
+    "ev_score_labels": ev_score_labels,
     "sc_staged_scores": sc_staged_scores,
     "src_strict_lines": src_strict_lines,
     "strict_trust_scores": strict_trust_scores,
@@ -456,6 +464,9 @@ ORACLE_SQL = {
     "findings": f"WITH {_ALL}, {FOUND_SQL} SELECT scan_id, seq, pattern_type, path, line_start, line_end, confidence, kind, importance FROM found",
     "deduped_findings": f"WITH {_ALL}, {FOUND_SQL}, {SCORE_SQL} SELECT scan_id, path, line_start, pattern_type, confidence, first_seq, rank, base, penalty FROM fu",
     "sc_staged_scores": _STAGED,
+    "ev_score_labels": f"""WITH {_ALL}, {FOUND_SQL}, {SCORE_SQL} SELECT scan_id, CASE WHEN findings = 0 AND trust_score >= 80 THEN 'CONFIRMED_LEGIT' ELSE 'PENDING_REVIEW' END AS label,
+      CASE WHEN findings = 0 AND trust_score >= 80 THEN 'high' ELSE 'low' END AS confidence, CASE WHEN findings = 0 THEN CASE WHEN trust_score >= 80 THEN 'clean' ELSE 'anomaly' END WHEN trust_score >= 70 AND findings <= 2 THEN 'maybe_false' ELSE 'manual' END AS reason,
+      CASE WHEN trust_score <= 20 THEN 20 WHEN trust_score <= 40 THEN 40 WHEN trust_score <= 60 THEN 60 WHEN trust_score <= 80 THEN 80 ELSE 100 END AS up_to FROM j3""",
     "src_strict_lines": f"WITH {_STRICT_BASE} SELECT x.scan_id, file_idx, path, lang, is_test, non_functional, catch_exempt, is_agent, importance, hunk_idx, new_start, line_idx, marker, raw, body, line_no, scan_id IN (SELECT scan_id FROM a9 WHERE strict) AS strict FROM x",
     "strict_trust_scores": f"WITH {_ALL.replace(_BASE, _STRICT_BASE)}, {FOUND_SQL}, {SCORE_SQL} {_VERDICTS}",
     "trust_scores": f"WITH {_ALL}, {FOUND_SQL}, {SCORE_SQL} {_VERDICTS}",
