@@ -38,6 +38,7 @@ _STRANGE = " "  # the letter of a word that no hit accounts for
 #: Phrases whose every place counts, and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
+# fixed values: public license texts
 #: (label, text): the lines by which works name their license, and the texts of
 #: short licenses by paragraph.
 TEMPLATES = [
