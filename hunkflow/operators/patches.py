@@ -75,6 +75,7 @@ TEMPLATES = [
     ("mock_0", r"^\s*(jest|vi)\.(mock|doMock)\s*\(.*$", "", "risky"),
 ]
 
+# fixed values: the results are these texts
 #: Matchers that no framework has, and what they stand for; the first found wins.
 MATCHER_MAP = {
     "toExist": "toBeDefined", "toNotExist": "toBeNull", "toNotBe": "not.toBe", "toNotEqual": "not.toEqual", "toNotMatch": "not.toMatch", "toHave": "toHaveProperty",
@@ -96,6 +97,8 @@ def _rules() -> list[Rule]:
     def above(lang: str, pattern: str, text: str, mark: str = "// ") -> None:
         out.append(Rule(skip, lang, pattern, (note("TODO: " + text), "\n", group(1), mark, TRIMMED), "moderate"))
 
+    # fixed values from here on: patterns, the notes they leave, and their risk, in
+    # the order in which they are tried
     swap(None, r"(it|test|describe)\.skip\s*\(", find(r"\.skip\s*\("), "(", "safe")
     swap(None, r"(xit|xtest|xdescribe)\s*\(", group(1), rest(1), "safe")
     swap(None, r"(fit|fdescribe)\s*\(", group(1), rest(1), "safe")

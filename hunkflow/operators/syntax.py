@@ -34,6 +34,7 @@ NOT_FUNCTIONS = ("if", "for", "while", "switch", "catch", "with")
 NOT_EXPRESSIONS = "return|throw|if|for|const|let|var|while|switch|try|do|function|class|break|continue|debugger|import|export|async function|\\{"
 #: What carries a statement over the end of a line, before it and after it, and over a closing brace.
 CARRIES = (r"([,(\[{.=+*/&|?:<>!%^~-]) \n", r"\n ([)\]}.,;=+*/&|?:<>%^({\[-]|\?\.|(?:catch|finally|else|instanceof|in|as)(?: |$))", r"\} ([;,).(\[=&|?:+*/<>-]|\?\.|(?:catch|finally|else|while)(?: |$))")
+# fixed values: what a condition that skips mentions
 SKIPS = r"skip|SKIP|disable|DISABLE|bypass|BYPASS|mock"
 CHAIN = r"[A-Za-z0-9_$]+(?: \. [A-Za-z0-9_$]+| \( \)| \[ \])"
 #: Conditions that are one call, member access or unary expression.

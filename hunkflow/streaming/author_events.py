@@ -117,6 +117,7 @@ def profiles(events: DataFrame) -> DataFrame:
     return folds.states("scans int, mean_value int, failures int, suspicion double")
 
 
+# fixed values: credits of a period, its length, and what they buy
 FREE, PERIOD_DAYS = 30, 30
 #: What a reason costs; any other costs DEFAULT_COST.
 COSTS, DEFAULT_COST = {"ai_judge": 2, "ai_assisted": 2, "full_ai": 3}, 2
