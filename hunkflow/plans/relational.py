@@ -162,8 +162,10 @@ PAIRS = {
         r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, p) AS k FROM c)
         SELECT doc_id, substr(md5(string_agg(word || ':' || n, '|' ORDER BY k)), 1, 16) AS style FROM r WHERE k <= 20 GROUP BY doc_id""",
     ),
-    "ag_upper_median": (  # a value's place from counts per value: no list of all values of a type
-        "WITH c AS (SELECT event_type, value, count(*) AS n FROM events GROUP BY event_type, value), r AS (SELECT *, sum(n) OVER (PARTITION BY event_type ORDER BY value) AS cum, sum(n) OVER (PARTITION BY event_type) AS total FROM c) SELECT event_type, min(CASE WHEN cum > floor(total / 2) THEN value END) AS median FROM r GROUP BY event_type",
+    "ag_upper_median": (  # counts per range of values say in which one the median lies; only that one is looked into
+        "WITH b AS (SELECT event_type, floor(value) AS bucket, count(*) AS n FROM events GROUP BY event_type, floor(value)), c AS (SELECT *, sum(n) OVER (PARTITION BY event_type ORDER BY bucket) AS cum, sum(n) OVER (PARTITION BY event_type) AS total FROM b), "
+        "m AS (SELECT event_type, bucket, floor(total / 2) - (cum - n) AS place FROM c WHERE cum > floor(total / 2) AND cum - n <= floor(total / 2)), v AS (SELECT e.event_type, e.value, count(*) AS n, max(m.place) AS place FROM events e JOIN m ON e.event_type = m.event_type AND floor(e.value) = m.bucket GROUP BY e.event_type, e.value), "
+        "r AS (SELECT *, sum(n) OVER (PARTITION BY event_type ORDER BY value) AS cum FROM v) SELECT event_type, min(CASE WHEN cum > place THEN value END) AS median FROM r GROUP BY event_type",
         "SELECT event_type, list_sort(list(value))[(count(*) // 2 + 1)::INT] AS median FROM events GROUP BY event_type",
     ),
     "ag_ordered_concat": (
@@ -187,7 +189,8 @@ PAIRS = {
         "WITH a AS (SELECT o_custkey, list(DISTINCT o_orderstatus) AS s, list(DISTINCT o_orderpriority) AS p FROM orders GROUP BY o_custkey) SELECT o_custkey, array_to_string(list_sort(list_filter(['F', 'O', 'P'], lambda x: NOT list_contains(s, x))), ',') AS missing, len(list_distinct(list_concat(s, p)))::INT AS n FROM a",
     ),
     "sl_slice": (
-        f"WITH {FINDINGS} SELECT scan_id, array_join(slice(transform(array_sort(collect_list(struct(seq, line))), x -> x.line), 1, 3), ',') AS first_lines FROM f GROUP BY scan_id",
+        # three rows of a scan are gathered, not all of them
+        f"WITH {FINDINGS}, t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY seq) AS place FROM f) p WHERE place <= 3) SELECT scan_id, array_join(transform(array_sort(collect_list(struct(seq, line))), x -> x.line), ',') AS first_lines FROM t GROUP BY scan_id",
         f"WITH {FINDINGS} SELECT scan_id, array_to_string((list(line ORDER BY seq))[1:3], ',') AS first_lines FROM f GROUP BY scan_id",
     ),
     "vec_quantise": (
