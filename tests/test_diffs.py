@@ -3,7 +3,7 @@
 import pytest
 
 from hunkflow.operators import bodies, detectors, patches, scoring, susceptibility
-from hunkflow.sources import diffs
+from hunkflow.sources import change_sets, diffs
 
 
 def diff(path, *lines, start=1):
@@ -230,3 +230,21 @@ def test_body_cap_is_a_parameter(spark):
     many = "\n".join(diff(f"m{i}.py", "+def f(a):", "+    # changed for now", "+    return True", "+x = 1") for i in range(7))
     lines = diffs.parse_lines(scans(spark, many))
     assert bodies.trivial_bodies(lines).count() == 0 and bodies.trivial_bodies(lines, None).count() == bodies.trivial_bodies(lines, 7).count() == 7
+
+
+def test_change_sets_shuffle_items_once(spark):
+    """One shuffle of short columns by scan_id, no text; the rest sorts in place."""
+    plan = change_sets.change_sets(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    of_items = [x for x in plan.splitlines() if "Exchange hashpartitioning(" in x and "REPARTITION_BY_COL" in x]
+    assert len(of_items) == 1 and plan.count("Exchange hashpartitioning(") <= 2
+
+
+def test_parse_sorts_files_not_lines(spark):
+    """Lines are cut where they are read: one window, over the files of a scan."""
+    rows = spark.createDataFrame([(1, "x\n@@ -1 +5 @@\n+lost\ndiff --git a/a.py b/a.py\n--- a/a.py\n+++ b/a.py\n+early\n@@ -1,2 +7,2 @@ def\n+one\r\n-two\n\n\\ none\n three\n@@ odd\n+four\ndiff --git odd\n@@ -0,0 +1 @@\n+last")], "scan_id int, raw_diff string")
+    lines = diffs.parse_lines(rows)
+    assert lines._jdf.queryExecution().executedPlan().toString().count("Window [") == 1
+    got = [tuple(r) for r in lines.orderBy("hunk_idx", "line_idx").select("file_idx", "path", "hunk_idx", "new_start", "line_idx", "raw", "line_no").collect()]
+    assert got == [
+        (1, "a.py", 2, 1, 0, "+early", 1), (1, "a.py", 3, 7, 0, "+one\r", 7), (1, "a.py", 3, 7, 1, "-two", 8), (1, "a.py", 3, 7, 2, " three", 9), (1, "a.py", 3, 7, 3, "+four", 10), (2, "unknown", 5, 1, 0, "+last", 1),
+    ]
