@@ -248,3 +248,15 @@ def test_parse_sorts_files_not_lines(spark):
     assert got == [
         (1, "a.py", 2, 1, 0, "+early", 1), (1, "a.py", 3, 7, 0, "+one\r", 7), (1, "a.py", 3, 7, 1, "-two", 8), (1, "a.py", 3, 7, 2, " three", 9), (1, "a.py", 3, 7, 3, "+four", 10), (2, "unknown", 5, 1, 0, "+last", 1),
     ]
+
+
+def cuts(df):
+    """How often a plan cuts diffs into lines."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Generate posexplode(regexp_extract_all(")
+
+
+def test_tampering_reads_lines_once(spark):
+    lines = diffs.parse_lines(scans(spark, diff("a.test.ts", "-expect(a).toBe(1)", "+expect(a).toBe(2)") + "\n" + diff("a.ts", "+x")))
+    found = detectors.tampered_assertions(lines)
+    assert cuts(found) == 0  # they are written, few as they are, and read for each side
+    assert [(r.line_start, r.confidence, r.kind) for r in found.collect()] == [(2, "low", "with_source")]
