@@ -260,3 +260,10 @@ def test_tampering_reads_lines_once(spark):
     found = detectors.tampered_assertions(lines)
     assert cuts(found) == 0  # they are written, few as they are, and read for each side
     assert [(r.line_start, r.confidence, r.kind) for r in found.collect()] == [(2, "low", "with_source")]
+
+
+def test_mocks_read_lines_once(spark):
+    lines = diffs.parse_lines(scans(spark, diff("a.test.ts", "+jest.fn()", "+vi.mock('./b')", "+expect(a).toBe(1)", start=5)))
+    found = detectors.mocks(lines)
+    assert cuts(found) == 1
+    assert sorted((r.phase, r.i1, r.line_start, r.line_end, r.kind) for r in found.collect())[-1] == (1, 0, 5, 8, "excessive")
