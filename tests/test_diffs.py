@@ -267,3 +267,10 @@ def test_mocks_read_lines_once(spark):
     found = detectors.mocks(lines)
     assert cuts(found) == 1
     assert sorted((r.phase, r.i1, r.line_start, r.line_end, r.kind) for r in found.collect())[-1] == (1, 0, 5, 8, "excessive")
+
+
+def test_claims_read_lines_once(spark):
+    rows = scans(spark, diff("docs/a.md", "+x"), diff("a.ts", "+x"), diff("a.test.ts", *["+// x"] * 5), title="test: add tests")
+    found = detectors.claim_mismatch(diffs.parse_lines(rows), rows)
+    assert cuts(found) == 1
+    assert sorted((r.scan_id, r.phase, r.kind) for r in found.collect()) == [(0, 0, "nothing_functional"), (1, 2, "no_tests"), (2, 1, "cosmetic")]
