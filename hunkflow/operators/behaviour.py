@@ -26,7 +26,9 @@ def flags(scans: DataFrame) -> DataFrame:
     has nothing to say) and their sum ``modifier``. ``scans``: event_id, author,
     ts, score, style. Windows per author; an author's scans share a partition."""
     by = W.partitionBy("author").orderBy("ts", "event_id")
-    day = W.partitionBy("author").orderBy(F.col("ts").cast("timestamp").cast("long")).rangeBetween(-86_400, 0)
+    # to the nearest second, halves to the even one
+    second = F.rint(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).cast("long")
+    day = W.partitionBy("author").orderBy(second).rangeBetween(-86_400, 0)
     known = scans.withColumns({
         "scans": F.row_number().over(by), "failed": (F.col("score") < FAILED_BELOW).cast("int"), "swing": F.abs(F.col("score") - F.lag("score").over(by)),
         "passes": F.sum((F.col("score") >= FAILED_BELOW).cast("int")).over(by), "recent": F.least(F.count("*").over(day), F.lit(KEPT_EVENTS)),

@@ -109,3 +109,20 @@ def test_codes(spark):
     codes, scale = vectors.quantise(F.col("v"))
     worst = data.select(F.aggregate(F.zip_with("v", F.transform(codes, lambda c: c * scale), lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, x: F.greatest(s, x)).alias("e"), (scale / 2).alias("h")).agg(F.max(F.col("e") - F.col("h"))).first()[0]
     assert worst < 1e-6
+
+
+def test_behaviour_counts_a_day_in_rounded_seconds(spark):
+    import duckdb
+
+    from hunkflow.operators import behaviour
+    from hunkflow.plans import toolkit
+
+    at = ["1970-01-02 00:00:00.4", *(f"1970-01-02 0{n}:30:00.0" for n in range(5, 9)), "1970-01-03 00:00:00.6"]
+    rows = [(n, 1, t, 80.0, "a") for n, t in enumerate(at)]
+    events = spark.createDataFrame(rows, "event_id long, author long, ts string, score double, style string").withColumn("ts", F.col("ts").cast("timestamp"))
+    got = sorted((r.event_id, r.frequency_anomaly) for r in behaviour.flags(events).collect())
+    c = duckdb.connect()
+    c.execute("set timezone = 'UTC'")
+    c.execute("create table events as select * from (values " + ", ".join(f"({n}, 1, timestamp '{t}', 80.0::double, 'a')" for n, _, t, _, _ in rows) + ") e(event_id, user_id, ts, value, event_type)")
+    assert got == sorted(c.execute(f"select event_id, frequency_anomaly from ({toolkit.ORACLE_SQL['st_behaviour']})").fetchall())
+    assert got[-1] == (5, 0)
