@@ -100,3 +100,14 @@ def test_paths_and_lines(spark):
     assert got(4) == [(False, "unknown", 1, " ", "y"), (False, "unknown", 2, "-", "z")] and not got(5) and not got(6)
     ended = strict.parse(scans(spark, one.replace(" d", "+d").replace("+7,3", "+7,3").replace("-1,3", "-1,2"))).orderBy("line_idx").collect()
     assert [(r.strict, r.path, r.line_no, r.marker, r.body) for r in ended] == [(True, "b/src/math.ts", 7, " ", "a"), (True, "b/src/math.ts", 8, "-", "-- b"), (True, "b/src/math.ts", 9, "+", "++ c"), (True, "b/src/math.ts", 10, "+", "d")]
+
+
+def test_strict_lines_are_written_once(spark):
+    """The result holds no window of the strict reading, only the tolerant one's."""
+    from hunkflow.sources import strict
+
+    good = "diff --git a/a.py b/a.py\n--- a/a.py\n+++ b/a.py\n@@ -1 +1 @@\n-one\n+two"
+    rows = spark.createDataFrame([(1, good), (2, good.replace("-1 +1", "-1,9 +1,9")), (3, None), (4, " ")], "scan_id int, raw_diff string")
+    lines = strict.parse(rows)
+    assert lines._jdf.queryExecution().executedPlan().toString().count("Window [") == 1
+    assert sorted((r.scan_id, r.strict, r.path, r.raw) for r in lines.collect()) == [(1, True, "b/a.py", "+two"), (1, True, "b/a.py", "-one"), (2, False, "a.py", "+two"), (2, False, "a.py", "-one")]
