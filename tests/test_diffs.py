@@ -274,3 +274,17 @@ def test_claims_read_lines_once(spark):
     found = detectors.claim_mismatch(diffs.parse_lines(rows), rows)
     assert cuts(found) == 1
     assert sorted((r.scan_id, r.phase, r.kind) for r in found.collect()) == [(0, 0, "nothing_functional"), (1, 2, "no_tests"), (2, 1, "cosmetic")]
+
+
+def test_change_sets_gather_in_place(spark):
+    """Pieces are gathered over the sort that is there: nothing is aggregated."""
+    plan = change_sets.change_sets(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan
+
+
+def test_path_rules_stand_once(spark):
+    """A filter on what the language decides reads it; it doesn't work it out again."""
+    lines = diffs.parse_lines(scans(spark, diff("a.test.ts", "+x"), diff("B.TEST.TS", "+x"), diff("ts", "+x"), diff("a.b/c", "+x"), diff("x.rb.py", "+x")))
+    plan = lines.where("is_test AND NOT non_functional")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1
+    assert [(r.lang, r.is_test) for r in lines.orderBy("scan_id").collect()] == [("javascript", True), ("javascript", True), (None, False), (None, False), ("python", False)]
