@@ -288,3 +288,20 @@ def test_path_rules_stand_once(spark):
     plan = lines.where("is_test AND NOT non_functional")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("lower(") == 1
     assert [(r.lang, r.is_test) for r in lines.orderBy("scan_id").collect()] == [("javascript", True), ("javascript", True), (None, False), (None, False), ("python", False)]
+
+
+def test_invented_matchers_read_lines_once(spark):
+    own = diff("a.test.ts", "+expect(x).toBeShiny()", "+expect(x).toNotBe(1)", "+expect(x).toBe(1)", " y.toBeOdder()", "+s.toString().toBeShiny()") + "\n" + diff("setup.md", "+expect.extend({ toBeShiny(a) {}, toNotBe() {} })")
+    without = detectors.invented_matchers(diffs.parse_lines(scans(spark, own.replace("expect.extend", "expect.other"))))
+    assert cuts(without) == 0
+    assert [(r.line_start, r.kind) for r in without.orderBy("line_start").collect()] == [(1, "toBeShiny"), (2, "toNotBe")]
+    found = detectors.invented_matchers(diffs.parse_lines(scans(spark, own, diff("b.test.ts", "+expect(x).toBeShiny()"))))
+    assert [(r.scan_id, r.line_start, r.kind) for r in found.orderBy("scan_id").collect()] == [(0, 2, "toNotBe"), (1, 1, "toBeShiny")]
+
+
+def test_invented_names_look_like_matchers():
+    import re
+
+    from hunkflow.functions import rules
+
+    assert all(re.search(rules.MATCHER_LIKE, m) for m in rules.INVENTED)
