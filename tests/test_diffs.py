@@ -305,3 +305,9 @@ def test_invented_names_look_like_matchers():
     from hunkflow.functions import rules
 
     assert all(re.search(rules.MATCHER_LIKE, m) for m in rules.INVENTED)
+
+
+def test_large_hunks_read_lines_once(spark):
+    lines = diffs.parse_lines(scans(spark, diff("a.test.ts", *["+  const a = 1"] * 60)))
+    found = susceptibility.susceptible_hunks(lines)
+    assert cuts(found) == 0 and [(r.added, r.score) for r in found.collect()] == [(60, 25)]
