@@ -92,3 +92,10 @@ def test_registered_matchers(spark):
     lines = ["+expect.extend({ toBeShiny(x) { if (x) { return { pass: toNest() } } }, // toComment", "+  // a note with expect.extend({ toNote })", "+  'toString': 1, toPlain })", "+toOutside()", "-toRemoved", " expect(x).toBeShiny()"]
     rows = syntax.registered_matchers(diffs.parse_lines(scans(spark, diff("a.test.ts", *lines), diff("b.test.ts", "+expect(toNothing)"), diff("c.test.ts", "-expect.extend({ toGone })"))))
     assert {(r.scan_id, n) for r in rows.collect() for n in r.names if n.startswith("to")} == {(0, "toBeShiny"), (0, "toNest"), (0, "toPlain")}
+
+
+def test_syntax_reads_lines_once(spark):
+    lines = diffs.parse_lines(scans(spark, diff("a.test.ts", "+function f() {", "+  return true", "+}")))
+    got = syntax.syntax_findings(lines, most_files=None, most_hunks=None, most_pieces=None, most_chars=None, least_added=1)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Generate posexplode(regexp_extract_all(") == 0
+    assert [r.kind for r in got.collect()] == ["trivial_function"]
