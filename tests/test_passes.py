@@ -1,0 +1,39 @@
+"""How often queries read and move their rows, and what stays the same."""
+
+import re
+
+
+from hunkflow.plans import all_queries
+from hunkflow.sources import change_sets, diffs
+
+from .conftest import SMALL
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def reads(df, table="lineitem"):
+    return len(re.findall(rf"FileScan parquet [^\n]*/{table}\.parquet", plan(df)))
+
+
+def query(spark, name):
+    return all_queries()[name][0](spark, SMALL)
+
+
+def test_titles_alone_put_no_text_together(spark):
+    titles = change_sets.change_sets(spark, SMALL).select("scan_id", "pr_title")
+    assert "Window" not in plan(titles) and "collect_list" not in plan(titles)
+
+
+def test_lines_are_cut_without_windows(spark):
+    scans = spark.createDataFrame([(1, "pre\n@@ -1 +1 @@\n+a\ndiff --git a/x.ts b/x.ts\n@@ -1 +7 @@\n+b\n@@ -1 +9 @@\n-c\ndiff --git bad\n+d")], "scan_id bigint, raw_diff string")
+    lines = diffs.parse_lines(scans)
+    assert "Window" not in plan(lines)
+    rows = lines.orderBy("hunk_idx").select("file_idx", "path", "hunk_idx", "line_no", "raw").collect()
+    assert [tuple(r) for r in rows] == [(1, "x.ts", 3, 7, "+b"), (1, "x.ts", 4, 9, "-c"), (2, "unknown", 5, 1, "+d")]
+
+
+def test_trivial_bodies_sort_once(spark):
+    # the lines and, in the gathered hunks, the result's groups: nothing else
+    assert len(re.findall(r"\bSort \[scan_id", plan(query(spark, "d7b_trivial_bodies")))) <= 1
