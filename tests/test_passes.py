@@ -2,6 +2,7 @@
 
 import re
 
+import pytest
 
 from hunkflow.plans import all_queries
 from hunkflow.sources import change_sets, diffs
@@ -34,6 +35,12 @@ def test_lines_are_cut_without_windows(spark):
     assert [tuple(r) for r in rows] == [(1, "x.ts", 3, 7, "+b"), (1, "x.ts", 4, 9, "-c"), (2, "unknown", 5, 1, "+d")]
 
 
+@pytest.mark.parametrize("name, most", [("flt_rebrand", 1)])
+def test_lines_are_read_once(spark, name, most):
+    """What is written on the way is read from there; a scan's id and title take one more look at the items."""
+    assert reads(query(spark, name)) <= most
+
+
 def test_trivial_bodies_sort_once(spark):
     # the lines and, in the gathered hunks, the result's groups: nothing else
     assert len(re.findall(r"\bSort \[scan_id", plan(query(spark, "d7b_trivial_bodies")))) <= 1
