@@ -35,7 +35,7 @@ def test_lines_are_cut_without_windows(spark):
     assert [tuple(r) for r in rows] == [(1, "x.ts", 3, 7, "+b"), (1, "x.ts", 4, 9, "-c"), (2, "unknown", 5, 1, "+d")]
 
 
-@pytest.mark.parametrize("name, most", [("flt_rebrand", 1), ("jn_findings_files", 0)])
+@pytest.mark.parametrize("name, most", [("flt_rebrand", 1), ("jn_findings_files", 0), ("sc_async_rescore", 1)])
 def test_lines_are_read_once(spark, name, most):
     """What is written on the way is read from there; a scan's id and title take one more look at the items."""
     assert reads(query(spark, name)) <= most
