@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+from hunkflow.operators import chunks
 from hunkflow.plans import all_queries
 from hunkflow.sources import change_sets, diffs
 
@@ -35,7 +36,7 @@ def test_lines_are_cut_without_windows(spark):
     assert [tuple(r) for r in rows] == [(1, "x.ts", 3, 7, "+b"), (1, "x.ts", 4, 9, "-c"), (2, "unknown", 5, 1, "+d")]
 
 
-@pytest.mark.parametrize("name, most", [("flt_rebrand", 1), ("jn_findings_files", 0), ("sc_async_rescore", 1)])
+@pytest.mark.parametrize("name, most", [("flt_rebrand", 1), ("jn_findings_files", 0), ("sc_async_rescore", 1), ("ag_by_language", 1)])
 def test_lines_are_read_once(spark, name, most):
     """What is written on the way is read from there; a scan's id and title take one more look at the items."""
     assert reads(query(spark, name)) <= most
@@ -44,3 +45,13 @@ def test_lines_are_read_once(spark, name, most):
 def test_trivial_bodies_sort_once(spark):
     # the lines and, in the gathered hunks, the result's groups: nothing else
     assert len(re.findall(r"\bSort \[scan_id", plan(query(spark, "d7b_trivial_bodies")))) <= 1
+
+
+def test_chunks_move_no_rows(spark):
+    files = spark.createDataFrame([(1, "a.py", "x = 1\n\ndef f():\n    pass\ndef g():"), (2, "b.py", "def h():\n  y"), (3, "c.zz", "def z"), (4, "d.py", None), (5, "e.py", "")], "file_id bigint, path string, content string")
+    cut = chunks.by_symbol(files)
+    assert "Exchange" not in plan(cut) and "Window" not in plan(cut)
+    assert [tuple(r) for r in cut.orderBy("file_id", "chunk").collect()] == [
+        (1, "a.py", 0, None, 1, 2, "x = 1\n"), (1, "a.py", 1, "f", 3, 4, "def f():\n    pass"), (1, "a.py", 2, "g", 5, 5, "def g():"),
+        (2, "b.py", 1, "h", 1, 2, "def h():\n  y"), (3, "c.zz", 0, None, 1, 1, "def z"), (5, "e.py", 0, None, 1, 1, ""),
+    ]
