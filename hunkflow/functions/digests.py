@@ -22,5 +22,8 @@ def hashed_words(text: Column, size: int) -> Column:
     """A stand-in embedding that needs no model: how many words of the text fall
     into each of ``size`` buckets of their MD5."""
     words = F.array_remove(F.split(F.lower(text), "[^a-z0-9]+"), "")
-    bucket = F.transform(words, lambda w: (F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long") % size).cast("int"))
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda b: F.size(F.filter(bucket, lambda x: x == b)))
+    bucket = lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long") % size
+    found = F.transform(words, lambda w: bucket(w).cast("int"))
+    # bound to one name, so that a word is hashed once and not once per bucket
+    count = lambda b: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.size(F.filter(b, lambda x: x == k)))
+    return F.get(F.transform(F.array(found), count), F.lit(0))

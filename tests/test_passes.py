@@ -3,7 +3,9 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from hunkflow.functions.digests import hashed_words
 from hunkflow.operators import chunks
 from hunkflow.plans import all_queries
 from hunkflow.sources import change_sets, diffs
@@ -55,3 +57,8 @@ def test_chunks_move_no_rows(spark):
         (1, "a.py", 0, None, 1, 2, "x = 1\n"), (1, "a.py", 1, "f", 3, 4, "def f():\n    pass"), (1, "a.py", 2, "g", 5, 5, "def g():"),
         (2, "b.py", 1, "h", 1, 2, "def h():\n  y"), (3, "c.zz", 0, None, 1, 1, "def z"), (5, "e.py", 0, None, 1, 1, ""),
     ]
+
+
+def test_a_word_is_hashed_once(spark):
+    text = spark.range(1).select(hashed_words(F.lit("a b"), 16).alias("v"))._jdf.queryExecution().analyzed().toString()
+    assert text.index("md5") < text.index("sequence(")  # not inside of the loop over the buckets
