@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hunkflow.functions.digests import hashed_words
-from hunkflow.operators import chunks
+from hunkflow.operators import chunks, documents
 from hunkflow.plans import all_queries
 from hunkflow.sources import change_sets, diffs
 
@@ -62,3 +62,11 @@ def test_chunks_move_no_rows(spark):
 def test_a_word_is_hashed_once(spark):
     text = spark.range(1).select(hashed_words(F.lit("a b"), 16).alias("v"))._jdf.queryExecution().analyzed().toString()
     assert text.index("md5") < text.index("sequence(")  # not inside of the loop over the buckets
+
+
+def test_words_are_looked_up_where_they_are_read(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g h i a b c d e f g h"), (2, "x"), (3, None), (1, "a b c d e f g h")], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(7, "a b c d e f g h i"), (8, "q")], "item_id bigint, text string")
+    found = documents.contamination(docs, bench)
+    assert [tuple(r) for r in found.collect()] == [(1, 7, 2)]
+    assert "doc_id" not in "".join(re.findall(r"hashpartitioning\([^)]*\)", plan(found).split("Join")[-1]))
