@@ -70,3 +70,14 @@ def test_words_are_looked_up_where_they_are_read(spark):
     found = documents.contamination(docs, bench)
     assert [tuple(r) for r in found.collect()] == [(1, 7, 2)]
     assert "doc_id" not in "".join(re.findall(r"hashpartitioning\([^)]*\)", plan(found).split("Join")[-1]))
+
+
+def test_a_style_moves_no_words(spark):
+    rows = [(1, "b a b! A c"), (2, "x  y\nx"), (3, ""), (4, None), (5, "b a"), (5, "c b a")]
+    alone = documents.writing_style(spark.createDataFrame(rows[:4], "doc_id bigint, text string"))
+    assert "Exchange" not in plan(alone) and "Window" not in plan(alone)
+    style = lambda s: F.substring(F.md5(F.lit(s).cast("binary")), 1, 16)
+    want = [tuple(r) for r in spark.range(1).select(F.lit(1), style("b:2|a:2|c:1")).union(spark.range(1).select(F.lit(2), style("x:2|y:1"))).collect()]
+    assert sorted(map(tuple, alone.collect())) == want
+    both = {r[0]: r[1] for r in documents.writing_style(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert both[5] == spark.range(1).select(style("b:2|a:2|c:1")).first()[0] and both[1] == want[0][1] and set(both) == {1, 2, 5}
