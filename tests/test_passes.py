@@ -49,6 +49,11 @@ def test_trivial_bodies_sort_once(spark):
     assert len(re.findall(r"\bSort \[scan_id", plan(query(spark, "d7b_trivial_bodies")))) <= 1
 
 
+def test_trivial_bodies_of_all_change_sets(spark):
+    files = query(spark, "src_diff_files").where("NOT non_functional").groupBy("scan_id").count()
+    assert query(spark, "d7b_trivial_bodies").join(files.where("count > 5"), "scan_id", "left_semi").count() > 0
+
+
 def test_chunks_move_no_rows(spark):
     files = spark.createDataFrame([(1, "a.py", "x = 1\n\ndef f():\n    pass\ndef g():"), (2, "b.py", "def h():\n  y"), (3, "c.zz", "def z"), (4, "d.py", None), (5, "e.py", "")], "file_id bigint, path string, content string")
     cut = chunks.by_symbol(files)
