@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hunkflow.functions.digests import hashed_words
 from hunkflow.operators import chunks, documents
 from hunkflow.plans import all_queries
-from hunkflow.sources import change_sets, diffs
+from hunkflow.sources import change_sets, diffs, strict
 
 from .conftest import SMALL
 
@@ -38,6 +38,20 @@ def test_lines_are_cut_without_windows(spark):
     assert [tuple(r) for r in rows] == [(1, "x.ts", 3, 7, "+b"), (1, "x.ts", 4, 9, "-c"), (2, "unknown", 5, 1, "+d")]
 
 
+def test_strict_lines_are_cut_in_their_row(spark):
+    """Both readings in one pass: no window, no join, nothing moved or written."""
+    head = "diff --git a/x.ts b/x.ts\n--- a/x.ts\n+++ b/x.ts"
+    good = f"{head}\n@@ -1 +7 @@\n-a\n+b\n@@ -4,2 +9,2 @@\n \n--- c\n+++ d\n" + head.replace("x.ts", "y.py") + "\n@@ -1 +0,0 @@\n-e"
+    scans = spark.createDataFrame([(1, good), (2, good.replace("-1 +7", "-1,3 +7"))], "scan_id bigint, raw_diff string")
+    lines = strict.parse(scans)
+    assert not re.findall("Window|Join|Exchange|FileScan", plan(lines)) and "Window" not in plan(strict.marked_lines(scans))
+    rows = lines.orderBy("scan_id", "hunk_idx", "line_idx").select("scan_id", "strict", "file_idx", "path", "hunk_idx", "line_no", "marker", "body").collect()
+    assert [tuple(r) for r in rows] == [
+        (1, True, 1, "b/x.ts", 1, 7, "-", "a"), (1, True, 1, "b/x.ts", 1, 8, "+", "b"), (1, True, 1, "b/x.ts", 2, 9, " ", ""), (1, True, 1, "b/x.ts", 2, 10, "-", "-- c"), (1, True, 1, "b/x.ts", 2, 11, "+", "++ d"), (1, True, 2, "b/y.py", 3, 1, "-", "e"),
+        (2, False, 1, "x.ts", 2, 7, "-", "a"), (2, False, 1, "x.ts", 2, 8, "+", "b"), (2, False, 1, "x.ts", 3, 9, " ", ""), (2, False, 2, "y.py", 5, 0, "-", "e"),
+    ]
+
+
 @pytest.mark.parametrize("name, most", [("flt_rebrand", 1), ("jn_findings_files", 0), ("sc_async_rescore", 1), ("ag_by_language", 1)])
 def test_lines_are_read_once(spark, name, most):
     """What is written on the way is read from there; a scan's id and title take one more look at the items."""
