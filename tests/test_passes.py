@@ -52,6 +52,16 @@ def test_strict_lines_are_cut_in_their_row(spark):
     ]
 
 
+def test_path_rules_look_once_for_their_start():
+    from hunkflow.functions import rules
+
+    paths = "README.md a/readme src/SUPPORT x/LICENSE LICENSE LICENSE.a a.LOCK .github/x b/.github/AGENTS.md AGENTS.md xAGENTS.md b/agents.MD .rules/claude.txt x/.agents/q/r.md .agents/r.py a/Analytics/b analytics/b x/instrument/y a.tsx atsx .aider.conf.yml d/.cursorrules x.yaml .npmrc a.ts".split()
+    for table in (rules.NON_FUNCTIONAL, rules.TELEMETRY + [rules.COMPONENT], rules.AGENT_FILES):
+        either = [(bool(re.search(rules.any_of(table), p)), bool(re.search(rules.any_by_start(table), p))) for p in paths]
+        assert all(a == b for a, b in either) and {a for a, _ in either} == {True, False}
+    assert rules.any_by_start(rules.AGENT_FILES).count("(?:^|/)") == 1
+
+
 @pytest.mark.parametrize("name, most", [("flt_rebrand", 1), ("jn_findings_files", 0), ("sc_async_rescore", 1), ("ag_by_language", 1)])
 def test_lines_are_read_once(spark, name, most):
     """What is written on the way is read from there; a scan's id and title take one more look at the items."""
